@@ -38,3 +38,172 @@ def distinct_sorted_ids(df: DataFrame, column: str) -> DataFrame:
     """Distinct ids in ascending order (range-partitioned sort; partial
     aggregation removes duplicates before the shuffle)."""
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+# ---------------------------------------------------------------------------
+# The full ingest job as one lineage
+# ---------------------------------------------------------------------------
+
+from dataclasses import dataclass  # noqa: E402
+
+from pyspark.sql import Column  # noqa: E402
+
+from ..catalog import Catalog  # noqa: E402
+from ..functions import clean as C  # noqa: E402
+from ..model import CATALOGUE_MODELS  # noqa: E402
+from ..operators import mutate as M  # noqa: E402
+from ..operators import normalize as N  # noqa: E402
+from ..sources.scan import landing_payloads  # noqa: E402
+
+ENTITY_CSV_COLUMNS = (
+    "id", "name", "required_age", "is_free", "detailed_description", "about_the_game", "short_description",
+    "supported_languages", "header_image", "developers", "publishers", "windows", "mac", "linux", "metacritic",
+    "release_date", "coming_soon", "owners_min", "owners_max", "average_2weeks", "average_forever",
+    "median_forever", "median_2weeks", "ccu", "reviewNumReviews", "reviewScore", "reviewScoreDesc",
+    "reviewTotalPositive", "reviewTotalNegative", "reviewTotalReviews", "store_status", "steamspy_status",
+    "reviews_status", "last_updated")
+
+# The base record every id starts from before sources overlay it.
+BASE_RECORD = {
+    "name": "", "required_age": 0, "is_free": False, "detailed_description": "", "about_the_game": "",
+    "short_description": "", "supported_languages": "", "header_image": "", "developers": "", "publishers": "",
+    "windows": False, "mac": False, "linux": False, "metacritic": None, "release_date": None,
+    "coming_soon": False, "owners_min": 0, "owners_max": 0, "average_2weeks": 0, "average_forever": 0,
+    "median_forever": 0, "median_2weeks": 0, "ccu": 0, "reviewNumReviews": None, "reviewScore": None,
+    "reviewScoreDesc": None, "reviewTotalPositive": None, "reviewTotalNegative": None, "reviewTotalReviews": None,
+}
+ENTITY_TYPES = {
+    "id": "int", "name": "string", "required_age": "int", "is_free": "boolean", "detailed_description": "string",
+    "about_the_game": "string", "short_description": "string", "supported_languages": "string",
+    "header_image": "string", "developers": "string", "publishers": "string", "windows": "boolean",
+    "mac": "boolean", "linux": "boolean", "metacritic": "int", "release_date": "timestamp_ntz",
+    "coming_soon": "boolean", "owners_min": "int", "owners_max": "int", "average_2weeks": "int",
+    "average_forever": "int", "median_forever": "int", "median_2weeks": "int", "ccu": "int",
+    "reviewNumReviews": "int", "reviewScore": "int", "reviewScoreDesc": "string", "reviewTotalPositive": "int",
+    "reviewTotalNegative": "int", "reviewTotalReviews": "int",
+}
+
+
+@dataclass
+class IngestRun:
+    ids: DataFrame        # (seq, appid) processed, in file order
+    entities: DataFrame   # the 34-column merged records (one per processed id occurrence)
+    reviews: DataFrame    # the 15-column child rows (+ seq, rank)
+    store: DataFrame      # normalised store rows, with link lists
+    catalog: Catalog | None  # catalogue tables after upserts and link upkeep
+
+
+def select_ids(id_texts: DataFrame, offset: int = 0, limit: int | None = None,
+               processed: list[DataFrame] | None = None) -> DataFrame:
+    """S1 + L10 + J8: text ids → ints (bad ones dropped) → offset → resume
+    difference → limit, keeping file order (``seq``) and duplicates."""
+    ids = id_texts.select("seq", C.int_text(F.col("appid"), "int").alias("appid")).where("appid IS NOT NULL")
+    if offset:
+        ids = offset_limit(ids, offset=offset)
+    if processed:
+        ids = resume_difference(ids, "appid", processed)
+    if limit is not None:
+        ids = offset_limit(ids, limit=limit)
+    return ids
+
+
+def _only(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Payloads of the ids in this run (left-semi join), decoded to VARIANT."""
+    return landing_payloads(bodies.join(wanted, bodies["id"] == wanted["appid"], "left_semi"))
+
+
+def merge_sources(ids: DataFrame, store: DataFrame | None, stats: DataFrame | None,
+                  summaries: DataFrame | None, run_ts: Column | str | None = None) -> DataFrame:
+    """Base record ← store (its NULLs copied too) ← stats (seven
+    fields) ← review summary; ``*_status`` = ok / missing per source."""
+    run_ts = F.lit(run_ts) if isinstance(run_ts, str) else (
+        run_ts if run_ts is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    df = ids
+    sources = []
+    for name, src, fields in (("store", store, N.GAME_FIELDS), ("steamspy", stats, N.STATS_FIELDS),
+                              ("reviews", summaries, N.SUMMARY_FIELDS)):
+        if src is None:
+            continue
+        flag = f"__{name}"
+        right = src.select(F.col("id").alias(f"{flag}_id"), *[F.col(f).alias(f"{flag}_{f}") for f in fields],
+                           F.lit(True).alias(flag))
+        df = df.join(right, df["appid"] == right[f"{flag}_id"], "left")
+        sources.append((name, flag, fields))
+    cols = [F.col("seq"), F.col("appid").cast("int").alias("id")]
+    for f in ENTITY_CSV_COLUMNS[1:30]:
+        v = F.lit(BASE_RECORD[f])
+        for name, flag, fields in sources:
+            if f in fields:
+                v = F.when(F.col(flag).isNotNull(), F.col(f"{flag}_{f}")).otherwise(v)
+        cols.append(v.cast(ENTITY_TYPES[f]).alias(f))
+    for name in ("store", "steamspy", "reviews"):
+        flag = f"__{name}"
+        present = F.col(flag).isNotNull() if any(s[0] == name for s in sources) else F.lit(False)
+        cols.append(F.when(present, F.lit("ok")).otherwise(F.lit("missing")).alias(f"{name}_status"))
+    cols.append(run_ts.alias("last_updated"))
+    return df.select(*cols)
+
+
+def ingest(id_texts: DataFrame, store_bodies: DataFrame, stats_bodies: DataFrame, page_bodies: DataFrame,
+           catalog: Catalog | None = None, run_ts: str | None = None, offset: int = 0,
+           limit: int | None = None, processed: list[DataFrame] | None = None,
+           max_children: int = N.MAX_CHILDREN) -> IngestRun:
+    """Ids → offset → resume → limit → normalise the three sources →
+    merge → upsert entities and children → links / dimensions.
+
+    Lazy throughout; the caller writes ``entities`` / ``reviews`` (CSV sinks)
+    and the catalogue tables (``sinks.publish``).  The three sources and the
+    merge are joined on the id, so one hash partitioning on the id serves
+    every join (Catalyst broadcasts sides it measures as small)."""
+    ids = select_ids(id_texts, offset, limit, processed)
+    wanted = ids.select("appid").distinct()
+    store = N.store_records(_only(store_bodies, wanted))
+    stats = N.stats_records(_only(stats_bodies, wanted))
+    summaries, reviews = N.page_run(_only(page_bodies, wanted).select("id", "page_no", "payload"),
+                                    cap=max_children)
+    entities = merge_sources(ids, store, stats, summaries, run_ts)
+    # each occurrence of an id in the list writes its children again
+    review_rows = reviews.join(ids.select(F.col("appid").alias("gameId"), "seq"), "gameId")
+    cat_after = None
+    if catalog is not None:
+        cat_after = apply_to_catalogue(catalog, ids, entities, store, review_rows)
+    return IngestRun(ids, entities.drop("seq"), review_rows, store, cat_after)
+
+
+def apply_to_catalogue(cat: Catalog, ids: DataFrame, entities: DataFrame, store: DataFrame,
+                       reviews: DataFrame) -> Catalog:
+    """Upserts and link upkeep of one run (M3, M15, M16), set-based.
+
+    Repeated ids: the last occurrence (highest ``seq``) wins, and links /
+    counters only count new distinct pairs, so rerunning a batch changes nothing."""
+    game_cols = [f.name for f in CATALOGUE_MODELS["Game"].schema.fields]
+    games = M.upsert(cat.df("Game"), entities.select("seq", *game_cols), CATALOGUE_MODELS["Game"], seq="seq")
+    review_cols = [f.name for f in CATALOGUE_MODELS["Review"].schema.fields]
+    rv = reviews.select(*review_cols, (F.col("seq") * 1000 + F.col("rank")).alias("__seq"))
+    revs = M.upsert(cat.df("Review"), rv, CATALOGUE_MODELS["Review"], seq="__seq")
+    s = store.join(ids.select(F.col("appid").alias("id"), "seq"), "id")
+    dev_pairs = N.name_links(s, "developer_names", "developerName").select(
+        F.col("gameId").cast("int"), "developerName")
+    pub_pairs = N.name_links(s, "publisher_names", "publisherName").select(
+        F.col("gameId").cast("int"), "publisherName")
+    dev_links, devs = M.maintain_counted_links(cat.df("GameDeveloper"), cat.df("Developer"), dev_pairs,
+                                               "gameId", "developerName")
+    pub_links, pubs = M.maintain_counted_links(cat.df("GamePublisher"), cat.df("Publisher"), pub_pairs,
+                                               "gameId", "publisherName")
+    out = (cat.with_table("Game", games.table).with_table("Review", revs.table)
+           .with_table("GameDeveloper", dev_links.table).with_table("Developer", devs.table)
+           .with_table("GamePublisher", pub_links.table).with_table("Publisher", pubs.table))
+    for list_col, dim, link, link_col in (("categories", "Category", "GameCategory", "categoryId"),
+                                          ("genres", "Genre", "GameGenre", "genreId")):
+        items = N.item_links(s, list_col, seq="seq").select(
+            F.col("gameId").cast("int"), F.col("id").cast("int").alias("id"), "name",
+            (F.col("seq") * 1000 + F.col("pos")).alias("__seq"))
+        dim_res, link_res = M.maintain_dimension(cat.df(dim), cat.df(link), items, "id", link_col, "__seq")
+        out = out.with_table(dim, dim_res.table.select(*cat.df(dim).columns)).with_table(link, link_res.table)
+    return out
+
+
+def export_ids(pages: DataFrame) -> DataFrame:
+    """Id-list pages → valid prefix → unique ids, ascending (S8 → G9)."""
+    appids = N.id_list_pages(landing_payloads(pages))
+    return distinct_sorted_ids(appids, "appid")

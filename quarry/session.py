@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 # Settings every session of ours wants, whatever the cluster size.
 BASE_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -22,6 +23,8 @@ BASE_CONF = {
     # broadcast only what the optimizer has measured below this size
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
+# Local runs only: the driver is the executor, so its heap is the one that matters.
+LOCAL_CONF = {"spark.driver.memory": "12g"}
 
 
 def get_spark(master: str | None = None, app: str = "quarry", shuffle_partitions: int | None = None,
@@ -30,6 +33,8 @@ def get_spark(master: str | None = None, app: str = "quarry", shuffle_partitions
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -86,8 +86,21 @@ def landing_scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return landing_payloads(df)
 
 
+def parse_body(body: Column) -> Column:
+    """Strict JSON decode of a text body → VARIANT, NULL when it is not exactly
+    one JSON value.  ``try_parse_json`` alone accepts trailing text (``'"k": 1}'``
+    reads as ``"k"``); wrapping the body in ``[...]`` and requiring one element
+    rejects that."""
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
+    # one pass over the (one-element) array: count items, keep the last; the
+    # body is referenced once, so inlining this expression stays cheap
+    init = F.struct(F.lit(0).alias("n"), F.lit(None).cast("variant").alias("v"))
+    return F.aggregate(items, init, lambda acc, x: F.struct((acc["n"] + 1).alias("n"), x.alias("v")),
+                       lambda acc: F.when(acc["n"] == 1, acc["v"]))
+
+
 def landing_payloads(df: DataFrame) -> DataFrame:
-    return df.withColumn("payload", F.try_parse_json(F.col("body")))
+    return df.withColumn("payload", parse_body(F.col("body")))
 
 
 # -- raw SQL (S9–S11) ----------------------------------------------------------------
