@@ -44,13 +44,15 @@ class RequiredViolation(ValueError):
 
 # -- shaping ---------------------------------------------------------------------
 
-def conform(df: DataFrame, spec: ModelSpec, fill_defaults: bool = True) -> DataFrame:
-    """Columns of ``spec`` in order and type; missing columns NULL, defaults for NULLs."""
-    if spec.schema is None:
+def conform(df: DataFrame, spec: ModelSpec, fill_defaults: bool = True, like: DataFrame | None = None) -> DataFrame:
+    """Columns of the model (or of ``like``, the table written to) in order and
+    type; missing columns NULL, defaults for NULLs."""
+    schema = spec.schema if spec.schema is not None else (like.schema if like is not None else None)
+    if schema is None:
         return df
     have = set(df.columns)
     cols = []
-    for f in spec.schema.fields:
+    for f in schema.fields:
         c = F.col(f.name) if f.name in have else F.lit(None)
         if fill_defaults and f.name in spec.defaults:
             c = F.coalesce(c, F.lit(spec.defaults[f.name]))
@@ -97,7 +99,7 @@ def check_required(df: DataFrame, spec: ModelSpec) -> None:
 # -- M1 / M2 insert -----------------------------------------------------------------
 
 def insert(old: DataFrame, data: DataFrame, spec: ModelSpec, check: bool = True) -> DataFrame:
-    new = conform(data, spec)
+    new = conform(data, spec, like=old)
     if check:
         check_required(new, spec)
         if spec.key:
@@ -107,7 +109,7 @@ def insert(old: DataFrame, data: DataFrame, spec: ModelSpec, check: bool = True)
 
 def insert_many(old: DataFrame, data: DataFrame, spec: ModelSpec, skip_duplicates: bool = False,
                 check: bool = True) -> Result:
-    new = conform(data, spec)
+    new = conform(data, spec, like=old)
     if skip_duplicates and spec.key:
         w = Window.partitionBy(*spec.key).orderBy(*[F.col(c).asc_nulls_first() for c in new.columns])
         new = new.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
