@@ -18,14 +18,18 @@ class Catalog:
         self.spark = spark
         self.tables: dict[str, DataFrame] = dict(tables or {})
         self.models: dict[str, ModelSpec] = dict(models or {})
+        self.loaders: dict = {}
 
     # -- construction -----------------------------------------------------
     @classmethod
     def from_fixture_dir(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
-        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in FIXTURE_TABLES}
+        """The driver's tables, read on first use (each read resolves a schema)."""
+        loaders = {t: (lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in FIXTURE_TABLES}
         # link table derived from the child rows: one row per (part, supplier) pair
-        tables["part_supplier"] = tables["lineitem"].select("l_partkey", "l_suppkey").distinct()
-        return cls(spark, tables, FIXTURE_MODELS)
+        cat = cls(spark, {}, FIXTURE_MODELS)
+        loaders["part_supplier"] = lambda: cat.df("lineitem").select("l_partkey", "l_suppkey").distinct()
+        cat.loaders = loaders
+        return cat
 
     @classmethod
     def from_table_dir(cls, spark: SparkSession, root: str, models: dict[str, ModelSpec] | None = None
@@ -43,7 +47,9 @@ class Catalog:
     # -- access -------------------------------------------------------------
     def df(self, name: str) -> DataFrame:
         if name not in self.tables:
-            raise KeyError(f"unknown table {name!r}")
+            if name not in self.loaders:
+                raise KeyError(f"unknown table {name!r}")
+            self.tables[name] = self.loaders[name]()
         return self.tables[name]
 
     def model(self, name: str) -> ModelSpec:
@@ -52,7 +58,11 @@ class Catalog:
     def with_table(self, name: str, df: DataFrame) -> "Catalog":
         tables = dict(self.tables)
         tables[name] = df
-        return Catalog(self.spark, tables, self.models)
+        out = Catalog(self.spark, tables, self.models)
+        out.loaders = {k: v for k, v in self.loaders.items() if k not in tables}
+        if "part_supplier" in out.loaders:
+            out.loaders["part_supplier"] = lambda: out.df("lineitem").select("l_partkey", "l_suppkey").distinct()
+        return out
 
     def table(self, name: str):
         from .operators.table import Table

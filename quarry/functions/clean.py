@@ -1,24 +1,27 @@
-"""Scalar cleaning rules (F1–F16) as Spark ``Column`` functions.
+"""Scalar cleaning rules (F1–F16) as Spark SQL expressions.
 
-Loose JSON fields arrive as VARIANT.  Each rule takes the value ``v`` and its
-*kind* ``k`` — a short tag (``missing null bool int num str arr obj obj0``)
-derived once from ``schema_of_variant`` — and reproduces the loose-typing
-rules of the source data (truthiness, ``int()``-like parsing,
-string-or-list…) with built-in expressions.
+Loose JSON fields arrive as VARIANT.  Each rule takes the SQL text of a value
+``v`` and of its *kind* ``k`` — a short tag (``missing null bool int num str
+arr obj obj0``) derived once from ``schema_of_variant`` — and returns the SQL
+text of the cleaned value, reproducing the loose-typing rules of the source
+data (truthiness, ``int()``-like parsing, string-or-list…) with built-in
+functions.  Jobs apply a whole stage with one ``selectExpr`` (the JVM parses
+it once; building the same trees call by call through py4j costs tens of
+thousands of round trips), and ``col(rule(...))`` gives a ``Column``.
 
 Computing the kind once per field matters: ``schema_of_variant`` walks the
 whole value, so jobs stage ``value → kind`` as columns (``with_kinds``) and
-the rules only reference those attributes; that keeps expressions small,
-inside whole-stage codegen, and each value inspected once.
+the rules reference those attributes.
 
-The one exception to built-ins is HTML entity decoding (F1), which needs the
-full HTML5 entity table: an Arrow-batched pandas UDF that only receives rows
-holding an ``&``.
+The one non-built-in step is HTML entity decoding (F1), which needs the full
+HTML5 entity table: an Arrow-batched pandas UDF that only receives rows
+holding an ``&`` (``strip_html`` works on Columns).
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,155 +37,165 @@ MIN_INT = -2147483648
 # Release-date formats tried in order (month abbreviations, day 1–2 digits).
 RELEASE_DATE_FORMATS = ("MMM d, yyyy", "d MMM, yyyy", "MMM yyyy", "yyyy")
 TAG_PATTERN = r"<[^>]+>"
-INT_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT")
+# schema_of_variant type name (leading word, with "<>" for an empty object) → kind
+KIND_BY_TYPE = {"MISSING": "missing", "VOID": "null", "BOOLEAN": "bool", "BIGINT": "int", "INT": "int",
+                "SMALLINT": "int", "TINYINT": "int", "DECIMAL": "num", "DOUBLE": "num", "FLOAT": "num",
+                "STRING": "str", "ARRAY": "arr", "OBJECT<>": "obj0", "OBJECT": "obj"}
 
+_lambda_ids = itertools.count()
 
-# ------------------------------------------------------------------ kinds
-# schema_of_variant type name (leading word, with "<>" for an empty object) → kind
-_KIND_BY_TYPE = {"MISSING": "missing", "VOID": "null", "BOOLEAN": "bool", "BIGINT": "int", "INT": "int",
-                 "SMALLINT": "int", "TINYINT": "int", "DECIMAL": "num", "DOUBLE": "num", "FLOAT": "num",
-                 "STRING": "str", "ARRAY": "arr", "OBJECT<>": "obj0", "OBJECT": "obj"}
 
+def q(s: str) -> str:
+    """SQL string literal: quote and backslash escaped, non-printable or
+    non-ASCII characters as ``\\uXXXX``."""
+    out = []
+    for ch in s:
+        if ch in "\\'":
+            out.append("\\" + ch)
+        elif 32 <= ord(ch) < 127:
+            out.append(ch)
+        else:
+            out.append("\\u%04x" % ord(ch))
+    return "'" + "".join(out) + "'"
 
-def kind_of_schema(t: Column) -> Column:
-    """``schema_of_variant`` text → kind tag.  ``t`` is referenced once, so
-    the expression stays small wherever the optimizer inlines it."""
-    kinds = F.create_map(*[F.lit(x) for kv in _KIND_BY_TYPE.items() for x in kv])
-    word = F.coalesce(F.regexp_extract(t, r"^[A-Z]+(<>)?", 0), F.lit("MISSING"))
-    return F.coalesce(F.try_element_at(kinds, word), F.lit("other"))
 
+def ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def kind(v: Column) -> Column:
-    """Kind tag of a VARIANT (computed inline; prefer ``with_kinds`` in jobs)."""
-    return kind_of_schema(F.schema_of_variant(v))
 
+def col(sql: str) -> Column:
+    return F.expr(sql)
 
-def with_kinds(df: DataFrame, values: dict[str, Column], keep: list | None = None) -> DataFrame:
-    """Stage ``name → variant`` columns and their kinds (``name__k``)."""
-    keep = df.columns if keep is None else keep
-    s1 = df.select(*keep, *[v.alias(n) for n, v in values.items()])
-    s2 = s1.select("*", *[F.schema_of_variant(F.col(n)).alias(f"{n}__t") for n in values])
-    return s2.select(*keep, *values.keys(), *[kind_of_schema(F.col(f"{n}__t")).alias(f"{n}__k") for n in values])
 
+def _var() -> str:
+    """A fresh lambda variable name (nested lambdas must not shadow each other)."""
+    return f"x{next(_lambda_ids)}"
 
-def fenced_where(df: DataFrame, cond: Column) -> DataFrame:
-    """``df.where(cond)`` that Catalyst will not push below ``df``.
 
-    A filter on parsed flags would otherwise be pushed through every staging
-    projection, each alias replaced by its definition, so the condition grows
-    with every reference down to the raw body (and is computed twice).  A
-    projection holding a non-deterministic column (``spark_partition_id()``,
-    free to compute) that the filter reads is a fence Catalyst respects."""
-    fenced = df.select("*", F.spark_partition_id().alias("__fence"))
-    return fenced.where(cond & (F.col("__fence") >= 0)).drop("__fence")
+WS = q(PY_WHITESPACE)
 
 
-def vk(name: str) -> tuple[Column, Column]:
-    return F.col(name), F.col(f"{name}__k")
+# ------------------------------------------------------------------ kinds
+def kind_of_schema(t: str) -> str:
+    """``schema_of_variant`` text → kind tag; ``t`` is referenced once."""
+    pairs = ", ".join(f"{q(a)}, {q(b)}" for a, b in KIND_BY_TYPE.items())
+    return (f"coalesce(try_element_at(map({pairs}), "
+            f"coalesce(regexp_extract({t}, '^[A-Z]+(<>)?', 0), 'MISSING')), 'other')")
 
 
-def vget(v: Column, path: str, to: str = "variant") -> Column:
-    return F.try_variant_get(v, path, to)
+def kind(v: str) -> str:
+    """Kind tag of a VARIANT (inline; jobs stage it with ``with_kinds``)."""
+    return kind_of_schema(f"schema_of_variant({v})")
 
 
-def pystrip(s: Column) -> Column:
-    """``str.strip()``: trim every Unicode whitespace character."""
-    return F.btrim(s, F.lit(PY_WHITESPACE))
+def with_kinds(df: DataFrame, values: dict[str, str], keep: list | None = None) -> DataFrame:
+    """Stage ``name → variant SQL`` columns and their kinds (``name__k``)."""
+    keep = df.columns if keep is None else keep
+    keep_sql = [ident(c) for c in keep]
+    s1 = df.selectExpr(*keep_sql, *[f"{v} AS {ident(n)}" for n, v in values.items()])
+    s2 = s1.selectExpr("*", *[f"schema_of_variant({ident(n)}) AS {ident(n + '__t')}" for n in values])
+    return s2.selectExpr(*keep_sql, *[ident(n) for n in values],
+                         *[f"{kind_of_schema(ident(n + '__t'))} AS {ident(n + '__k')}" for n in values])
 
 
-def _k(v: Column, k: Column | None) -> Column:
-    return k if k is not None else kind(v)
+def vk(name: str) -> tuple[str, str]:
+    return ident(name), ident(name + "__k")
+
 
+def vget(v: str, path: str, to: str = "variant") -> str:
+    return f"try_variant_get({v}, {q(path)}, {q(to)})"
 
-def is_object(v: Column, k: Column | None = None) -> Column:
-    return _k(v, k).isin("obj", "obj0")
+
+def pystrip(s: str) -> str:
+    """``str.strip()``: trim every Unicode whitespace character."""
+    return f"btrim({s}, {WS})"
+
+
+def _k(v: str, k: str | None) -> str:
+    return k if k is not None else kind(v)
 
 
-def is_array(v: Column, k: Column | None = None) -> Column:
-    return _k(v, k) == "arr"
+def is_object(v: str, k: str | None = None) -> str:
+    return f"({_k(v, k)} IN ('obj', 'obj0'))"
 
 
-def is_string(v: Column, k: Column | None = None) -> Column:
-    return _k(v, k) == "str"
+def is_array(v: str, k: str | None = None) -> str:
+    return f"({_k(v, k)} = 'arr')"
 
 
-def is_int(v: Column, k: Column | None = None) -> Column:
-    return _k(v, k) == "int"
+def is_string(v: str, k: str | None = None) -> str:
+    return f"({_k(v, k)} = 'str')"
 
 
 # ------------------------------------------------------------------ F7 truthiness
-def truthy(v: Column, k: Column | None = None) -> Column:
+def truthy(v: str, k: str | None = None) -> str:
     """``bool(x)`` of a JSON value: null/false/0/''/[]/{} and missing → false."""
     k = _k(v, k)
-    return F.coalesce(
-        F.when(k == "bool", vget(v, "$", "boolean"))
-         .when(k.isin("int", "num"), vget(v, "$", "double") != 0)
-         .when(k == "str", F.length(vget(v, "$", "string")) > 0)
-         .when(k == "arr", F.size(vget(v, "$", "array<variant>")) > 0)
-         .when(k == "obj", F.lit(True))
-         .otherwise(F.lit(False)),
-        F.lit(False))
+    return (f"coalesce(CASE WHEN {k} = 'bool' THEN {vget(v, '$', 'boolean')} "
+            f"WHEN {k} IN ('int', 'num') THEN {vget(v, '$', 'double')} <> 0 "
+            f"WHEN {k} = 'str' THEN length({vget(v, '$', 'string')}) > 0 "
+            f"WHEN {k} = 'arr' THEN size({vget(v, '$', 'array<variant>')}) > 0 "
+            f"WHEN {k} = 'obj' THEN true ELSE false END, false)")
 
 
 # ------------------------------------------------------------------ int()/float() parsing
-def int_text(s: Column, to: str = "bigint") -> Column:
+def int_text(s: str, to: str = "bigint") -> str:
     """``int(text)``: surrounding whitespace, sign, digits with single ``_``."""
-    return F.when(s.rlike(INT_TEXT), F.regexp_replace(pystrip(s), "_", "").try_cast(to))
+    return f"CASE WHEN {s} RLIKE {q(INT_TEXT)} THEN try_cast(regexp_replace({pystrip(s)}, '_', '') AS {to}) END"
 
 
-def variant_int(v: Column, k: Column | None = None, default=None) -> Column:
+def variant_int(v: str, k: str | None = None, default=None) -> str:
     """``int(x)`` of a JSON value, ``default`` when it raises: bools → 0/1,
     numbers truncate toward zero, int-looking text parses, the rest fails."""
     k = _k(v, k)
-    val = (F.when(k == "bool", vget(v, "$", "boolean").cast("bigint"))
-            .when(k.isin("int", "num"), vget(v, "$", "bigint"))
-            .when(k == "str", int_text(vget(v, "$", "string"))))
-    return F.coalesce(val, F.lit(default).cast("bigint")) if default is not None else val
+    val = (f"CASE WHEN {k} = 'bool' THEN CAST({vget(v, '$', 'boolean')} AS BIGINT) "
+           f"WHEN {k} IN ('int', 'num') THEN {vget(v, '$', 'bigint')} "
+           f"WHEN {k} = 'str' THEN {int_text(vget(v, '$', 'string'))} END")
+    return f"coalesce({val}, CAST({int(default)} AS BIGINT))" if default is not None else val
 
 
-def variant_float(v: Column, k: Column | None = None, default: float | None = 0.0) -> Column:
+def variant_float(v: str, k: str | None = None, default: float | None = 0.0) -> str:
     """F6 ``float(x)``, ``default`` on failure (text such as ``' 0.52 '`` accepted)."""
     k = _k(v, k)
-    val = (F.when(k == "bool", vget(v, "$", "boolean").cast("double"))
-            .when(k.isin("int", "num"), vget(v, "$", "double"))
-            .when(k == "str", pystrip(vget(v, "$", "string")).try_cast("double")))
-    return F.coalesce(val, F.lit(default).cast("double")) if default is not None else val
+    val = (f"CASE WHEN {k} = 'bool' THEN CAST({vget(v, '$', 'boolean')} AS DOUBLE) "
+           f"WHEN {k} IN ('int', 'num') THEN {vget(v, '$', 'double')} "
+           f"WHEN {k} = 'str' THEN try_cast({pystrip(vget(v, '$', 'string'))} AS DOUBLE) END")
+    return f"coalesce({val}, CAST({float(default)!r} AS DOUBLE))" if default is not None else val
 
 
-def clamp_int(x: Column) -> Column:
+def clamp_int(x: str) -> str:
     """cap at 2147483647 (and floor at the 32-bit minimum so the cast is safe)."""
-    return F.greatest(F.least(x, F.lit(MAX_INT).cast("bigint")), F.lit(MIN_INT).cast("bigint")).cast("int")
+    return f"CAST(greatest(least({x}, {MAX_INT}L), {MIN_INT}L) AS INT)"
 
 
-def to_int32(x: Column) -> Column:
+def to_int32(x: str) -> str:
     """bigint → int, NULL when it does not fit (ANSI casts would raise)."""
-    return x.try_cast("int")
+    return f"try_cast({x} AS INT)"
 
 
 # ------------------------------------------------------------------ F16 text
-def item_text(v: Column, k: Column | None = None) -> Column:
+def item_text(v: str, k: str | None = None) -> str:
     """``str(x)`` of a JSON value: strings as is, booleans ``True``/``False``,
     JSON null → NULL, anything else its JSON text."""
     k = _k(v, k)
-    return (F.when(k == "str", vget(v, "$", "string"))
-             .when(k == "bool", F.when(vget(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-             .when(k.isin("null", "missing"), F.lit(None).cast("string"))
-             .otherwise(F.to_json(v)))
+    return (f"CASE WHEN {k} = 'str' THEN {vget(v, '$', 'string')} "
+            f"WHEN {k} = 'bool' THEN CASE WHEN {vget(v, '$', 'boolean')} THEN 'True' ELSE 'False' END "
+            f"WHEN {k} IN ('null', 'missing') THEN CAST(NULL AS STRING) ELSE to_json({v}) END")
 
 
-def text_or_empty(v: Column, k: Column | None = None) -> Column:
+def text_or_empty(v: str, k: str | None = None) -> str:
     """F16 ``x or ''`` for a text field: falsy → ''; truthy → its text."""
     k = _k(v, k)
-    return F.when(truthy(v, k), item_text(v, k)).otherwise(F.lit(""))
+    return f"CASE WHEN {truthy(v, k)} THEN {item_text(v, k)} ELSE '' END"
 
 
-def text_or_null(v: Column, k: Column | None = None) -> Column:
+def text_or_null(v: str, k: str | None = None) -> str:
     k = _k(v, k)
-    return F.when(k.isin("null", "missing"), F.lit(None).cast("string")).when(
-        k == "str", vget(v, "$", "string")).otherwise(F.to_json(v))
+    return (f"CASE WHEN {k} IN ('null', 'missing') THEN CAST(NULL AS STRING) "
+            f"WHEN {k} = 'str' THEN {vget(v, '$', 'string')} ELSE to_json({v}) END")
 
 
-# ------------------------------------------------------------------ F1 HTML
+# ------------------------------------------------------------------ F1 HTML (Columns)
 @F.pandas_udf(T.StringType())
 def _unescape_strip(s: pd.Series) -> pd.Series:
     # per value: HTML entity decode, then str.strip(); NULL in → NULL out
@@ -196,134 +209,124 @@ def strip_html(c: Column) -> Column:
     native trim is used instead."""
     no_tags = F.regexp_replace(F.coalesce(c, F.lit("")), TAG_PATTERN, "")
     needs = F.instr(no_tags, "&") > 0
-    return F.coalesce(_unescape_strip(F.when(needs, no_tags)), pystrip(no_tags))
+    return F.coalesce(_unescape_strip(F.when(needs, no_tags)), F.btrim(no_tags, F.lit(PY_WHITESPACE)))
 
 
-def list_separators(c: Column) -> Column:
+def list_separators(s: str) -> str:
     """``', '`` → ``'; '``."""
-    return F.replace(c, F.lit(", "), F.lit("; "))
+    return f"replace({s}, ', ', '; ')"
 
 
 # ------------------------------------------------------------------ F3 dates
-def parse_release_date(s: Column) -> Column:
+def parse_release_date(s: str) -> str:
     """first matching format, missing parts = 1; blank or no match → NULL.
     Runs of whitespace count as one space, as in strptime."""
-    t = F.regexp_replace(pystrip(F.coalesce(s, F.lit(""))), r"\s+", " ")
-    parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in RELEASE_DATE_FORMATS])
-    return F.when(t == "", F.lit(None)).otherwise(parsed).cast("timestamp_ntz")
+    blank = q("")
+    t = f"regexp_replace({pystrip(f'coalesce({s}, {blank})')}, {q(r'\s+')}, ' ')"
+    tries = ", ".join(f"try_to_timestamp({t}, {q(fmt)})" for fmt in RELEASE_DATE_FORMATS)
+    return f"CAST(CASE WHEN {t} = '' THEN NULL ELSE coalesce({tries}) END AS TIMESTAMP_NTZ)"
 
 
 # ------------------------------------------------------------------ F4 age
-def required_age(v: Column, k: Column | None = None) -> Column:
+def required_age(v: str, k: str | None = None) -> str:
     """NULL → 0; int/bool clamp 0..21; text: int, else leading digits,
     else 0; numbers with a fraction: leading digits of their text."""
     k = _k(v, k)
     s = pystrip(vget(v, "$", "string"))
-    lead = F.regexp_extract(s, r"^([0-9]+)", 1)
-    num_lead = F.when(vget(v, "$", "double") < 0, F.lit(0).cast("bigint")).otherwise(vget(v, "$", "bigint"))
-    raw = (F.when(k == "bool", vget(v, "$", "boolean").cast("bigint"))
-            .when(k == "int", vget(v, "$", "bigint"))
-            .when(k == "num", num_lead)
-            .when(k == "str", F.coalesce(int_text(s), F.when(lead != "", lead.try_cast("bigint")), F.lit(0)))
-            .otherwise(F.lit(0).cast("bigint")))
-    return F.greatest(F.lit(0), F.least(F.coalesce(raw, F.lit(21)), F.lit(21))).cast("int")
+    lead = f"regexp_extract({s}, '^([0-9]+)', 1)"
+    raw = (f"CASE WHEN {k} = 'bool' THEN CAST({vget(v, '$', 'boolean')} AS BIGINT) "
+           f"WHEN {k} = 'int' THEN {vget(v, '$', 'bigint')} "
+           f"WHEN {k} = 'num' THEN CASE WHEN {vget(v, '$', 'double')} < 0 THEN 0L ELSE {vget(v, '$', 'bigint')} END "
+           f"WHEN {k} = 'str' THEN coalesce({int_text(s)}, "
+           f"CASE WHEN {lead} <> '' THEN try_cast({lead} AS BIGINT) END, 0L) ELSE 0L END")
+    return f"CAST(greatest(0, least(coalesce({raw}, 21L), 21L)) AS INT)"
 
 
 # ------------------------------------------------------------------ F8 owners
-def owners_range(v: Column, k: Column | None = None) -> tuple[Column, Column]:
+def owners_range(v: str, k: str | None = None) -> tuple[str, str]:
     """F8: ``"20,000 .. 50,000"`` → (20000, 50000); exactly two parts, both ints, else (0, 0)."""
-    s = pystrip(text_or_empty(v, k))
-    parts = F.split(s, r"\.\.", -1)
-    lo = int_text(pystrip(F.replace(F.try_element_at(parts, F.lit(1)), F.lit(","), F.lit(""))))
-    hi = int_text(pystrip(F.replace(F.try_element_at(parts, F.lit(2)), F.lit(","), F.lit(""))))
-    ok = (F.size(parts) == 2) & lo.isNotNull() & hi.isNotNull()
-    return (F.when(ok, lo).otherwise(F.lit(0)).cast("bigint"),
-            F.when(ok, hi).otherwise(F.lit(0)).cast("bigint"))
+    parts = f"split({pystrip(text_or_empty(v, k))}, {q(r'\.\.')}, -1)"
+    lo = int_text(pystrip(f"replace(try_element_at({parts}, 1), ',', '')"))
+    hi = int_text(pystrip(f"replace(try_element_at({parts}, 2), ',', '')"))
+    ok = f"(size({parts}) = 2 AND ({lo}) IS NOT NULL AND ({hi}) IS NOT NULL)"
+    return (f"CASE WHEN {ok} THEN {lo} ELSE 0L END", f"CASE WHEN {ok} THEN {hi} ELSE 0L END")
 
 
 # ------------------------------------------------------------------ arrays of variants
-def kinded_items(arr: Column) -> Column:
-    """``array<variant>`` → ``array<struct<v, k>>`` (each item's kind computed once)."""
-    return F.transform(arr, lambda x: F.struct(x.alias("v"), kind(x).alias("k")))
+ITEM_TYPE = "array<struct<v:variant,k:string>>"
 
 
-def variant_items(v: Column, k: Column | None = None) -> Column:
-    """Items of a JSON array with their kinds; [] for anything else."""
+def variant_items(v: str, k: str | None = None) -> str:
+    """Items of a JSON array with their kinds (``array<struct<v, k>>``); [] for anything else."""
     k = _k(v, k)
-    empty = F.array().cast("array<struct<v:variant,k:string>>")
-    return F.when(k == "arr", kinded_items(vget(v, "$", "array<variant>"))).otherwise(empty)
+    x = _var()
+    return (f"CASE WHEN {k} = 'arr' THEN transform({vget(v, '$', 'array<variant>')}, "
+            f"{x} -> named_struct('v', {x}, 'k', {kind(x)})) ELSE CAST(array() AS {ITEM_TYPE}) END")
 
 
 # ------------------------------------------------------------------ F9 F10 lists
-def string_or_list(v: Column, k: Column | None = None) -> Column:
+def string_or_list(v: str, k: str | None = None) -> str:
     """a string → [it]; a list → its items as text (JSON nulls dropped);
     anything else → [].  Empty items are dropped, the rest stripped (so a
     whitespace-only item stays as '')."""
     k = _k(v, k)
-    items = F.when(k == "str", F.array(vget(v, "$", "string"))).when(
-        k == "arr", F.transform(kinded_items(vget(v, "$", "array<variant>")), lambda e: item_text(e["v"], e["k"]))
-    ).otherwise(F.array().cast("array<string>"))
-    kept = F.filter(items, lambda x: x.isNotNull() & (F.length(x) > 0))
-    return F.transform(kept, pystrip)
+    e, x, y = _var(), _var(), _var()
+    items = (f"CASE WHEN {k} = 'str' THEN array({vget(v, '$', 'string')}) "
+             f"WHEN {k} = 'arr' THEN transform({variant_items(v, k)}, {e} -> {item_text(e + '.v', e + '.k')}) "
+             f"ELSE CAST(array() AS array<string>) END")
+    return f"transform(filter({items}, {x} -> {x} IS NOT NULL AND length({x}) > 0), {y} -> {pystrip(y)})"
 
 
-def join_list(arr: Column) -> Column:
+def join_list(arr: str) -> str:
     """``', '.join(items)``."""
-    return F.array_join(arr, ", ")
+    return f"array_join({arr}, ', ')"
 
 
-def link_names(arr: Column) -> Column:
+def link_names(arr: str) -> str:
     """Names used for links: stripped, empty ones skipped."""
-    return F.filter(F.transform(arr, pystrip), lambda x: x != "")
+    x, y = _var(), _var()
+    return f"filter(transform({arr}, {x} -> {pystrip(x)}), {y} -> {y} <> '')"
 
 
-def id_name_items(v: Column, k: Column | None, name_keys: tuple[str, ...]) -> Column:
+def id_name_items(v: str, k: str | None, name_keys: tuple[str, ...]) -> str:
     """``[{id, description|name}]`` → ``array<struct<id bigint, name string>>``;
     non-objects and non-int ids dropped; name = first truthy key else ''."""
-    items = variant_items(v, k)
-
-    def fields(e):
-        x = e["v"]
-        got = [vget(x, "$.id")] + [vget(x, f"$.{n}") for n in name_keys]
-        return F.struct(e["k"].alias("k"), *[g.alias(f"f{i}") for i, g in enumerate(got)])
-
-    def with_kinds_(e):
-        n = len(name_keys) + 1
-        return F.struct(e["k"].alias("k"), *[F.struct(e[f"f{i}"].alias("v"), kind(e[f"f{i}"]).alias("k")).alias(f"f{i}")
-                                             for i in range(n)])
-
-    def item(e):
-        name = F.lit("")
-        for i in reversed(range(1, len(name_keys) + 1)):
-            f = e[f"f{i}"]
-            name = F.when(truthy(f["v"], f["k"]), item_text(f["v"], f["k"])).otherwise(name)
-        idv = e["f0"]
-        return F.struct(F.when(e["k"].isin("obj", "obj0"), variant_int(idv["v"], idv["k"])).alias("id"),
-                        name.alias("name"))
-
-    staged = F.transform(F.transform(items, fields), with_kinds_)
-    return F.filter(F.transform(staged, item), lambda s: s["id"].isNotNull())
+    e1, e2, e3, s = _var(), _var(), _var(), _var()
+    keys = ("id",) + tuple(name_keys)
+    # stage 1: pull the fields of each object item; stage 2: their kinds; stage 3: the rules
+    fields = ", ".join(f"'f{i}', CASE WHEN {e1}.k IN ('obj', 'obj0') THEN {vget(e1 + '.v', '$.' + n)} END"
+                       for i, n in enumerate(keys))
+    st1 = f"transform({variant_items(v, k)}, {e1} -> named_struct('obj', {e1}.k IN ('obj', 'obj0'), {fields}))"
+    kinds = ", ".join(f"'f{i}', {e2}.f{i}, 'k{i}', {kind(f'{e2}.f{i}')}" for i in range(len(keys)))
+    st2 = f"transform({st1}, {e2} -> named_struct('obj', {e2}.obj, {kinds}))"
+    name = "''"
+    for i in reversed(range(1, len(keys))):
+        fv, fk = f"{e3}.f{i}", f"{e3}.k{i}"
+        name = f"CASE WHEN {truthy(fv, fk)} THEN {item_text(fv, fk)} ELSE {name} END"
+    st3 = (f"transform({st2}, {e3} -> named_struct('id', CASE WHEN {e3}.obj THEN "
+           f"{variant_int(e3 + '.f0', e3 + '.k0')} END, 'name', {name}))")
+    return f"filter({st3}, {s} -> {s}.id IS NOT NULL)"
 
 
 # ------------------------------------------------------------------ F12 F14 F15 time
-def epoch_to_ts(x: Column) -> Column:
+def epoch_to_ts(x: str) -> str:
     """epoch seconds → UTC wall-clock timestamp; ≤ 0 or NULL → NULL."""
-    return F.when(x > 0, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-                  + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), x.cast("decimal(18,6)")))
+    return (f"CASE WHEN {x} > 0 THEN TIMESTAMP_NTZ '1970-01-01 00:00:00' "
+            f"+ make_dt_interval(0, 0, 0, CAST({x} AS DECIMAL(18, 6))) END")
 
 
-def iso_date(ts: Column) -> Column:
+def iso_date(ts: str) -> str:
     """F14 date part: ``YYYY-MM-DD``."""
-    return F.date_format(ts, "yyyy-MM-dd")
+    return f"date_format({ts}, 'yyyy-MM-dd')"
 
 
-def iso_datetime(ts: Column) -> Column:
+def iso_datetime(ts: str) -> str:
     """F14 ``isoformat()``: ``YYYY-MM-DDTHH:MM:SS`` plus ``.ffffff`` when non-zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    frac = F.date_format(ts, "SSSSSS")
-    return F.when(ts.isNull(), F.lit(None)).when(frac == "000000", whole).otherwise(F.concat(whole, F.lit("."), frac))
+    whole = f"date_format({ts}, {q("yyyy-MM-dd'T'HH:mm:ss")})"
+    frac = f"date_format({ts}, 'SSSSSS')"
+    return f"CASE WHEN {ts} IS NULL THEN NULL WHEN {frac} = '000000' THEN {whole} ELSE concat({whole}, '.', {frac}) END"
 
 
-def truncate_millis(ts: Column) -> Column:
+def truncate_millis(ts: str) -> str:
     """cut to milliseconds (time-zone independent)."""
-    return F.to_timestamp_ntz(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"))
+    return f"to_timestamp_ntz(date_format({ts}, 'yyyy-MM-dd HH:mm:ss.SSS'))"

@@ -304,9 +304,8 @@ def maintain_dimension(dim: DataFrame, links: DataFrame, items: DataFrame, id_co
     """``items`` = (gameId, id, name, seq).  The dimension name is always
     refreshed (last write wins); an empty name is written as the id's text."""
     from ..functions.clean import pystrip
-    named = items.select(
-        F.col("gameId"), F.col("id"), F.col(seq),
-        F.coalesce(F.nullif(pystrip(F.col("name")), F.lit("")), F.col("id").cast("string")).alias("name"))
+    named = items.selectExpr("gameId", "id", f"`{seq}`",
+                             f"coalesce(nullif({pystrip('name')}, ''), CAST(id AS STRING)) AS name")
     latest = last_per_key(named.select("id", "name", seq), ("id",), seq)
     dim_res = upsert(dim, latest, ModelSpec("dim", key=(id_col,)))
     pairs = named.select(F.col("gameId"), F.col("id").alias(link_id_col))

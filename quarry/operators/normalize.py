@@ -3,19 +3,22 @@ the child-page run rules (N3–N5) and the paged id list (S8).
 
 Each job takes a DataFrame of payloads (``payload`` is VARIANT, NULL when the
 body did not decode) and returns DataFrames; nothing is parsed row by row in
-Python.  Jobs run in stages: variant sub-values are materialised as columns
-together with their kind (``clean.with_kinds``), then the field rules of
-``quarry.functions.clean`` read those attributes.  Catalyst does not re-inline
-the expensive ``schema_of_variant`` across the projections, so each value is
-inspected once and the generated code stays small.
+Python.  Jobs run in stages, one ``selectExpr`` each: variant sub-values are
+materialised as columns together with their kind (``clean.with_kinds``), then
+the field rules of ``quarry.functions.clean`` (SQL expressions) read those
+attributes.  Catalyst does not re-inline the expensive ``schema_of_variant``
+across the projections, so each value is inspected once; filters on parsed
+flags sit behind a fence (``fenced_where``) so they are not pushed down and
+re-expanded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..functions.clean import ident
 
 MAX_CHILDREN = 100  # children kept per parent (fixed value of the source API paging)
 
@@ -31,6 +34,18 @@ REVIEW_FIELDS = ("id", "gameId", "authorSteamId", "authorPlaytimeForever", "auth
                  "weightedVoteScore", "writtenDuringEarlyAccess", "timestampCreated", "timestampUpdated")
 
 
+def fenced_where(df: DataFrame, cond: str) -> DataFrame:
+    """``df.where(cond)`` that Catalyst will not push below ``df``.
+
+    A filter on parsed flags would otherwise be pushed through every staging
+    projection, each alias replaced by its definition, so the condition grows
+    with every reference down to the raw body (and is computed twice).  A
+    projection holding a non-deterministic column (``spark_partition_id()``,
+    free to compute) that the filter reads is a fence Catalyst respects."""
+    fenced = df.selectExpr("*", "spark_partition_id() AS __fence")
+    return fenced.where(f"({cond}) AND __fence >= 0").drop("__fence")
+
+
 # ------------------------------------------------------------------ P1 / P2 store
 def store_records(payloads: DataFrame, id_col: str = "id", payload_col: str = "payload") -> DataFrame:
     """P1 + P2: ``{"<id>": {success, data}}`` payloads → one row per kept id:
@@ -42,54 +57,59 @@ def store_records(payloads: DataFrame, id_col: str = "id", payload_col: str = "p
     object with a truthy ``success``, and ``data`` is an object or falsy
     (falsy data gives every field its default)."""
     extra = [c for c in payloads.columns if c not in (id_col, payload_col, "body")]
-    base = payloads.select(F.col(id_col).alias("__id"), *extra, F.col(payload_col).alias("__p"))
+    ex = [ident(c) for c in extra]
     # the entry under the id's own key (the key is data, so read the object as a map);
     # a payload that is not an object has no map, hence no entry
-    s1 = base.select("__id", *extra, F.element_at(F.try_variant_get("__p", "$", "map<string,variant>"),
-                                                  F.col("__id").cast("string")).alias("__entry"))
-    s2 = C.with_kinds(s1, {"__e": F.col("__entry"), "__data": C.vget(F.col("__entry"), "$.data"),
-                           "__success": C.vget(F.col("__entry"), "$.success")}, keep=["__id", *extra])
+    s1 = payloads.selectExpr(f"{ident(id_col)} AS __id", *ex,
+                             f"try_element_at(try_variant_get({ident(payload_col)}, '$', 'map<string,variant>'), "
+                             f"CAST({ident(id_col)} AS STRING)) AS __entry")
+    s2 = C.with_kinds(s1, {"__e": "__entry", "__data": C.vget("__entry", "$.data"),
+                           "__success": C.vget("__entry", "$.success")}, keep=["__id", *extra])
     d, dk = C.vk("__data")
-    kept = C.is_object(*C.vk("__e")) & C.truthy(*C.vk("__success")) & (~C.truthy(d, dk) | C.is_object(d, dk))
-    s3 = C.fenced_where(s2, kept).select("__id", *extra, F.when(C.is_object(d, dk), d).alias("__d"))
+    kept = f"{C.is_object(*C.vk('__e'))} AND {C.truthy(*C.vk('__success'))} AND (NOT {C.truthy(d, dk)} OR {C.is_object(d, dk)})"
+    s3 = fenced_where(s2, kept).selectExpr("__id", *ex, f"CASE WHEN {C.is_object(d, dk)} THEN {d} END AS __d")
     paths = {n: f"$.{n}" for n in ("name", "required_age", "is_free", "detailed_description", "about_the_game",
                                    "short_description", "supported_languages", "header_image", "developers",
                                    "publishers", "categories", "genres")}
     paths.update({"windows": "$.platforms.windows", "mac": "$.platforms.mac", "linux": "$.platforms.linux",
                   "metacritic": "$.metacritic.score", "rd": "$.release_date",
                   "rd_date": "$.release_date.date", "rd_soon": "$.release_date.coming_soon"})
-    s4 = C.with_kinds(s3, {f"__f_{n}": C.vget(F.col("__d"), p) for n, p in paths.items()}, keep=["__id", *extra])
+    s4 = C.with_kinds(s3, {f"__f_{n}": C.vget("__d", p) for n, p in paths.items()}, keep=["__id", *extra])
 
     def f(n):
         return C.vk(f"__f_{n}")
 
-    s5 = s4.select("*", C.string_or_list(*f("developers")).alias("__devs"),
-                   C.string_or_list(*f("publishers")).alias("__pubs"))
+    texts = ("name", "detailed_description", "about_the_game", "short_description", "supported_languages")
+    s5 = s4.selectExpr(
+        "*", f"{C.string_or_list(*f('developers'))} AS __devs", f"{C.string_or_list(*f('publishers'))} AS __pubs",
+        *[f"{C.text_or_empty(*f(n))} AS __t_{n}" for n in texts])
     rd_obj = C.is_object(*f("rd"))
-    cols = [
-        F.col("__id").alias("id"),
-        C.strip_html(C.text_or_empty(*f("name"))).alias("name"),
-        C.required_age(*f("required_age")).alias("required_age"),
-        C.truthy(*f("is_free")).alias("is_free"),
-        C.strip_html(C.text_or_empty(*f("detailed_description"))).alias("detailed_description"),
-        C.strip_html(C.text_or_empty(*f("about_the_game"))).alias("about_the_game"),
-        C.strip_html(C.text_or_empty(*f("short_description"))).alias("short_description"),
-        C.list_separators(C.strip_html(C.text_or_empty(*f("supported_languages")))).alias("supported_languages"),
-        C.text_or_empty(*f("header_image")).alias("header_image"),
-        C.join_list(F.col("__devs")).alias("developers"),
-        C.join_list(F.col("__pubs")).alias("publishers"),
-        C.truthy(*f("windows")).alias("windows"),
-        C.truthy(*f("mac")).alias("mac"),
-        C.truthy(*f("linux")).alias("linux"),
-        C.to_int32(C.variant_int(*f("metacritic"))).alias("metacritic"),
-        F.when(rd_obj, C.parse_release_date(C.text_or_empty(*f("rd_date")))).alias("release_date"),
-        (rd_obj & C.truthy(*f("rd_soon"))).alias("coming_soon"),
-        C.link_names(F.col("__devs")).alias("developer_names"),
-        C.link_names(F.col("__pubs")).alias("publisher_names"),
-        C.id_name_items(*f("categories"), ("description",)).alias("categories"),
-        C.id_name_items(*f("genres"), ("description", "name")).alias("genres"),
-    ]
-    return s5.select(*cols, *extra)
+    rules = s5.selectExpr(
+        "__id AS id", *[f"__t_{n}" for n in texts], *ex,
+        f"{C.required_age(*f('required_age'))} AS required_age",
+        f"{C.truthy(*f('is_free'))} AS is_free",
+        f"{C.text_or_empty(*f('header_image'))} AS header_image",
+        f"{C.join_list('__devs')} AS developers",
+        f"{C.join_list('__pubs')} AS publishers",
+        f"{C.truthy(*f('windows'))} AS windows",
+        f"{C.truthy(*f('mac'))} AS mac",
+        f"{C.truthy(*f('linux'))} AS linux",
+        f"{C.to_int32(C.variant_int(*f('metacritic')))} AS metacritic",
+        f"CASE WHEN {rd_obj} THEN {C.parse_release_date(C.text_or_empty(*f('rd_date')))} END AS release_date",
+        f"({rd_obj} AND {C.truthy(*f('rd_soon'))}) AS coming_soon",
+        f"{C.link_names('__devs')} AS developer_names",
+        f"{C.link_names('__pubs')} AS publisher_names",
+        f"{C.id_name_items(*f('categories'), ('description',))} AS categories",
+        f"{C.id_name_items(*f('genres'), ('description', 'name'))} AS genres")
+    # F1 (HTML) needs the entity table: the only Column-built step
+    html = {n: C.strip_html(F.col(f"__t_{n}")) for n in texts}
+    html["supported_languages"] = C.col(C.list_separators("__sl")).alias("supported_languages")
+    out = rules.select("*", C.strip_html(F.col("__t_supported_languages")).alias("__sl"))
+    cols = [F.col("id")]
+    for n in GAME_FIELDS:
+        cols.append(html[n].alias(n) if n in html else F.col(n))
+    cols += [F.col(c) for c in ("developer_names", "publisher_names", "categories", "genres", *extra)]
+    return out.select(*cols)
 
 
 def name_links(store: DataFrame, list_col: str, name_out: str, seq: str | None = None) -> DataFrame:
@@ -110,16 +130,13 @@ def item_links(store: DataFrame, list_col: str, seq: str | None = None) -> DataF
 def stats_records(payloads: DataFrame, id_col: str = "id", payload_col: str = "payload") -> DataFrame:
     """Owners range and five counts (each ``int(x or 0)``); non-object payload → missing."""
     names = ("owners", "average_forever", "average_2weeks", "median_forever", "median_2weeks", "ccu")
-    p = F.col(payload_col)
-    s1 = C.with_kinds(payloads.select(F.col(id_col).alias("id"), p.alias("__p")), {"__pk": F.col("__p")},
-                      keep=["id", "__p"])
-    s1 = C.fenced_where(s1, C.is_object(*C.vk("__pk")))
-    staged = C.with_kinds(s1, {f"__{n}": C.vget(F.col("__p"), f"$.{n}") for n in names}, keep=["id"])
+    s1 = C.with_kinds(payloads.selectExpr(f"{ident(id_col)} AS id", f"{ident(payload_col)} AS __p"),
+                      {"__pk": "__p"}, keep=["id", "__p"])
+    s1 = fenced_where(s1, C.is_object(*C.vk("__pk")))
+    staged = C.with_kinds(s1, {f"__{n}": C.vget("__p", f"$.{n}") for n in names}, keep=["id"])
     lo, hi = C.owners_range(*C.vk("__owners"))
-    cols = [F.col("id"), C.clamp_int(lo).alias("owners_min"), C.clamp_int(hi).alias("owners_max")]
-    for n in names[1:]:
-        cols.append(C.clamp_int(C.variant_int(*C.vk(f"__{n}"), default=0)).alias(n))
-    return staged.select(*cols)
+    return staged.selectExpr("id", f"{C.clamp_int(lo)} AS owners_min", f"{C.clamp_int(hi)} AS owners_max",
+                             *[f"{C.clamp_int(C.variant_int(*C.vk(f'__{n}'), default=0))} AS {n}" for n in names[1:]])
 
 
 # ------------------------------------------------------------------ P5 child rows
@@ -127,17 +144,17 @@ def review_rows(items: DataFrame, game_col: str = "id", item_col: str = "item")
     """P5: one review item (VARIANT) per row → the 15 review columns;
     non-objects and items without ``recommendationid`` are dropped."""
     extra = [c for c in items.columns if c not in (game_col, item_col)]
+    ex = [ident(c) for c in extra]
     top = ("recommendationid", "author", "language", "review", "voted_up", "votes_up", "votes_funny",
            "weighted_vote_score", "written_during_early_access", "timestamp_created", "timestamp_updated")
-    s0 = C.with_kinds(items.select(F.col(game_col).alias("__game"), *extra, F.col(item_col).alias("__r")),
-                      {"__rk": F.col("__r")}, keep=["__game", *extra, "__r"])
-    s0 = C.fenced_where(s0, C.is_object(*C.vk("__rk")))
-    s1 = C.with_kinds(s0, {f"__r_{k}": C.vget(F.col("__r"), f"$.{k}") for k in top}, keep=["__game", *extra])
-    s1 = C.fenced_where(s1.select("*", _rec_text(*C.vk("__r_recommendationid")).alias("__rid")),
-                        F.col("__rid") != "")
+    s0 = C.with_kinds(items.selectExpr(f"{ident(game_col)} AS __game", *ex, f"{ident(item_col)} AS __r"),
+                      {"__rk": "__r"}, keep=["__game", *extra, "__r"])
+    s0 = fenced_where(s0, C.is_object(*C.vk("__rk")))
+    s1 = C.with_kinds(s0, {f"__r_{k}": C.vget("__r", f"$.{k}") for k in top}, keep=["__game", *extra])
+    s1 = fenced_where(s1.selectExpr("*", f"{_rec_text(*C.vk('__r_recommendationid'))} AS __rid"), "__rid <> ''")
     a, ak = C.vk("__r_author")
     auth = ("steamid", "playtime_forever", "playtime_at_review", "last_played")
-    s2 = C.with_kinds(s1, {f"__a_{k}": F.when(C.is_object(a, ak), C.vget(a, f"$.{k}")) for k in auth})
+    s2 = C.with_kinds(s1, {f"__a_{k}": f"CASE WHEN {C.is_object(a, ak)} THEN {C.vget(a, '$.' + k)} END" for k in auth})
 
     def rv(k):
         return C.vk(f"__r_{k}")
@@ -145,34 +162,32 @@ def review_rows(items: DataFrame, game_col: str = "id", item_col: str = "item")
     def av(k):
         return C.vk(f"__a_{k}")
 
-    cols = [
-        F.col("__rid").alias("id"),
-        F.col("__game").cast("int").alias("gameId"),
-        F.when(C.truthy(*av("steamid")), C.item_text(*av("steamid"))).otherwise(F.lit("")).alias("authorSteamId"),
-        C.clamp_int(C.variant_int(*av("playtime_forever"), default=0)).alias("authorPlaytimeForever"),
-        C.clamp_int(C.variant_int(*av("playtime_at_review"), default=0)).alias("authorPlaytimeAtReview"),
-        C.epoch_to_ts(C.variant_int(*av("last_played"), default=0)).alias("authorLastPlayed"),
-        C.text_or_empty(*rv("language")).alias("language"),
-        C.text_or_empty(*rv("review")).alias("review"),
-        C.truthy(*rv("voted_up")).alias("votedUp"),
-        C.clamp_int(C.variant_int(*rv("votes_up"), default=0)).alias("votesUp"),
-        C.clamp_int(C.variant_int(*rv("votes_funny"), default=0)).alias("votesFunny"),
-        C.variant_float(*rv("weighted_vote_score"), default=0.0).alias("weightedVoteScore"),
-        C.truthy(*rv("written_during_early_access")).alias("writtenDuringEarlyAccess"),
-        C.epoch_to_ts(C.variant_int(*rv("timestamp_created"), default=0)).alias("timestampCreated"),
-        C.epoch_to_ts(C.variant_int(*rv("timestamp_updated"), default=0)).alias("timestampUpdated"),
-    ]
-    return s2.select(*cols, *extra)
-
-
-def _rec_text(v: Column, k: Column) -> Column:
-    return F.when(C.truthy(v, k), C.item_text(v, k)).otherwise(F.lit(""))
-
-
-def _valid_item(e: Column) -> Column:
+    return s2.selectExpr(
+        "__rid AS id", "CAST(__game AS INT) AS gameId",
+        f"CASE WHEN {C.truthy(*av('steamid'))} THEN {C.item_text(*av('steamid'))} ELSE '' END AS authorSteamId",
+        f"{C.clamp_int(C.variant_int(*av('playtime_forever'), default=0))} AS authorPlaytimeForever",
+        f"{C.clamp_int(C.variant_int(*av('playtime_at_review'), default=0))} AS authorPlaytimeAtReview",
+        f"{C.epoch_to_ts(C.variant_int(*av('last_played'), default=0))} AS authorLastPlayed",
+        f"{C.text_or_empty(*rv('language'))} AS language",
+        f"{C.text_or_empty(*rv('review'))} AS review",
+        f"{C.truthy(*rv('voted_up'))} AS votedUp",
+        f"{C.clamp_int(C.variant_int(*rv('votes_up'), default=0))} AS votesUp",
+        f"{C.clamp_int(C.variant_int(*rv('votes_funny'), default=0))} AS votesFunny",
+        f"{C.variant_float(*rv('weighted_vote_score'), default=0.0)} AS weightedVoteScore",
+        f"{C.truthy(*rv('written_during_early_access'))} AS writtenDuringEarlyAccess",
+        f"{C.epoch_to_ts(C.variant_int(*rv('timestamp_created'), default=0))} AS timestampCreated",
+        f"{C.epoch_to_ts(C.variant_int(*rv('timestamp_updated'), default=0))} AS timestampUpdated",
+        *ex)
+
+
+def _rec_text(v: str, k: str) -> str:
+    return f"CASE WHEN {C.truthy(v, k)} THEN {C.item_text(v, k)} ELSE '' END"
+
+
+def _valid_item(e: str) -> str:
     """A review item (struct of v, k) that is an object with a non-empty id."""
-    rid = C.vget(e["v"], "$.recommendationid")
-    return e["k"].isin("obj", "obj0") & (_rec_text(rid, C.kind(rid)) != "")
+    rid = C.vget(f"{e}.v", "$.recommendationid")
+    return f"({e}.k IN ('obj', 'obj0') AND {_rec_text(rid, C.kind(rid))} <> '')"
 
 
 # ------------------------------------------------------------------ P4 + N3 N4 N5 page runs
@@ -193,40 +208,36 @@ def page_run(pages: DataFrame, id_col: str = "id", page_col: str = "page_no", pa
     map task before the shuffle, so a parent with a huge landed history stays
     bounded.
     """
-    p = F.col(payload_col)
-    s0 = C.with_kinds(pages.select(F.col(id_col).alias("id"), F.col(page_col).alias("page_no"),
-                                   p.alias("payload")),
-                      {"__pk": F.col("payload")}, keep=["id", "page_no", "payload"])
-    s1 = C.with_kinds(s0, {"__success": C.vget(F.col("payload"), "$.success"),
-                           "__reviews": C.vget(F.col("payload"), "$.reviews"),
-                           "__cursor": C.vget(F.col("payload"), "$.cursor"),
-                           "__qs": C.vget(F.col("payload"), "$.query_summary")},
+    s0 = C.with_kinds(pages.selectExpr(f"{ident(id_col)} AS id", f"{ident(page_col)} AS page_no",
+                                       f"{ident(payload_col)} AS payload"),
+                      {"__pk": "payload"}, keep=["id", "page_no", "payload"])
+    s1 = C.with_kinds(s0, {"__success": C.vget("payload", "$.success"), "__reviews": C.vget("payload", "$.reviews"),
+                           "__cursor": C.vget("payload", "$.cursor"), "__qs": C.vget("payload", "$.query_summary")},
                       keep=["id", "page_no", "payload", "__pk", "__pk__k"])
-    usable = C.is_object(*C.vk("__pk")) & C.truthy(*C.vk("__success"))
-    s2 = s1.select("id", "page_no", F.col("payload").isNull().alias("failed"),
-                   F.when(usable & C.is_array(*C.vk("__reviews")),
-                          C.variant_items(*C.vk("__reviews"))).alias("items"),
-                   F.when(C.is_string(*C.vk("__cursor")),
-                          C.vget(F.col("__cursor"), "$", "string")).alias("next_cursor"),
-                   F.when(usable & C.is_object(*C.vk("__qs")), F.col("__qs")).alias("__sq"))
+    usable = f"({C.is_object(*C.vk('__pk'))} AND {C.truthy(*C.vk('__success'))})"
+    s2 = s1.selectExpr(
+        "id", "page_no", "payload IS NULL AS failed",
+        f"CASE WHEN {usable} AND {C.is_array(*C.vk('__reviews'))} THEN {C.variant_items(*C.vk('__reviews'))} END AS items",
+        f"CASE WHEN {C.is_string(*C.vk('__cursor'))} THEN {C.vget('__cursor', '$', 'string')} END AS next_cursor",
+        f"CASE WHEN {usable} AND {C.is_object(*C.vk('__qs'))} THEN __qs END AS __sq")
     qs_fields = ("num_reviews", "review_score", "review_score_desc", "total_positive", "total_negative",
                  "total_reviews")
-    s3 = C.with_kinds(s2, {f"__q_{n}": C.vget(F.col("__sq"), f"$.{n}") for n in qs_fields},
+    s3 = C.with_kinds(s2, {f"__q_{n}": C.vget("__sq", f"$.{n}") for n in qs_fields},
                       keep=["id", "page_no", "failed", "items", "next_cursor", "__sq"])
 
     def iv(n):
         return C.to_int32(C.variant_int(*C.vk(f"__q_{n}")))
 
-    summary = F.when(F.col("__sq").isNotNull(), F.struct(
-        iv("num_reviews").alias("reviewNumReviews"), iv("review_score").alias("reviewScore"),
-        C.text_or_null(*C.vk("__q_review_score_desc")).alias("reviewScoreDesc"),
-        iv("total_positive").alias("reviewTotalPositive"), iv("total_negative").alias("reviewTotalNegative"),
-        iv("total_reviews").alias("reviewTotalReviews")))
-    base = s3.select("id", "page_no", "failed", "next_cursor", summary.alias("summary"),
-                     F.filter("items", _valid_item).alias("items"))
-    base = base.select("*", F.coalesce(F.size("items"), F.lit(0)).alias("n_valid"))
+    summary = (f"CASE WHEN __sq IS NOT NULL THEN named_struct("
+               f"'reviewNumReviews', {iv('num_reviews')}, 'reviewScore', {iv('review_score')}, "
+               f"'reviewScoreDesc', {C.text_or_null(*C.vk('__q_review_score_desc'))}, "
+               f"'reviewTotalPositive', {iv('total_positive')}, 'reviewTotalNegative', {iv('total_negative')}, "
+               f"'reviewTotalReviews', {iv('total_reviews')}) END")
+    e = "e_item"
+    base = s3.selectExpr("id", "page_no", "failed", "next_cursor", f"{summary} AS summary",
+                         f"filter(items, {e} -> {_valid_item(e)}) AS items")
     # several consumers read `base`; the fence keeps each from inlining the parse chain
-    base = base.select("*", F.spark_partition_id().alias("__fence"))
+    base = base.selectExpr("*", "coalesce(size(items), 0) AS n_valid", "spark_partition_id() AS __fence")
 
     first_use = F.min("page_no").over(Window.partitionBy("id", "next_cursor"))
     flagged = base.select("id", "page_no", (
@@ -267,20 +278,18 @@ def id_list_pages(pages: DataFrame, page_col: str = "page_no", payload_col: str
     truthy but not a list is an error in the source: ``bad_id_pages`` lists
     them, and here such a page ends the run like an empty one.
     """
-    s0 = C.with_kinds(pages.select(F.col(page_col).alias("page_no"), F.col(payload_col).alias("__p")),
-                      {"__apps": C.vget(F.col("__p"), "$.apps")}, keep=["page_no"])
-    items = F.when(C.is_array(*C.vk("__apps")), C.variant_items(*C.vk("__apps")))
-    s1 = s0.select("page_no", items.alias("items"))
-    s2 = s1.select("page_no", F.transform("items", lambda e: F.struct(
-        e["k"].isin("obj", "obj0").alias("is_obj"),
-        F.when(e["k"].isin("obj", "obj0"), C.vget(e["v"], "$.appid")).alias("appid"))).alias("apps"))
+    s0 = C.with_kinds(pages.selectExpr(f"{ident(page_col)} AS page_no", f"{ident(payload_col)} AS __p"),
+                      {"__apps": C.vget("__p", "$.apps")}, keep=["page_no"])
+    a, b = "e_app", "e_ok"
     # isinstance(x, int): JSON integers, and booleans (a bool is an int there)
-    s3 = s2.select("page_no", F.transform("apps", lambda a: F.struct(
-        (a["is_obj"] & C.kind(a["appid"]).isin("int", "bool")).alias("ok"),
-        C.vget(a["appid"], "$", "bigint").alias("appid"))).alias("apps"))
-    n = F.coalesce(F.size("apps"), F.lit(0))
-    last_ok = F.coalesce(F.try_element_at("apps", F.lit(-1))["ok"], F.lit(False))
-    flagged = s3.select("page_no", "apps", (n == 0).alias("empty"), ((n > 0) & ~last_ok).alias("tail_bad"))
+    s1 = s0.selectExpr(
+        "page_no",
+        f"transform(CASE WHEN {C.is_array(*C.vk('__apps'))} THEN {C.variant_items(*C.vk('__apps'))} END, "
+        f"{a} -> CASE WHEN {a}.k IN ('obj', 'obj0') THEN {C.vget(a + '.v', '$.appid')} END) AS ids")
+    s2 = s1.selectExpr("page_no", f"transform(ids, {b} -> named_struct('ok', coalesce({C.kind(b)} IN ('int', 'bool'), false), "
+                                  f"'appid', {C.vget(b, '$', 'bigint')})) AS apps")
+    flagged = s2.selectExpr("page_no", "apps", "coalesce(size(apps), 0) = 0 AS empty",
+                            "coalesce(size(apps), 0) > 0 AND NOT coalesce(try_element_at(apps, -1).ok, false) AS tail_bad")
     # the two stop pages are scalar subqueries: computed once, used as literals
     empty_page = flagged.where("empty").select(F.min("page_no")).scalar()
     bad_page = flagged.where("tail_bad").select(F.min("page_no")).scalar()
@@ -292,6 +301,6 @@ def id_list_pages(pages: DataFrame, page_col: str = "page_no", payload_col: str
 
 def bad_id_pages(pages: DataFrame, page_col: str = "page_no", payload_col: str = "payload") -> DataFrame:
     """Pages whose ``apps`` is truthy but not a list (an error in the source)."""
-    s = C.with_kinds(pages.select(F.col(page_col).alias("page_no"), F.col(payload_col).alias("__p")),
-                     {"__apps": C.vget(F.col("__p"), "$.apps")}, keep=["page_no"])
-    return s.where(C.truthy(*C.vk("__apps")) & ~C.is_array(*C.vk("__apps"))).select("page_no")
+    s = C.with_kinds(pages.selectExpr(f"{ident(page_col)} AS page_no", f"{ident(payload_col)} AS __p"),
+                     {"__apps": C.vget("__p", "$.apps")}, keep=["page_no"])
+    return s.where(f"{C.truthy(*C.vk('__apps'))} AND NOT {C.is_array(*C.vk('__apps'))}").select("page_no")

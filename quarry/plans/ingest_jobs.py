@@ -97,7 +97,7 @@ def select_ids(id_texts: DataFrame, offset: int = 0, limit: int | None = None,
                processed: list[DataFrame] | None = None) -> DataFrame:
     """S1 + L10 + J8: text ids → ints (bad ones dropped) → offset → resume
     difference → limit, keeping file order (``seq``) and duplicates."""
-    ids = id_texts.select("seq", C.int_text(F.col("appid"), "int").alias("appid")).where("appid IS NOT NULL")
+    ids = id_texts.selectExpr("seq", f"{C.int_text('appid', 'int')} AS appid").where("appid IS NOT NULL")
     if offset:
         ids = offset_limit(ids, offset=offset)
     if processed:

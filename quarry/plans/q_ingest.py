@@ -140,7 +140,8 @@ FROM pages
 def f1_f2_strip_html(spark, sf):
     df = cat_of(spark, sf).df("pages")
     return df.select("page_id", C.strip_html(F.col("html")).alias("text"),
-                     C.list_separators(F.regexp_replace("url", "[/?=&]", ", ")).alias("url_list"))
+                     F.regexp_replace("url", "[/?=&]", ", ").alias("u")).selectExpr(
+        "page_id", "text", f"{C.list_separators('u')} AS url_list")
 
 
 @query("f3_release_dates_orders", """
@@ -160,7 +161,8 @@ def f3_release_dates(spark, sf):
             .when(k % 6 == 3, F.date_format(d, "yyyy"))
             .when(k % 6 == 4, F.date_format(d, "MMMM d, yyyy"))
             .otherwise(F.lit("Q3 2025")))
-    return o.select("o_orderkey", C.parse_release_date(txt).alias("release_date"))
+    return o.select("o_orderkey", txt.alias("t")).selectExpr(
+        "o_orderkey", f"{C.parse_release_date('t')} AS release_date")
 
 
 @query("f4_required_age_part", """
@@ -178,7 +180,8 @@ def f4_required_age(spark, sf):
           .when(k % 6 == 0, s).when(k % 6 == 1, F.concat(F.lit('"'), s, F.lit('+"')))
           .when(k % 6 == 2, F.lit('""')).when(k % 6 == 3, F.concat(F.lit('"'), s, F.lit('.7"')))
           .when(k % 6 == 4, F.lit('"abc"')).otherwise(F.concat(F.lit('" -'), s, F.lit('"'))))
-    return p.select("p_partkey", C.required_age(F.parse_json(j)).alias("required_age"))
+    return p.select("p_partkey", F.parse_json(j).alias("v")).selectExpr(
+        "p_partkey", f"{C.required_age('v')} AS required_age")
 
 
 @query("f5_f6_f7_f13_numbers_lineitem", """
@@ -200,12 +203,13 @@ def f5_f6_f7_f13(spark, sf):
         .otherwise(F.lit('"x"'))
     truth_json = (F.when(n % 4 == 0, F.lit("[]")).when(n % 4 == 1, F.col("l_tax").cast("string"))
                    .when(n % 4 == 2, F.lit('"false"')).otherwise(F.lit('{"a":0}')))
-    return li.select(
+    staged = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                       F.parse_json(int_json).alias("vi"), F.parse_json(float_json).alias("vf"),
+                       F.parse_json(truth_json).alias("vt"))
+    return staged.selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        C.variant_int(F.parse_json(int_json), default=0).alias("as_int"),
-        C.variant_float(F.parse_json(float_json), default=0.0).alias("as_float"),
-        C.truthy(F.parse_json(truth_json)).alias("truthy"),
-        C.clamp_int(F.col("l_orderkey") * 1000000).alias("clamped"))
+        f"{C.variant_int('vi', default=0)} AS as_int", f"{C.variant_float('vf', default=0.0)} AS as_float",
+        f"{C.truthy('vt')} AS truthy", f"{C.clamp_int('l_orderkey * 1000000')} AS clamped")
 
 
 @query("f12_f14_f15_times_events", """
@@ -224,9 +228,10 @@ def f12_f14_f15(spark, sf):
     secs = (F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
             + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
     small = F.when(F.col("event_id") % 5 == 0, -F.col("event_id")).otherwise(F.col("event_id"))
-    return ev.select("event_id", C.epoch_to_ts(secs).alias("from_epoch"), C.iso_date(ts).alias("iso_date"),
-                     C.iso_datetime(ts).alias("iso"), C.truncate_millis(ts).alias("ts_ms"),
-                     C.epoch_to_ts(small).alias("small_epoch"))
+    staged = ev.select("event_id", "ts", secs.alias("secs"), small.alias("small"))
+    return staged.selectExpr("event_id", f"{C.epoch_to_ts('secs')} AS from_epoch", f"{C.iso_date('ts')} AS iso_date",
+                             f"{C.iso_datetime('ts')} AS iso", f"{C.truncate_millis('ts')} AS ts_ms",
+                             f"{C.epoch_to_ts('small')} AS small_epoch")
 
 
 # =============================================================== S1 S7 S8
@@ -250,8 +255,7 @@ def s7_landing(spark, sf):
     ev = cat_of(spark, sf).df("events")
     body = F.when(F.col("event_id") % 9 == 0, F.substring("props", 2, 1000)).otherwise(F.col("props"))
     df = landing_payloads(ev.select("event_id", body.alias("body")))
-    return df.select("event_id", C.vget(F.col("payload"), "$.k", "int").alias("k"),
-                     F.col("payload").isNull().alias("missing"))
+    return df.selectExpr("event_id", f"{C.vget('payload', '$.k', 'int')} AS k", "payload IS NULL AS missing")
 
 
 @query("s8_e2_g9_k3_id_list_export", """

@@ -10,6 +10,7 @@ the path it reads.
 
 from __future__ import annotations
 
+import time
 import uuid
 from typing import Iterable
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clean import iso_date, iso_datetime
+from ..functions.clean import ident, iso_date, iso_datetime
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": ""}
 
@@ -31,9 +32,9 @@ def _python_text(df: DataFrame, date_cols: Iterable[str] = (), datetime_cols: It
     for f in df.schema.fields:
         c = F.col(f.name)
         if f.name in date_cols:
-            c = iso_date(c)
+            c = F.expr(iso_date(ident(f.name)))
         elif f.name in datetime_cols:
-            c = iso_datetime(c)
+            c = F.expr(iso_datetime(ident(f.name)))
         elif isinstance(f.dataType, T.BooleanType):
             c = F.when(c, F.lit("True")).when(~c, F.lit("False"))
         cols.append(c.alias(f.name))
@@ -97,7 +98,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> dic
     current = current_versions(spark, root)
     versions = {name: write_version(df, root, name) for name, df in tables.items()}
     current.update(versions)
-    seq = uuid.uuid1().int >> 64  # increases with time: the newest manifest wins
+    seq = time.time_ns()  # increases with time: the newest manifest wins
     rows = [(name, v) for name, v in sorted(current.items())]
     (spark.createDataFrame(rows, "table string, version string")
      .write.mode("errorifexists").json(f"{_manifests(root)}/m={seq:020d}"))
