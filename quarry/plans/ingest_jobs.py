@@ -50,6 +50,7 @@ from pyspark.sql import Column  # noqa: E402
 
 from ..catalog import Catalog  # noqa: E402
 from ..functions import clean as C  # noqa: E402
+from ..functions.clean import ident, q  # noqa: E402
 from ..model import CATALOGUE_MODELS  # noqa: E402
 from ..operators import mutate as M  # noqa: E402
 from ..operators import normalize as N  # noqa: E402
@@ -113,11 +114,12 @@ def _only(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def merge_sources(ids: DataFrame, store: DataFrame | None, stats: DataFrame | None,
-                  summaries: DataFrame | None, run_ts: Column | str | None = None) -> DataFrame:
+                  summaries: DataFrame | None, run_ts: str | None = None) -> DataFrame:
     """Base record ← store (its NULLs copied too) ← stats (seven
-    fields) ← review summary; ``*_status`` = ok / missing per source."""
-    run_ts = F.lit(run_ts) if isinstance(run_ts, str) else (
-        run_ts if run_ts is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    fields) ← review summary; ``*_status`` = ok / missing per source.
+
+    Three left joins on the id; all sides hash-partition on it (Catalyst
+    broadcasts a side it measures as small)."""
     df = ids
     sources = []
     for name, src, fields in (("store", store, N.GAME_FIELDS), ("steamspy", stats, N.STATS_FIELDS),
@@ -125,23 +127,26 @@ def merge_sources(ids: DataFrame, store: DataFrame | None, stats: DataFrame | No
         if src is None:
             continue
         flag = f"__{name}"
-        right = src.select(F.col("id").alias(f"{flag}_id"), *[F.col(f).alias(f"{flag}_{f}") for f in fields],
-                           F.lit(True).alias(flag))
+        right = src.selectExpr(f"id AS {flag}_id", *[f"{ident(f)} AS {ident(flag + '_' + f)}" for f in fields],
+                               f"true AS {flag}")
         df = df.join(right, df["appid"] == right[f"{flag}_id"], "left")
         sources.append((name, flag, fields))
-    cols = [F.col("seq"), F.col("appid").cast("int").alias("id")]
+    cols = ["seq", "CAST(appid AS INT) AS id"]
     for f in ENTITY_CSV_COLUMNS[1:30]:
-        v = F.lit(BASE_RECORD[f])
+        default = BASE_RECORD[f]
+        v = "NULL" if default is None else (("true" if default else "false") if isinstance(default, bool)
+                                             else (q(default) if isinstance(default, str) else str(default)))
         for name, flag, fields in sources:
             if f in fields:
-                v = F.when(F.col(flag).isNotNull(), F.col(f"{flag}_{f}")).otherwise(v)
-        cols.append(v.cast(ENTITY_TYPES[f]).alias(f))
+                v = f"CASE WHEN {flag} IS NOT NULL THEN {ident(flag + '_' + f)} ELSE {v} END"
+        cols.append(f"CAST({v} AS {ENTITY_TYPES[f]}) AS {ident(f)}")
+    present = {name for name, _, _ in sources}
     for name in ("store", "steamspy", "reviews"):
-        flag = f"__{name}"
-        present = F.col(flag).isNotNull() if any(s[0] == name for s in sources) else F.lit(False)
-        cols.append(F.when(present, F.lit("ok")).otherwise(F.lit("missing")).alias(f"{name}_status"))
-    cols.append(run_ts.alias("last_updated"))
-    return df.select(*cols)
+        cond = f"__{name} IS NOT NULL" if name in present else "false"
+        cols.append(f"CASE WHEN {cond} THEN 'ok' ELSE 'missing' END AS {name}_status")
+    ts = q(run_ts) if run_ts is not None else "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss\")"
+    cols.append(f"{ts} AS last_updated")
+    return df.selectExpr(*cols)
 
 
 def ingest(id_texts: DataFrame, store_bodies: DataFrame, stats_bodies: DataFrame, page_bodies: DataFrame,

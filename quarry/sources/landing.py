@@ -10,44 +10,47 @@ child per line of text), id-list pages = ``orders`` keys.
 Each body deliberately mixes loose shapes (numbers as text, falsy values,
 HTML, damaged JSON, wrong nesting) by simple rules on the row's own columns,
 so the DuckDB twins can state the expected normalised values directly.
+Bodies are built as SQL expressions (one ``selectExpr``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..functions.clean import q
 
 RUN_TS = "2024-06-01T12:00:00"  # fixed ingest time used by the checked queries
+NEWLINE = "\n"
 
 
-def js(c: Column) -> Column:
-    """JSON string literal of a text column (quotes and escapes included)."""
-    return F.regexp_extract(F.to_json(F.array(c.cast("string"))), r"^\[(.*)\]$", 1)
+def js(c: str) -> str:
+    """JSON string literal of a text expression (quotes and escapes included)."""
+    return f"regexp_extract(to_json(array(CAST({c} AS STRING))), {q(r'^\[(.*)\]$')}, 1)"
 
 
-def jbool(c: Column) -> Column:
-    return F.when(c, F.lit("true")).otherwise(F.lit("false"))
+def jbool(c: str) -> str:
+    return f"CASE WHEN {c} THEN 'true' ELSE 'false' END"
 
 
-def obj(*pairs: tuple[str, Column]) -> Column:
-    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in pairs]), F.lit("}"))
+def s(c: str) -> str:
+    return f"CAST({c} AS STRING)"
 
 
-def _s(c) -> Column:
-    return c.cast("string")
+def obj(*pairs: tuple[str, str]) -> str:
+    inner = ", ".join(f"concat({q(f'"{k}":')}, {v})" for k, v in pairs)
+    return f"concat('{{', concat_ws(',', {inner}), '}}')"
 
 
 # ------------------------------------------------------------------ ids
 def id_texts(cat: Catalog) -> DataFrame:
     """Id list as text (the id-list CSV column): some padded, some broken, some blank."""
-    k = F.col("p_partkey")
-    txt = (F.when(k % 13 == 0, F.concat(F.lit(" "), _s(k), F.lit(" ")))
-            .when(k % 13 == 5, F.concat(F.lit("x"), _s(k)))
-            .when(k % 13 == 7, F.lit(""))
-            .otherwise(_s(k)))
-    return cat.df("part").select(k.alias("seq"), txt.alias("appid"))
+    return cat.df("part").selectExpr(
+        "p_partkey AS seq",
+        "CASE WHEN p_partkey % 13 = 0 THEN concat(' ', p_partkey, ' ') "
+        "WHEN p_partkey % 13 = 5 THEN concat('x', p_partkey) "
+        "WHEN p_partkey % 13 = 7 THEN '' ELSE CAST(p_partkey AS STRING) END AS appid")
 
 
 # ------------------------------------------------------------------ store
@@ -56,94 +59,83 @@ def store_bodies(cat: Catalog) -> DataFrame:
     names = (cat.df("part_supplier").join(cat.df("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
              .groupBy("l_partkey").agg(F.array_sort(F.collect_list("s_name")).alias("sup_names")))
     p = cat.df("part").join(names, F.col("p_partkey") == F.col("l_partkey"), "left")
-    k, s = F.col("p_partkey"), F.col("p_size")
-    d = F.date_add(F.lit("1990-01-01").cast("date"), ((k * 37) % 10000).cast("int"))
-    datestr = (F.when(k % 5 == 0, F.date_format(d, "MMM d, yyyy"))
-                .when(k % 5 == 1, F.date_format(d, "d MMM, yyyy"))
-                .when(k % 5 == 2, F.date_format(d, "MMM yyyy"))
-                .when(k % 5 == 3, F.date_format(d, "yyyy"))
-                .otherwise(F.lit("Coming soon")))
-    devs = F.coalesce(F.col("sup_names"), F.array().cast("array<string>"))
+    k, sz = "p_partkey", "p_size"
+    d = f"date_add(DATE '1990-01-01', CAST(({k} * 37) % 10000 AS INT))"
+    datestr = (f"CASE WHEN {k} % 5 = 0 THEN date_format({d}, 'MMM d, yyyy') "
+               f"WHEN {k} % 5 = 1 THEN date_format({d}, 'd MMM, yyyy') "
+               f"WHEN {k} % 5 = 2 THEN date_format({d}, 'MMM yyyy') "
+               f"WHEN {k} % 5 = 3 THEN date_format({d}, 'yyyy') ELSE 'Coming soon' END")
+    devs = "coalesce(sup_names, CAST(array() AS array<string>))"
     data = obj(
-        ("name", js(F.concat(F.lit("<b>"), F.col("p_name"), F.lit("</b> &amp; Co")))),
-        ("required_age", F.when(s % 5 == 0, _s(s)).when(s % 5 == 1, js(F.concat(_s(s), F.lit("+"))))
-                          .when(s % 5 == 2, F.lit('""')).when(s % 5 == 3, F.concat(_s(s), F.lit(".5")))
-                          .otherwise(F.lit("null"))),
-        ("is_free", F.when(s % 3 == 0, F.lit("true")).when(s % 3 == 1, F.lit('""')).otherwise(F.lit('"no"'))),
-        ("detailed_description", js(F.concat(F.lit("<p>"), F.col("p_type"), F.lit(" part</p>\n<br/>")))),
-        ("about_the_game", F.lit("null")),
-        ("short_description", js(F.concat(F.col("p_brand"), F.lit(" &lt;b&gt;")))),
-        ("supported_languages", js(F.lit("English, French<strong>*</strong>, German"))),
-        ("header_image", js(F.concat(F.lit("https://img.example/"), _s(k), F.lit(".jpg")))),
-        ("developers", F.when(s % 4 == 0, js(F.concat(F.lit(" Dev "), F.col("p_brand"))))
-                        .otherwise(F.to_json(F.concat(devs, F.array(F.lit(" "), F.lit("")))))),
-        ("publishers", F.when(s % 4 == 1, F.lit("5"))
-                        .otherwise(F.to_json(F.array(F.col("p_brand"), F.concat(F.lit(" "), F.col("p_type")))))),
-        ("platforms", F.concat(F.lit('{"windows":true,"mac":'), jbool(s > 25), F.lit(',"linux":""}'))),
-        ("metacritic", F.when(s % 2 == 0, F.concat(F.lit('{"score":'), _s(s * 2), F.lit("}")))
-                        .otherwise(F.lit('{"score":"n/a"}'))),
-        ("release_date", F.concat(F.lit('{"date":'), js(datestr), F.lit(',"coming_soon":'), jbool(s % 2 == 1),
-                                  F.lit("}"))),
-        ("categories", F.concat(F.lit('[{"id":'), _s(s % 7), F.lit(',"description":'), js(F.col("p_type")),
-                                F.lit('},{"id":"x"},7,{"id":"'), _s(s % 3 + 10), F.lit('","description":""}]'))),
-        ("genres", F.concat(F.lit('[{"id":'), _s(s % 4), F.lit(',"name":'), js(F.col("p_brand")),
-                            F.lit('},{"id":99,"description":"Indie","name":"X"}]'))),
+        ("name", js("concat('<b>', p_name, '</b> &amp; Co')")),
+        ("required_age", f"CASE WHEN {sz} % 5 = 0 THEN {s(sz)} WHEN {sz} % 5 = 1 THEN {js(f"concat({sz}, '+')")} "
+                         f"WHEN {sz} % 5 = 2 THEN '\"\"' WHEN {sz} % 5 = 3 THEN concat({sz}, '.5') ELSE 'null' END"),
+        ("is_free", f"CASE WHEN {sz} % 3 = 0 THEN 'true' WHEN {sz} % 3 = 1 THEN '\"\"' ELSE '\"no\"' END"),
+        ("detailed_description", js(f"concat('<p>', p_type, {q(' part</p>' + NEWLINE + '<br/>')})")),
+        ("about_the_game", "'null'"),
+        ("short_description", js("concat(p_brand, ' &lt;b&gt;')")),
+        ("supported_languages", js(q("English, French<strong>*</strong>, German"))),
+        ("header_image", js(f"concat('https://img.example/', {k}, '.jpg')")),
+        ("developers", f"CASE WHEN {sz} % 4 = 0 THEN {js('concat(' + q(' Dev ') + ', p_brand)')} "
+                       f"ELSE to_json(concat({devs}, array(' ', ''))) END"),
+        ("publishers", f"CASE WHEN {sz} % 4 = 1 THEN '5' ELSE to_json(array(p_brand, concat(' ', p_type))) END"),
+        ("platforms", f"concat('{{\"windows\":true,\"mac\":', {jbool(f'{sz} > 25')}, ',\"linux\":\"\"}}')"),
+        ("metacritic", f"CASE WHEN {sz} % 2 = 0 THEN concat('{{\"score\":', {sz} * 2, '}}') "
+                       f"ELSE '{{\"score\":\"n/a\"}}' END"),
+        ("release_date", f"concat('{{\"date\":', {js(datestr)}, ',\"coming_soon\":', {jbool(f'{sz} % 2 = 1')}, '}}')"),
+        ("categories", f"concat('[{{\"id\":', {sz} % 7, ',\"description\":', {js('p_type')}, "
+                       f"'}},{{\"id\":\"x\"}},7,{{\"id\":\"', {sz} % 3 + 10, '\",\"description\":\"\"}}]')"),
+        ("genres", f"concat('[{{\"id\":', {sz} % 4, ',\"name\":', {js('p_brand')}, "
+                   f"'}},{{\"id\":99,\"description\":\"Indie\",\"name\":\"X\"}}]')"),
     )
     # the entry key is the id itself, except for k % 10 == 4 (another id's key)
-    key = F.concat(F.lit('{"'), _s(F.when(k % 10 == 4, k + 1).otherwise(k)), F.lit('":'))
-    entry = (F.when(k % 10 == 0, F.lit('{"success":false}'))
-              .when(k % 10 == 2, F.lit('{"success":true,"data":[]}'))
-              .when(k % 10 == 3, F.lit('{"success":true,"data":"oops"}'))
-              .when(k % 10 == 4, F.lit('{"success":true,"data":'))
-              .otherwise(F.lit('{"success":1,"data":')))
-    full = (k % 10 == 4) | (k % 10 >= 5)
-    body = F.when(k % 10 == 1, F.lit("not json {")).otherwise(
-        F.concat(key, entry, F.when(full, F.concat(data, F.lit("}"))).otherwise(F.lit("")), F.lit("}")))
-    return p.select(k.cast("int").alias("id"), body.alias("body"))
+    key = f"concat('{{\"', CASE WHEN {k} % 10 = 4 THEN {k} + 1 ELSE {k} END, '\":')"
+    entry = (f"CASE WHEN {k} % 10 = 0 THEN '{{\"success\":false}}' "
+             f"WHEN {k} % 10 = 2 THEN '{{\"success\":true,\"data\":[]}}' "
+             f"WHEN {k} % 10 = 3 THEN '{{\"success\":true,\"data\":\"oops\"}}' "
+             f"WHEN {k} % 10 = 4 THEN '{{\"success\":true,\"data\":' ELSE '{{\"success\":1,\"data\":' END")
+    full = f"({k} % 10 = 4 OR {k} % 10 >= 5)"
+    body = (f"CASE WHEN {k} % 10 = 1 THEN 'not json {{' ELSE concat({key}, {entry}, "
+            f"CASE WHEN {full} THEN concat({data}, '}}') ELSE '' END, '}}') END")
+    return p.selectExpr(f"CAST({k} AS INT) AS id", f"{body} AS body")
 
 
 # ------------------------------------------------------------------ stats
 def stats_bodies(cat: Catalog) -> DataFrame:
-    k, s = F.col("p_partkey"), F.col("p_size")
-    lo, hi = F.format_number(s * 1000, 0), F.format_number(s * 2000, 0)
-    owners = (F.when(k % 7 == 2, F.lit('"1 .. 2 .. 3"')).when(k % 7 == 3, js(lo))
-               .otherwise(js(F.concat(lo, F.lit(" .. "), hi))))
-    good = obj(("owners", owners), ("average_forever", _s(s * 10)), ("average_2weeks", js(_s(s))),
-               ("median_forever", F.lit('""')), ("median_2weeks", F.lit("null")),
-               ("ccu", F.concat(_s(s + 3), F.lit(".9"))))
-    body = F.when(k % 7 == 0, F.lit("[1,2]")).when(k % 7 == 1, F.lit("{bad")).otherwise(good)
-    return cat.df("part").select(k.cast("int").alias("id"), body.alias("body"))
+    k, sz = "p_partkey", "p_size"
+    lo, hi = f"format_number({sz} * 1000, 0)", f"format_number({sz} * 2000, 0)"
+    owners = (f"CASE WHEN {k} % 7 = 2 THEN '\"1 .. 2 .. 3\"' WHEN {k} % 7 = 3 THEN {js(lo)} "
+              f"ELSE {js(f"concat({lo}, ' .. ', {hi})")} END")
+    good = obj(("owners", owners), ("average_forever", s(f"{sz} * 10")), ("average_2weeks", js(s(sz))),
+               ("median_forever", "'\"\"'"), ("median_2weeks", "'null'"),
+               ("ccu", f"concat({sz} + 3, '.9')"))
+    body = f"CASE WHEN {k} % 7 = 0 THEN '[1,2]' WHEN {k} % 7 = 1 THEN '{{bad' ELSE {good} END"
+    return cat.df("part").selectExpr(f"CAST({k} AS INT) AS id", f"{body} AS body")
 
 
 # ------------------------------------------------------------------ child pages
 def review_page_bodies(cat: Catalog) -> DataFrame:
     """``(id, page_no, body)``: one page per conversation turn, one child per line."""
-    c = cat.df("conversations")
-    conv, turn, text, role = F.col("conv_id"), F.col("turn"), F.col("text"), F.col("role")
-    lines = F.split(text, "\n")
-
-    def review(line, i):
-        return obj(
-            ("recommendationid", js(F.concat_ws("-", _s(conv), _s(turn), _s(i)))),
-            ("author", obj(("steamid", _s(conv * 1000 + turn)), ("playtime_forever", _s(F.length(line))),
-                           ("playtime_at_review", F.lit('"12"')),
-                           ("last_played", _s(F.lit(1700000000) + turn * 3600)))),
-            ("language", js(role)), ("review", js(line)), ("voted_up", jbool(i % 2 == 0)),
-            ("votes_up", _s(F.length(line).cast("bigint") * 1000000)), ("votes_funny", F.lit('"3"')),
-            ("weighted_vote_score", F.lit('"0.5"')), ("written_during_early_access", F.lit("0")),
-            ("timestamp_created", _s(F.lit(1700000000) + i)), ("timestamp_updated", F.lit("0")))
-
-    reviews = F.when(F.length(text) < 100, F.lit("[]")).otherwise(
-        F.concat(F.lit("["), F.array_join(F.transform(lines, review), ","), F.lit(',5,{"recommendationid":""}]')))
-    cursor = (F.when(turn % 4 == 3, F.lit('"*"')).when(turn % 5 == 4, F.lit("null"))
-               .otherwise(F.concat(F.lit('"c'), _s(turn + 1), F.lit('"'))))
-    qs = obj(("num_reviews", _s(F.size(lines))), ("review_score", _s(turn)), ("review_score_desc", js(role)),
-             ("total_positive", _s(F.length(text))), ("total_negative", F.lit('"7"')),
-             ("total_reviews", F.lit('"n/a"')))
-    good = obj(("success", F.when(role != "system", F.lit("1")).otherwise(F.lit("0"))), ("cursor", cursor),
+    lines = f"split(text, {q(NEWLINE)})"
+    line, i = "ln", "ix"
+    review = obj(
+        ("recommendationid", js(f"concat_ws('-', conv_id, turn, {i})")),
+        ("author", obj(("steamid", s("conv_id * 1000 + turn")), ("playtime_forever", s(f"length({line})")),
+                       ("playtime_at_review", "'\"12\"'"), ("last_played", s("1700000000 + turn * 3600")))),
+        ("language", js("role")), ("review", js(line)), ("voted_up", jbool(f"{i} % 2 = 0")),
+        ("votes_up", s(f"CAST(length({line}) AS BIGINT) * 1000000")), ("votes_funny", "'\"3\"'"),
+        ("weighted_vote_score", "'\"0.5\"'"), ("written_during_early_access", "'0'"),
+        ("timestamp_created", s(f"1700000000 + {i}")), ("timestamp_updated", "'0'"))
+    reviews = (f"CASE WHEN length(text) < 100 THEN '[]' ELSE concat('[', "
+               f"array_join(transform({lines}, ({line}, {i}) -> {review}), ','), ',5,{{\"recommendationid\":\"\"}}]') END")
+    cursor = "CASE WHEN turn % 4 = 3 THEN '\"*\"' WHEN turn % 5 = 4 THEN 'null' ELSE concat('\"c', turn + 1, '\"') END"
+    qs = obj(("num_reviews", s(f"size({lines})")), ("review_score", s("turn")), ("review_score_desc", js("role")),
+             ("total_positive", s("length(text)")), ("total_negative", "'\"7\"'"), ("total_reviews", "'\"n/a\"'"))
+    good = obj(("success", "CASE WHEN role <> 'system' THEN '1' ELSE '0' END"), ("cursor", cursor),
                ("query_summary", qs), ("reviews", reviews))
-    body = F.when(F.length(text) % 11 == 0, F.lit("garbage")).otherwise(good)
-    return c.select(conv.cast("int").alias("id"), (turn + 1).cast("int").alias("page_no"), body.alias("body"))
+    body = f"CASE WHEN length(text) % 11 = 0 THEN 'garbage' ELSE {good} END"
+    return cat.df("conversations").selectExpr("CAST(conv_id AS INT) AS id", "CAST(turn + 1 AS INT) AS page_no",
+                                              f"{body} AS body")
 
 
 # ------------------------------------------------------------------ id-list pages
@@ -154,15 +146,13 @@ def id_list_page_bodies(cat: Catalog, page_size: int = 50) -> DataFrame:
     of ``1-URGENT`` orders carry the appid as text (skipped) unless they are a
     page's last slot, and page 101 ends with an entry without appid (the run
     stops after it)."""
-    o = cat.df("orders")
-    k = F.col("o_orderkey")
-    entry = F.when((F.col("o_orderpriority") == "1-URGENT") & (k % page_size < page_size - 1),
-                   obj(("appid", js(_s(k))), ("name", js(F.col("o_orderstatus")))))
-    entry = F.coalesce(entry, obj(("appid", _s(k)), ("name", js(F.col("o_orderstatus")))))
-    pages = (o.select((k / page_size).cast("bigint").alias("page_no"), k.alias("k"), entry.alias("e"))
+    entry = (f"CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % {page_size} < {page_size - 1} "
+             f"THEN {obj(('appid', js('o_orderkey')), ('name', js('o_orderstatus')))} "
+             f"ELSE {obj(('appid', s('o_orderkey')), ('name', js('o_orderstatus')))} END")
+    pages = (cat.df("orders").selectExpr(f"CAST(o_orderkey / {page_size} AS BIGINT) AS page_no",
+                                         "o_orderkey AS k", f"{entry} AS e")
              .groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("items")))
-    tail_bad = F.col("page_no") == 100
-    items = F.transform("items", lambda x: x["e"])
-    body = F.concat(F.lit('{"apps":['), F.array_join(items, ","),
-                    F.when(tail_bad, F.lit(',{"name":"no id"}')).otherwise(F.lit("")), F.lit("]}"))
-    return pages.select((F.col("page_no") + 1).alias("page_no"), body.alias("body"))
+    return pages.selectExpr(
+        "page_no + 1 AS page_no",
+        "concat('{\"apps\":[', array_join(transform(items, x -> x.e), ','), "
+        "CASE WHEN page_no = 100 THEN ',{\"name\":\"no id\"}' ELSE '' END, ']}') AS body")
