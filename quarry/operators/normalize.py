@@ -239,31 +239,32 @@ def page_run(pages: DataFrame, id_col: str = "id", page_col: str = "page_no", pa
     # several consumers read `base`; the fence keeps each from inlining the parse chain
     base = base.selectExpr("*", "coalesce(size(items), 0) AS n_valid", "spark_partition_id() AS __fence")
 
+    # pass 1 over `base`: per id, the first stopping page and the first page with a summary
     first_use = F.min("page_no").over(Window.partitionBy("id", "next_cursor"))
-    flagged = base.select("id", "page_no", (
+    flagged = base.select("id", "page_no", "summary", (
         F.col("failed") | (F.col("n_valid") == 0) | F.col("next_cursor").isNull()
         | (F.col("next_cursor") == "*") | (first_use < F.col("page_no")) | (F.col("__fence") < 0)).alias("stop"))
-    stop_page = flagged.groupBy("id").agg(F.min(F.when(F.col("stop"), F.col("page_no"))).alias("stop_page"))
+    has_summary = F.col("summary").isNotNull()
+    per_id = flagged.groupBy("id").agg(
+        F.min(F.when(F.col("stop"), F.col("page_no"))).alias("stop_page"),
+        F.min(F.when(has_summary, F.col("page_no"))).alias("summary_page"),
+        F.min_by("summary", F.when(has_summary, F.col("page_no"))).alias("summary"))
 
+    # pass 2 over `base`: the children in (page, position) order, at most `cap` per id
     exploded = (base.select("id", "page_no", F.posexplode("items").alias("pos", "it"))
                 .select("id", "page_no", "pos", F.col("it.v").alias("item")))
     w = Window.partitionBy("id").orderBy("page_no", "pos")
     ranked = exploded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
     cap_page = ranked.where(F.col("rank") == cap).select("id", F.col("page_no").alias("cap_page"))
-    limits = (stop_page.join(cap_page, "id", "full_outer")
-              .select("id", F.least("stop_page", "cap_page").alias("last_page")))
+    limits = (per_id.join(cap_page, "id", "left")
+              .select("id", "summary_page", "summary", F.least("stop_page", "cap_page").alias("last_page")))
 
-    kept = ranked.join(limits, "id", "left").where(
+    kept = ranked.join(limits.select("id", "last_page"), "id", "left").where(
         F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page")))
     reviews = review_rows(kept.select("id", "item", "page_no", "pos", "rank"), "id", "item")
 
-    visited = F.col("last_page").isNull() | (F.col("page_no") <= F.col("last_page"))
-    summaries = (base.select("id", "page_no", "summary", (F.col("__fence") >= 0).alias("__f"))
-                 .join(limits, "id", "left")
-                 .groupBy("id")
-                 .agg(F.min_by("summary", F.when(F.col("summary").isNotNull() & visited & F.col("__f"),
-                                                  F.col("page_no"))).alias("summary"))
-                 .where(F.col("summary").isNotNull())
+    summaries = (limits.where(F.col("summary").isNotNull()
+                              & (F.col("last_page").isNull() | (F.col("summary_page") <= F.col("last_page"))))
                  .select("id", "summary.*"))
     return summaries, reviews
 
