@@ -202,14 +202,24 @@ def _unescape_strip(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x).strip())
 
 
+# Entities decoded natively, in single-pass order (``&amp;`` last).
+NATIVE_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|amp);)[#A-Za-z]"
+
+
 def strip_html(c: Column) -> Column:
     """falsy → ''; remove tags, then decode entities, then strip.
 
-    Rows without ``&`` never reach Python: the UDF gets NULL for them and the
-    native trim is used instead."""
+    The five common entities are decoded natively.  Only text holding any
+    other entity-like sequence (``&`` + letter or ``#``, checked on the
+    original text so nothing is decoded twice) goes to ``html.unescape`` in
+    the Arrow UDF; every other row gets NULL there and takes the native path."""
     no_tags = F.regexp_replace(F.coalesce(c, F.lit("")), TAG_PATTERN, "")
-    needs = F.instr(no_tags, "&") > 0
-    return F.coalesce(_unescape_strip(F.when(needs, no_tags)), F.btrim(no_tags, F.lit(PY_WHITESPACE)))
+    native = no_tags
+    for ent, ch in NATIVE_ENTITIES:
+        native = F.replace(native, F.lit(ent), F.lit(ch))
+    needs_python = no_tags.rlike(OTHER_ENTITY)
+    return F.coalesce(_unescape_strip(F.when(needs_python, no_tags)), F.btrim(native, F.lit(PY_WHITESPACE)))
 
 
 def list_separators(s: str) -> str:

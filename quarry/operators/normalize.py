@@ -101,13 +101,17 @@ def store_records(payloads: DataFrame, id_col: str = "id", payload_col: str = "p
         f"{C.link_names('__pubs')} AS publisher_names",
         f"{C.id_name_items(*f('categories'), ('description',))} AS categories",
         f"{C.id_name_items(*f('genres'), ('description', 'name'))} AS genres")
-    # F1 (HTML) needs the entity table: the only Column-built step
-    html = {n: C.strip_html(F.col(f"__t_{n}")) for n in texts}
-    html["supported_languages"] = C.col(C.list_separators("__sl")).alias("supported_languages")
-    out = rules.select("*", C.strip_html(F.col("__t_supported_languages")).alias("__sl"))
+    # F1 (HTML) needs the entity table: the only Column-built step, all five
+    # fields in one projection so they share one Arrow evaluation
+    out = rules.select("*", *[C.strip_html(F.col(f"__t_{n}")).alias(f"__h_{n}") for n in texts])
     cols = [F.col("id")]
     for n in GAME_FIELDS:
-        cols.append(html[n].alias(n) if n in html else F.col(n))
+        if n == "supported_languages":
+            cols.append(C.col(C.list_separators("__h_supported_languages")).alias(n))
+        elif n in texts:
+            cols.append(F.col(f"__h_{n}").alias(n))
+        else:
+            cols.append(F.col(n))
     cols += [F.col(c) for c in ("developer_names", "publisher_names", "categories", "genres", *extra)]
     return out.select(*cols)
 
