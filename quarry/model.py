@@ -61,6 +61,8 @@ def _struct(*cols: tuple[str, T.DataType, bool]) -> T.StructType:
     return T.StructType([T.StructField(n, t, nullable) for n, t, nullable in cols])
 
 
+# Table and column names of the catalogue data model (they must
+# equal the source format's names for the tables and CSVs to line up).
 GAME_SCHEMA = _struct(
     ("id", _I, False), ("name", _S, False), ("required_age", _I, False), ("is_free", _B, False),
     ("detailed_description", _S, True), ("about_the_game", _S, True), ("short_description", _S, True),

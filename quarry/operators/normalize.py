@@ -22,6 +22,8 @@ from ..functions.clean import ident
 
 MAX_CHILDREN = 100  # children kept per parent (fixed value of the source API paging)
 
+# Output field names of the source format (entity, stats,
+# summary and child rows); payload keys read below are the source's JSON keys.
 GAME_FIELDS = ("name", "required_age", "is_free", "detailed_description", "about_the_game",
                "short_description", "supported_languages", "header_image", "developers", "publishers",
                "windows", "mac", "linux", "metacritic", "release_date", "coming_soon")

@@ -56,6 +56,7 @@ from ..operators import mutate as M  # noqa: E402
 from ..operators import normalize as N  # noqa: E402
 from ..sources.scan import landing_payloads  # noqa: E402
 
+# The entity CSV columns, in the source format's order.
 ENTITY_CSV_COLUMNS = (
     "id", "name", "required_age", "is_free", "detailed_description", "about_the_game", "short_description",
     "supported_languages", "header_image", "developers", "publishers", "windows", "mac", "linux", "metacritic",
