@@ -153,20 +153,30 @@ def merge_sources(ids: DataFrame, store: DataFrame | None, stats: DataFrame | No
 def ingest(id_texts: DataFrame, store_bodies: DataFrame, stats_bodies: DataFrame, page_bodies: DataFrame,
            catalog: Catalog | None = None, run_ts: str | None = None, offset: int = 0,
            limit: int | None = None, processed: list[DataFrame] | None = None,
-           max_children: int = N.MAX_CHILDREN) -> IngestRun:
+           max_children: int = N.MAX_CHILDREN, checkpoint: bool = False) -> IngestRun:
     """Ids → offset → resume → limit → normalise the three sources →
     merge → upsert entities and children → links / dimensions.
 
     Lazy throughout; the caller writes ``entities`` / ``reviews`` (CSV sinks)
     and the catalogue tables (``sinks.publish``).  The three sources and the
     merge are joined on the id, so one hash partitioning on the id serves
-    every join (Catalyst broadcasts sides it measures as small)."""
+    every join (Catalyst broadcasts sides it measures as small).
+
+    ``checkpoint=True`` (for big runs) writes the normalised sources once to
+    the session's shared ``spark.checkpoint.dir``: the merge, upserts and link
+    upkeep then read them instead of re-parsing payloads in each branch, and a
+    lost executor re-reads them instead of recomputing the lineage."""
     ids = select_ids(id_texts, offset, limit, processed)
     wanted = ids.select("appid").distinct()
     store = N.store_records(_only(store_bodies, wanted))
     stats = N.stats_records(_only(stats_bodies, wanted))
     summaries, reviews = N.page_run(_only(page_bodies, wanted).select("id", "page_no", "payload"),
                                     cap=max_children)
+    if checkpoint:
+        from ..session import checkpoint_dir
+        checkpoint_dir(ids.sparkSession)
+        store, stats, summaries, reviews = (store.checkpoint(), stats.checkpoint(), summaries.checkpoint(),
+                                            reviews.checkpoint())
     entities = merge_sources(ids, store, stats, summaries, run_ts)
     # each occurrence of an id in the list writes its children again
     review_rows = reviews.join(ids.select(F.col("appid").alias("gameId"), "seq"), "gameId")

@@ -198,3 +198,11 @@ def test_offset_resume_limit_order(spark):
     done = spark.createDataFrame([(7,)], "id int")
     got = J.select_ids(texts, offset=1, limit=3, processed=[done]).orderBy("seq").collect()
     assert [r["appid"] for r in got] == [6, 5, 8]
+
+
+def test_ingest_with_checkpoint_matches_lazy(spark, cat):
+    from quarry.sources import landing as L
+    args = (L.id_texts(cat), L.store_bodies(cat), L.stats_bodies(cat), L.review_page_bodies(cat))
+    lazy = J.ingest(*args, run_ts="t").entities
+    cut = J.ingest(*args, run_ts="t", checkpoint=True).entities
+    assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, cut.collect()))
