@@ -15,11 +15,11 @@ from ..operators import normalize as N
 from ..sources import landing as L
 from ..sources.scan import landing_payloads
 from . import ingest_jobs as J
-from .registry import query
+from .registry import fixture_catalog, query
 
 
 def cat_of(spark, sf) -> Catalog:
-    return Catalog.from_fixture_dir(spark, sf)
+    return fixture_catalog(spark, sf)
 
 
 def _store(cat):

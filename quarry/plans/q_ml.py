@@ -11,11 +11,11 @@ from ..model import ModelSpec
 from ..operators import ml
 from ..session import checkpoint_dir
 from ..sources import sinks
-from .registry import query
+from .registry import fixture_catalog, query
 
 
 def cat_of(spark, sf) -> Catalog:
-    return Catalog.from_fixture_dir(spark, sf)
+    return fixture_catalog(spark, sf)
 
 
 def _training_table(cat):

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..model import FIXTURE_MODELS, ModelSpec
 from ..operators import mutate as M
-from .registry import query
+from .registry import fixture_catalog, query
 
 PART_COLS = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
 
 
 def cat_of(spark, sf) -> Catalog:
-    return Catalog.from_fixture_dir(spark, sf)
+    return fixture_catalog(spark, sf)
 
 
 # ---------------------------------------------------------------- M1 insert with defaults

@@ -12,11 +12,11 @@ from ..catalog import Catalog
 from ..operators import quality as Q
 from ..operators.profile import profile
 from ..sources import scan, sinks
-from .registry import query
+from .registry import fixture_catalog, query
 
 
 def cat_of(spark, sf) -> Catalog:
-    return Catalog.from_fixture_dir(spark, sf)
+    return fixture_catalog(spark, sf)
 
 
 def scratch(spark, name: str) -> str:

@@ -12,14 +12,14 @@ from ..catalog import Catalog
 from ..functions.filters import Json
 from ..model import ModelSpec
 from ..operators import mutate
-from .registry import query
+from .registry import fixture_catalog, query
 
 LINEITEM_COLS = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
                  "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
 
 
 def cat_of(spark, sf) -> Catalog:
-    return Catalog.from_fixture_dir(spark, sf)
+    return fixture_catalog(spark, sf)
 
 
 # ---------------------------------------------------------------- G4–G8, W7, L9

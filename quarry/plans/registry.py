@@ -32,6 +32,19 @@ def query(name: str, sql: str | None = None, bench: bool = False):
     return deco
 
 
+_CATALOGS: dict = {}
+
+
+def fixture_catalog(spark: SparkSession, sf_dir: str):
+    """The driver's tables for ``sf_dir``, shared by the queries of one session
+    (DataFrames are immutable; ``with_table`` always returns a new catalog)."""
+    from ..catalog import Catalog
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CATALOGS:
+        _CATALOGS[key] = Catalog.from_fixture_dir(spark, sf_dir)
+    return _CATALOGS[key]
+
+
 QUERY_MODULES = ("q_read", "q_ingest", "q_mutate", "q_quality", "q_ml")
 
 
