@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import compile_where, fresh_alias
-from .read import as_sort, sort_keys
+from .read import after_or_at, as_sort, cursor_row_values, sort_keys
 
-INCLUDE_ARGS = {"where", "order", "take", "skip", "distinct", "include", "select"}
+INCLUDE_ARGS = {"where", "order", "take", "skip", "cursor", "distinct", "include", "select"}
 MAX_DEPTH = 5
 
 
@@ -65,6 +65,11 @@ def _ranked_children(cat, model: str, rel_name: str, args: dict, depth: int) ->
         d = list(args["distinct"])
         w0 = Window.partitionBy(*[F.col(r) for r in rel.references], *[F.col(x) for x in d]).orderBy(*as_sort(keys))
         children = children.withColumn("__d", F.row_number().over(w0)).where("__d = 1").drop("__d")
+    if args.get("cursor"):
+        # children at or after the cursor row in the requested order (its sort
+        # values are scalar subqueries, evaluated once)
+        values = cursor_row_values(children, keys, args["cursor"], {})
+        children = children.where(after_or_at(keys, values))
     w = Window.partitionBy(*[F.col(r) for r in rel.references]).orderBy(*as_sort(keys))
     children = children.withColumn(rn, F.row_number().over(w))
     skip = args.get("skip") or 0

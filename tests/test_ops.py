@@ -206,3 +206,17 @@ def test_ingest_with_checkpoint_matches_lazy(spark, cat):
     lazy = J.ingest(*args, run_ts="t").entities
     cut = J.ingest(*args, run_ts="t", checkpoint=True).entities
     assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_include_cursor_per_parent(cat):
+    orders = cat.table("orders")
+    top = orders.find_many(where={"o_orderkey": {"lt": 3}})
+    full = orders.include_flat(top, "lineitems", {"order": {"l_linenumber": "asc"}})
+    rows = sorted((r["o_orderkey"], r["lineitems_l_linenumber"]) for r in full.collect()
+                  if r["lineitems_l_linenumber"] is not None)
+    parent, line = rows[1]
+    cur = cat.df("lineitem").where(f"l_orderkey = {parent} AND l_linenumber = {line}").limit(1).collect()[0]
+    cursor = {c: cur[c] for c in cat.df("lineitem").columns}
+    got = orders.include_flat(top, "lineitems", {"order": {"l_linenumber": "asc"}, "cursor": cursor})
+    kept = {(r["o_orderkey"], r["lineitems_l_linenumber"]) for r in got.collect() if r["lineitems_l_linenumber"] is not None}
+    assert (parent, line) in kept and all(l >= line for _, l in kept)
