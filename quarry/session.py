@@ -25,6 +25,16 @@ BASE_CONF = {
 }
 # Local runs only: the driver is the executor, so its heap is the one that matters.
 LOCAL_CONF = {"spark.driver.memory": "12g"}
+# Cluster runs (hundreds of executors, ~100 TB inputs): many shuffle partitions
+# that AQE coalesces toward ~256 MB each, 256 MB input splits, and skew-join
+# splitting of partitions 5× the median.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+}
 
 
 def get_spark(master: str | None = None, app: str = "quarry", shuffle_partitions: int | None = None,
@@ -35,6 +45,8 @@ def get_spark(master: str | None = None, app: str = "quarry", shuffle_partitions
     conf = dict(BASE_CONF)
     if master and master.startswith("local"):
         conf.update(LOCAL_CONF)
+    elif master:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
