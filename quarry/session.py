@@ -6,7 +6,6 @@ helpers only exist so tests, the bench and the CLI build it the same way.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -69,4 +68,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
-    return d.replace("file:", "") if d.startswith("file:") and not os.path.exists(d) else d
+    return d
