@@ -36,3 +36,19 @@ def test_versions_switch_at_publish(spark, cat, tmp_path):
     second = sinks.current_versions(spark, root)
     assert second["supplier"] == first["supplier"] and second["part"] != first["part"]
     assert sinks.read_table(spark, root, "part").count() == 3
+
+
+def test_existing_keys_from_missing_csv_is_empty(spark, tmp_path):
+    assert scan.existing_keys_from_csv(spark, str(tmp_path / "nope")).count() == 0
+
+
+def test_id_pages_stop_rules_and_bad_pages(spark):
+    import json
+    from quarry.operators import normalize as N
+    pages = [(1, json.dumps({"apps": [{"appid": 3}, {"appid": "x"}, {"appid": 1}]})),
+             (2, json.dumps({"apps": [{"appid": 5}, {"name": "no id"}]})),
+             (3, json.dumps({"apps": [{"appid": 9}]})),
+             (4, json.dumps({"apps": "oops"}))]
+    df = scan.landing_payloads(spark.createDataFrame(pages, "page_no int, body string"))
+    assert sorted(r["appid"] for r in N.id_list_pages(df).collect()) == [1, 3, 5]
+    assert [r["page_no"] for r in N.bad_id_pages(df).collect()] == [4]
