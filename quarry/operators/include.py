@@ -68,7 +68,7 @@ def _ranked_children(cat, model: str, rel_name: str, args: dict, depth: int) ->
     if args.get("cursor"):
         # children at or after the cursor row in the requested order (its sort
         # values are scalar subqueries, evaluated once)
-        values = cursor_row_values(children, keys, args["cursor"], {})
+        values = cursor_row_values(children, keys, args["cursor"])
         children = children.where(after_or_at(keys, values))
     w = Window.partitionBy(*[F.col(r) for r in rel.references]).orderBy(*as_sort(keys))
     children = children.withColumn(rn, F.row_number().over(w))

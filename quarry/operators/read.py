@@ -121,7 +121,7 @@ def page(df: DataFrame, keys: list[SortKey], *, cursor_values: list[Column] | No
 
 
 def cursor_row_values(df_all: DataFrame, keys_on: list[tuple[str | Column, bool]],
-                      cursor: dict, cursor_cols: dict[str, Column]) -> list[Column]:
+                      cursor: dict) -> list[Column]:
     """Scalar subqueries for the cursor row's sort-key values.
 
     The cursor names a unique row; each of its sort keys becomes a scalar

@@ -57,7 +57,7 @@ class Table:
             df = _read.first_per_group(df, list(distinct), keys)
         cursor_values = None
         if cursor:
-            cursor_values = _read.cursor_row_values(df, keys, cursor, {})
+            cursor_values = _read.cursor_row_values(df, keys, cursor)
         df = _read.page(df, keys, cursor_values=cursor_values, skip=skip, take=take,
                         ordered=order is not None)
         if include:
