@@ -42,3 +42,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public vocabulary file; every machine has the package."""
+    import public_tokenizers
+    return public_tokenizers.path(name)

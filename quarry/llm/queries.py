@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import topk, url_filter
-from .common import table
+from . import packing, secret_scan, token_counts, token_files, topk, url_filter
+from .common import table, vocabulary
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,30 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_output(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_exact_top_k": op7_exact_top_k,
+    "op2_secret_scans": op2_secret_scans,
+    "op3_token_files": op3_token_files,
+    "op5_token_counts": op5_token_counts,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

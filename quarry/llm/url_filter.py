@@ -64,11 +64,20 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
                     rule_case(h, q, rules, lambda r: r[0]).alias("rule_verdict"))
 
 
+def link_host(link: Column) -> Column:
+    return host_of(F.when(link.startswith("//"), F.concat(F.lit("http:"), link)).otherwise(link))
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) host pairs that links join; links without a host stay on their page's host and are no edge."""
+    """Distinct (src, dst) host pairs: of links with a host (others stay on their page's host), and,
+    in both directions, of a host with the one above it (``a.b.c`` and ``b.c``) if both have pages."""
     links = pages.select(host_of(F.col("url")).alias("src"),
-                         F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), host_of))).alias("dst"))
-    return links.where("src <> '' AND dst <> '' AND src <> dst").distinct()
+                         F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), link_host))).alias("dst"))
+    hosts = pages.select(host_of(F.col("url")).alias("src")).distinct()
+    up = hosts.select("src", F.regexp_extract("src", r"^[^.]+\.(.+)$", 1).alias("dst")).where("dst <> ''")
+    up = up.join(hosts.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    both = links.unionByName(up).unionByName(up.selectExpr("dst AS src", "src AS dst"))
+    return both.where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: int = DAMPING) -> DataFrame:
@@ -124,7 +133,10 @@ def sql(rules=RULES, rounds: int = ROUNDS, damping: int = DAMPING, ratio_pct: in
   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
 j AS MATERIALIZED (SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS rv FROM p),
 l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS u FROM p),
-e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, {host('u')} AS dst FROM l) WHERE src <> '' AND dst <> '' AND src <> dst),
+u AS MATERIALIZED (SELECT DISTINCT host AS src, regexp_extract(host, '^[^.]+\\.(.+)$', 1) AS dst FROM p
+  WHERE regexp_extract(host, '^[^.]+\\.(.+)$', 1) IN (SELECT host FROM p)),
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, {host("CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END")} AS dst FROM l
+  UNION ALL SELECT src, dst FROM u UNION ALL SELECT dst, src FROM u) WHERE src <> '' AND dst <> '' AND src <> dst),
 b AS MATERIALIZED (SELECT kind, a, b, count(*) OVER (PARTITION BY kind, a) AS degree FROM
   (SELECT 'trust' AS kind, src AS a, dst AS b FROM e UNION ALL SELECT 'distrust', dst, src FROM e)),
 s AS (SELECT CASE WHEN max(CASE WHEN rv = 'block' THEN 1 ELSE 0 END) = 1 THEN 'distrust' ELSE 'trust' END AS kind, host,
