@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity, url_filter
+from . import decontaminate, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity, url_filter
 from .common import table, vocabulary
 
 
@@ -46,6 +46,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_exact_top_k": op7_exact_top_k,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op4_decontamination": op4_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {

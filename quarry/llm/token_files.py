@@ -48,7 +48,7 @@ class ShardWriter:
     def __init__(self, out, dtype: np.dtype, sequence: int):
         self.sequence, self.held, self.parts, self.dtype = sequence, 0, [], dtype
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         self.writer = ipc.new_file(out, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
@@ -62,8 +62,8 @@ class ShardWriter:
         full = len(ids) if last else len(ids) // (self.sequence * BATCH_ROWS) * self.sequence * BATCH_ROWS
         self.parts, self.held = [ids[full:]], len(ids) - full
         padded = -(-full // self.sequence) * self.sequence
-        flat, mask = np.zeros(padded, self.dtype), np.zeros(padded, np.uint8)
-        flat[:full], mask[:full] = ids[:full], 1
+        flat, mask = np.zeros(padded, self.dtype), np.zeros(padded, bool)
+        flat[:full], mask[:full] = ids[:full], True
         step = self.sequence * BATCH_ROWS
         for a in range(0, padded, step):
             self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x[a:a + step]), self.sequence) for x in (flat, mask)], schema=self.schema))
@@ -84,20 +84,24 @@ class Shard:
         self.sequence = self.reader.schema.field("ids").type.list_size
 
     def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids as a view of the file; the mask's bits, eight entries a byte, as a view too (``unpack`` spreads them)."""
         b = self.reader.get_batch(i)
-        return tuple(b.column(c).values.to_numpy(zero_copy_only=True).reshape(-1, self.sequence)
-                     if len(b) else np.zeros((0, self.sequence), np.uint8) for c in (0, 1))
+        bits = np.frombuffer(b.column(1).values.buffers()[1], np.uint8)
+        return b.column(0).values.to_numpy(zero_copy_only=True).reshape(-1, self.sequence), bits
+
+    def unpack(self, bits: np.ndarray, rows: int) -> np.ndarray:
+        return np.unpackbits(bits, count=rows * self.sequence, bitorder="little").reshape(rows, self.sequence).astype(bool)
 
     def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence i; all batches but the last hold BATCH_ROWS."""
-        ids, mask = self.batch(i // BATCH_ROWS)
-        return ids[i % BATCH_ROWS], mask[i % BATCH_ROWS]
+        ids, bits = self.batch(i // BATCH_ROWS)
+        return ids[i % BATCH_ROWS], self.unpack(bits, len(ids))[i % BATCH_ROWS]
 
     def tokens(self) -> Iterator[np.ndarray]:
         """All ids without padding, batch by batch."""
         for i in range(self.reader.num_record_batches):
-            ids, mask = self.batch(i)
-            yield ids.reshape(-1)[: int(mask.sum(dtype=np.int64))]
+            ids, bits = self.batch(i)
+            yield ids.reshape(-1)[: int(self.unpack(bits, len(ids)).sum())]
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, sequence: int = SEQUENCE) -> DataFrame:

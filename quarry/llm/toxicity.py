@@ -40,7 +40,7 @@ LEXICON = 600
 STEMS = range(4, 10)
 LEAST_DOCS = 3
 LEAST_ODDS = 1.5
-FUZZY_FROM = 5
+FUZZY_FROM = 6
 WINDOW_BYTES = 48
 # Marks and words that tell quotation and address.
 QUOTES = "\"'“”„‘’‚«»‹›"
