@@ -79,7 +79,7 @@ def by_block(prints: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, item_id, start (word), n_words, distance and similarity (per mille) of every document's best window for each item it holds."""
     items = with_shingles(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").selectExpr("cast(item_id AS long) AS item_id", "text").distinct(), ["item_id"])
-    items = items.where("n > 0").withColumn("item", F.xxhash64("item_id", "sh"))
+    items = stage(items, "items").where("n > 0").withColumn("item", F.xxhash64("item_id", "sh"))
     item_sh = items.selectExpr("item", "item_id", "n AS size", "posexplode(sh) AS (ipos, h)")
     weight = item_sh.groupBy("h").agg(F.countDistinct("item").alias("df")).selectExpr("h", f"greatest(1, {WEIGHT} div df) AS weight")
     item_sh = stage(item_sh.join(weight, "h"), "item-shingles")
@@ -88,7 +88,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD
 
     # 1. hits and the windows that they propose
     doc_sh = with_shingles(documents(docs).where("doc_id IS NOT NULL").withColumn("rid", F.xxhash64("text")), ["doc_id", "rid"])
-    spots = doc_sh.selectExpr("doc_id", "rid", "n", "posexplode(sh) AS (pos, h)")
+    # the outer form keeps the optimizer from repeating the shingle expression in a filter; a null never joins
+    spots = doc_sh.selectExpr("doc_id", "rid", "n", "posexplode_outer(sh) AS (pos, h)")
     hits = spots.join(hint(item_sh.select("h", "item", "size", "ipos")), "h")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("size")))
     whole = (F.col("size") >= WORDS) | (F.col("n") == F.col("size"))
@@ -98,8 +99,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD
     per_doc = windows.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("size", "start")).alias("ws"))
     again = documents(docs).where("doc_id IS NOT NULL").withColumn("rid", F.xxhash64("text")).join(per_doc.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi").distinct()
     again = with_shingles(again, ["doc_id", "rid"]).join(per_doc, ["doc_id", "rid"])
-    cut = (again.selectExpr("doc_id", "rid", "n", "sh", "explode(ws) AS v")
-           .selectExpr("doc_id", "rid", "v.size AS size", "v.start AS start", f"explode(slice(sh, v.start + 1, greatest(1, least(v.size, n) - {WORDS - 1}))) AS h"))
+    cut = (again.selectExpr("doc_id", "rid", "n", "sh", "explode_outer(ws) AS v")
+           .selectExpr("doc_id", "rid", "v.size AS size", "v.start AS start", f"explode_outer(slice(sh, v.start + 1, greatest(1, least(v.size, n) - {WORDS - 1}))) AS h"))
     key = ["doc_id", "rid", "size", "start"]
     bag = cut.groupBy(*key, "h").agg(F.count("*").alias("c")).join(hint(weight), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(WEIGHT)).cast("long"))
     bag = stage(bag, "window-bags")
