@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity, url_filter
+from . import decontaminate, ngram_join, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity, url_filter
 from .common import table, vocabulary
 
 
@@ -50,6 +50,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_exact_top_k": op7_exact_top_k,
@@ -60,9 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op4_decontamination": op4_decontamination,
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.SQL,
     "op6_url_filters": url_filter.sql(),
     "op7_exact_top_k": topk.sql(),
 }
