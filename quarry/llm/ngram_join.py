@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, stage
@@ -415,12 +415,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component (the smallest id), with all its columns; rows without an id stay.
 
-    Of rows that share id and component, one stays.
+    Rows that share one id are one document here: they go if any of them
+    belongs to a component with a smaller id, and stay together otherwise.
     """
-    found = stage(near_duplicates(docs), "near-duplicates")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(drop, docs["doc_id"].cast("long") == drop["gone"], "left_anti")
-    return kept
+    found = near_duplicates(docs).where("doc_id <> component_id")
+    drop = stage(found.select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    return docs.join(drop, docs["doc_id"].cast("long") == drop["gone"], "left_anti")
 
 
 SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),

@@ -168,7 +168,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int = 0, window: int = WIN
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, depth: int = DEPTH) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids of every piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
     spark = docs.sparkSession
     width = encoder(path).dtype
     pieces = stage(cut_documents(docs, path, end_id, window), "pieces")
