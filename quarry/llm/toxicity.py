@@ -216,8 +216,14 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> tuple[list[str], np.n
     by_term = rows.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     best = (by_term.withColumn("odds", odds).where((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
-            .orderBy(F.desc(F.col("toxic") * F.col("odds")), F.length("term"), "term").limit(size).collect())
-    return [r.term for r in best], np.array([r.odds for r in best])
+            .orderBy(F.desc(F.col("toxic") * F.col("odds")), F.desc(F.length("term")), "term").limit(3 * size).collect())
+    # a beginning that is nearly always one longer term says no more than that term
+    kept: list = []
+    for r in sorted(best, key=lambda r: (-len(r.term), r.term)):
+        if not any(k.toxic >= 0.9 * r.toxic and k.term.startswith(r.term) for k in kept):
+            kept.append(r)
+    kept = sorted(kept, key=lambda r: (-r.toxic * r.odds, r.term))[:size]
+    return [r.term for r in kept], np.array([r.odds for r in kept])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
