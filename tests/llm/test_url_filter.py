@@ -16,7 +16,8 @@ def link(*urls):
 ROWS = [(1, "http://WWW.Example.com/en/x?q#f", link("http://c.org/a", "/rel")), (2, "https://a.example.com/en/x", None), (3, "http://b.net/es/1", link("https://c.org/")),
         (4, "http://c.org", link("//d.org/x", "http://b.net/es/1")), (5, "http://d.org/p", link("http://b.net/")), (6, None, "<a href='http://c.org'>"), (7, "no scheme", ""),
         (8, "ftp://x.com", None), (9, "http://x.com/?a://b", "<a href=http://D.org>"), (10, "http://notnet/es/", ""), (11, "http://b.net/es/1", link("https://c.org/")),
-        (12, "http://é.org/ä#x", "x" * 200_000), (13, "http://m.d.org/", ""), (14, "://", "")]
+        (12, "http://é.org/ä#x", "x" * 200_000), (13, "http://m.d.org/", ""), (14, "://", ""),
+        (15, "http://e.org/x", link("http://b.net/es/1"))]
 
 
 def parts(url):
