@@ -19,6 +19,7 @@ class Catalog:
         self.tables: dict[str, DataFrame] = dict(tables or {})
         self.models: dict[str, ModelSpec] = dict(models or {})
         self.loaders: dict = {}
+        self.landed: dict[str, DataFrame] = {}  # landing fixtures derived from these tables, once written
 
     # -- construction -----------------------------------------------------
     @classmethod
@@ -64,6 +65,12 @@ class Catalog:
             out.loaders["part_supplier"] = lambda: out.df("lineitem").select("l_partkey", "l_suppkey").distinct()
         return out
 
+    def with_loaders(self, loaders: dict) -> "Catalog":
+        """Tables that are built (planned and analysed) only when asked for."""
+        out = Catalog(self.spark, {k: v for k, v in self.tables.items() if k not in loaders}, self.models)
+        out.loaders = {**self.loaders, **loaders}
+        return out
+
     def table(self, name: str):
         from .operators.table import Table
         return Table(self, name)

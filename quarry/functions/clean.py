@@ -149,17 +149,36 @@ def variant_int(v: str, k: str | None = None, default=None) -> str:
     numbers truncate toward zero, int-looking text parses, the rest fails."""
     k = _k(v, k)
     val = (f"CASE WHEN {k} = 'bool' THEN CAST({vget(v, '$', 'boolean')} AS BIGINT) "
-           f"WHEN {k} IN ('int', 'num') THEN {vget(v, '$', 'bigint')} "
-           f"WHEN {k} = 'str' THEN {int_text(vget(v, '$', 'string'))} END")
+           f"WHEN {k} IN ('int', 'num') THEN coalesce({vget(v, '$', 'bigint')}, {_saturated(vget(v, '$', 'double'))}) "
+           f"WHEN {k} = 'str' THEN {_big_int_text(vget(v, '$', 'string'))} END")
     return f"coalesce({val}, CAST({int(default)} AS BIGINT))" if default is not None else val
 
 
+def _saturated(x: str) -> str:
+    """A number beyond bigint → the bigint at that end (Python's ints have no end; the caps come later)."""
+    return f"CASE WHEN {x} >= 9.2e18D THEN 9223372036854775807L WHEN {x} <= -9.2e18D THEN -9223372036854775807L END"
+
+
+def _big_int_text(s: str) -> str:
+    """``int_text`` with values beyond bigint at its ends."""
+    end = f"CASE WHEN {pystrip(s)} LIKE '-%' THEN -9223372036854775807L ELSE 9223372036854775807L END"
+    return f"CASE WHEN {s} RLIKE {q(INT_TEXT)} THEN coalesce(try_cast(regexp_replace({pystrip(s)}, '_', '') AS BIGINT), {end}) END"
+
+
+# What ``float(text)`` accepts; a cast alone would also take suffixes such as ``1.5f``.
+FLOAT_TEXT = r"(?i)^[+-]?(([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?|inf|infinity|nan)$"
+
+
+def float_text(s: str) -> str:
+    return f"CASE WHEN {pystrip(s)} RLIKE {q(FLOAT_TEXT)} THEN try_cast(regexp_replace({pystrip(s)}, '_', '') AS DOUBLE) END"
+
+
 def variant_float(v: str, k: str | None = None, default: float | None = 0.0) -> str:
     """F6 ``float(x)``, ``default`` on failure (text such as ``' 0.52 '`` accepted)."""
     k = _k(v, k)
     val = (f"CASE WHEN {k} = 'bool' THEN CAST({vget(v, '$', 'boolean')} AS DOUBLE) "
            f"WHEN {k} IN ('int', 'num') THEN {vget(v, '$', 'double')} "
-           f"WHEN {k} = 'str' THEN try_cast({pystrip(vget(v, '$', 'string'))} AS DOUBLE) END")
+           f"WHEN {k} = 'str' THEN {float_text(vget(v, '$', 'string'))} END")
     return f"coalesce({val}, CAST({float(default)!r} AS DOUBLE))" if default is not None else val
 
 

@@ -19,10 +19,10 @@ from __future__ import annotations
 import itertools
 import json
 from dataclasses import dataclass
-from decimal import Decimal
 from functools import reduce
 from typing import Any
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +32,7 @@ from ..model import compound_key_name
 LOGICAL = ("AND", "OR", "NOT")
 SCALAR_OPS = {"equals", "not", "in", "not_in", "lt", "lte", "gt", "gte", "contains", "startswith",
               "endswith", "mode", "search", "has", "has_every", "has_some", "is_empty"}
-# spelling aliases accepted by the client (camelCase forms)
+# Spelling aliases that clients use (camelCase forms)
 ALIASES = {"startsWith": "startswith", "endsWith": "endswith", "notIn": "not_in", "isNot": "is_not",
            "hasEvery": "has_every", "hasSome": "has_some", "isEmpty": "is_empty"}
 RELATION_OPS = {"is", "is_not", "some", "none", "every"}
@@ -56,7 +56,7 @@ def _lit(v: Any) -> Column:
     if isinstance(v, (bytes, bytearray)):
         return F.lit(bytearray(v))
     if isinstance(v, (list, tuple)):
-        return F.array(*[_lit(x) for x in v]) if v else F.array().cast("array<string>")
+        return F.array(*[_lit(x) for x in v]) if v else F.array()  # an empty list takes the other side's type
     return F.lit(v)
 
 
@@ -65,9 +65,8 @@ def _canon_json(c: Column) -> Column:
 
 
 def search_terms(query: str) -> list[str]:
-    """Query terms of a full-text filter: lower-cased, split on non-word runs."""
-    import re
-    return [t for t in re.split(r"[^\w]+", query.lower()) if t]
+    """Query terms of a full-text filter, cut as ``text_tokens`` cuts texts."""
+    return [t for t in regex.split(r"[^\p{L}\p{N}]+", query.lower()) if t]
 
 
 def text_tokens(c: Column) -> Column:
@@ -163,10 +162,6 @@ def _field_filter(c: Column, spec: Any, dtype: T.DataType | None) -> Column:
     return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)
 
 
-def _decimal_safe(v):
-    return Decimal(v) if isinstance(v, str) else v
-
-
 def compile_where(cat, model: str, where: Any, alias: str, df: DataFrame | None = None) -> Column:
     """Compile a where-dict on ``model`` whose DataFrame is aliased ``alias``."""
     if where is None:

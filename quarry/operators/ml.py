@@ -4,10 +4,10 @@
   ``OneHotEncoder(dropLast=True)``: every known category gets a slot and an
   unseen or NULL value (the extra "keep" index, the dropped last slot) becomes
   the all-zero vector; numeric columns pass through (P9 splits them by type).
-* ML2 / N7: stratified 80/20 split.  Exact mode ranks rows inside each class by
-  ``md5(key ':' seed)`` (a window per class); ``exact=False`` uses a hash
-  bucket per row instead — no window, approximate class shares — for classes
-  too large for one task.
+* ML2 / N7: stratified 80/20 split: per class, the rows with the smallest
+  ``md5(key ':' seed)``, found by counting buckets of the hash and ranking
+  within a bucket, so no task sees a whole class.  ``exact=False`` decides each
+  row by its hash alone (approximate class shares, no shuffle).
 * ML3 / ML4: ``LogisticRegression(maxIter=500)``; an L2 penalty with C=1 on the
   summed loss equals ``regParam = 1/(C·n)`` on Spark's mean loss, without
   standardisation; string labels go through ``StringIndexer`` / ``IndexToString``.
@@ -66,10 +66,17 @@ def stratified_split(df: DataFrame, label: str | None, key: str, test_size: floa
     if not exact:
         bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(10000))
         return df.withColumn("is_test", bucket < int(test_size * 10000))
-    part = [F.col(label)] if label else []
-    w = Window.partitionBy(*part).orderBy(h, F.col(key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*part))
-    return df.withColumn("is_test", F.row_number().over(w) <= F.ceil(F.lit(test_size) * n))
+    # rank by buckets of the hash's first bits: counts say which buckets are taken whole, so rows are
+    # ranked within one bucket of their class only (at most 65,536 counts a class)
+    rows = df.withColumn("__h", h).withColumn("__class", F.to_json(F.struct(F.col(label).alias("v"))) if label else F.lit(""))
+    rows = rows.withColumn("__bucket", F.substring("__h", 1, 4))
+    counts = rows.groupBy("__class", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    by_class = counts.groupBy("__class").agg(F.ceil(F.lit(test_size) * F.sum("__n")).alias("__need"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__class").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quota = counts.withColumn("__before", before).join(by_class, "__class").select("__class", "__bucket", (F.col("__need") - F.col("__before")).alias("__quota"))
+    rank = F.row_number().over(Window.partitionBy("__class", "__bucket").orderBy("__h", F.col(key)))
+    out = rows.withColumn("__rank", rank).join(quota, ["__class", "__bucket"])
+    return out.select(*df.columns, (F.col("__rank") <= F.col("__quota")).alias("is_test"))
 
 
 def accuracy(pred: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -83,6 +83,11 @@ def duplicate_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def check_distinct(changes: DataFrame, key: tuple[str, ...]) -> None:
+    if not duplicate_keys(changes, key).isEmpty():
+        raise UniqueViolation(f"a key of {key} is repeated in the change set; give a seq to let the last one win")
+
+
 def check_unique(new: DataFrame, old: DataFrame, key: tuple[str, ...]) -> None:
     clash = new.select(*key).join(old.select(*key), list(key), "left_semi")
     if not clash.isEmpty() or not duplicate_keys(new, key).isEmpty():
@@ -108,29 +113,50 @@ def insert(old: DataFrame, data: DataFrame, spec: ModelSpec, check: bool = True)
 
 
 def insert_many(old: DataFrame, data: DataFrame, spec: ModelSpec, skip_duplicates: bool = False,
-                check: bool = True) -> Result:
+                check: bool = True, seq: str | None = None) -> Result:
+    """Of rows that share a key, ``skip_duplicates`` keeps the first by ``seq``
+    (without one, the smallest row, as a table has no order)."""
     new = conform(data, spec, like=old)
+    if check:
+        check_required(new, spec)
     if skip_duplicates and spec.key:
-        w = Window.partitionBy(*spec.key).orderBy(*[F.col(c).asc_nulls_first() for c in new.columns])
-        new = new.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+        order = [F.col(c).asc_nulls_first() for c in new.columns]
+        if seq is not None:
+            keyed = data.withColumn("__rn", F.row_number().over(Window.partitionBy(*spec.key).orderBy(seq, *[c for c in new.columns if c in data.columns])))
+            new = conform(keyed.where("__rn = 1"), spec, like=old)
+        else:
+            new = new.withColumn("__rn", F.row_number().over(Window.partitionBy(*spec.key).orderBy(*order))).where("__rn = 1").drop("__rn")
         new = new.join(old.select(*spec.key), list(spec.key), "left_anti")
-    elif check:
-        check_required(new, spec)
-        if spec.key:
-            check_unique(new, old, spec.key)
+    elif check and spec.key:
+        check_unique(new, old, spec.key)
     return Result(old.unionByName(new.select(*old.columns)), new)
 
 
 # -- M3 upsert ----------------------------------------------------------------------
 
 def upsert(old: DataFrame, changes: DataFrame, spec: ModelSpec, seq: str | None = None,
-           create_defaults: bool = True) -> Result:
+           create_defaults: bool = True, create: DataFrame | None = None) -> Result:
     """Insert new keys, update existing ones; a NULL in the change set keeps the
-    old value (P8) while ``''`` / ``0`` overwrite it."""
+    old value (P8) while ``''`` / ``0`` overwrite it.  With ``create`` (same
+    keys), new rows take its values instead.  Without ``seq`` a key may stand
+    only once in the change set."""
     key = spec.key
     if not key:
         raise ValueError("upsert needs a keyed model")
+    if seq is None:
+        check_distinct(changes, key)
     ch = last_per_key(changes, key, seq)
+    if create is not None:
+        check_distinct(create, key)
+        made = [c for c in old.columns if c not in key and c in create.columns]
+        given = create.select(*key, *[F.col(c).alias(f"__c_{c}") for c in made], F.lit(True).alias("__made"))
+        known = old.select(*key, F.lit(True).alias("__known"))
+        both = ch.join(given, list(key), "full_outer").join(known, list(key), "left")
+        new = F.col("__known").isNull() & F.col("__made").isNotNull()
+        cols = [F.when(new, F.col(f"__c_{c}") if c in made else F.lit(None)).otherwise(F.col(c) if c in ch.columns else F.lit(None)).cast(old.schema[c].dataType).alias(c)
+                for c in old.columns if c not in key and (c in ch.columns or c in made)]
+        # a row that only ``create`` names leaves a present row as it is
+        ch = both.select(*key, *cols)
     value_cols = [c for c in old.columns if c not in key]
     o = old.select(*key, *[F.col(c).alias(f"__o_{c}") for c in value_cols], F.lit(True).alias("__old"))
     n = ch.select(*key, *[F.col(c).alias(f"__n_{c}") for c in value_cols if c in ch.columns],
@@ -177,6 +203,8 @@ def _apply_op(c: Column, op: Any, dtype: T.DataType) -> Column:
         return (c * F.lit(v)).cast(dtype)
     if name == "divide":
         # ANSI mode: dividing by zero raises.  Integer fields truncate toward zero.
+        if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) and isinstance(v, int):
+            return F.call_function("div", c.cast("bigint"), F.lit(v).cast("bigint")).cast(dtype)
         q = c / F.lit(v)
         if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
             return F.when(c.isNull(), F.lit(None)).otherwise(
@@ -205,7 +233,8 @@ def update_where(old: DataFrame, data: dict, pred: Column | None, spec: ModelSpe
 
 def update_from(old: DataFrame, changes: DataFrame, key: tuple[str, ...]) -> Result:
     """Update by key from a change table (M5 table form); absent keys do nothing.
-    NULLs in the change table keep the old value."""
+    NULLs in the change table keep the old value; a key may stand there once."""
+    check_distinct(changes, key)
     value_cols = [c for c in changes.columns if c not in key]
     n = changes.select(*key, *[F.col(c).alias(f"__n_{c}") for c in value_cols], F.lit(True).alias("__hit"))
     j = old.join(n, list(key), "left")
@@ -246,13 +275,28 @@ def disconnect(links: DataFrame, pairs: DataFrame, key: tuple[str, ...]) -> Resu
                   links.join(pairs.select(*key), list(key), "left_semi"))
 
 
-def set_links(links: DataFrame, pairs: DataFrame, parent_cols: tuple[str, ...], key: tuple[str, ...]) -> Result:
-    """Replace the link set of every parent named in ``pairs``."""
-    kept = links.join(pairs.select(*parent_cols).distinct(), list(parent_cols), "left_anti")
+def set_links(links: DataFrame, pairs: DataFrame, parent_cols: tuple[str, ...], key: tuple[str, ...],
+              parents: DataFrame | None = None) -> Result:
+    """Replace the link set of every parent named in ``pairs`` or in ``parents``
+    (one that only ``parents`` names is left without links: ``set`` to an empty list)."""
+    named = pairs.select(*parent_cols)
+    if parents is not None:
+        named = named.unionByName(parents.select(*parent_cols))
+    kept = links.join(named.distinct(), list(parent_cols), "left_anti")
     fresh = pairs.select(*key).dropDuplicates(list(key))
     return Result(kept.unionByName(fresh.select(*links.columns)), fresh)
 
 
+def nested_delete(children: DataFrame, keys: DataFrame, key: tuple[str, ...], links: DataFrame | None = None,
+                  link_key: tuple[str, ...] = ()) -> tuple[Result, Result | None]:
+    """Delete the named related rows, and the links that name them (``link_key``: their columns in the order of ``key``)."""
+    gone = delete_keys(children, keys, key)
+    if links is None:
+        return gone, None
+    renamed = keys.select(*[F.col(k).alias(n) for k, n in zip(key, link_key)]).distinct()
+    return gone, delete_keys(links, renamed, link_key)
+
+
 def connect_or_create(parents: DataFrame, parent_rows: DataFrame, parent_spec: ModelSpec,
                       links: DataFrame, pairs: DataFrame, key: tuple[str, ...]) -> tuple[Result, Result]:
     p = insert_many(parents, parent_rows, parent_spec, skip_duplicates=True)
@@ -261,22 +305,20 @@ def connect_or_create(parents: DataFrame, parent_rows: DataFrame, parent_spec: M
 
 def nested_create(parents: DataFrame, parent_rows: DataFrame, parent_spec: ModelSpec,
                   children: DataFrame, child_rows: DataFrame, child_spec: ModelSpec,
-                  check: bool = False) -> tuple[DataFrame, DataFrame]:
+                  check: bool = False, foreign_key: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert parents and their children together; ``child_rows`` carry the
-    parent key (the foreign key is filled from it)."""
-    return (insert(parents, parent_rows, parent_spec, check=check),
-            insert(children, child_rows, child_spec, check=check))
+    parent key (the foreign key is filled from it).  With ``foreign_key``, a
+    child without a parent raises."""
+    made = insert(parents, parent_rows, parent_spec, check=check)
+    if foreign_key:
+        from .quality import foreign_key_orphans
+        if not foreign_key_orphans(child_rows, made, foreign_key, parent_spec.key).isEmpty():
+            raise RequiredViolation(f"rows of {child_spec.name} without a parent by {foreign_key}")
+    return made, insert(children, child_rows, child_spec, check=check)
 
 
 # -- M15 / G11: name links with counters -------------------------------------------
 
-def clean_names(df: DataFrame, id_col: str, names_col: str, name_out: str) -> DataFrame:
-    """Explode a name array; trim; drop empty names."""
-    return (df.select(F.col(id_col), F.explode(names_col).alias("__n"))
-              .select(F.col(id_col), F.trim(F.col("__n")).alias(name_out))
-              .where(F.col(name_out) != ""))
-
-
 def maintain_counted_links(links: DataFrame, counters: DataFrame, pairs: DataFrame,
                            id_col: str, name_col: str, counter_name_col: str = "name",
                            counter_col: str = "amount_games_published") -> tuple[Result, Result]:

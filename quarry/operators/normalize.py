@@ -198,13 +198,15 @@ def _valid_item(e: str) -> str:
 
 # ------------------------------------------------------------------ P4 + N3 N4 N5 page runs
 def page_run(pages: DataFrame, id_col: str = "id", page_col: str = "page_no", payload_col: str = "payload",
-             cap: int = MAX_CHILDREN) -> tuple[DataFrame, DataFrame]:
+             cap: int = MAX_CHILDREN, parsed=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Child pages ``(id, page_no, payload)`` in fetch order → (summaries, reviews).
 
     The run of pages the source visits is a prefix: it ends at the first page
     that failed (NULL payload; gives nothing), that has no valid review (gives
     its summary only), whose next cursor is missing, ``'*'`` or already used,
-    or where ``cap`` reviews are reached.  Pages never landed end it too.
+    or where ``cap`` reviews are reached.  The first page that never landed
+    ends it too, also when later ones did.  ``parsed`` may write the parsed
+    pages once, so that the passes below read them back.
 
     * summaries (P4/N5): first non-NULL summary per id among the visited pages;
     * reviews (P5/N3): the first ``cap`` valid reviews in (page, position) order.
@@ -243,16 +245,22 @@ def page_run(pages: DataFrame, id_col: str = "id", page_col: str = "page_no", pa
     base = s3.selectExpr("id", "page_no", "failed", "next_cursor", f"{summary} AS summary",
                          f"filter(items, {e} -> {_valid_item(e)}) AS items")
     # several consumers read `base`; the fence keeps each from inlining the parse chain
-    base = base.selectExpr("*", "coalesce(size(items), 0) AS n_valid", "spark_partition_id() AS __fence")
+    base = parsed(base.selectExpr("*", "coalesce(size(items), 0) AS n_valid", "spark_partition_id() AS __fence"))
 
     # pass 1 over `base`: per id, the first stopping page and the first page with a summary
-    first_use = F.min("page_no").over(Window.partitionBy("id", "next_cursor"))
-    flagged = base.select("id", "page_no", "summary", (
+    # a cursor's first use is a grouped minimum, so a hot (id, cursor) ships one row a task
+    used = base.groupBy("id", "next_cursor").agg(F.min("page_no").alias("first_use"))
+    following = base.select("id", (F.col("page_no") - 1).alias("page_no"), F.lit(True).alias("followed")).distinct()
+    flagged = (base.select("id", "page_no", "summary", "failed", "n_valid", "next_cursor", "__fence")
+               .join(used, ["id", "next_cursor"], "left").join(following, ["id", "page_no"], "left"))
+    flagged = flagged.select("id", "page_no", "summary", (
         F.col("failed") | (F.col("n_valid") == 0) | F.col("next_cursor").isNull()
-        | (F.col("next_cursor") == "*") | (first_use < F.col("page_no")) | (F.col("__fence") < 0)).alias("stop"))
+        | (F.col("next_cursor") == "*") | F.coalesce(F.col("first_use") < F.col("page_no"), F.lit(False))
+        | F.col("followed").isNull() | (F.col("__fence") < 0)).alias("stop"))
     has_summary = F.col("summary").isNotNull()
     per_id = flagged.groupBy("id").agg(
-        F.min(F.when(F.col("stop"), F.col("page_no"))).alias("stop_page"),
+        # a run begins at page 1: without it nothing was visited
+        F.when(F.min("page_no") > 1, F.lit(0)).otherwise(F.min(F.when(F.col("stop"), F.col("page_no")))).alias("stop_page"),
         F.min(F.when(has_summary, F.col("page_no"))).alias("summary_page"),
         F.min_by("summary", F.when(has_summary, F.col("page_no"))).alias("summary"))
 
@@ -297,9 +305,10 @@ def id_list_pages(pages: DataFrame, page_col: str = "page_no", payload_col: str
                                   f"'appid', {C.vget(b, '$', 'bigint')})) AS apps")
     flagged = s2.selectExpr("page_no", "apps", "coalesce(size(apps), 0) = 0 AS empty",
                             "coalesce(size(apps), 0) > 0 AND NOT coalesce(try_element_at(apps, -1).ok, false) AS tail_bad")
-    # the two stop pages are scalar subqueries: computed once, used as literals
-    empty_page = flagged.where("empty").select(F.min("page_no")).scalar()
-    bad_page = flagged.where("tail_bad").select(F.min("page_no")).scalar()
+    # both stop pages are one aggregate: a scalar subquery, computed once and used as a literal
+    stops = flagged.agg(F.struct(F.min(F.when(F.col("empty"), F.col("page_no"))).alias("empty"),
+                                 F.min(F.when(F.col("tail_bad"), F.col("page_no"))).alias("bad")).alias("s")).scalar()
+    empty_page, bad_page = stops["empty"], stops["bad"]
     kept = flagged.where((empty_page.isNull() | (F.col("page_no") < empty_page))
                          & (bad_page.isNull() | (F.col("page_no") <= bad_page)))
     out = kept.select("page_no", F.posexplode("apps").alias("pos", "app"))

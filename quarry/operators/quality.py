@@ -7,10 +7,11 @@ pass (grouped counts are partially aggregated before the shuffle).
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 from typing import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,7 +56,7 @@ def partial(df: DataFrame, include: Iterable[str] | None = None, exclude: Iterab
     """Column subset of a table.  ``include`` xor ``exclude``; unknown
     names are errors; relation (struct / array) columns are dropped unless
     named in ``relations``.  ``required`` / ``optional`` change nullability
-    in the schema (``required`` rows must then pass ``required_violations``)."""
+    in the schema; a NULL in a required column raises when it is read."""
     if include is not None and exclude is not None:
         raise ValueError("include and exclude are exclusive")
     cols = df.columns
@@ -70,8 +71,15 @@ def partial(df: DataFrame, include: Iterable[str] | None = None, exclude: Iterab
     out = df.select(*keep)
     req, opt = set(required or []), set(optional or [])
     if req or opt:
-        fields = [T.StructField(f.name, f.dataType, False if f.name in req else (True if f.name in opt else f.nullable))
-                  for f in out.schema.fields]
-        out = out.select(*[F.col(f.name) for f in fields])
-        # nullability is metadata only; enforce `required` with required_violations
+        out = out.select(*[_required(F.col(f.name), f) if f.name in req else
+                           F.when(F.lit(True), F.col(f.name)).alias(f.name) if f.name in opt else F.col(f.name)
+                           for f in out.schema.fields])
     return out
+
+
+def _required(c: Column, f: T.StructField) -> Column:
+    """A non-nullable column: a NULL raises when the rows are read."""
+    filler = {T.StringType: "", T.BooleanType: False, T.DateType: datetime.date(1970, 1, 1),
+              T.TimestampType: datetime.datetime(1970, 1, 1), T.TimestampNTZType: datetime.datetime(1970, 1, 1)}.get(type(f.dataType), 0)
+    checked = F.when(c.isNull(), F.raise_error(F.lit(f"{f.name} is required")).cast(f.dataType)).otherwise(c)
+    return F.coalesce(checked, F.lit(filler).cast(f.dataType)).alias(f.name)

@@ -111,13 +111,42 @@ def page(df: DataFrame, keys: list[SortKey], *, cursor_values: list[Column] | No
             pred = after_or_at(keys, cursor_values)
         df = df.where(pred)
     reverse = take is not None and take < 0
-    if ordered or skip or take is not None:
+    if take is None and skip:
+        return slice_rows(df, as_sort(keys), skip)
+    if ordered or take is not None:
         df = df.orderBy(*as_sort(keys, reverse=reverse))
     if skip:
         df = df.offset(skip)
     if take is not None:
         df = df.limit(abs(take))
-    return df
+    # read backwards, given in the requested order
+    return df.orderBy(*as_sort(keys)) if reverse else df
+
+
+def slice_rows(df: DataFrame, sort: list[Column], skip: int = 0, take: int | None = None) -> DataFrame:
+    """Rows ``skip`` … ``skip + take`` of a sorted table, without one task that sees them all.
+
+    The sorted rows are checkpointed with their partition and place; the sizes
+    of the partitions (one small row each) say where the slice begins and ends.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    rows = (df.orderBy(*sort).withColumn("__part", F.spark_partition_id())
+            .withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint())
+    sizes = sorted((r["__part"], r["n"]) for r in rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    end = None if take is None else skip + take
+    at, keep = 0, F.lit(False)
+    whole: list[int] = []
+    for part, n in sizes:
+        low, high = max(skip - at, 0), n if end is None else min(n, end - at)
+        if low == 0 and high == n:
+            whole.append(part)
+        elif low < high:
+            keep = keep | ((F.col("__part") == part) & (F.col("__place") >= low) & (F.col("__place") < high))
+        at += n
+    if whole:  # the whole partitions are neighbours
+        keep = keep | F.col("__part").between(whole[0], whole[-1])
+    return rows.where(keep).drop("__part", "__place")
 
 
 def cursor_row_values(df_all: DataFrame, keys_on: list[tuple[str | Column, bool]],
@@ -132,6 +161,12 @@ def cursor_row_values(df_all: DataFrame, keys_on: list[tuple[str | Column, bool]
     return [row.select(expr.alias("v")).scalar() for expr in [k for k, _ in keys_on]]
 
 
+def cursor_row_exists(df_all: DataFrame, cursor: dict) -> Column:
+    """Whether the cursor names a row; without one, a read from it is empty."""
+    cond = reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in cursor.items()])
+    return df_all.where(cond).select(F.count(F.lit(1)).alias("v")).scalar() > 0
+
+
 def count_columns(df: DataFrame, select: dict | None) -> DataFrame:
     """``count()`` → ``_all``; ``count(select={f: True, _all: True})`` → per field."""
     if select is None or not select:

@@ -57,18 +57,22 @@ class Table:
             df = _read.first_per_group(df, list(distinct), keys)
         cursor_values = None
         if cursor:
-            cursor_values = _read.cursor_row_values(df, keys, cursor)
+            # the cursor names a row of the table, which the filter may leave out
+            cursor_values = _read.cursor_row_values(self.df, keys, cursor)
+            df = df.where(_read.cursor_row_exists(self.df, cursor))
         df = _read.page(df, keys, cursor_values=cursor_values, skip=skip, take=take,
                         ordered=order is not None)
         if include:
             df = _include.include(self.cat, self.name, df, include)
+            if order is not None or skip or take is not None:  # joins give no order
+                df = df.orderBy(*_read.as_sort(keys))
         if select:
             df = df.select(*select)
         return df
 
     def find_first(self, where: Any = None, order: Any = None, skip: int | None = None,
-                   cursor: dict | None = None, include: dict | None = None) -> DataFrame:
-        return self.find_many(where=where, order=order, take=1, skip=skip, cursor=cursor, include=include)
+                   cursor: dict | None = None, include: dict | None = None, distinct: list[str] | None = None) -> DataFrame:
+        return self.find_many(where=where, order=order, take=1, skip=skip, cursor=cursor, include=include, distinct=distinct)
 
     def find_first_or_raise(self, **kw) -> DataFrame:
         df = self.find_first(**kw)
@@ -114,27 +118,42 @@ class Table:
         return _include.include_flat(self.cat, self.name, df, rel_name, args)
 
     # -- mutations (set-based; each returns DataFrames, nothing is written) -----
-    def create(self, data: DataFrame) -> DataFrame:
-        return _mutate.insert(self.df, data, self.spec)
+    def _including(self, res: _mutate.Result, include: dict | None) -> _mutate.Result:
+        """The affected rows with their relations, read from the catalogue after the change."""
+        if not include:
+            return res
+        return _mutate.Result(res.table, _include.include(self.cat.with_table(self.name, res.table), self.name, res.affected, include))
+
+    def create(self, data: DataFrame, include: dict | None = None) -> DataFrame | _mutate.Result:
+        """The table after the insert; with ``include``, a Result whose affected rows carry their relations."""
+        table = _mutate.insert(self.df, data, self.spec)
+        if not include:
+            return table
+        return self._including(_mutate.Result(table, _mutate.conform(data, self.spec, like=self.df)), include)
 
     def create_many(self, data: DataFrame, skip_duplicates: bool = False) -> _mutate.Result:
         return _mutate.insert_many(self.df, data, self.spec, skip_duplicates=skip_duplicates)
 
-    def upsert(self, changes: DataFrame, create: DataFrame | None = None, seq: str | None = None) -> _mutate.Result:
-        return _mutate.upsert(self.df, changes, self.spec, seq=seq)
+    def upsert(self, changes: DataFrame, create: DataFrame | None = None, seq: str | None = None,
+               include: dict | None = None) -> _mutate.Result:
+        """``changes`` update present rows; absent ones are made from ``create`` (from ``changes`` without it)."""
+        return self._including(_mutate.upsert(self.df, changes, self.spec, seq=seq, create=create), include)
 
     def update_many(self, data: dict, where: Any = None) -> _mutate.Result:
         a = fresh_alias(self.name)
         pred = compile_where(self.cat, self.name, where, a, self.df) if where is not None else None
         return _mutate.update_where(self.df.alias(a), data, pred, self.spec)
 
-    def update(self, data: dict, where: dict) -> _mutate.Result:
-        return self.update_many(data, self._unique_where(where))
+    def update(self, data: dict, where: dict, include: dict | None = None) -> _mutate.Result:
+        return self._including(self.update_many(data, self._unique_where(where)), include)
 
     def delete_many(self, where: Any = None) -> _mutate.Result:
         a = fresh_alias(self.name)
         pred = compile_where(self.cat, self.name, where, a, self.df) if where is not None else None
         return _mutate.delete_where(self.df.alias(a), pred)
 
-    def delete(self, where: dict) -> _mutate.Result:
-        return self.delete_many(self._unique_where(where))
+    def delete(self, where: dict, include: dict | None = None) -> _mutate.Result:
+        res = self.delete_many(self._unique_where(where))
+        if not include:
+            return res
+        return _mutate.Result(res.table, _include.include(self.cat, self.name, res.affected, include))

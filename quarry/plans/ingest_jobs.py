@@ -26,12 +26,10 @@ def resume_difference(ids: DataFrame, id_col: str, processed: Iterable[DataFrame
 
 def offset_limit(ids: DataFrame, seq: str = "seq", offset: int = 0, limit: int | None = None) -> DataFrame:
     """Skip the first ``offset`` rows of file order, then keep ``limit``."""
-    out = ids
-    if offset:
-        out = out.orderBy(seq).offset(offset)
-    if limit is not None:
-        out = out.orderBy(seq).limit(limit)
-    return out
+    if not offset and limit is None:
+        return ids
+    from ..operators.read import slice_rows
+    return slice_rows(ids, [F.col(seq)], offset, limit)
 
 
 def distinct_sorted_ids(df: DataFrame, column: str) -> DataFrame:
@@ -44,7 +42,7 @@ def distinct_sorted_ids(df: DataFrame, column: str) -> DataFrame:
 # The full ingest job as one lineage
 # ---------------------------------------------------------------------------
 
-from dataclasses import dataclass  # noqa: E402
+from functools import cached_property, partial  # noqa: E402
 
 from pyspark.sql import Column  # noqa: E402
 
@@ -86,13 +84,57 @@ ENTITY_TYPES = {
 }
 
 
-@dataclass
 class IngestRun:
-    ids: DataFrame        # (seq, appid) processed, in file order
-    entities: DataFrame   # the 34-column merged records (one per processed id occurrence)
-    reviews: DataFrame    # the 15-column child rows (+ seq, rank)
-    store: DataFrame      # normalised store rows, with link lists
-    catalog: Catalog | None  # catalogue tables after upserts and link upkeep
+    """One run of the job.  Every part is planned when it is first asked for.
+
+    * ``ids``: (seq, appid) processed, in file order;
+    * ``entities``: the 34-column merged records (one per processed id occurrence);
+    * ``reviews``: the 15-column child rows (+ seq, rank);
+    * ``store``: normalised store rows, with link lists;
+    * ``catalog``: catalogue tables after upserts and link upkeep, or None.
+    """
+
+    def __init__(self, ids: DataFrame, wanted: DataFrame | None, bodies: tuple[DataFrame, DataFrame, DataFrame],
+                 catalog: Catalog | None, run_ts: str | None, max_children: int, checkpoint: bool):
+        self.ids, self._wanted, self._bodies = ids, wanted, bodies
+        self._base, self._run_ts, self._cap, self._checkpoint = catalog, run_ts, max_children, checkpoint
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        if not self._checkpoint:
+            return df
+        from ..session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint()
+
+    @cached_property
+    def store(self) -> DataFrame:
+        return self._kept(N.store_records(_only(self._bodies[0], self._wanted)))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self._kept(N.stats_records(_only(self._bodies[1], self._wanted)))
+
+    @cached_property
+    def _pages(self) -> tuple[DataFrame, DataFrame]:
+        pages = _only(self._bodies[2], self._wanted).select("id", "page_no", "payload")
+        return N.page_run(pages, cap=self._cap, parsed=self._kept)
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        return merge_sources(self.ids, self.store, self.stats, self._pages[0], self._run_ts)
+
+    @property
+    def entities(self) -> DataFrame:
+        return self.merged.drop("seq")
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        # each occurrence of an id in the list writes its children again
+        return self._pages[1].join(self.ids.select(F.col("appid").alias("gameId"), "seq"), "gameId")
+
+    @cached_property
+    def catalog(self) -> Catalog | None:
+        return None if self._base is None else apply_to_catalogue(self._base, self)
 
 
 def select_ids(id_texts: DataFrame, offset: int = 0, limit: int | None = None,
@@ -109,9 +151,18 @@ def select_ids(id_texts: DataFrame, offset: int = 0, limit: int | None = None,
     return ids
 
 
-def _only(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Payloads of the ids in this run (left-semi join), decoded to VARIANT."""
-    return landing_payloads(bodies.join(wanted, bodies["id"] == wanted["appid"], "left_semi"))
+def _only(bodies: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Payloads of the ids in this run (left-semi join; none when the run takes all ids), decoded to VARIANT.
+
+    A body landed again replaces the earlier one of its id (and page): bodies
+    with a ``landed`` column are cut to the latest before they are parsed;
+    without that column each id (and page) must stand once."""
+    if "landed" in bodies.columns:
+        key = tuple(c for c in ("id", "page_no") if c in bodies.columns)
+        bodies = M.last_per_key(bodies, key, "landed")
+    if wanted is not None:
+        bodies = bodies.join(wanted, bodies["id"] == wanted["appid"], "left_semi")
+    return landing_payloads(bodies)
 
 
 def merge_sources(ids: DataFrame, store: DataFrame | None, stats: DataFrame | None,
@@ -157,66 +208,68 @@ def ingest(id_texts: DataFrame, store_bodies: DataFrame, stats_bodies: DataFrame
     """Ids → offset → resume → limit → normalise the three sources →
     merge → upsert entities and children → links / dimensions.
 
-    Lazy throughout; the caller writes ``entities`` / ``reviews`` (CSV sinks)
-    and the catalogue tables (``sinks.publish``).  The three sources and the
-    merge are joined on the id, so one hash partitioning on the id serves
-    every join (Catalyst broadcasts sides it measures as small).
-
-    ``checkpoint=True`` (for big runs) writes the normalised sources once to
-    the session's shared ``spark.checkpoint.dir``: the merge, upserts and link
-    upkeep then read them instead of re-parsing payloads in each branch, and a
-    lost executor re-reads them instead of recomputing the lineage."""
+    Lazy throughout, and only what is asked for is planned; the caller writes
+    ``entities`` / ``reviews`` (CSV sinks) and the catalogue tables
+    (``sinks.publish``).  The three sources and the merge are joined on the id,
+    so one hash partitioning on the id serves every join (Catalyst broadcasts
+    sides it measures as small).  A run over all ids needs no semi-join of the
+    raw bodies.
+
+    ``checkpoint=True`` (for big runs) writes the normalised sources and the
+    parsed pages once to the session's shared ``spark.checkpoint.dir``: the
+    merge, upserts and link upkeep then read them instead of re-parsing
+    payloads in each branch, and a lost executor re-reads them instead of
+    recomputing the lineage."""
     ids = select_ids(id_texts, offset, limit, processed)
-    wanted = ids.select("appid").distinct()
-    store = N.store_records(_only(store_bodies, wanted))
-    stats = N.stats_records(_only(stats_bodies, wanted))
-    summaries, reviews = N.page_run(_only(page_bodies, wanted).select("id", "page_no", "payload"),
-                                    cap=max_children)
-    if checkpoint:
-        from ..session import checkpoint_dir
-        checkpoint_dir(ids.sparkSession)
-        store, stats, summaries, reviews = (store.checkpoint(), stats.checkpoint(), summaries.checkpoint(),
-                                            reviews.checkpoint())
-    entities = merge_sources(ids, store, stats, summaries, run_ts)
-    # each occurrence of an id in the list writes its children again
-    review_rows = reviews.join(ids.select(F.col("appid").alias("gameId"), "seq"), "gameId")
-    cat_after = None
-    if catalog is not None:
-        cat_after = apply_to_catalogue(catalog, ids, entities, store, review_rows)
-    return IngestRun(ids, entities.drop("seq"), review_rows, store, cat_after)
-
-
-def apply_to_catalogue(cat: Catalog, ids: DataFrame, entities: DataFrame, store: DataFrame,
-                       reviews: DataFrame) -> Catalog:
-    """Upserts and link upkeep of one run (M3, M15, M16), set-based.
+    everything = not offset and limit is None and not processed
+    wanted = None if everything else ids.select("appid").distinct()
+    return IngestRun(ids, wanted, (store_bodies, stats_bodies, page_bodies), catalog, run_ts, max_children, checkpoint)
+
+
+def apply_to_catalogue(cat: Catalog, run: IngestRun) -> Catalog:
+    """Upserts and link upkeep of one run (M3, M15, M16), set-based; each table is planned when it is asked for.
 
     Repeated ids: the last occurrence (highest ``seq``) wins, and links /
     counters only count new distinct pairs, so rerunning a batch changes nothing."""
-    game_cols = [f.name for f in CATALOGUE_MODELS["Game"].schema.fields]
-    games = M.upsert(cat.df("Game"), entities.select("seq", *game_cols), CATALOGUE_MODELS["Game"], seq="seq")
-    review_cols = [f.name for f in CATALOGUE_MODELS["Review"].schema.fields]
-    rv = reviews.select(*review_cols, (F.col("seq") * 1000 + F.col("rank")).alias("__seq"))
-    revs = M.upsert(cat.df("Review"), rv, CATALOGUE_MODELS["Review"], seq="__seq")
-    s = store.join(ids.select(F.col("appid").alias("id"), "seq"), "id")
-    dev_pairs = N.name_links(s, "developer_names", "developerName").select(
-        F.col("gameId").cast("int"), "developerName")
-    pub_pairs = N.name_links(s, "publisher_names", "publisherName").select(
-        F.col("gameId").cast("int"), "publisherName")
-    dev_links, devs = M.maintain_counted_links(cat.df("GameDeveloper"), cat.df("Developer"), dev_pairs,
-                                               "gameId", "developerName")
-    pub_links, pubs = M.maintain_counted_links(cat.df("GamePublisher"), cat.df("Publisher"), pub_pairs,
-                                               "gameId", "publisherName")
-    out = (cat.with_table("Game", games.table).with_table("Review", revs.table)
-           .with_table("GameDeveloper", dev_links.table).with_table("Developer", devs.table)
-           .with_table("GamePublisher", pub_links.table).with_table("Publisher", pubs.table))
+    def games():
+        cols = [f.name for f in CATALOGUE_MODELS["Game"].schema.fields]
+        return M.upsert(cat.df("Game"), run.merged.select("seq", *cols), CATALOGUE_MODELS["Game"], seq="seq").table
+
+    def reviews():
+        cols = [f.name for f in CATALOGUE_MODELS["Review"].schema.fields]
+        rows = run.reviews.select(*cols, F.struct("seq", "rank").alias("__seq"))
+        return M.upsert(cat.df("Review"), rows, CATALOGUE_MODELS["Review"], seq="__seq").table
+
+    def listed() -> DataFrame:
+        return run.store.join(run.ids.select(F.col("appid").alias("id"), "seq"), "id")
+
+    def counted(names: str, name_col: str, link: str, table: str, part: int):
+        pairs = N.name_links(listed(), names, name_col).select(F.col("gameId").cast("int"), name_col)
+        return M.maintain_counted_links(cat.df(link), cat.df(table), pairs, "gameId", name_col)[part].table
+
+    def dimension(list_col: str, dim: str, link: str, link_col: str, part: int):
+        items = N.item_links(listed(), list_col, seq="seq").select(
+            F.col("gameId").cast("int"), F.col("id").try_cast("int").alias("id"), "name",
+            F.struct("seq", "pos").alias("__seq")).where("id IS NOT NULL")  # others: oversized_items
+        table = M.maintain_dimension(cat.df(dim), cat.df(link), items, "id", link_col, "__seq")[part].table
+        return table.select(*cat.df(dim if part == 0 else link).columns)
+
+    loaders = {"Game": games, "Review": reviews}
+    for names, name_col, link, table in (("developer_names", "developerName", "GameDeveloper", "Developer"),
+                                         ("publisher_names", "publisherName", "GamePublisher", "Publisher")):
+        loaders[link] = partial(counted, names, name_col, link, table, 0)
+        loaders[table] = partial(counted, names, name_col, link, table, 1)
     for list_col, dim, link, link_col in (("categories", "Category", "GameCategory", "categoryId"),
                                           ("genres", "Genre", "GameGenre", "genreId")):
-        items = N.item_links(s, list_col, seq="seq").select(
-            F.col("gameId").cast("int"), F.col("id").cast("int").alias("id"), "name",
-            (F.col("seq") * 1000 + F.col("pos")).alias("__seq"))
-        dim_res, link_res = M.maintain_dimension(cat.df(dim), cat.df(link), items, "id", link_col, "__seq")
-        out = out.with_table(dim, dim_res.table.select(*cat.df(dim).columns)).with_table(link, link_res.table)
-    return out
+        loaders[dim] = partial(dimension, list_col, dim, link, link_col, 0)
+        loaders[link] = partial(dimension, list_col, dim, link, link_col, 1)
+    return cat.with_loaders(loaders)
+
+
+def oversized_items(store: DataFrame, list_col: str) -> DataFrame:
+    """Categories / genres whose id fits no 32-bit key: ``(gameId, id, name)``.  They are left out of the dimension."""
+    items = N.item_links(store.withColumn("seq", F.lit(0)), list_col, seq="seq")
+    return items.where(F.col("id").isNotNull() & F.col("id").try_cast("int").isNull()).select("gameId", "id", "name")
 
 
 def export_ids(pages: DataFrame) -> DataFrame:

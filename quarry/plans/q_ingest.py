@@ -260,7 +260,8 @@ def s7_landing(spark, sf):
 
 @query("s8_e2_g9_k3_id_list_export", """
 SELECT DISTINCT o_orderkey AS appid FROM orders
-WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 50 < 49) AND o_orderkey < 101 * 50 ORDER BY appid
+WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 50 < 49)
+  AND o_orderkey < ((SELECT (max(o_orderkey) // 50) * 9 // 10 FROM orders) + 1) * 50 ORDER BY appid
 """)
 def s8_e2_export(spark, sf):
     return J.export_ids(L.id_list_page_bodies(cat_of(spark, sf)))

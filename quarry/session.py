@@ -52,6 +52,12 @@ def get_spark(master: str | None = None, app: str = "quarry", shuffle_partitions
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        # the master may come from spark-submit; what the user set there stays
+        own = spark.sparkContext.getConf()
+        for k, v in CLUSTER_CONF.items():
+            if k not in conf and not own.contains(k):
+                spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -59,11 +65,14 @@ def get_spark(master: str | None = None, app: str = "quarry", shuffle_partitions
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we make one, under the
-    system temp folder; on a cluster the setting must point at shared storage.
+    Only when a local session has none (tests) do we make one, under the
+    system temp folder; on a cluster the setting must point at shared storage,
+    and without it this raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

@@ -15,14 +15,36 @@ Bodies are built as SQL expressions (one ``selectExpr``).
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.clean import q
+from ..session import checkpoint_dir
 
 RUN_TS = "2024-06-01T12:00:00"  # fixed ingest time used by the checked queries
 NEWLINE = "\n"
+PAGE_SIZE = 50  # ids on a page of the id list
+
+
+def landed(*key: str):
+    """Land a fixture's bodies once per catalogue: written to the shared folder, dealt by ``key``, and read back as files."""
+    def deco(build):
+        @functools.wraps(build)
+        def read(cat: Catalog) -> DataFrame:
+            name = build.__name__
+            if name not in cat.landed:
+                bodies = build(cat)
+                path = f"{checkpoint_dir(cat.spark)}/landing-{name}-{uuid.uuid4().hex[:12]}"
+                n = max(cat.spark.sparkContext.defaultParallelism, int(cat.spark.conf.get("spark.sql.shuffle.partitions")))
+                bodies.repartition(n, *key).write.parquet(path)
+                cat.landed[name] = cat.spark.read.schema(bodies.schema).parquet(path)
+            return cat.landed[name]
+        return read
+    return deco
 
 
 def js(c: str) -> str:
@@ -54,6 +76,7 @@ def id_texts(cat: Catalog) -> DataFrame:
 
 
 # ------------------------------------------------------------------ store
+@landed("id")
 def store_bodies(cat: Catalog) -> DataFrame:
     """``(id, body)``: one store payload per part."""
     names = (cat.df("part_supplier").join(cat.df("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -101,6 +124,7 @@ def store_bodies(cat: Catalog) -> DataFrame:
 
 
 # ------------------------------------------------------------------ stats
+@landed("id")
 def stats_bodies(cat: Catalog) -> DataFrame:
     k, sz = "p_partkey", "p_size"
     lo, hi = f"format_number({sz} * 1000, 0)", f"format_number({sz} * 2000, 0)"
@@ -114,6 +138,7 @@ def stats_bodies(cat: Catalog) -> DataFrame:
 
 
 # ------------------------------------------------------------------ child pages
+@landed("id")
 def review_page_bodies(cat: Catalog) -> DataFrame:
     """``(id, page_no, body)``: one page per conversation turn, one child per line."""
     lines = f"split(text, {q(NEWLINE)})"
@@ -139,20 +164,23 @@ def review_page_bodies(cat: Catalog) -> DataFrame:
 
 
 # ------------------------------------------------------------------ id-list pages
-def id_list_page_bodies(cat: Catalog, page_size: int = 50) -> DataFrame:
+@landed("page_no")
+def id_list_page_bodies(cat: Catalog) -> DataFrame:
     """``(page_no, body)`` pages ``{"apps": [...]}`` over ``orders`` keys.
 
     Page ``n`` holds the orders with ``o_orderkey // page_size = n``; entries
     of ``1-URGENT`` orders carry the appid as text (skipped) unless they are a
-    page's last slot, and page 101 ends with an entry without appid (the run
-    stops after it)."""
+    page's last slot, and the page nine tenths down the list ends with an entry
+    without appid (the run stops after it)."""
+    page_size = PAGE_SIZE
+    stop = cat.df("orders").agg((F.max("o_orderkey") / page_size).cast("bigint").alias("last")).select((F.col("last") * 9 / 10).cast("bigint")).scalar()
     entry = (f"CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % {page_size} < {page_size - 1} "
              f"THEN {obj(('appid', js('o_orderkey')), ('name', js('o_orderstatus')))} "
              f"ELSE {obj(('appid', s('o_orderkey')), ('name', js('o_orderstatus')))} END")
     pages = (cat.df("orders").selectExpr(f"CAST(o_orderkey / {page_size} AS BIGINT) AS page_no",
                                          "o_orderkey AS k", f"{entry} AS e")
              .groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("items")))
-    return pages.selectExpr(
+    return pages.withColumn("stop", stop).selectExpr(
         "page_no + 1 AS page_no",
         "concat('{\"apps\":[', array_join(transform(items, x -> x.e), ','), "
-        "CASE WHEN page_no = 100 THEN ',{\"name\":\"no id\"}' ELSE '' END, ']}') AS body")
+        "CASE WHEN page_no = stop THEN ',{\"name\":\"no id\"}' ELSE '' END, ']}') AS body")

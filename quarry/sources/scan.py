@@ -2,8 +2,9 @@
 payloads and raw SQL (S1–S11).
 
 Every scan returns a lazy DataFrame.  File order, where the reference depends
-on it, is kept as an explicit ``seq`` column taken at read time
-(``monotonically_increasing_id`` grows with file split and row position).
+on it, is kept as an explicit ``seq`` column taken at read time: the
+triple (file, place of the split in it, row within the split), which sorts in
+file order however Spark packs files into tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from ..model import ModelSpec
 
 # Text accepted as an integer: optional sign, digits, single underscores
 # between digit groups, surrounding whitespace allowed.
+# How our CSV sinks write: quotes doubled inside quoted text, line ends kept, no
+# trimming.  A quoted line end makes a file unsplittable, so one task reads one
+# (part) file; the sinks write one part file a task.
+CSV_READ = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false",
+            "ignoreTrailingWhiteSpace": "false", "nullValue": ""}
 INT_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 
 
@@ -30,19 +36,22 @@ def int_from_text(c: Column, to: str = "bigint") -> Column:
 
 def read_id_list(spark: SparkSession, path: str, column: str = "appid") -> DataFrame:
     """Header CSV → ``(seq, appid int)``; blank / non-int rows dropped,
-    order (``seq``) and duplicates kept.  A file without the column gives no ids."""
+    order (``seq``: files by name, then rows by place) and duplicates kept.  A
+    file without the column gives no ids."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     if column not in raw.columns:
-        return spark.createDataFrame([], "seq long, appid int")
-    return (raw.select(F.monotonically_increasing_id().alias("seq"),
+        return spark.createDataFrame([], "seq struct<file:string,block:long,row:long>, appid int")
+    return (raw.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                F.monotonically_increasing_id().alias("row")).alias("seq"),
                        int_from_text(F.col(column), "int").alias("appid"))
                .where(F.col("appid").isNotNull()))
 
 
 def existing_keys_from_csv(spark: SparkSession, path: str, column: str = "id") -> DataFrame:
-    """Distinct int ids of a CSV sink; a missing path is an empty set."""
+    """Distinct int ids of a CSV sink; a missing path is an empty set.
+    Read as the sink writes, so line ends and quotes inside texts make no ids."""
     try:
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        raw = spark.read.options(**CSV_READ).csv(path)
     except AnalysisException:
         return spark.createDataFrame([], "id int")
     if column not in raw.columns:
@@ -68,10 +77,12 @@ def read_csv_inferred(spark: SparkSession, path: str, sampling_ratio: float = 1.
 
     Inference costs a pass over the input; on big inputs pass a
     ``sampling_ratio`` (< 1) or read with a schema instead."""
-    return (spark.read.option("header", True).option("inferSchema", True)
-            .option("samplingRatio", sampling_ratio)
-            .option("multiLine", True).option("escape", '"').option("quote", '"')
-            .csv(path))
+    return spark.read.options(**CSV_READ).option("inferSchema", True).option("samplingRatio", sampling_ratio).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """S5 with a declared schema: no inference pass."""
+    return spark.read.options(**CSV_READ).schema(schema).csv(path)
 
 
 def from_rows(spark: SparkSession, rows: list[dict] | list[tuple], schema: T.StructType | str | None = None) -> DataFrame:

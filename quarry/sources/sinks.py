@@ -10,10 +10,11 @@ the path it reads.
 
 from __future__ import annotations
 
-import time
+import json
 import uuid
 from typing import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 
 from ..functions.clean import ident, iso_date, iso_datetime
 
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": ""}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _python_text(df: DataFrame, date_cols: Iterable[str] = (), datetime_cols: Iterable[str] = ()) -> DataFrame:
@@ -95,26 +97,58 @@ def write_version(df: DataFrame, root: str, table: str) -> str:
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> dict[str, str]:
     """Write every table's new version, then switch them all at once
     by writing one manifest; tables not named keep their current version."""
-    current = current_versions(spark, root)
     versions = {name: write_version(df, root, name) for name, df in tables.items()}
-    current.update(versions)
-    seq = time.time_ns()  # increases with time: the newest manifest wins
-    rows = [(name, v) for name, v in sorted(current.items())]
-    (spark.createDataFrame(rows, "table string, version string")
-     .write.mode("errorifexists").json(f"{_manifests(root)}/m={seq:020d}"))
-    return current
+    while True:
+        number, current = _newest(spark, root)
+        current.update(versions)
+        if _create_manifest(spark, root, number + 1, current):
+            return current
+        # another job published this number first: add our tables to its map
+
+
+def _folder(spark: SparkSession, root: str):
+    """The manifest folder's path and its file context (any Hadoop file system)."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_manifests(root))
+    path = path.makeQualified(path.getFileSystem(conf).getUri(), path.getFileSystem(conf).getWorkingDirectory())
+    return path, jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), conf), path.getFileSystem(conf)
+
+
+def _create_manifest(spark: SparkSession, root: str, number: int, versions: dict[str, str]) -> bool:
+    """Write manifest ``number`` under a name of its own, then rename it without overwriting; False if the number exists."""
+    jvm, (folder, context, system) = spark._jvm, _folder(spark, root)
+    draft = jvm.org.apache.hadoop.fs.Path(folder, f".draft-{uuid.uuid4().hex}")
+    out = system.create(draft, False)
+    out.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
+    out.close()
+    try:
+        context.rename(draft, jvm.org.apache.hadoop.fs.Path(folder, f"m-{number:012d}.json"),
+                       spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        system.delete(draft, False)
+        return False
+
+
+def _newest(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """Number and content of the newest manifest; only that one file is read."""
+    folder, _, system = _folder(spark, root)
+    if not system.exists(folder):
+        return 0, {}
+    names = [s.getPath().getName() for s in system.listStatus(folder)]
+    names = sorted(n for n in names if n.startswith("m-"))
+    if not names:
+        return 0, {}
+    text = "".join(r[0] for r in spark.read.text(f"{_manifests(root)}/{names[-1]}").collect())
+    return int(names[-1][2:-5]), json.loads(text)
 
 
 def current_versions(spark: SparkSession, root: str) -> dict[str, str]:
-    """The table → version map of the newest manifest (a tiny table)."""
-    try:
-        m = spark.read.json(_manifests(root))
-    except AnalysisException:
-        return {}
-    if "m" not in m.columns:
-        return {}
-    latest = m.where(F.col("m") == m.select(F.max("m")).scalar())
-    return {r["table"]: r["version"] for r in latest.select("table", "version").collect()}
+    """The table → version map of the newest manifest (one small file)."""
+    return _newest(spark, root)[1]
 
 
 def read_table(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None) -> DataFrame:
