@@ -4,13 +4,14 @@ Two documents link when 100 * |intersection| >= 75 * |union| of their sets of
 5-word shingles.  Sets that are so similar share a shingle within their
 prefixes, the first n - ceil(0.75 n) + 1 shingles in any one order of all
 shingles.  The order here puts shingles that occur in one place only first,
-then the others, by hash.  Unshared shingles can't meet anything, so a document
-that is mostly its own needs no posting at all.
+then the others, then those of more than ``HOT_CHUNKS`` chunks, each by hash.
+Unshared shingles can't meet anything, so a document that is mostly its own
+needs no posting at all; passages that many documents share come last.
 
 1. ``shingle``: sets of 64-bit hashes, in chunks of documents.  Only hashes of
    the lower half, which prefixes are taken from, are kept.
 2. ``mark_shared``: chunks ask, range by range of the hashes, which of theirs
-   occur elsewhere; one bit answers each.
+   occur elsewhere, and in many chunks; two bits answer each.
 3. ``prefixes``; documents with the same prefix and size become one group.
 4. Groups that share a prefix shingle are filtered by size and by what can
    still overlap behind it, and joined into clusters.  A shingle held by more
@@ -47,6 +48,7 @@ WORDS = 5
 PERCENT = 75
 CHUNK_TOKENS = 400_000
 RANGE_TOKENS = 500_000
+HOT_CHUNKS = 48
 SHORT_LIST = 64
 CLUSTER_SETS, CLUSTER_TOKENS = 2000, 4_000_000
 BLOCK_SETS, BLOCK_TOKENS = 1000, 2_000_000
@@ -149,10 +151,11 @@ def _cells(tokens: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mark_shared(chunks: DataFrame) -> tuple[DataFrame, int]:
-    """(chunk, range, bits): for the sorted distinct lower-half hashes of a chunk in a range, whether another chunk has them."""
+    """(chunk, range, shared, hot): for the sorted distinct lower-half hashes of a chunk in a range, bits
+    that tell whether another chunk has them, and whether more than ``HOT_CHUNKS`` have."""
     total = chunks.agg(F.sum("n_tokens")).first()[0] or 0
     bits = min(15, max(6, int(total // RANGE_TOKENS).bit_length()))
-    shift = 47 - bits
+    shift, hot_chunks = 47 - bits, HOT_CHUNKS
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -164,12 +167,18 @@ def mark_shared(chunks: DataFrame) -> tuple[DataFrame, int]:
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         cells = [np.frombuffer(x, np.uint32) for x in pdf["cells"]]
-        both = np.sort(np.concatenate([np.unique(x) for x in cells]))
-        shared = np.unique(both[1:][both[1:] == both[:-1]])
-        return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "bits": [np.packbits(np.isin(x, shared)).tobytes() for x in cells]})
+        value, count = np.unique(np.concatenate([np.unique(x) for x in cells]), return_counts=True)
+        value, count = value[count > 1], count[count > 1]
+        hot_value = value[count > hot_chunks]
+
+        def bits(known: np.ndarray) -> list[bytes]:
+            if not len(known):
+                return [np.packbits(np.zeros(len(x), bool)).tobytes() for x in cells]
+            return [np.packbits(known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x).tobytes() for x in cells]
+        return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "shared": bits(value), "hot": bits(hot_value)})
 
     asked = chunks.select("chunk", "tokens").mapInPandas(ask, "range long, chunk long, cells binary")
-    return asked.groupBy("range").applyInPandas(answer, "chunk long, range long, bits binary"), shift
+    return asked.groupBy("range").applyInPandas(answer, "chunk long, range long, shared binary, hot binary"), shift
 
 
 PREFIXED = "doc_id long, n long, d0 long, d1 long, gid long, prefix binary"
@@ -187,19 +196,23 @@ def prefixes(chunks: DataFrame, answers: DataFrame, shift: int) -> DataFrame:
             low = distinct < HALF
             top, _ = _cells(distinct[low], shift)
             edges = np.searchsorted(top, np.arange((1 << (47 - shift)) + 1, dtype=np.uint64))
-            elsewhere = np.ones(len(distinct), bool)  # upper hashes weren't asked about
+            elsewhere = np.ones(len(distinct), bool)  # upper hashes weren't asked about, and come last
             elsewhere[:len(top)] = False
-            for r, raw in zip(right["range"].tolist(), right["bits"]):
+            late = elsewhere.astype(np.uint8) * 2
+            for r, raw, hot in zip(right["range"].tolist(), right["shared"], right["hot"]):
                 a, b = int(edges[r]), int(edges[r + 1])
                 elsewhere[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a)
-            shared = (shared | elsewhere)[back]
+                late[a:b] = np.unpackbits(np.frombuffer(hot, np.uint8), count=b - a)
+            shared, late = (shared | elsewhere)[back], late[back]
             ends = np.cumsum(kept)
             owner = np.repeat(np.arange(len(ids)), kept)
             lonely = np.bincount(owner[~shared], minlength=len(ids))
             room = np.where(n > 0, n - need(n) + 1 - lonely, 0)  # of the prefix, behind the unshared
             out = []
             for a, b, k in zip((ends - kept).tolist(), ends.tolist(), room.tolist()):
-                out.append(tokens[a:b][shared[a:b]][:k].astype("<u8").tobytes() if k > 0 else None)
+                mine = shared[a:b]
+                order = np.argsort(late[a:b][mine], kind="stable") if k > 0 else None
+                out.append(tokens[a:b][mine][order][:k].astype("<u8").tobytes() if k > 0 else None)
             frames.append(pd.DataFrame({"doc_id": ids, "n": n, "d0": np.frombuffer(row.d0, np.int64), "d1": np.frombuffer(row.d1, np.int64), "prefix": out}))
         out = pd.concat(frames, ignore_index=True)
         out["prefix"] = [p if p else None for p in out["prefix"]]
