@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 MAX_ITER = 500
 TEST_SIZE = 0.2
 SEED = 42
@@ -92,9 +94,7 @@ def build_pipeline(cat: list[str], num: list[str], target: str, n_train: int, C:
     stages = []
     if cat:
         stages.append(StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
-    label_idx = StringIndexer(inputCol="__label_text", outputCol="__label", handleInvalid="error")
-    stages.append(label_idx)
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))  # the indexer's extra index is the last
     stages.append(VectorAssembler(inputCols=ohe + num, outputCol="__features", handleInvalid="keep"))
     stages.append(LogisticRegression(featuresCol="__features", labelCol="__label", predictionCol="__pred",
                                      maxIter=max_iter, regParam=1.0 / (C * max(n_train, 1)),
@@ -121,23 +121,25 @@ def train(df: DataFrame, target: str, test_size: float = TEST_SIZE, seed: int =
     keyed = df.withColumn("__key", row_key(df))
     n_classes = class_count(df, target).first()["n_classes"]   # one small aggregate
     split = stratified_split(keyed, target if n_classes > 1 else None, "__key", test_size, seed, exact_split)
+    checkpoint_dir(df.sparkSession)
+    split = split.checkpoint()  # decided once: fitting and scoring read it back
     train_df = _with_label_text(split.where(~F.col("is_test")), target)
     test_df = _with_label_text(split.where(F.col("is_test")), target)
     n_train = train_df.count()
-    model = build_pipeline(cat, num, target, n_train, C, max_iter).fit(train_df)
+    # the label index is only needed to fit; the saved model turns indexes back into labels
+    label = StringIndexer(inputCol="__label_text", outputCol="__label", handleInvalid="error").fit(train_df)
+    fitted = build_pipeline(cat, num, target, n_train, C, max_iter).fit(label.transform(train_df))
+    model = PipelineModel(fitted.stages + [IndexToString(inputCol="__pred", outputCol="prediction", labels=label.labels)])
     pred = predict(model, test_df)
     return TrainResult(model, accuracy(pred, target, "prediction"), pred)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """ML6: batch predictions; ``prediction`` holds the original label text."""
-    label_model = [s for s in model.stages
-                   if s.hasParam("outputCol") and s.isSet("outputCol") and s.getOrDefault("outputCol") == "__label"][0]
-    out = model.transform(df if "__label_text" in df.columns else df.withColumn("__label_text", F.lit(None).cast("string")))
-    back = IndexToString(inputCol="__pred", outputCol="prediction", labels=label_model.labels)
+    out = model.transform(df)
     internal = [c for c in out.columns if c.startswith("__") or c.endswith("__idx") or c.endswith("__ohe")
                 or c in ("rawPrediction", "probability")]
-    return back.transform(out).drop(*internal)
+    return out.drop(*internal)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -459,3 +459,38 @@ SELECT doc_id AS seq, doc_id AS appid FROM documents ORDER BY doc_id LIMIT 50 OF
 def l10_offset_limit(spark, sf):
     d = cat_of(spark, sf).df("documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("appid"))
     return J.offset_limit(J.offset_limit(d, offset=100), limit=50)
+
+
+# =============================================================== landing faults
+@query("n4_page_gap_review_rows", f"""
+WITH {sql_pages(100, "WHERE turn < 2")}
+SELECT {SQL_REVIEW_COLS} FROM reviews r
+""")
+def n4_page_gap(spark, sf):
+    """The third page never landed: what landed after it was never visited."""
+    pages = landing_payloads(L.review_page_bodies(cat_of(spark, sf)).where("page_no <> 3"))
+    return N.page_run(pages)[1].select(*REVIEW_COLUMNS)
+
+
+@query("j5_landed_again_stats_part", f"WITH {SQL_STATS} SELECT * FROM stats")
+def j5_landed_again(spark, sf):
+    """Every body landed twice: the later one counts."""
+    good = L.stats_bodies(cat_of(spark, sf))
+    stale = good.withColumn("body", F.regexp_replace("body", "[0-9]", "1"))
+    return N.stats_records(J._only(good.withColumn("landed", F.lit(2)).unionByName(stale.withColumn("landed", F.lit(1))), None))
+
+
+@query("f5_f6_f13_big_numbers_part", """
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 2147483647 WHEN 1 THEN -2147483648 WHEN 2 THEN 2147483647 WHEN 3 THEN 0 ELSE p_partkey END AS n,
+  CASE p_partkey % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1e30 WHEN 3 THEN 0.0 WHEN 4 THEN 1.5 ELSE 0.25 END AS x FROM part
+""")
+def f5_big(spark, sf):
+    k = "p_partkey"
+    n = (f"CASE {k} % 6 WHEN 0 THEN {L.js(f"concat('9999999999', {k}, '9999999999')")} "
+         f"WHEN 1 THEN concat('-9999999999', {k}, '9999999999') "
+         f"WHEN 2 THEN '1e25' WHEN 3 THEN {L.js("'12abc'")} ELSE {L.s(k)} END")
+    x = (f"CASE {k} % 6 WHEN 0 THEN {L.js("'1.5f'")} WHEN 1 THEN {L.js("'2d'")} WHEN 2 THEN {L.js("'1e30'")} "
+         f"WHEN 3 THEN {L.js("'0x1'")} WHEN 4 THEN {L.js("' 1.5 '")} ELSE '0.25' END")
+    df = landing_payloads(cat_of(spark, sf).df("part").selectExpr(k, f"{L.obj(('n', n), ('x', x))} AS body"))
+    s = C.with_kinds(df, {"__n": C.vget("payload", "$.n"), "__x": C.vget("payload", "$.x")}, keep=[k])
+    return s.selectExpr(k, f"{C.clamp_int(C.variant_int(*C.vk('__n'), 0))} AS n", f"{C.variant_float(*C.vk('__x'))} AS x")

@@ -34,14 +34,17 @@ def m1_insert(spark, sf):
 
 # ---------------------------------------------------------------- M2 create_many skip duplicates
 @query("m2_create_many_skip_duplicates_customer", """
-SELECT count(*) AS count FROM customer WHERE c_nationkey < 5
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+UNION ALL SELECT c_custkey + 1000000, 'first', c_nationkey, c_acctbal, c_mktsegment FROM customer
 """)
 def m2_create_many(spark, sf):
     cat = cat_of(spark, sf)
     cust = cat.df("customer")
-    fresh = cust.where("c_nationkey < 5").withColumn("c_custkey", F.col("c_custkey") + 1000000)
-    batch = cust.unionByName(fresh).unionByName(fresh)   # existing keys and in-batch repeats
-    return M.insert_many(cust, batch, FIXTURE_MODELS["customer"], skip_duplicates=True).count()
+    # existing keys and in-batch repeats, of which the first by seq stays
+    fresh = cust.withColumn("c_custkey", F.col("c_custkey") + 1000000)
+    batch = (cust.withColumn("seq", F.lit(0)).unionByName(fresh.withColumn("c_name", F.lit("second")).withColumn("seq", F.lit(2)))
+             .unionByName(fresh.withColumn("c_name", F.lit("first")).withColumn("seq", F.lit(1))))
+    return M.insert_many(cust, batch, FIXTURE_MODELS["customer"], skip_duplicates=True, seq="seq").table
 
 
 # ---------------------------------------------------------------- M3 / P8 / N6 upsert
@@ -218,18 +221,20 @@ def m10_connect_or_create(spark, sf):
 
 # ---------------------------------------------------------------- M13 nested create
 @query("m13_nested_create_orders_lineitems", """
-SELECT 'orders' AS tbl, (SELECT count(*) FROM orders) + (SELECT count(*) FROM orders WHERE o_orderkey < 100) AS n
-UNION ALL
-SELECT 'lineitem', (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM lineitem WHERE l_orderkey < 100)
+SELECT 'orders' AS tbl, o_orderkey AS k, o_totalprice AS v FROM orders
+UNION ALL SELECT 'orders', o_orderkey + 10000000, o_totalprice FROM orders
+UNION ALL SELECT 'lineitem', l_orderkey, l_extendedprice FROM lineitem
+UNION ALL SELECT 'lineitem', l_orderkey + 10000000, l_extendedprice FROM lineitem
 """)
 def m13_nested_create(spark, sf):
     cat = cat_of(spark, sf)
     o, li = cat.df("orders"), cat.df("lineitem")
-    new_o = o.where("o_orderkey < 100").withColumn("o_orderkey", F.col("o_orderkey") + 10000000)
-    new_l = li.where("l_orderkey < 100").withColumn("l_orderkey", F.col("l_orderkey") + 10000000)
-    orders2, lines2 = M.nested_create(o, new_o, FIXTURE_MODELS["orders"], li, new_l, FIXTURE_MODELS["lineitem"])
-    return (orders2.agg(F.lit("orders").alias("tbl"), F.count(F.lit(1)).alias("n"))
-            .unionByName(lines2.agg(F.lit("lineitem").alias("tbl"), F.count(F.lit(1)).alias("n"))))
+    new_o = o.withColumn("o_orderkey", F.col("o_orderkey") + 10000000)
+    new_l = li.withColumn("l_orderkey", F.col("l_orderkey") + 10000000)
+    orders2, lines2 = M.nested_create(o, new_o, FIXTURE_MODELS["orders"], li, new_l, FIXTURE_MODELS["lineitem"],
+                                      foreign_key=("l_orderkey",))
+    return (orders2.select(F.lit("orders").alias("tbl"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+            .unionByName(lines2.select(F.lit("lineitem").alias("tbl"), F.col("l_orderkey").alias("k"), F.col("l_extendedprice").alias("v"))))
 
 
 # ---------------------------------------------------------------- M14 list set / push
@@ -260,11 +265,17 @@ def m17_batch(spark, sf):
     steps = [("part", lambda c: c.table("part").update_many({"p_size": {"increment": 1}}, where={"p_type": "PROMO"}).table),
              ("part", lambda c: c.table("part").delete_many(where={"p_size": {"gt": 49}}).table)]
     out, touched = M.apply_batch(cat, steps)
-    return out.df("part")
+    # all touched tables become visible by one manifest
+    from ..session import checkpoint_dir
+    from ..sources import sinks
+    import uuid
+    root = f"{checkpoint_dir(spark)}/batch-{uuid.uuid4().hex}"
+    sinks.publish(spark, root, {name: out.df(name) for name in touched})
+    return sinks.read_table(spark, root, "part")
 
 
 @query("k7_versioned_write_back_part", f"""
-SELECT p_partkey, p_name, p_brand, p_type, p_size + 1 AS p_size, p_retailprice FROM part WHERE p_type = 'PROMO'
+SELECT p_partkey, p_name, p_brand, p_type, p_size + 1 AS p_size, p_retailprice FROM part
 """)
 def k7_write_back(spark, sf):
     from ..session import checkpoint_dir
@@ -272,9 +283,63 @@ def k7_write_back(spark, sf):
     import uuid
     root = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
     cat = cat_of(spark, sf)
-    part = cat.df("part").where("p_type = 'PROMO'")
-    sinks.publish(spark, root, {"part": part})
+    sinks.publish(spark, root, {"part": cat.df("part")})
     current = sinks.read_table(spark, root, "part")
     updated = current.withColumn("p_size", F.col("p_size") + 1)
     sinks.publish(spark, root, {"part": updated})   # new version written beside the one read
     return sinks.read_table(spark, root, "part")
+
+
+# ---------------------------------------------------------------- create / update data, exact division, empty set, nested delete
+@query("m3_upsert_create_and_update_part", """
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'updated' ELSE p_name END AS p_name, p_size FROM part
+UNION ALL SELECT p_partkey + 10000000, 'created', 1 FROM part WHERE p_partkey % 2 = 0
+""")
+def m3_create_update(spark, sf):
+    part = cat_of(spark, sf).df("part")
+    keys = part.where("p_partkey % 2 = 0").select("p_partkey")
+    both = keys.unionByName(keys.select((F.col("p_partkey") + 10000000).alias("p_partkey")))
+    res = M.upsert(part, both.withColumn("p_name", F.lit("updated")), FIXTURE_MODELS["part"],
+                   create=both.withColumn("p_name", F.lit("created")).withColumn("p_size", F.lit(1)))
+    return res.table.select("p_partkey", "p_name", "p_size")
+
+
+@query("m6_exact_division_orders", """
+SELECT o_orderkey, (o_orderkey * 1000000000 + 9007199254740993 + o_custkey) // 3 AS big,
+  -((o_orderkey * 1000000000 + 9007199254740993) // 7) AS negative FROM orders
+""")
+def m6_exact(spark, sf):
+    o = cat_of(spark, sf).df("orders").select("o_orderkey", (F.col("o_orderkey") * 1000000000 + 9007199254740993 + F.col("o_custkey")).alias("big"),
+                                              (-(F.col("o_orderkey") * 1000000000 + 9007199254740993)).alias("negative"))
+    return M.update_where(o, {"big": {"divide": 3}, "negative": {"divide": 7}}, None).table
+
+
+@query("m12_set_links_to_nothing_part", """
+SELECT DISTINCT l.l_partkey, l.l_suppkey FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE p.p_size <= 45
+UNION ALL SELECT p_partkey, 0 FROM part WHERE p_size > 48
+""")
+def m12_set_nothing(spark, sf):
+    cat = cat_of(spark, sf)
+    named = cat.df("part").where("p_size > 45").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    pairs = named.where("p_size > 48").select("l_partkey", F.lit(0).cast("bigint").alias("l_suppkey"))
+    return M.set_links(cat.df("part_supplier"), pairs, ("l_partkey",), LINK, parents=named).table
+
+
+@query("m11_nested_delete_suppliers", """
+SELECT 'supplier' AS tbl, s_suppkey AS a, 0 AS b FROM supplier WHERE s_suppkey % 10 <> 0
+UNION ALL SELECT DISTINCT 'link', l_partkey, l_suppkey FROM lineitem WHERE l_suppkey % 10 <> 0
+""")
+def m11_nested_delete(spark, sf):
+    cat = cat_of(spark, sf)
+    gone = cat.df("supplier").where("s_suppkey % 10 = 0").select("s_suppkey")
+    rows, links = M.nested_delete(cat.df("supplier"), gone, ("s_suppkey",), cat.df("part_supplier"), ("l_suppkey",))
+    return rows.table.select(F.lit("supplier").alias("tbl"), F.col("s_suppkey").alias("a"), F.lit(0).cast("bigint").alias("b")).unionByName(
+        links.table.select(F.lit("link").alias("tbl"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))
+
+
+@query("m5_update_with_include_orders", """
+SELECT o_orderkey, 1.5 AS o_totalprice, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 1234
+""")
+def m5_include(spark, sf):
+    res = cat_of(spark, sf).table("orders").update({"o_totalprice": 1.5}, where={"o_orderkey": 1234}, include={"customer": True})
+    return res.affected.select("o_orderkey", "o_totalprice", F.col("customer.c_name").alias("c_name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,12 +118,12 @@ def s10_first(spark, sf):
 @query("s11_typed_raw_results_lineitem", """
 SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price,
        CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_shipdate AS DATE) AS ship_day
-FROM lineitem WHERE l_quantity >= 48
+FROM lineitem WHERE l_quantity >= 0
 """)
 def s11_typed(spark, sf):
     cat = cat_of(spark, sf)
     raw = scan.raw_query(spark, "SELECT l_orderkey, l_extendedprice AS price, l_linenumber, l_shipdate AS ship_day "
-                                "FROM lineitem WHERE l_quantity >= ?", args=[48], tables={"lineitem": cat.df("lineitem")})
+                                "FROM lineitem WHERE l_quantity >= ?", args=[0], tables={"lineitem": cat.df("lineitem")})
     typed = scan.cast_to(raw, T.StructType([
         T.StructField("l_orderkey", T.StringType()), T.StructField("price", T.DecimalType(18, 2)),
         T.StructField("l_linenumber", T.LongType()), T.StructField("ship_day", T.DateType())]))
@@ -192,3 +193,52 @@ def g12_accuracy(spark, sf):
     df = cat.df("labels").join(cat.df("documents"), "doc_id").select(
         F.col("quality").alias("y"), (F.col("n_chars") > 5000).cast("int").alias("p"))
     return accuracy(df, "y", "p")
+
+
+# ---------------------------------------------------------------- texts that a careless round trip loses
+@query("s2_k1_text_round_trip_documents", """
+SELECT CAST(doc_id AS INTEGER) AS id, '  "' || left(text, 300) || chr(10) || doc_id * 7 || ',x"' || chr(9) AS name, 'keys' AS kind FROM documents
+UNION ALL SELECT CAST(doc_id AS INTEGER), NULL, 'ids' FROM documents
+""")
+def s2_text_round_trip(spark, sf):
+    """K1/K2 write, S5 reads back, S2 finds the keys: line ends, quotes, commas, digits and outer blanks all stay in the text."""
+    path = scratch(spark, "texts")
+    docs = cat_of(spark, sf).df("documents")
+    name = F.concat(F.lit('  "'), F.substring("text", 1, 300), F.lit("\n"), (F.col("doc_id") * 7).cast("string"), F.lit(',x"\t'))
+    half = docs.select(F.max("doc_id")).scalar() / 2
+    rows = docs.select(F.col("doc_id").alias("id"), name.alias("name"))
+    sinks.write_entity_csv(spark, rows.where(F.col("id") <= half), path, ["id", "name"])
+    sinks.write_entity_csv(spark, rows.where(F.col("id") > half), path, ["id", "name"], resume=True)
+    back = scan.read_csv(spark, path, "id int, name string")
+    return back.withColumn("kind", F.lit("keys")).unionByName(
+        scan.existing_keys_from_csv(spark, path).select("id", F.lit(None).cast("string").alias("name"), F.lit("ids").alias("kind")))
+
+
+@query("s1_l10_file_order_documents", """
+SELECT appid, row_number() OVER (ORDER BY file, place) AS pos FROM (
+  SELECT doc_id AS appid, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 1 END AS file, doc_id AS place FROM documents)
+QUALIFY pos > 5 AND pos <= 205
+""")
+def s1_file_order(spark, sf):
+    """Ids come in order of file name and place, though the first file is much the smaller one."""
+    path = scratch(spark, "ids")
+    docs = cat_of(spark, sf).df("documents").select(F.col("doc_id").alias("appid"))
+    for name, cond in (("a", "appid % 50 = 0"), ("b", "appid % 50 <> 0")):
+        docs.where(cond).repartition(1).sortWithinPartitions("appid").write.option("header", True).csv(f"{path}/{name}")
+    from . import ingest_jobs as J
+    kept = J.offset_limit(scan.read_id_list(spark, f"{path}/*"), offset=5, limit=200)
+    seen = kept.withColumn("__m", F.monotonically_increasing_id())
+    return seen.select(F.col("appid").cast("bigint").alias("appid"), (F.row_number().over(Window.orderBy("__m")) + 5).alias("pos"))
+
+
+@query("k3_sorted_ids_labels", "SELECT DISTINCT doc_id AS appid FROM labels")
+def k3_sorted(spark, sf):
+    path = scratch(spark, "k3")
+    sinks.write_sorted_ids(cat_of(spark, sf).df("labels").select(F.col("doc_id").alias("appid")), path)
+    return scan.read_csv(spark, path, "appid bigint")
+
+
+@query("g13_profile_orders", _profile_sql("(SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM orders)",
+                                          ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderdate", "o_orderpriority"]))
+def g13_profile_orders(spark, sf):
+    return _rounded(profile(cat_of(spark, sf).df("orders")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from datetime import datetime
 from decimal import Decimal
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
@@ -96,11 +97,11 @@ def _doc_labels(spark, sf) -> Catalog:
 @query("w2_is_null_documents_labels", """
 SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
 FROM documents d LEFT JOIN labels l USING (doc_id)
-WHERE l.quality IS NULL AND d.source IS NOT NULL AND d.lang = 'de'
+WHERE l.quality IS NULL AND d.source IS NOT NULL
 """)
 def w2_is_null(spark, sf):
     return _doc_labels(spark, sf).table("doc_labels").find_many(
-        where={"quality": None, "source": {"not": None}, "lang": "de"})
+        where={"quality": None, "source": {"not": None}})
 
 
 # ---------------------------------------------------------------- W5 W6
@@ -172,17 +173,16 @@ def w11_search(spark, sf):
 # ---------------------------------------------------------------- W12 booleans
 @query("w12_boolean_lineitem", f"""
 SELECT {LINEITEM_COLS}, l_returnflag = 'R' AS is_returned FROM lineitem
-WHERE (l_returnflag = 'R') = true AND l_quantity >= 49
+WHERE (l_returnflag = 'R') = true
 UNION ALL
 SELECT {LINEITEM_COLS}, l_returnflag = 'R' AS is_returned FROM lineitem
-WHERE (l_returnflag = 'R') <> true AND l_quantity <= 1
+WHERE (l_returnflag = 'R') <> true
 """)
 def w12_boolean(spark, sf):
     cat = cat_of(spark, sf)
     cat = cat.with_table("li", cat.df("lineitem").withColumn("is_returned", F.col("l_returnflag") == "R"))
     t = cat.table("li")
-    return t.find_many(where={"is_returned": {"equals": True}, "l_quantity": {"gte": 49}}).unionByName(
-        t.find_many(where={"is_returned": {"not": True}, "l_quantity": {"lte": 1}}))
+    return t.find_many(where={"is_returned": {"equals": True}}).unionByName(t.find_many(where={"is_returned": {"not": True}}))
 
 
 # ---------------------------------------------------------------- W13 JSON
@@ -191,12 +191,12 @@ SELECT event_id, props FROM events
 WHERE CAST(json_extract(props, '$.k') AS INTEGER) = 7 AND json_keys(props) = ['k']
 UNION ALL
 SELECT event_id, props FROM events
-WHERE event_type = 'click' AND user_id = 3 AND NOT (CAST(json_extract(props, '$.k') AS INTEGER) = 7)
+WHERE NOT (CAST(json_extract(props, '$.k') AS INTEGER) = 7)
 """)
 def w13_json(spark, sf):
     t = cat_of(spark, sf).table("events")
     a = t.find_many(where={"props": {"equals": Json({"k": 7})}})
-    b = t.find_many(where={"event_type": "click", "user_id": 3, "props": {"not": Json({"k": 7})}})
+    b = t.find_many(where={"props": {"not": Json({"k": 7})}})
     return a.unionByName(b).select("event_id", "props")
 
 
@@ -237,7 +237,7 @@ UNION ALL SELECT 'has', p_partkey FROM p WHERE list_contains(words, 'bolt')
 UNION ALL SELECT 'has_every', p_partkey FROM p WHERE list_has_all(words, ['small', 'ring'])
 UNION ALL SELECT 'has_some', p_partkey FROM p WHERE list_has_any(words, ['gear', 'ring'])
 UNION ALL SELECT 'is_empty', p_partkey FROM p WHERE len(words) = 0
-UNION ALL SELECT 'not_empty', p_partkey FROM p WHERE len(words) > 0 AND p_partkey < 40
+UNION ALL SELECT 'not_empty', p_partkey FROM p WHERE len(words) > 0
 """)
 def w16_w20_lists(spark, sf):
     cat = cat_of(spark, sf)
@@ -249,7 +249,7 @@ def w16_w20_lists(spark, sf):
         ("has_every", {"words": {"has_every": ["small", "ring"]}}),
         ("has_some", {"words": {"has_some": ["gear", "ring"]}}),
         ("is_empty", {"words": {"is_empty": True}}),
-        ("not_empty", {"words": {"is_empty": False}, "p_partkey": {"lt": 40}}),
+        ("not_empty", {"words": {"is_empty": False}}),
     ]
     out = None
     for tag, w in parts:
@@ -547,13 +547,11 @@ def j4_nested(spark, sf):
 SELECT p.p_partkey, p.p_name, s.s_suppkey, s.s_name
 FROM part p JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ps ON p.p_partkey = ps.l_partkey
 JOIN supplier s ON ps.l_suppkey = s.s_suppkey
-WHERE p.p_size > 45
 """)
 def j6_traversal(spark, sf):
     from ..operators.include import traverse
     cat = cat_of(spark, sf)
-    parts = cat.table("part").find_many(where={"p_size": {"gt": 45}})
-    return traverse(cat, "part", parts, ["suppliers", "supplier"]).select("p_partkey", "p_name", "s_suppkey", "s_name")
+    return traverse(cat, "part", cat.df("part"), ["suppliers", "supplier"]).select("p_partkey", "p_name", "s_suppkey", "s_name")
 
 
 # ---------------------------------------------------------------- J7 J8 J9
@@ -592,13 +590,16 @@ def j9_orphans(spark, sf):
 
 # ---------------------------------------------------------------- P7 partial schema
 @query("p7_partial_columns_orders", """
-SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderpriority = '3-MEDIUM'
+SELECT o_orderkey, o_totalprice, o_orderdate, true AS required_is_not_null, true AS optional_is_nullable FROM orders
 """)
 def p7_partial(spark, sf):
     from ..operators.quality import partial
     cat = cat_of(spark, sf)
-    df = cat.table("orders").find_many(where={"o_orderpriority": "3-MEDIUM"})
-    return partial(df, include=["o_orderkey", "o_totalprice", "o_orderdate"])
+    out = partial(cat.df("orders"), include=["o_orderkey", "o_totalprice", "o_orderdate"],
+                  required=["o_orderkey", "o_orderdate"], optional=["o_totalprice"])
+    nullable = {f.name: f.nullable for f in out.schema.fields}
+    return out.withColumn("required_is_not_null", F.lit(not (nullable["o_orderkey"] or nullable["o_orderdate"]))).withColumn(
+        "optional_is_nullable", F.lit(nullable["o_totalprice"]))
 
 
 # ---------------------------------------------------------------- S3 S4
@@ -617,3 +618,80 @@ def s4_model_scan(spark, sf):
         T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()),
         T.StructField("o_orderdate", T.TimestampNTZType()), T.StructField("o_orderpriority", T.StringType())])
     return model_scan(spark, f"{sf}/orders.parquet", ModelSpec("orders", schema, key=("o_orderkey",)))
+
+
+# ---------------------------------------------------------------- row order as a value
+def _positions(df):
+    """The rows' place in the order they come in (partitions in turn), as a column."""
+    seen = df.withColumn("__m", F.monotonically_increasing_id())
+    return seen.withColumn("pos", F.row_number().over(Window.orderBy("__m"))).drop("__m")
+
+
+@query("l3_negative_take_positions_orders", """
+SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM (
+  SELECT * FROM orders ORDER BY o_totalprice ASC, o_orderkey DESC LIMIT 300)
+""")
+def l3_positions(spark, sf):
+    return _positions(cat_of(spark, sf).table("orders").find_many(order={"o_totalprice": "desc"}, take=-300)).select("o_orderkey", "pos")
+
+
+@query("l4_skip_without_take_positions_orders", """
+SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM (
+  SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 1000)
+""")
+def l4_positions(spark, sf):
+    return _positions(cat_of(spark, sf).table("orders").find_many(order={"o_totalprice": "desc"}, skip=1000)).select("o_orderkey", "pos")
+
+
+@query("l5_cursor_absent_or_filtered_orders", """
+WITH c AS (SELECT o_totalprice AS cp, o_orderkey AS ck FROM orders WHERE o_orderkey = 1234)
+SELECT 'filtered' AS tag, o.o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos FROM orders o, c
+WHERE o_orderstatus <> (SELECT o_orderstatus FROM orders WHERE o_orderkey = 1234) AND (o_totalprice, o_orderkey) >= (cp, ck)
+""")
+def l5_absent(spark, sf):
+    t = cat_of(spark, sf).table("orders")
+    status = t.df.where("o_orderkey = 1234").select("o_orderstatus").scalar()
+    by = {"o_totalprice": "asc"}
+    absent = t.find_many(order=by, cursor={"o_orderkey": -5})  # no such row: nothing
+    filtered = t.find_many(where={"o_orderstatus": {"not": status}}, order=by, cursor={"o_orderkey": 1234})
+    return _positions(filtered).select(F.lit("filtered").alias("tag"), "o_orderkey", "pos").unionByName(
+        _positions(absent).select(F.lit("absent").alias("tag"), "o_orderkey", "pos"))
+
+
+@query("l6_j1_ordered_page_with_include_orders", """
+SELECT o_orderkey, c_name, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM (
+  SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500) JOIN customer ON c_custkey = o_custkey
+""")
+def l6_include_order(spark, sf):
+    df = cat_of(spark, sf).table("orders").find_many(order={"o_totalprice": "desc"}, take=500, include={"customer": True})
+    return _positions(df).select("o_orderkey", F.col("customer.c_name").alias("c_name"), "pos")
+
+
+@query("l7_find_first_distinct_orders", """
+SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
+WHERE rn = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 1 OFFSET 3
+""")
+def l7_first_distinct(spark, sf):
+    return cat_of(spark, sf).table("orders").find_first(order={"o_totalprice": "desc"}, distinct=["o_custkey"], skip=3).select("o_orderkey")
+
+
+@query("w11_search_marks_part", """
+SELECT p_partkey, p_name FROM part WHERE list_has_all(string_split(p_name, ' '), ['red', 'bolt'])
+""")
+def w11_marks(spark, sf):
+    cat = cat_of(spark, sf)
+    t = cat.with_table("pm", cat.df("part").select("p_partkey", "p_name", F.regexp_replace("p_name", " ", "_").alias("marked"))).table("pm")
+    return t.find_many(where={"marked": {"search": "bolt_RED"}}).select("p_partkey", "p_name")
+
+
+@query("w16_w18_empty_lists_part", """
+WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN [] ELSE [p_size, p_size + 1] END AS nums FROM part)
+SELECT 'equals' AS tag, p_partkey FROM p WHERE len(nums) = 0
+UNION ALL SELECT 'has_every', p_partkey FROM p
+""")
+def w16_empty(spark, sf):
+    cat = cat_of(spark, sf)
+    nums = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array(F.col("p_size"), F.col("p_size") + 1))
+    t = cat.with_table("pn", cat.df("part").select("p_partkey", nums.alias("nums"))).table("pn")
+    return t.find_many(where={"nums": {"equals": []}}).select(F.lit("equals").alias("tag"), "p_partkey").unionByName(
+        t.find_many(where={"nums": {"has_every": []}}).select(F.lit("has_every").alias("tag"), "p_partkey"))

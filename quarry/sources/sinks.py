@@ -151,6 +151,26 @@ def current_versions(spark: SparkSession, root: str) -> dict[str, str]:
     return _newest(spark, root)[1]
 
 
+def publish_buckets(spark: SparkSession, root: str, table: str, df: DataFrame, buckets: list[int]) -> None:
+    """Replace some buckets of a table: ``df`` (with the column ``__b``) holds all their rows.
+    One new folder; the manifest names a version for each bucket, and the others keep theirs."""
+    version = uuid.uuid4().hex
+    df.write.mode("errorifexists").partitionBy("__b").parquet(f"{root}/{table}/v={version}")
+    while True:
+        number, current = _newest(spark, root)
+        current.update({f"{table}#{b}": version for b in buckets})
+        if _create_manifest(spark, root, number + 1, current):
+            return
+
+
+def read_buckets(spark: SparkSession, root: str, table: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
+    """The current rows of a bucketed table (of the named buckets only, if given)."""
+    current = current_versions(spark, root)
+    named = {int(k.split("#")[1]): v for k, v in current.items() if k.startswith(f"{table}#")}
+    paths = [f"{root}/{table}/v={v}/__b={b}" for b, v in sorted(named.items()) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def read_table(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None) -> DataFrame:
     versions = current_versions(spark, root)
     if table not in versions:
