@@ -31,6 +31,7 @@ from ..session import checkpoint_dir
 MAX_ITER = 500
 TEST_SIZE = 0.2
 SEED = 42
+MAX_CATEGORIES = 200_000
 
 
 def split_columns(df: DataFrame, target: str) -> tuple[list[str], list[str]]:
@@ -48,6 +49,15 @@ def split_columns(df: DataFrame, target: str) -> tuple[list[str], list[str]]:
     return cat, num
 
 
+def check_categories(df: DataFrame, columns: list[str], limit: int = MAX_CATEGORIES) -> None:
+    """The indexer keeps each text column's distinct values on the driver, so their number is checked first."""
+    if columns:
+        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+        wide = [c for c in columns if row[c] > limit]
+        if wide:
+            raise ValueError(f"more than {limit} distinct values in {wide}; leave them out or group them first")
+
+
 def class_count(df: DataFrame, label: str) -> DataFrame:
     """Number of distinct labels (decides whether the split is stratified)."""
     return df.agg(F.count_distinct(F.col(label)).alias("n_classes"))
@@ -118,6 +128,7 @@ def train(df: DataFrame, target: str, test_size: float = TEST_SIZE, seed: int =
     """ML1–ML5: split (stratified when the target has more than one class),
     fit one pipeline on the train part, score the test part."""
     cat, num = split_columns(df, target)
+    check_categories(df, cat)
     keyed = df.withColumn("__key", row_key(df))
     n_classes = class_count(df, target).first()["n_classes"]   # one small aggregate
     split = stratified_split(keyed, target if n_classes > 1 else None, "__key", test_size, seed, exact_split)

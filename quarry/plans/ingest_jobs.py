@@ -226,6 +226,24 @@ def ingest(id_texts: DataFrame, store_bodies: DataFrame, stats_bodies: DataFrame
     return IngestRun(ids, wanted, (store_bodies, stats_bodies, page_bodies), catalog, run_ts, max_children, checkpoint)
 
 
+def write_run(spark, run: IngestRun, root: str, resume: bool = False) -> None:
+    """The job's outputs: entity and child CSV (appended to on a resumed run), and the
+    catalogue's tables, made visible together by one manifest."""
+    from ..sources import sinks
+    sinks.write_entity_csv(spark, run.entities, f"{root}/entities", ENTITY_CSV_COLUMNS, resume=resume)
+    sinks.write_child_csv(spark, run.reviews, f"{root}/children", N.REVIEW_FIELDS,
+                          datetime_cols=("authorLastPlayed", "timestampCreated", "timestampUpdated"), resume=resume)
+    if run.catalog is not None:
+        sinks.publish(spark, f"{root}/tables", {name: run.catalog.df(name) for name in CATALOGUE_MODELS if name in run.catalog.loaders or name in run.catalog.tables})
+
+
+def published_catalog(spark, root: str) -> Catalog:
+    """The tables that the last run published."""
+    from ..sources import sinks
+    loaders = {name: partial(sinks.read_table, spark, f"{root}/tables", name, m.schema) for name, m in CATALOGUE_MODELS.items()}
+    return Catalog(spark, {}, CATALOGUE_MODELS).with_loaders(loaders)
+
+
 def apply_to_catalogue(cat: Catalog, run: IngestRun) -> Catalog:
     """Upserts and link upkeep of one run (M3, M15, M16), set-based; each table is planned when it is asked for.
 

@@ -494,3 +494,31 @@ def f5_big(spark, sf):
     df = landing_payloads(cat_of(spark, sf).df("part").selectExpr(k, f"{L.obj(('n', n), ('x', x))} AS body"))
     s = C.with_kinds(df, {"__n": C.vget("payload", "$.n"), "__x": C.vget("payload", "$.x")}, keep=[k])
     return s.selectExpr(k, f"{C.clamp_int(C.variant_int(*C.vk('__n'), 0))} AS n", f"{C.variant_float(*C.vk('__x'))} AS x")
+
+
+@query("e1_job_with_sinks_resume_and_publish", f"""
+WITH e AS ({SQL_E1})
+SELECT 'csv' AS output, id, nullif(name, '') AS name, required_age, is_free, metacritic, owners_max, reviewScoreDesc, store_status FROM e
+UNION ALL SELECT 'table', id, nullif(name, ''), required_age, is_free, metacritic, owners_max, reviewScoreDesc, NULL FROM e
+""")
+def e1_job(spark, sf):
+    """The whole job twice: a first run over half of the ids, then a resumed one that skips what the outputs hold."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources import scan
+    cat = cat_of(spark, sf)
+    root = f"{checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
+    bodies = (L.store_bodies(cat), L.stats_bodies(cat), L.review_page_bodies(cat))
+    ids = L.id_texts(cat)
+    first = J.ingest(ids, *bodies, catalog=Catalog.empty_catalogue(spark), run_ts=L.RUN_TS, limit=max(1, ids.count() // 2), checkpoint=True)
+    J.write_run(spark, first, root)
+    done = [scan.existing_keys_from_csv(spark, f"{root}/entities"), J.published_catalog(spark, root).df("Game").select("id")]
+    second = J.ingest(ids, *bodies, catalog=J.published_catalog(spark, root), run_ts=L.RUN_TS, processed=done, checkpoint=True)
+    J.write_run(spark, second, root, resume=True)
+    cols = ["id", "name", "required_age", "is_free", "metacritic", "owners_max", "reviewScoreDesc"]
+    schema = ", ".join(f"{c} {'string' if c in ('release_date', 'last_updated') or c.endswith('_status') else J.ENTITY_TYPES[c]}" for c in J.ENTITY_CSV_COLUMNS)
+    csv = scan.read_csv(spark, f"{root}/entities", schema)
+    games = J.published_catalog(spark, root).df("Game")
+    return csv.select(F.lit("csv").alias("output"), *cols, "store_status").unionByName(
+        games.select(F.lit("table").alias("output"), *cols, F.lit(None).cast("string").alias("store_status")).withColumn("name", F.expr("nullif(name, '')")))
