@@ -25,8 +25,9 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 
 # Keywords, and prefixes of tokens with an embedded checksum.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -143,6 +144,6 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                     text = "".join(out) + text[at:]
                 texts.append(text)
             yield pdf.assign(text=texts)
+    small_batches(docs.sparkSession)
     out = docs.mapInPandas(run, docs.schema)
-    from pyspark.sql import functions as F
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

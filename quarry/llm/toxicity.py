@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches
 from .labels import fold, training_rows
 from .words import Known, batches, hash_spans, join, white_words
 
@@ -202,6 +202,18 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+_SCORERS: dict = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    """One scorer a worker process, so that a word is walked once, not once a task."""
+    key = (tuple(model.terms), model.weights.tobytes(), model.beta.tobytes())
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
+
+
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> tuple[list[str], np.ndarray]:
     """The terms of highest log likelihood ratio, from counts of documents made in Spark."""
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for pdf in parts:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": scorer.scores(pdf["text"].tolist())})
     rows = documents(docs).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
@@ -277,7 +289,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents whose score stays below the threshold, with all their columns."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for pdf in parts:
             yield pdf[scorer.scores(["" if t is None else t for t in pdf["text"]]) < threshold]
+    small_batches(docs.sparkSession)
     return docs.mapInPandas(run, docs.schema)

@@ -13,7 +13,7 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 #: Texts are worked on together up to so many bytes; a longer one stands alone.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -21,10 +21,16 @@ def _bytes_table() -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
-@functools.lru_cache(maxsize=4)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, U), np.full(n, base, dtype=U)]), dtype=U)
+    """At least n + 1 powers of the base; one array a base is kept, and grows when it must."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) <= n:
+        with np.errstate(over="ignore"):
+            kept = _POWERS[base] = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, base, dtype=U)]), dtype=U)
+    return kept
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +104,7 @@ def token_words(buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
 class Known:
     """A sorted table from word hash to a row of values; it starts anew when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 1 << 22):
+    def __init__(self, limit: int = 1 << 21):
         self.limit, self.keys, self.rows, self.n = limit, np.zeros(0, U), np.zeros(0, np.int64), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
