@@ -106,11 +106,19 @@ def include(cat, model: str, df: DataFrame, spec: dict, depth: int = 1) -> DataF
             right = target.select(*[F.col(r).alias(k) for r, k in zip(rel.references, jk)],
                                   F.struct(*[F.col(c) for c in cols]).alias(rel_name))
         else:
-            children, cols, rn = _ranked_children(cat, model, rel_name, args, depth)
+            key = cat.model(rel.target).key
+            if key and not any(args.get(a) is not None for a in ("order", "take", "skip", "cursor", "distinct")):
+                # nothing asks for a rank: the array is sorted by the key, without a window over the parent
+                children = related(cat, model, rel_name, args, depth)
+                payload = args.get("select")
+                cols = [c for c in children.columns if not payload or payload.get(c) or c in rel.references]
+                place = [F.col(k).alias(f"r{i}") for i, k in enumerate(key)]
+            else:
+                children, cols, rn = _ranked_children(cat, model, rel_name, args, depth)
+                place = [F.col(rn).alias("r")]
             right = (children
                      .groupBy(*[F.col(r).alias(k) for r, k in zip(rel.references, jk)])
-                     .agg(F.array_sort(F.collect_list(F.struct(F.col(rn).alias("r"),
-                                                               F.struct(*[F.col(c) for c in cols]).alias("v"))))
+                     .agg(F.array_sort(F.collect_list(F.struct(*place, F.struct(*[F.col(c) for c in cols]).alias("v"))))
                           .alias("__items"))
                      .select(*jk, F.transform("__items", lambda x: x["v"]).alias(rel_name)))
         cond = reduce(lambda a, b: a & b, [out[f] == right[k] for f, k in zip(rel.fields, jk)])
