@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, release, stage
 from .components import components
 from .words import LOWER, U, batches, hash_spans, join, mix, white_words
 
@@ -50,8 +50,8 @@ CHUNK_TOKENS = 400_000
 RANGE_TOKENS = 500_000
 HOT_CHUNKS = 48
 SHORT_LIST = 64
-CLUSTER_SETS, CLUSTER_TOKENS = 2000, 4_000_000
-BLOCK_SETS, BLOCK_TOKENS = 1000, 2_000_000
+CLUSTER_SETS, CLUSTER_TOKENS = 1200, 2_000_000
+BLOCK_SETS, BLOCK_TOKENS = 600, 1_000_000
 BROADCAST_ROWS = 500_000
 HALF = U(1 << 47)  # kept hashes have 48 bits
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -140,6 +140,8 @@ def shingle(docs: DataFrame) -> DataFrame:
                         held, total = [], 0
         if held:
             yield flush()
+        held.clear()
+        release()
     return documents(docs).where("doc_id IS NOT NULL").mapInPandas(run, CHUNK)
 
 
@@ -164,6 +166,7 @@ def mark_shared(chunks: DataFrame) -> tuple[DataFrame, int]:
                 top, low = _cells(t[t < HALF], shift)
                 cut = np.flatnonzero(np.append(True, top[1:] != top[:-1])) if len(top) else np.zeros(0, np.int64)
                 yield pd.DataFrame({"range": top[cut].astype(np.int64), "chunk": chunk, "cells": [x.tobytes() for x in np.split(low, cut[1:])] if len(top) else []})
+        release()
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         cells = [np.frombuffer(x, np.uint32) for x in pdf["cells"]]
@@ -214,6 +217,7 @@ def prefixes(chunks: DataFrame, answers: DataFrame, shift: int) -> DataFrame:
                 order = np.argsort(late[a:b][mine], kind="stable") if k > 0 else None
                 out.append(tokens[a:b][mine][order][:k].astype("<u8").tobytes() if k > 0 else None)
             frames.append(pd.DataFrame({"doc_id": ids, "n": n, "d0": np.frombuffer(row.d0, np.int64), "d1": np.frombuffer(row.d1, np.int64), "prefix": out}))
+        release()
         out = pd.concat(frames, ignore_index=True)
         out["prefix"] = [p if p else None for p in out["prefix"]]
         out["gid"] = [_group(p, n) if p else None for p, n in zip(out["prefix"], out["n"])]
@@ -344,6 +348,8 @@ def verify(pdf: pd.DataFrame) -> pd.DataFrame:
     if len(pdf) < 2:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     i, j = linked_pairs([np.frombuffer(x, "<u8") for x in pdf["set"]])
+    if len(pdf) >= BLOCK_SETS:
+        release()
     node = pdf["node"].to_numpy(np.int64)
     label = union_find(len(node), i, j)
     linked = np.flatnonzero(label != np.arange(len(node)))
@@ -397,6 +403,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = pdf.iloc[a:a + 500]
                 sets = sets_of([t.encode() for t in part["text"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "node": digests(sets)[0], "n": [len(s) for s in sets], "set": [s.astype("<u8").tobytes() for s in sets]})
+        release()
 
     found = texts.mapInPandas(run, "doc_id long, node long, n long, set binary")
     keys = wanted.select("doc_id", F.col("d0").alias("node"), "cluster")

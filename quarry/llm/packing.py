@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, stage
+from .common import documents, partitions, release, stage
 from .encode import encoder
 
 WINDOW = 1024
@@ -164,6 +164,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int = 0, window: int = WIN
                         raw = piece.tobytes()
                         rows.append((doc_id, s, len(piece), zlib.crc32(raw), len(ids), piece.astype(enc.dtype).tobytes()))
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        release()
     return documents(docs).where("doc_id IS NOT NULL").mapInPandas(cut, PIECE + ", ids binary")
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, release, small_batches
 from .labels import fold, training_rows
 from .words import Known, batches, hash_spans, join, white_words
 
@@ -281,6 +281,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = scorer_of(model)
         for pdf in parts:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": scorer.scores(pdf["text"].tolist())})
+        release()
     rows = documents(docs).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
     return (rows.mapInPandas(run, "doc_id long, held_out boolean, score double")
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
@@ -292,5 +293,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         scorer = scorer_of(model)
         for pdf in parts:
             yield pdf[scorer.scores(["" if t is None else t for t in pdf["text"]]) < threshold]
+        release()
     small_batches(docs.sparkSession)
     return docs.mapInPandas(run, docs.schema)
