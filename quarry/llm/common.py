@@ -43,9 +43,12 @@ def release() -> None:
 
 
 def documents(df: DataFrame) -> DataFrame:
-    """``doc_id`` (long) and ``text`` (null texts as empty) of a documents-like table; other columns are left out."""
+    """``doc_id`` (long) and ``text`` (null texts as empty) of a documents-like table.
+
+    Rows without an id are left out, as no result could name them; so are other columns.
+    """
     small_batches(df.sparkSession)
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return df.where(df["doc_id"].isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -20,7 +20,8 @@ deviation of 3; RADIUS lies almost four deviations above.
 Defined cases: null and empty texts or items match nothing; an item with fewer
 than ``WORDS`` words is one shingle and matches documents that are just these
 words; a document shorter than an item is one window; rows with the same id and
-text count once; an empty table gives no rows; other columns are left out.
+text count once; an empty table gives no rows; rows without an id and other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD
     hint = F.broadcast if small else (lambda df: df)
 
     # 1. hits and the windows that they propose
-    doc_sh = with_shingles(documents(docs).where("doc_id IS NOT NULL").withColumn("rid", F.xxhash64("text")), ["doc_id", "rid"])
+    doc_sh = with_shingles(documents(docs).withColumn("rid", F.xxhash64("text")), ["doc_id", "rid"])
     # the outer form keeps the optimizer from repeating the shingle expression in a filter; a null never joins
     spots = doc_sh.selectExpr("doc_id", "rid", "n", "posexplode_outer(sh) AS (pos, h)")
     hits = spots.join(hint(item_sh.select("h", "item", "size", "ipos")), "h")
@@ -97,7 +98,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD
 
     # 2. the windows' bags of shingles, from the documents that have any
     per_doc = windows.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("size", "start")).alias("ws"))
-    again = documents(docs).where("doc_id IS NOT NULL").withColumn("rid", F.xxhash64("text")).join(per_doc.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi").distinct()
+    again = documents(docs).withColumn("rid", F.xxhash64("text")).join(per_doc.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi").distinct()
     again = with_shingles(again, ["doc_id", "rid"]).join(per_doc, ["doc_id", "rid"])
     cut = (again.selectExpr("doc_id", "rid", "n", "sh", "explode_outer(ws) AS v")
            .selectExpr("doc_id", "rid", "v.size AS size", "v.start AS start", f"explode_outer(slice(sh, v.start + 1, greatest(1, least(v.size, n) - {WORDS - 1}))) AS h"))

@@ -27,7 +27,8 @@ the same steps.  Sets are compared by 64-bit hashes of their shingles.
 
 Defined cases: null and empty texts have an empty set and link with nothing;
 fewer than five words are one shingle; rows that share a doc_id are joined each;
-an empty table gives no rows; other columns are left out.
+an empty table gives no rows; rows without an id and other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def shingle(docs: DataFrame) -> DataFrame:
             yield flush()
         held.clear()
         release()
-    return documents(docs).where("doc_id IS NOT NULL").mapInPandas(run, CHUNK)
+    return documents(docs).mapInPandas(run, CHUNK)
 
 
 def _cells(tokens: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,8 @@ remainder finds its place by its rank among those of its length.  Ranks are
 made of buckets: a rank within the bucket and the counts of the buckets before.
 
 Defined cases: null texts count as empty and have the end id alone; an empty
-table gives no rows; repeated rows are packed each; other columns are left out.
+table gives no rows; repeated rows are packed each; rows without an id and other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int = 0, window: int = WIN
                         rows.append((doc_id, s, len(piece), zlib.crc32(raw), len(ids), piece.astype(enc.dtype).tobytes()))
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
         release()
-    return documents(docs).where("doc_id IS NOT NULL").mapInPandas(cut, PIECE + ", ids binary")
+    return documents(docs).mapInPandas(cut, PIECE + ", ids binary")
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, depth: int = DEPTH) -> DataFrame:

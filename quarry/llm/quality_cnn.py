@@ -12,7 +12,7 @@ grow with a document's length.
 
 Defined cases: null texts count as empty; an empty text is one chunk of padding
 and gets a score like any other; without labels of both classes every score is
-the share of label 1 (0 without labels); repeated rows are scored each; other
+the share of label 1 (0 without labels); repeated rows are scored each; rows without an id and other
 columns are left out.
 """
 

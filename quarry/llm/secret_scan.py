@@ -11,7 +11,8 @@ Kinds: ``assign``, ``access`` and ``hex``, and those added by their checksum:
 characters and 6 more that hold their CRC-32.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are
-scanned each; other columns are left out; very long texts are scanned whole.
+scanned each; rows without an id and other
+columns are left out; very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,19 +133,22 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """The documents with every span replaced; ``n_chars`` follows where the table has it.  Rows and other columns stay."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for text in pdf["text"]:
-                if text is not None:
-                    out, at = [], 0
-                    for _, a, b in sorted(scan(text), key=lambda s: (s[1], -s[2])):
-                        if b > at:
-                            out += [text[at:a], mask] if a >= at else []
-                            at = b
-                    text = "".join(out) + text[at:]
-                texts.append(text)
-            yield pdf.assign(text=texts)
+    def masked(text: str | None) -> str | None:
+        if text is None:
+            return None
+        out, at = [], 0
+        for _, a, b in sorted(scan(text), key=lambda s: (s[1], -s[2])):
+            if b > at:
+                out += [text[at:a], mask] if a >= at else []
+                at = b
+        return "".join(out) + text[at:]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            i = batch.schema.get_field_index("text")
+            field = batch.schema.field(i)
+            yield batch.set_column(i, field, pa.array([masked(t) for t in batch.column(i).to_pylist()], type=field.type))
+
     small_batches(docs.sparkSession)
-    out = docs.mapInPandas(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

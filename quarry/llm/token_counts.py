@@ -11,7 +11,8 @@ library (tokenizers for .json, sentencepiece for .model).
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); special strings
 inside a text are one token each, as the library's default has it; repeated
-rows are counted each; other columns are left out.
+rows are counted each; rows without an id and other
+columns are left out.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ shard twice.
 
 Defined cases: null texts count as empty and have the end id alone; an empty
 table writes no shard; rows that share a doc_id follow each other by the hash
-of their text; other columns are left out.
+of their text; rows without an id and other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, seque
     spark = docs.sparkSession
     system, root = open_folder(folder)
     system.create_dir(root, recursive=True)
-    rows = documents(docs).where("doc_id IS NOT NULL").withColumn("tie", F.xxhash64("text"))
+    rows = documents(docs).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").withColumn("shard", F.spark_partition_id())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,8 @@ shuffle.
 Defined cases: null texts count as empty; an empty text, or one without any
 hit, gets the base score of the model; without labels of both classes the
 lexicon is empty and every score is the share of toxic labels (0 without
-labels); repeated rows are scored each; other columns are left out.
+labels); repeated rows are scored each; rows without an id and other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,10 +291,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents whose score stays below the threshold, with all their columns."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
-        for pdf in parts:
-            yield pdf[scorer.scores(["" if t is None else t for t in pdf["text"]]) < threshold]
+        for batch in parts:
+            yield batch.filter(pa.array(scorer.scores([t or "" for t in batch.column("text").to_pylist()]) < threshold))
         release()
     small_batches(docs.sparkSession)
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

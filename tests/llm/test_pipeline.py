@@ -35,3 +35,22 @@ def test_stages_decide_and_keep_columns(spark):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "decontamination", "secret_scans", "packing"]
     assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_stages_on_an_empty_table_and_big_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    big = spark.createDataFrame([(2 ** 60 + 1, "one two three four"), (None, "no id here")], "doc_id long, text string")
+    for name, fn in corpus_pipeline.STAGES:
+        assert fn(spark, docs.limit(0), SF).collect() == [], name
+        kept = {r.doc_id for r in fn(spark, big, SF).select("doc_id").collect()}
+        assert kept == ({2 ** 60 + 1} if name == "packing" else {2 ** 60 + 1, None}), name
+
+
+def test_rows_without_an_id_are_left_out(spark):
+    from quarry.llm import ngram_join, packing, quality_cnn, secret_scan, token_counts, token_files
+    from quarry.llm.common import vocabulary
+    df = spark.createDataFrame([(2 ** 60 + 1, "a token=abcdefgh"), (None, "no id")], "doc_id long, text string")
+    path = vocabulary()
+    for out in (ngram_join.near_duplicates(df), packing.pack(df, path), quality_cnn.score(df, quality_cnn.new_net()), secret_scan.find_secrets(df),
+                token_counts.count_tokens(df, path), token_files.token_output(df, path), toxicity.score(df, toxicity.Model([], toxicity.np.zeros(0)))):
+        assert {r.doc_id for r in out.collect()} == {2 ** 60 + 1}
