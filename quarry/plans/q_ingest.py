@@ -26,11 +26,11 @@ def _store(cat):
     return N.store_records(landing_payloads(L.store_bodies(cat)))
 
 
-def _run(spark, sf, cap=N.MAX_CHILDREN, with_catalogue=False):
+def _run(spark, sf, cap=N.MAX_CHILDREN, with_catalogue=False, checkpoint=False):
     cat = cat_of(spark, sf)
     base = Catalog.empty_catalogue(spark) if with_catalogue else None
     return J.ingest(L.id_texts(cat), L.store_bodies(cat), L.stats_bodies(cat), L.review_page_bodies(cat),
-                    catalog=base, run_ts=L.RUN_TS, max_children=cap)
+                    catalog=base, run_ts=L.RUN_TS, max_children=cap, checkpoint=checkpoint)
 
 
 # =============================================================== SQL building blocks
@@ -374,7 +374,7 @@ WITH {SQL_IDS}, {sql_pages(100, "WHERE conv_id IN (SELECT k FROM ids)")}
 SELECT {SQL_REVIEW_COLS} FROM reviews r
 """, bench=True)
 def e1_reviews(spark, sf):
-    return _run(spark, sf).reviews.select(*REVIEW_COLUMNS)
+    return _run(spark, sf, checkpoint=True).reviews.select(*REVIEW_COLUMNS)
 
 
 SQL_OK_GAMES = f"""{SQL_PART}, {SQL_IDS},
