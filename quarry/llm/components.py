@@ -20,14 +20,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = e.selectExpr("u AS n", "v AS m").unionByName(e.selectExpr("v AS n", "u AS m"))
         low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("low", "n").alias("low"))
-        large = both.join(low, "n").where("m > n").selectExpr("m AS u", "low AS v").where("u <> v").distinct()
+        large = both.join(low, "n").where("m > n").selectExpr("m AS u", "low AS v").where("u <> v")
         large = stage(large, name)
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").selectExpr("explode(array(struct(v AS u, low AS v), struct(u AS u, low AS v))) AS s").select("s.u", "s.v").where("u <> v").distinct()
         small = stage(small, name)
         # done when the edges are stars: every larger end has one edge, and no centre is a larger end
-        count, ends = small.agg(F.count("*"), F.count_distinct("u")).first()
-        if count == ends and small.select(F.col("v").alias("u")).join(small.select("u"), "u", "left_semi").limit(1).count() == 0:
+        ends = small.selectExpr("explode(array(struct(u AS n, 1 AS up, 0 AS centre), struct(v AS n, 0 AS up, 1 AS centre))) AS s").select("s.*")
+        ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("centre").alias("centre"))
+        if ends.where("up > 1 OR up = 1 AND centre = 1").limit(1).count() == 0:
             nodes = small.selectExpr("u AS node", "v AS label")
             return nodes.unionByName(small.selectExpr("v AS node", "v AS label").distinct())
         e = small
