@@ -22,6 +22,10 @@ needs no posting at all; passages that many documents share come last.
    are then outside the largest component meet all blocks.
 6. Links of verified pairs make the components.
 
+``linked_documents`` also counts every document's links.  A forest has too few
+for that, so there all pairs of blocks of a large cluster meet, each pair as a
+group of its own, and the components come from the same pairs.
+
 Nothing is capped: long lists, large clusters and copies of any number take
 the same steps.  Sets are compared by 64-bit hashes of their shingles.
 
@@ -221,8 +225,8 @@ def prefixes(chunks: DataFrame, answers: DataFrame, shift: int) -> DataFrame:
         release()
         out = pd.concat(frames, ignore_index=True)
         out["prefix"] = [p if p else None for p in out["prefix"]]
-        out["gid"] = [_group(p, n) if p else None for p, n in zip(out["prefix"], out["n"])]
-        out["gid"] = out["gid"].astype("Int64")
+        # not by way of floats, which would round the names wherever one is null
+        out["gid"] = pd.array([_group(p, n) if p else None for p, n in zip(out["prefix"], out["n"])], dtype="Int64")
         return out[["doc_id", "n", "d0", "d1", "gid", "prefix"]]
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, PREFIXED)
@@ -360,12 +364,16 @@ def verify(pdf: pd.DataFrame) -> pd.DataFrame:
 LINK = "a long, b long"
 
 
-def verified_links(sets: DataFrame) -> DataFrame:
-    """Links between the sets (cluster, node, n, set) of each cluster, as a forest of them."""
+def cluster_blocks(sets: DataFrame) -> DataFrame:
+    """(cluster, k, tokens, blocks) of each cluster of several sets; only a large one has more than one block."""
     size = sets.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("tokens")).where("k > 1")
-    size = size.withColumn("blocks", F.when((F.col("k") <= CLUSTER_SETS) & (F.col("tokens") <= CLUSTER_TOKENS), F.lit(1)).otherwise(
+    return size.withColumn("blocks", F.when((F.col("k") <= CLUSTER_SETS) & (F.col("tokens") <= CLUSTER_TOKENS), F.lit(1)).otherwise(
         F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("long"))
-    size = stage(size, "clusters")
+
+
+def verified_links(sets: DataFrame) -> DataFrame:
+    """Links between the sets (cluster, node, n, set) of each cluster, as a forest of them."""
+    size = stage(cluster_blocks(sets), "clusters")
     dealt = sets.join(size.select("cluster", "blocks"), "cluster")
     links = dealt.where("blocks = 1").groupBy("cluster").applyInPandas(verify, LINK)
     large = size.where("blocks > 1")
@@ -392,8 +400,38 @@ def verified_links(sets: DataFrame) -> DataFrame:
     return links.unionByName(first).unionByName(second)
 
 
+def count_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(node, low, links) of the sets of one cluster or pair of blocks: the smallest set that each reaches, and how many
+    documents hold a set that it links with.  Between two blocks, pairs within either are another group's."""
+    pdf = pdf.drop_duplicates("node")
+    node, copies, block = (pdf[c].to_numpy(np.int64) for c in ("node", "copies", "block"))
+    if len(pdf) < 2:
+        return pd.DataFrame({"node": node[:0], "low": node[:0], "links": node[:0]})
+    i, j = linked_pairs([np.frombuffer(x, "<u8") for x in pdf["set"]])
+    if pdf["x"].iloc[0] != pdf["y"].iloc[0]:
+        across = block[i] != block[j]
+        i, j = i[across], j[across]
+    if len(pdf) >= BLOCK_SETS:
+        release()
+    links = np.zeros(len(node), np.int64)
+    np.add.at(links, i, copies[j])
+    np.add.at(links, j, copies[i])
+    some = np.flatnonzero(links)
+    return pd.DataFrame({"node": node[some], "low": node[union_find(len(node), i, j)[some]], "links": links[some]})
+
+
+def counted_links(sets: DataFrame) -> DataFrame:
+    """``count_links`` of every pair of sets (cluster, node, n, set, copies) of a cluster, each pair in one group."""
+    size = stage(cluster_blocks(sets), "clusters")
+    dealt = sets.join(size.select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = (dealt.withColumn("other", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+           .select("cluster", "x", "y", "block", "node", "copies", "set"))
+    return met.groupBy("cluster", "x", "y").applyInPandas(count_links, "node long, low long, links long")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cluster, node, n, set) of the wanted documents (doc_id, d0, cluster), from their texts."""
+    """(cluster, node, n, set, copies) of the wanted documents (doc_id, d0, cluster, copies), from their texts."""
     few = wanted.count() <= BROADCAST_ROWS
     ids = wanted.select("doc_id").distinct()
     texts = documents(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -407,12 +445,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         release()
 
     found = texts.mapInPandas(run, "doc_id long, node long, n long, set binary")
-    keys = wanted.select("doc_id", F.col("d0").alias("node"), "cluster")
-    return found.join(F.broadcast(keys) if few else keys, ["doc_id", "node"]).select("cluster", "node", "n", "set")
+    keys = wanted.select("doc_id", F.col("d0").alias("node"), "cluster", "copies")
+    return found.join(F.broadcast(keys) if few else keys, ["doc_id", "node"]).select("cluster", "node", "n", "set", "copies")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def clustered_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``prefixes``, the different sets that can link (d0, doc_id, copies, cluster), and those of several to a cluster."""
     chunks = stage(shingle(docs), "chunks")
     answers, shift = mark_shared(chunks)
     rows = stage(prefixes(chunks, answers, shift), "prefixes")
@@ -420,19 +458,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = posted.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     clusters = components(candidate_links(groups), "clusters").selectExpr("node AS gid", "label AS cluster")
     # one document stands for all equal sets
-    nodes = posted.groupBy("gid", "d0").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stage(nodes.join(clusters, "gid", "left").selectExpr("d0", "doc_id", "coalesce(cluster, gid) AS cluster"), "nodes")
+    nodes = posted.groupBy("gid", "d0").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    nodes = stage(nodes.join(clusters, "gid", "left").selectExpr("d0", "doc_id", "copies", "coalesce(cluster, gid) AS cluster"), "nodes")
     several = nodes.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1").select("cluster")
-    sets = stage(full_sets(docs, stage(nodes.join(several, "cluster").select("doc_id", "d0", "cluster"), "wanted")), "sets")
-    label = components(verified_links(sets), "links").selectExpr("node AS d0", "label")
-    named = nodes.join(label, "d0", "left").selectExpr("d0", "doc_id", "coalesce(label, d0) AS label")
+    sets = stage(full_sets(docs, stage(nodes.join(several, "cluster").select("doc_id", "d0", "cluster", "copies"), "wanted")), "sets")
+    return rows, nodes, sets
+
+
+def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The sets with the component_id that the links (a, b) give them."""
+    label = components(links, "links").selectExpr("node AS d0", "label")
+    named = nodes.join(label, "d0", "left").selectExpr("d0", "doc_id", "copies", "coalesce(label, d0) AS label")
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = stage(named.join(lowest, "label").select("d0", "component_id"), "components")
-    linked = posted.select("doc_id", "n", "d0").join(named, "d0").selectExpr("doc_id", "n AS n_shingles", "component_id")
+    return stage(named.join(lowest, "label").select("d0", "copies", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    rows, nodes, sets = clustered_sets(docs)
+    named = with_components(nodes, verified_links(sets))
+    linked = rows.where("gid IS NOT NULL").select("doc_id", "n", "d0").join(named, "d0").selectExpr("doc_id", "n AS n_shingles", "component_id")
     alone = rows.where("gid IS NULL").selectExpr("doc_id", "n AS n_shingles", "doc_id AS component_id")
     return linked.unionByName(alone)
 
 
+def linked_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (the other rows that it links with) of every document."""
+    rows, nodes, sets = clustered_sets(docs)
+    counted = stage(counted_links(sets), "counted")
+    named = with_components(nodes, counted.selectExpr("node AS a", "low AS b"))
+    links = counted.groupBy(F.col("node").alias("d0")).agg(F.sum("links").alias("links"))
+    named = named.join(links, "d0", "left").selectExpr("d0", "component_id", "coalesce(links, 0) + copies - 1 AS n_links")
+    linked = rows.where("gid IS NOT NULL").select("doc_id", "n", "d0").join(named, "d0").selectExpr("doc_id", "n AS n_shingles", "component_id", "n_links")
+    alone = rows.where("gid IS NULL").selectExpr("doc_id", "n AS n_shingles", "doc_id AS component_id", "0L AS n_links")
+    return linked.unionByName(alone)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component (the smallest id), with all its columns; rows without an id stay.
 
@@ -452,3 +513,7 @@ l AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc
 r(node, low) AS (SELECT x, x FROM l UNION SELECT l.y, r.low FROM r JOIN l ON l.x = r.node WHERE r.low < l.y),
 m AS (SELECT node, min(low) AS low FROM r GROUP BY node)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(m.low, t.doc_id)) AS component_id FROM t LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = t.doc_id"""
+#: The same components, and each document's links.
+LINKS_SQL = SQL[:SQL.rindex("\nSELECT")] + r""",
+d AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(m.low, t.doc_id)) AS component_id, coalesce(d.n_links, 0)::BIGINT AS n_links FROM t LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = t.doc_id LEFT JOIN d ON d.x = t.doc_id"""

@@ -54,6 +54,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_exact_top_k": op7_exact_top_k,
@@ -67,8 +71,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
 }
 
+#: Further queries of the same operators, beside the one of each.
+MORE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
+}
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.SQL,
+    "op1_ngram_jaccard_links": ngram_join.LINKS_SQL,
     "op6_url_filters": url_filter.sql(),
     "op7_exact_top_k": topk.sql(),
 }

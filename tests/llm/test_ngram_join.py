@@ -74,3 +74,24 @@ def test_components(spark, seed):
             if a != b:
                 low[a] = low[b] = min(low[a], low[b])
     assert got == low
+
+
+def brute_links(rows):
+    sets = [set(shingles(t)) for _, t in rows]
+    return [sum(a != b and 100 * len(x & y) >= 75 * len(x | y) for b, y in enumerate(sets)) if x else 0 for a, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("cluster,block", [(ngram_join.CLUSTER_SETS, ngram_join.BLOCK_SETS), (4, 3)])
+def test_every_link_is_counted(spark, monkeypatch, cluster, block):
+    monkeypatch.setattr(ngram_join, "CLUSTER_SETS", cluster)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    rng = random.Random(3)
+    base = prose(rng, 120)
+    chain = [base]
+    for _ in range(12):  # neighbours link, ends don't
+        chain.append(edited(rng, chain[-1], 2))
+    texts = chain + [edited(rng, base, rng.randint(0, 6)) for _ in range(30)] + [base] * 3 + families(3, 6) + EDGE
+    rows = [(10 + i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in ngram_join.linked_documents(table(spark, texts)).collect()}
+    assert [got[d].n_links for d, _ in rows] == brute_links(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.values()} == brute(rows)
