@@ -1,21 +1,24 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
+"""Benchmark decontamination: every item-sized window by sums over shared shingles, SimHash distance of the best.
 
 DataFrame operations only.  Words are lower-cased runs without white space; a
 shingle is ``WORDS`` of them.
 
 1. A window can only resemble an item if both share a shingle.  Documents'
-   shingles are joined with the items'; each hit lines the item up with the
-   document and so proposes a window of the item's size.
-2. Windows and items get 64-bit SimHash fingerprints of their weighted shingles.
-3. Fingerprints are cut into RADIUS + 1 blocks; two that differ in at most
-   RADIUS bits agree in a whole block, so a join on (size, block, bits) finds
-   every such pair, and the others are dropped by their Hamming distance.
-4. Candidates are verified exactly: the weighted Jaccard similarity of the two
-   bags of shingles, in whole numbers, must reach ``THRESHOLD`` per cent.  A
-   shingle weighs less the more items hold it.
-
-Fixed: at the threshold, similarity 0.75 means about 11 bits of distance with a
-deviation of 3; RADIUS lies almost four deviations above.
+   shingles are joined with the items'; a document and an item whose shared
+   shingles all together weigh less than ``THRESHOLD`` per cent of the item
+   have no such window and go.
+2. A shared shingle counts for the windows of the item's size that start in one
+   interval: from where it comes in, or from behind the occurrence that is as
+   many before it as the item has, to its own place.  So the common weight of
+   all windows is a running sum of changes, at most two a shared shingle, and so
+   is the weight of the windows themselves.  Between changes nothing differs, so
+   the best of all starts is among them.
+3. The weighted Jaccard similarity of the two bags of shingles, in whole
+   numbers, must reach ``THRESHOLD`` per cent.
+4. The best window and its item get 64-bit SimHash fingerprints of their
+   weighted shingles; their Hamming distance is a column and drops nothing.
+
+A shingle weighs less the more items hold it.
 
 Defined cases: null and empty texts or items match nothing; an item with fewer
 than ``WORDS`` words is one shingle and matches documents that are just these
@@ -33,7 +36,6 @@ from .common import documents, stage
 
 WORDS = 5
 THRESHOLD = 75
-RADIUS = 22
 BITS = 64
 WEIGHT = 2520
 #: Items' shingles are broadcast only when counted below this.
@@ -55,12 +57,6 @@ def with_shingles(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return df.selectExpr(*keys, f"{words(text)} AS w").selectExpr(*keys, "size(w) AS n", f"{shingles('w')} AS sh")
 
 
-def blocks() -> list[tuple[int, int]]:
-    """(first bit, bits) of RADIUS + 1 blocks that cover the fingerprint."""
-    edges = [BITS * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
-
 def fingerprints(bag: DataFrame, keys: list[str]) -> DataFrame:
     """The SimHash of each key's bag (``h``, ``c`` times, weight ``weight``): one sum a bit, then the signs."""
     sums = [F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) == 1, F.col("c") * F.col("weight")).otherwise(-F.col("c") * F.col("weight"))).alias(f"b{b}") for b in range(BITS)]
@@ -72,58 +68,60 @@ def fingerprints(bag: DataFrame, keys: list[str]) -> DataFrame:
     return bag.groupBy(*keys).agg(*sums, mass).select(*keys, "mass", bits.alias("print"))
 
 
-def by_block(prints: DataFrame) -> DataFrame:
-    parts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << n) - 1)).alias("bits")) for i, (a, n) in enumerate(blocks())]
-    return prints.withColumn("p", F.explode(F.array(*parts))).select("*", "p.block", "p.bits").drop("p")
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, item_id, start (word), n_words, distance and similarity (per mille) of every document's best window for each item it holds."""
     items = with_shingles(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").selectExpr("cast(item_id AS long) AS item_id", "text").distinct(), ["item_id"])
     items = stage(items, "items").where("n > 0").withColumn("item", F.xxhash64("item_id", "sh"))
-    item_sh = items.selectExpr("item", "item_id", "n AS size", "posexplode(sh) AS (ipos, h)")
+    item_sh = items.selectExpr("item", "item_id", "n AS size", "explode(sh) AS h")
     weight = item_sh.groupBy("h").agg(F.countDistinct("item").alias("df")).selectExpr("h", f"greatest(1, {WEIGHT} div df) AS weight")
-    item_sh = stage(item_sh.join(weight, "h"), "item-shingles")
-    small = item_sh.count() <= BROADCAST_ROWS
+    bags = item_sh.groupBy("item", "item_id", "size", "h").agg(F.count("*").alias("ic")).join(weight, "h")
+    bags = stage(bags, "item-shingles")
+    small = bags.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
+    masses = bags.groupBy("item").agg(F.sum(F.col("ic") * F.col("weight")).alias("item_mass"))
 
-    # 1. hits and the windows that they propose
+    # 1. hits, and the pairs whose hits can be enough
     doc_sh = with_shingles(documents(docs).withColumn("rid", F.xxhash64("text")), ["doc_id", "rid"])
     # the outer form keeps the optimizer from repeating the shingle expression in a filter; a null never joins
     spots = doc_sh.selectExpr("doc_id", "rid", "n", "posexplode_outer(sh) AS (pos, h)")
-    hits = spots.join(hint(item_sh.select("h", "item", "size", "ipos")), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("size")))
-    whole = (F.col("size") >= WORDS) | (F.col("n") == F.col("size"))
-    windows = stage(hits.where(whole).select("doc_id", "rid", "size", start.alias("start")).distinct(), "windows")
-
-    # 2. the windows' bags of shingles, from the documents that have any
-    per_doc = windows.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("size", "start")).alias("ws"))
-    again = documents(docs).withColumn("rid", F.xxhash64("text")).join(per_doc.select("doc_id", "rid"), ["doc_id", "rid"], "left_semi").distinct()
-    again = with_shingles(again, ["doc_id", "rid"]).join(per_doc, ["doc_id", "rid"])
-    cut = (again.selectExpr("doc_id", "rid", "n", "sh", "explode_outer(ws) AS v")
-           .selectExpr("doc_id", "rid", "v.size AS size", "v.start AS start", f"explode_outer(slice(sh, v.start + 1, greatest(1, least(v.size, n) - {WORDS - 1}))) AS h"))
-    key = ["doc_id", "rid", "size", "start"]
-    bag = cut.groupBy(*key, "h").agg(F.count("*").alias("c")).join(hint(weight), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(WEIGHT)).cast("long"))
-    bag = stage(bag, "window-bags")
-    item_bag = item_sh.groupBy("item", "item_id", "size", "h", "weight").agg(F.count("*").alias("c"))
-    prints = fingerprints(bag, key)
-    item_prints = fingerprints(item_bag, ["item", "item_id", "size"]).withColumnsRenamed({"print": "item_print", "mass": "item_mass"})
-
-    # 3. pairs that agree in a block, within the radius
-    marked = by_block(item_prints.withColumn("print", F.col("item_print"))).drop("print")
-    near = by_block(prints).join(marked, ["size", "block", "bits"])
-    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    pairs = near.where(distance <= RADIUS).groupBy(*key, "item", "item_id", "mass", "item_mass").agg(F.min(distance).alias("distance"))
-
-    # 4. exact similarity
-    both = pairs.join(bag, key).join(item_bag.selectExpr("item", "h", "c AS ic"), ["item", "h"])
-    common = F.sum(F.least("c", "ic") * F.col("weight"))
-    scored = both.groupBy(*key, "item_id", "mass", "item_mass", "distance").agg(common.alias("common"))
-    union = F.col("mass") + F.col("item_mass") - F.col("common")
-    scored = scored.where(F.col("common") * 100 >= union * threshold).withColumn("similarity", F.expr("(common * 1000) div (mass + item_mass - common)"))
+    hits = spots.join(hint(bags), "h").where((F.col("size") >= WORDS) | (F.col("n") == F.col("size")))
+    doc, pair = ["doc_id", "rid"], ["doc_id", "rid", "item"]
+    hits = hits.groupBy(*pair, "item_id", "n", "size", "h", "ic", "weight").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+    hits = stage(hits, "hits")
+    most = hits.groupBy(*pair).agg(F.sum(F.least(F.size("ps"), F.col("ic")) * F.col("weight")).alias("most")).join(masses, "item")
+    most = most.where(F.col("most") * 100 >= F.col("item_mass") * threshold).select(*pair, "item_mass")
+    held = stage(hits.join(most, pair).selectExpr("*", f"greatest(1, least(size, n) - {WORDS - 1}) AS m", "greatest(0, n - size) AS last"), "held")
+
+    # 2. where the sums of the windows change
+    changes = "array(named_struct('start', a, 'common', {0}, 'less', {1}), named_struct('start', z, 'common', -{0}, 'less', -{1}))"
+    inside = held.selectExpr(*pair, "m", "last", "weight", "inline(transform(ps, (p, i) -> named_struct('p', p, 'q', IF(i >= ic, ps[cast(i - ic AS int)], -1))))")
+    inside = inside.selectExpr(*pair, "last", "greatest(0, p - m + 1, q + 1) AS a", "p + 1 AS z", "weight")
+    inside = inside.selectExpr(*pair, "last", f"inline({changes.format('weight', '0L')})")
+    # a window weighs WEIGHT a shingle, less what its shingles of any item weigh below that
+    light = hits.where(f"weight < {WEIGHT}").selectExpr(*doc, f"{WEIGHT} - weight AS lack", "explode(ps) AS p").distinct()
+    light = held.select(*pair, "m", "last").distinct().join(light, doc).selectExpr(*pair, "last", "greatest(0, p - m + 1) AS a", "p + 1 AS z", "lack")
+    light = light.selectExpr(*pair, "last", f"inline({changes.format('0L', 'lack')})")
+    steps = inside.unionByName(light).where("start <= last").groupBy(*pair, "start").agg(F.sum("common").alias("common"), F.sum("less").alias("less"))
+    upto = Window.partitionBy(*pair).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = steps.select(*pair, "start", F.sum("common").over(upto).alias("common"), F.sum("less").over(upto).alias("less"))
+
+    # 3. exact similarity
+    named = held.select(*pair, "item_id", "size", "m", "item_mass").distinct()
+    scored = sums.join(named, pair).selectExpr("*", f"{WEIGHT} * m - less + item_mass - common AS either").where(F.col("common") * 100 >= F.col("either") * threshold)
+    scored = scored.withColumn("similarity", F.expr("(common * 1000) div either"))
     order = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), "start", "rid")
-    return (scored.withColumn("r", F.row_number().over(order)).where("r = 1")
-            .selectExpr("doc_id", "item_id", "start", "size AS n_words", "distance", "similarity"))
+    best = stage(scored.withColumn("r", F.row_number().over(order)).where("r = 1").select(*pair, "item_id", "start", "size", "m", "similarity"), "best")
+
+    # 4. fingerprints
+    windows = best.select(*doc, "start", "m").distinct()
+    again = documents(docs).withColumn("rid", F.xxhash64("text")).join(windows.select(*doc).distinct(), doc, "left_semi").distinct()
+    cut = with_shingles(again, doc).join(windows, doc).selectExpr(*doc, "start", "m", "explode_outer(slice(sh, start + 1, m)) AS h")
+    bag = cut.groupBy(*doc, "start", "m", "h").agg(F.count("*").alias("c")).join(hint(weight), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(WEIGHT)).cast("long"))
+    prints = fingerprints(bag, [*doc, "start", "m"]).drop("mass")
+    item_prints = fingerprints(bags.join(best.select("item").distinct(), "item", "left_semi").withColumnRenamed("ic", "c"), ["item"]).selectExpr("item", "print AS item_print")
+    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("distance")
+    return (best.join(prints, [*doc, "start", "m"]).join(item_prints, "item")
+            .select("doc_id", "item_id", "start", F.col("size").alias("n_words"), distance, "similarity"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

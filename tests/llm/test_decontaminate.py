@@ -84,3 +84,26 @@ def test_radius_holds_at_the_threshold(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(table(spark, docs), bench).collect()}
     assert got == brute([(10 + i, t) for i, t in enumerate(docs)], items).keys()
+
+
+def similarities(spark, docs, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(table(spark, docs), bench).collect()}
+
+
+def test_best_window_lies_between_alignments(spark):
+    """Words inserted and left out inside an item, its ends changed too; and an item that repeats itself."""
+    rng = random.Random(8)
+    items = [prose(rng, 120) for _ in range(12)] + [items_twice(rng)]
+    docs = []
+    for k, t in enumerate(items):
+        w = t.split(" ")
+        inner = w[5:-5] if k % 2 else w[2:-2]
+        at = len(inner) // 2
+        inner = inner[:at] + prose(rng, 10).split(" ") + inner[at:] if k % 3 else inner[:at] + inner[at + 8:]
+        docs.append(" ".join([prose(rng, 40), *inner, prose(rng, 40)]))
+    docs += [" ".join([prose(rng, 9), items[-1], items[-1], prose(rng, 9)])] + setup()[0]
+    items += setup()[1]
+    want = brute([(10 + i, t) for i, t in enumerate(docs)], list(enumerate(items)))
+    assert sum(d < 10 + 12 for d, _ in want) >= 6
+    assert similarities(spark, docs, items) == want
