@@ -18,7 +18,10 @@ shingle is ``WORDS`` of them.
 4. The best window and its item get 64-bit SimHash fingerprints of their
    weighted shingles; their Hamming distance is a column and drops nothing.
 
-A shingle weighs less the more items hold it.
+A shingle that several items hold, counted by their different texts, weighs
+half of one that a single item holds; a shingle of no item weighs as much as the
+latter.  So weights differ by ``RATIO`` at most, and a copy whose plain
+similarity is 6/7 or more reaches 75 per cent under any of these weights.
 
 Defined cases: null and empty texts or items match nothing; an item with fewer
 than ``WORDS`` words is one shingle and matches documents that are just these
@@ -38,6 +41,7 @@ WORDS = 5
 THRESHOLD = 75
 BITS = 64
 WEIGHT = 2520
+RATIO = 2
 #: Items' shingles are broadcast only when counted below this.
 BROADCAST_ROWS = 200_000
 
@@ -72,8 +76,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD
     """doc_id, item_id, start (word), n_words, distance and similarity (per mille) of every document's best window for each item it holds."""
     items = with_shingles(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").selectExpr("cast(item_id AS long) AS item_id", "text").distinct(), ["item_id"])
     items = stage(items, "items").where("n > 0").withColumn("item", F.xxhash64("item_id", "sh"))
-    item_sh = items.selectExpr("item", "item_id", "n AS size", "explode(sh) AS h")
-    weight = item_sh.groupBy("h").agg(F.countDistinct("item").alias("df")).selectExpr("h", f"greatest(1, {WEIGHT} div df) AS weight")
+    item_sh = items.selectExpr("item", "item_id", "n AS size", "xxhash64(sh) AS same", "explode(sh) AS h")
+    weight = item_sh.groupBy("h").agg(F.countDistinct("same").alias("df")).selectExpr("h", f"{WEIGHT} div least(df, {RATIO}) AS weight")
     bags = item_sh.groupBy("item", "item_id", "size", "h").agg(F.count("*").alias("ic")).join(weight, "h")
     bags = stage(bags, "item-shingles")
     small = bags.count() <= BROADCAST_ROWS

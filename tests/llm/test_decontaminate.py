@@ -107,3 +107,22 @@ def test_best_window_lies_between_alignments(spark):
     want = brute([(10 + i, t) for i, t in enumerate(docs)], list(enumerate(items)))
     assert sum(d < 10 + 12 for d, _ in want) >= 6
     assert similarities(spark, docs, items) == want
+
+
+def test_items_that_share_text(spark):
+    """A passage with forty questions, and one text under forty ids: one changed word, of 200, leaves a near copy."""
+    rng = random.Random(21)
+    passage, alone = prose(rng, 204), prose(rng, 200)
+    items = [passage + " " + prose(rng, 5) for _ in range(40)] + [alone] * 40
+    docs = []
+    for t in items[::8]:
+        w = t.split(" ")
+        w[100] = "changed"
+        docs.append(" ".join([prose(rng, 20), *w, prose(rng, 20)]))
+    got = similarities(spark, docs, items)
+    for k in range(len(docs)):
+        same = [8 * k] if k < 5 else range(40, 80)
+        for i in same:
+            # of 205 or 196 shingles five differ; the passage's weigh half
+            common, own = (195 * 1 + 5 * 2, 205 + 5) if k < 5 else (191 * 2, 196 * 2)
+            assert got[10 + k, i] == common * 1000 // (own + 5 * 2), (k, i)
