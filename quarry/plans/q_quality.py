@@ -201,10 +201,22 @@ SELECT CAST(doc_id AS INTEGER) AS id, '  "' || left(text, 300) || chr(10) || doc
 UNION ALL SELECT CAST(doc_id AS INTEGER), NULL, 'ids' FROM documents
 """)
 def s2_text_round_trip(spark, sf):
+    return _text_round_trip(spark, sf, F.substring("text", 1, 300))
+
+
+@query("s2_k1_whole_text_round_trip_documents", """
+SELECT CAST(doc_id AS INTEGER) AS id, '  "' || text || chr(10) || doc_id * 7 || ',x"' || chr(9) AS name, 'keys' AS kind FROM documents
+UNION ALL SELECT CAST(doc_id AS INTEGER), NULL, 'ids' FROM documents
+""")
+def s2_whole_text_round_trip(spark, sf):
+    return _text_round_trip(spark, sf, F.col("text"))
+
+
+def _text_round_trip(spark, sf, text):
     """K1/K2 write, S5 reads back, S2 finds the keys: line ends, quotes, commas, digits and outer blanks all stay in the text."""
     path = scratch(spark, "texts")
     docs = cat_of(spark, sf).df("documents")
-    name = F.concat(F.lit('  "'), F.substring("text", 1, 300), F.lit("\n"), (F.col("doc_id") * 7).cast("string"), F.lit(',x"\t'))
+    name = F.concat(F.lit('  "'), text, F.lit("\n"), (F.col("doc_id") * 7).cast("string"), F.lit(',x"\t'))
     half = docs.select(F.max("doc_id")).scalar() / 2
     rows = docs.select(F.col("doc_id").alias("id"), name.alias("name"))
     sinks.write_entity_csv(spark, rows.where(F.col("id") <= half), path, ["id", "name"])

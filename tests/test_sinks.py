@@ -52,3 +52,12 @@ def test_id_pages_stop_rules_and_bad_pages(spark):
     df = scan.landing_payloads(spark.createDataFrame(pages, "page_no int, body string"))
     assert sorted(r["appid"] for r in N.id_list_pages(df).collect()) == [1, 3, 5]
     assert [r["page_no"] for r in N.bad_id_pages(df).collect()] == [4]
+
+
+def test_whole_texts_take_the_round_trip(spark):
+    from quarry.plans.registry import QUERIES, load_all
+    load_all()
+    sf = "/root/testdata/sf0.001"
+    got = {r.id: r.name for r in QUERIES["s2_k1_whole_text_round_trip_documents"](spark, sf).where("kind = 'keys'").collect()}
+    want = {r.doc_id: f'  "{r.text}\n{r.doc_id * 7},x"\t' for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got == want and max(map(len, got.values())) > 1000
