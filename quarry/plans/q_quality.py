@@ -236,7 +236,7 @@ def s1_file_order(spark, sf):
     path = scratch(spark, "ids")
     docs = cat_of(spark, sf).df("documents").select(F.col("doc_id").alias("appid"))
     for name, cond in (("a", "appid % 50 = 0"), ("b", "appid % 50 <> 0")):
-        docs.where(cond).repartition(1).sortWithinPartitions("appid").write.option("header", True).csv(f"{path}/{name}")
+        docs.where(cond).repartitionByRange("appid").sortWithinPartitions("appid").write.option("header", True).csv(f"{path}/{name}")
     from . import ingest_jobs as J
     kept = J.offset_limit(scan.read_id_list(spark, f"{path}/*"), offset=5, limit=200)
     seen = kept.withColumn("__m", F.monotonically_increasing_id())

@@ -61,3 +61,18 @@ def test_whole_texts_take_the_round_trip(spark):
     got = {r.id: r.name for r in QUERIES["s2_k1_whole_text_round_trip_documents"](spark, sf).where("kind = 'keys'").collect()}
     want = {r.doc_id: f'  "{r.text}\n{r.doc_id * 7},x"\t' for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert got == want and max(map(len, got.values())) > 1000
+
+
+def test_file_order_takes_several_ordered_parts(spark, monkeypatch, tmp_path):
+    from pathlib import Path
+
+    from quarry.plans import q_quality
+    monkeypatch.setattr(q_quality, "scratch", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = q_quality.s1_file_order(spark, "/root/testdata/sf0.001").orderBy("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(Path(tmp_path, "ids", "b").glob("part-*.csv"))) > 1
+    ids = [r.appid for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").toDF("appid").collect()]
+    assert [r.appid for r in got] == sorted(ids, key=lambda i: (i % 50 != 0, i))[5:205]
