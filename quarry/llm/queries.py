@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity, url_filter
+from . import decontaminate, lexicon, ngram_join, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity, url_filter
 from .common import table, vocabulary
 
 
@@ -58,6 +58,10 @@ def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_exact_top_k": op7_exact_top_k,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op4_decontamination": op4_decontamination,
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op12_bpe_lexicon": op12_bpe_lexicon,
 }
 
 #: Further queries of the same operators, beside the one of each.
