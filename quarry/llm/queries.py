@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lexicon, ngram_join, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity, url_filter
+from . import collocations, decontaminate, lexicon, ngram_join, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity, url_filter
 from .common import table, vocabulary
 
 
@@ -58,6 +58,10 @@ def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op4_decontamination": op4_decontamination,
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op11_collocations": op11_collocations,
     "op12_bpe_lexicon": op12_bpe_lexicon,
 }
 
@@ -86,4 +91,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_links": ngram_join.LINKS_SQL,
     "op6_url_filters": url_filter.sql(),
     "op7_exact_top_k": topk.sql(),
+    "op11_collocations": collocations.SQL,
 }
