@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, lexicon, ngram_join, packing, quality_cnn, secret_scan, token_counts, token_files, topk, toxicity, url_filter
+from . import collocations, decontaminate, lexicon, ngram_join, packing, quality_cnn, secret_scan, spelling, token_counts, token_files, topk, toxicity, url_filter
 from .common import table, vocabulary
 
 
@@ -66,6 +66,10 @@ def op12_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_exact_top_k": op7_exact_top_k,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op11_collocations": op11_collocations,
     "op12_bpe_lexicon": op12_bpe_lexicon,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Further queries of the same operators, beside the one of each.
@@ -92,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_url_filters": url_filter.sql(),
     "op7_exact_top_k": topk.sql(),
     "op11_collocations": collocations.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
