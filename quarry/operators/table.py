@@ -17,6 +17,7 @@ from ..functions.filters import compile_where, fresh_alias
 from . import group as _group
 from . import include as _include
 from . import mutate as _mutate
+from . import nested as _nested
 from . import read as _read
 
 
@@ -124,8 +125,18 @@ class Table:
             return res
         return _mutate.Result(res.table, _include.include(self.cat.with_table(self.name, res.table), self.name, res.affected, include))
 
-    def create(self, data: DataFrame, include: dict | None = None) -> DataFrame | _mutate.Result:
-        """The table after the insert; with ``include``, a Result whose affected rows carry their relations."""
+    def write(self, data: DataFrame, mode: str = "create", include: dict | None = None, check: bool = True) -> _nested.Written:
+        """Create, update or upsert rows together with their related rows (``operators.nested``); all touched tables come back."""
+        done = {"create": _nested.create, "update": _nested.update, "upsert": _nested.upsert}[mode](self.cat, self.name, data, check)
+        if include:
+            done.affected = _include.include(done.catalog, self.name, done.affected, include)
+        return done
+
+    def create(self, data: DataFrame, include: dict | None = None) -> DataFrame | _mutate.Result | _nested.Written:
+        """The table after the insert; with ``include``, a Result whose affected rows carry their relations.
+        Rows with columns for relations are written with their related rows, as ``write`` does."""
+        if _nested.relation_columns(data, self.spec):
+            return self.write(data, include=include)
         table = _mutate.insert(self.df, data, self.spec)
         if not include:
             return table
