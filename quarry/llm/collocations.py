@@ -11,10 +11,12 @@ pairs are ranked in turn, and the same step on their sequence (each place now
 holds the rank of the pair that begins there) counts phrases of three words,
 then four, then five.
 
-No table of words or pairs is broadcast or held whole: a chunk gets the ranks
-of its own words and pairs by a join.  A phrase is counted only where both its
-parts are frequent, which loses none, as no phrase is more frequent than its
-parts.
+A chunk gets the ranks of its own words and pairs only.  Words need no join for
+that: their counts are summed over a window of the chunks' rows, and the rows
+themselves are sorted by frequency and numbered.  Frequent pairs are joined
+back to the chunks; they are broadcast when counted below ``BROADCAST_PAIRS``,
+and shuffled beyond it.  A phrase is counted only where both its parts are
+frequent, which loses none, as no phrase is more frequent than its parts.
 
 Defined cases: a null text is empty, a null lang is ``und``; rows without an id
 count like others; empty texts and tables give no phrase; texts of any length
@@ -48,6 +50,8 @@ DENSE = TILE * TILE // 8
 #: Lower case, one separator of words and one of pieces.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\v\f\r", bytes(range(97, 123)) + b" \n\n\n\n\n\n\n\n\n")
 BREAK, NOTHING = 0, 1
+#: Frequent pairs (three numbers each) that may be broadcast.
+BROADCAST_PAIRS = 500_000
 PAIRS = pa.schema([("chunk", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
 WORDS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("symbol", pa.int64()), ("n", pa.int64())])
 
@@ -89,8 +93,8 @@ class Chunk:
         """Write the sequence; the words with their numbers and counts."""
         if not self.size:
             return
-        sequence = np.concatenate(self.parts).astype(np.int64)
-        chunk = write_sequence(folder, sequence)
+        sequence = np.concatenate(self.parts)
+        chunk = write_sequence(folder, np.zeros(0, np.int64), sequence)
         counts = np.bincount(sequence)
         for lang, numbers in self.of.items():
             words = [(w, i) for w, i in numbers.items() if i > NOTHING]
@@ -101,25 +105,31 @@ class Chunk:
                                        pa.array([w for w, _ in part], pa.binary()).cast(pa.string()), pa.array(symbols), pa.array(counts[symbols])], schema=WORDS)
 
 
-def write_sequence(folder: str, sequence: np.ndarray) -> int:
-    """A compressed file of its attempt's own number; only numbers that reach a written table are read again."""
+def write_sequence(folder: str, values: np.ndarray, local: np.ndarray) -> int:
+    """A compressed file of its attempt's own number: a sequence as places in ``values`` (-1: none).
+
+    Only numbers that reach a written table are read again."""
     chunk = uuid.uuid4().int >> 65
     system, root = open_folder(folder)
     with system.open_output_stream(f"{root}/{chunk}.zst", compression="zstd") as f:
-        f.write(sequence.astype("<i8").tobytes())
+        f.write(np.array([len(values)], dtype="<i8").tobytes())
+        f.write(values.astype("<i8").tobytes())
+        f.write(local.astype("<i4").tobytes())
     return chunk
 
 
-def read_sequence(folder: str, chunk: int) -> np.ndarray:
+def read_sequence(folder: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
     system, root = open_folder(folder)
     with system.open_input_stream(f"{root}/{chunk}.zst", compression="zstd") as f:
-        return np.frombuffer(f.read(), dtype="<i8")
+        raw = f.read()
+    n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+    return np.frombuffer(raw, dtype="<i8", count=n, offset=8), np.frombuffer(raw, dtype="<i4", offset=8 * (n + 1))
 
 
 def count_pairs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs of numbers below ``size`` and how often each occurs; small numbers are the frequent ones."""
     across = -(-size // TILE)
-    tile = a // TILE * across + b // TILE
+    tile = (a // TILE).astype(np.int64) * across + b // TILE
     order = np.argsort(tile, kind="stable")
     a, b, tile = a[order], b[order], tile[order]
     starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1])) if len(tile) else np.zeros(0, np.int64)
@@ -131,44 +141,46 @@ def count_pairs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np
         at = np.flatnonzero(counts)
         out.append((a[s] // TILE * TILE + at // TILE, b[s] // TILE * TILE + at % TILE, counts[at]))
     # the sparse tiles' coordinates, sorted
-    key, n = np.unique(a[sparse] * size + b[sparse], return_counts=True)
+    key, n = np.unique(a[sparse].astype(np.int64) * size + b[sparse], return_counts=True)
     out.append((key // size, key % size, n))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def neighbours(folder: str, ranks: np.ndarray) -> pa.Table:
-    """Write a sequence of ranks (-1: none) to a folder, and count the pairs of neighbours."""
-    if len(ranks):
-        ranks = ranks[np.append(True, (ranks[1:] >= 0) | (ranks[:-1] >= 0))]  # one gap is as good as many
-    pairs = np.flatnonzero((ranks[:-1] >= 0) & (ranks[1:] >= 0))
+def neighbours(folder: str, values: np.ndarray, local: np.ndarray) -> pa.Table:
+    """Write a sequence of places in ``values`` (ranks in order), and count the pairs of neighbours."""
+    if len(local):
+        local = local[np.append(True, (local[1:] >= 0) | (local[:-1] >= 0))]  # one gap is as good as many
+    pairs = np.flatnonzero((local[:-1] >= 0) & (local[1:] >= 0))
     if not len(pairs):
         return PAIRS.empty_table()
-    chunk = write_sequence(folder, ranks)
-    values, local = np.unique(ranks, return_inverse=True)  # keeps the order of ranks
+    chunk = write_sequence(folder, values, local)
     a, b, n = count_pairs(local[pairs], local[pairs + 1], len(values))
     return pa.table([pa.array(np.full(len(n), chunk)), pa.array(values[a]), pa.array(values[b]), pa.array(n)], schema=PAIRS)
 
 
 def rank_words(source: str, target: str):
     def apply(table: pa.Table) -> pa.Table:
-        sequence = read_sequence(source, table["chunk"][0].as_py())
-        rank = np.full(int(sequence.max()) + 1, -1, dtype=np.int64)
-        rank[table["symbol"].to_numpy()] = table["id"].to_numpy()
-        return neighbours(target, rank[sequence])
+        _, sequence = read_sequence(source, table["chunk"][0].as_py())
+        ids, symbols = table["id"].to_numpy(), table["symbol"].to_numpy()
+        order = np.argsort(ids)
+        place = np.full(int(sequence.max()) + 1, -1, dtype=np.int32)
+        place[symbols[order]] = np.arange(len(ids), dtype=np.int32)
+        return neighbours(target, ids[order], place[sequence])
     return apply
 
 
 def rank_pairs(source: str, target: str):
     def apply(table: pa.Table) -> pa.Table:
-        sequence = read_sequence(source, table["chunk"][0].as_py())
-        values, local = np.unique(sequence, return_inverse=True)
+        values, local = read_sequence(source, table["chunk"][0].as_py())
         left, right = (np.searchsorted(values, table[c].to_numpy()) for c in ("left", "right"))
+        ids = np.sort(table["id"].to_numpy())
+        place = np.searchsorted(ids, table["id"].to_numpy()).astype(np.int32)
         key = left * len(values) + right
         order = np.argsort(key)
-        key, ids = key[order], table["id"].to_numpy()[order]
-        here = local[:-1] * len(values) + local[1:]
+        key, place = key[order], place[order]
+        here = np.where((local[:-1] >= 0) & (local[1:] >= 0), local[:-1].astype(np.int64) * len(values) + local[1:], -1)
         at = np.minimum(np.searchsorted(key, here), len(key) - 1)
-        return neighbours(target, np.where(key[at] == here, ids[at], -1))
+        return neighbours(target, ids, np.where(key[at] == here, place[at], np.int32(-1)))
     return apply
 
 
@@ -194,15 +206,34 @@ class Store:
                 system.delete_dir(root)
 
 
-def ranked(store: Store, name: str, df: DataFrame, *order) -> DataFrame:
-    """``df`` (written) with ``id``: its rows' places in the order, from 0, found by range partitions and their sizes."""
-    placed = df.repartitionByRange(partitions(store.spark), *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    placed = store.table(f"{name}-placed", placed)
-    part = F.shiftright("place", 33)
+def numbered(store: Store, name: str, df: DataFrame, group: list[str], order: list) -> DataFrame:
+    """``df`` (written) with ``id``, the place of its group in the order, from 0, and ``head``, true for one row a group.
+
+    Rows are range-partitioned and sorted by the order, which ends with the
+    group's columns, so a group lies in one partition; a pass along each
+    partition numbers its groups, and the partitions' numbers of groups, one
+    small row each, say where each begins."""
+    placed = df.repartitionByRange(partitions(store.spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    schema = placed.schema.simpleString()[len("struct<"):-1]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place = None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_pylist() for c in group]
+            heads = np.zeros(batch.num_rows, dtype=bool)
+            for i, row in enumerate(zip(*columns)):
+                heads[i] = row != last
+                last = row
+            places = place + np.cumsum(heads)
+            place = int(places[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(heads)], names=[*batch.schema.names, "place", "head"])
+
+    placed = store.table(f"{name}-placed", placed.mapInArrow(number, f"{schema}, place long, head boolean"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    sizes = placed.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    out = placed.withColumn("part", part).join(F.broadcast(sizes), "part")
-    return store.table(name, out.withColumn("id", F.col("first") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "first", "place"))
+    sizes = placed.groupBy("part").agg(F.max("place").alias("last")).select("part", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("first"))
+    return placed.join(F.broadcast(sizes), "part").withColumn("id", F.col("first") + F.col("place")).drop("part", "place", "first")
 
 
 def read_chunks(docs: DataFrame, folder: str, chunk_words: int) -> DataFrame:
@@ -233,17 +264,22 @@ def frequent_phrases(store: Store, docs: DataFrame, longest: int, least: int, ch
     """Tables of the phrases of 1, 2, ... words with ``least`` occurrences (id, f; lang and word, or left and right), and n of each lang."""
     words = store.table("words", read_chunks(docs, store.files("sequence-0"), chunk_words))
     totals = store.table("totals", words.groupBy("lang").agg(F.sum("n").alias("n")))
-    often = store.table("often-1", words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    levels = [ranked(store, "phrases-1", often, F.desc("f"), "lang", "word")]
-    known = words.join(levels[0].select("lang", "word", "id"), ["lang", "word"]).select("chunk", "symbol", "id")
+    # a word has one row a chunk here, so no word's window is longer than the number of chunks
+    counted = words.withColumn("f", F.sum("n").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= least)
+    placed = numbered(store, "words-ranked", store.table("words-often", counted.drop("n")), ["lang", "word"], [F.desc("f"), "lang", "word"])
+    store.remove("words", "words-often")
+    levels = [store.table("phrases-1", placed.where("head").select("id", "lang", "word", "f"))]
+    known = placed.select("chunk", "symbol", "id")
     step = rank_words
     for k in range(2, longest + 1):
         source, target = store.files(f"sequence-{k - 2}"), store.files(f"sequence-{k - 1}")
         pairs = store.table(f"pairs-{k}", known.groupBy("chunk").applyInArrow(step(source, target), "chunk long, left long, right long, n long"))
-        store.remove(f"sequence-{k - 2}", "words", f"pairs-{k - 1}")
+        store.remove(f"sequence-{k - 2}", "words-ranked-placed", f"pairs-{k - 1}")
         often = store.table(f"often-{k}", pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        levels.append(ranked(store, f"phrases-{k}", often, F.desc("f"), "left", "right"))
-        known = pairs.join(levels[-1].select("left", "right", "id"), ["left", "right"]).select("chunk", "left", "right", "id")
+        level = store.table(f"phrases-{k}", numbered(store, f"often-{k}", often, ["left", "right"], [F.desc("f"), "left", "right"]).drop("head"))
+        levels.append(level)
+        ids = level.select("left", "right", "id")
+        known = pairs.drop("n").join(F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids, ["left", "right"]).select("chunk", "left", "right", "id")
         step = rank_pairs
     store.remove(f"sequence-{longest - 1}", f"pairs-{longest}")
     return levels, totals
