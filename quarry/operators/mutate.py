@@ -341,13 +341,17 @@ def maintain_counted_links(links: DataFrame, counters: DataFrame, pairs: DataFra
 
 # -- M16: id/name dimensions with links -------------------------------------------------
 
+def dimension_names(items: DataFrame) -> DataFrame:
+    """``items`` with stripped names; an empty name is the id's text."""
+    from ..functions.clean import pystrip
+    return items.withColumn("name", F.expr(f"coalesce(nullif({pystrip('name')}, ''), CAST(id AS STRING))"))
+
+
 def maintain_dimension(dim: DataFrame, links: DataFrame, items: DataFrame, id_col: str, link_id_col: str,
                        seq: str) -> tuple[Result, Result]:
     """``items`` = (gameId, id, name, seq).  The dimension name is always
     refreshed (last write wins); an empty name is written as the id's text."""
-    from ..functions.clean import pystrip
-    named = items.selectExpr("gameId", "id", f"`{seq}`",
-                             f"coalesce(nullif({pystrip('name')}, ''), CAST(id AS STRING)) AS name")
+    named = dimension_names(items)
     latest = last_per_key(named.select("id", "name", seq), ("id",), seq)
     dim_res = upsert(dim, latest, ModelSpec("dim", key=(id_col,)))
     pairs = named.select(F.col("gameId"), F.col("id").alias(link_id_col))

@@ -197,25 +197,8 @@ def _valid_item(e: str) -> str:
 
 
 # ------------------------------------------------------------------ P4 + N3 N4 N5 page runs
-def page_run(pages: DataFrame, id_col: str = "id", page_col: str = "page_no", payload_col: str = "payload",
-             cap: int = MAX_CHILDREN, parsed=lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """Child pages ``(id, page_no, payload)`` in fetch order → (summaries, reviews).
-
-    The run of pages the source visits is a prefix: it ends at the first page
-    that failed (NULL payload; gives nothing), that has no valid review (gives
-    its summary only), whose next cursor is missing, ``'*'`` or already used,
-    or where ``cap`` reviews are reached.  The first page that never landed
-    ends it too, also when later ones did.  ``parsed`` may write the parsed
-    pages once, so that the passes below read them back.
-
-    * summaries (P4/N5): first non-NULL summary per id among the visited pages;
-    * reviews (P5/N3): the first ``cap`` valid reviews in (page, position) order.
-
-    All steps are grouped aggregates or windows on the id (cursor) keys; the
-    ``row_number() <= cap`` filter lets Spark cut each id to ``cap`` rows per
-    map task before the shuffle, so a parent with a huge landed history stays
-    bounded.
-    """
+def parse_pages(pages: DataFrame, id_col: str = "id", page_col: str = "page_no", payload_col: str = "payload") -> DataFrame:
+    """One row a page: failed, next_cursor, summary (struct or NULL), its valid items and their number."""
     s0 = C.with_kinds(pages.selectExpr(f"{ident(id_col)} AS id", f"{ident(page_col)} AS page_no",
                                        f"{ident(payload_col)} AS payload"),
                       {"__pk": "payload"}, keep=["id", "page_no", "payload"])
@@ -244,8 +227,71 @@ def page_run(pages: DataFrame, id_col: str = "id", page_col: str = "page_no", pa
     e = "e_item"
     base = s3.selectExpr("id", "page_no", "failed", "next_cursor", f"{summary} AS summary",
                          f"filter(items, {e} -> {_valid_item(e)}) AS items")
+    return base.selectExpr("*", "coalesce(size(items), 0) AS n_valid")
+
+
+def advance_runs(runs: DataFrame, base: DataFrame, cap: int = MAX_CHILDREN) -> tuple[DataFrame, DataFrame]:
+    """Go on with the page runs of ``runs`` by further parsed pages, in whatever order pages land.
+
+    ``runs`` holds what each id's run has come to: last_page, closed, the cursors
+    it used, n_children and its first summary.  Pages right after ``last_page``
+    are visited by the rules of ``page_run``; a page beyond a gap waits.  A
+    visited page but the last has a child, so only ``cap - n_children`` pages
+    after the last one can ever be visited, and no window holds more.
+    Returns the runs that moved, and the children of the visited pages.
+    """
+    state = runs.select("id", "last_page", "closed", "cursors", "n_children", F.col("summary").alias("first_summary"))
+    j = base.join(state, "id", "left").withColumns({
+        "last_page": F.coalesce("last_page", F.lit(0)), "closed": F.coalesce("closed", F.lit(False)), "n_children": F.coalesce("n_children", F.lit(0)),
+        "cursors": F.coalesce("cursors", F.array().cast("array<string>"))})
+    j = j.where(reachable(cap))
+    w = Window.partitionBy("id").orderBy("page_no")
+    j = j.withColumns({
+        "place": F.row_number().over(w), "so_far": F.sum("n_valid").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "first_use": F.min("page_no").over(Window.partitionBy("id", "next_cursor"))})
+    j = j.withColumn("stop", F.col("failed") | (F.col("n_valid") == 0) | F.col("next_cursor").isNull() | (F.col("next_cursor") == "*")
+                     | F.coalesce(F.array_contains("cursors", F.col("next_cursor")), F.lit(False)) | (F.col("first_use") < F.col("page_no"))
+                     | (F.col("n_children") + F.col("so_far") >= cap))
+    j = j.withColumn("stopped", F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    visited = j.where((F.col("page_no") == F.col("last_page") + F.col("place")) & ~F.col("stopped"))
+    has_summary = F.col("summary").isNotNull()
+    moved = visited.groupBy("id").agg(
+        F.max("page_no").alias("last_page"), F.max("stop").alias("closed"),
+        F.concat(F.first("cursors"), F.collect_list("next_cursor")).alias("cursors"),
+        F.least(F.lit(cap), F.first("n_children") + F.sum("n_valid")).cast("int").alias("n_children"),
+        F.coalesce(F.first("first_summary"), F.min_by("summary", F.when(has_summary, F.col("page_no")))).alias("summary"))
+    items = visited.select("id", "page_no", (F.col("n_children") + F.col("so_far") - F.col("n_valid")).alias("before"), F.posexplode("items").alias("pos", "it"))
+    items = items.select("id", F.col("it.v").alias("item"), "page_no", "pos", (F.col("before") + F.col("pos") + 1).cast("int").alias("rank")).where(F.col("rank") <= cap)
+    return moved, review_rows(items, "id", "item")
+
+
+def reachable(cap: int):
+    """Pages that a run may still visit."""
+    return F.expr(f"NOT coalesce(closed, false) AND page_no > coalesce(last_page, 0) AND page_no <= coalesce(last_page, 0) + {int(cap)} - coalesce(n_children, 0)")
+
+
+def page_run(pages: DataFrame, id_col: str = "id", page_col: str = "page_no", payload_col: str = "payload",
+             cap: int = MAX_CHILDREN, parsed=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Child pages ``(id, page_no, payload)`` in fetch order → (summaries, reviews).
+
+    The run of pages the source visits is a prefix: it ends at the first page
+    that failed (NULL payload; gives nothing), that has no valid review (gives
+    its summary only), whose next cursor is missing, ``'*'`` or already used,
+    or where ``cap`` reviews are reached.  The first page that never landed
+    ends it too, also when later ones did.  ``parsed`` may write the parsed
+    pages once, so that the passes below read them back.
+
+    * summaries (P4/N5): first non-NULL summary per id among the visited pages;
+    * reviews (P5/N3): the first ``cap`` valid reviews in (page, position) order.
+
+    All steps are grouped aggregates or windows on the id (cursor) keys; the
+    ``row_number() <= cap`` filter lets Spark cut each id to ``cap`` rows per
+    map task before the shuffle, so a parent with a huge landed history stays
+    bounded.
+    """
+    base = parse_pages(pages, id_col, page_col, payload_col)
     # several consumers read `base`; the fence keeps each from inlining the parse chain
-    base = parsed(base.selectExpr("*", "coalesce(size(items), 0) AS n_valid", "spark_partition_id() AS __fence"))
+    base = parsed(base.selectExpr("*", "spark_partition_id() AS __fence"))
 
     # pass 1 over `base`: per id, the first stopping page and the first page with a summary
     # a cursor's first use is a grouped minimum, so a hot (id, cursor) ships one row a task

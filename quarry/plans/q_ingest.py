@@ -381,7 +381,7 @@ SQL_OK_GAMES = f"""{SQL_PART}, {SQL_IDS},
 ok AS (SELECT part_s.* FROM part_s JOIN ids ON part_s.k = ids.k WHERE part_s.k % 10 IN (5, 6, 7, 8, 9))"""
 
 
-@query("m15_g11_developer_counters_after_ingest", f"""
+SQL_DEVELOPERS = f"""
 WITH {SQL_OK_GAMES},
 links AS (
   SELECT k AS g, 'Dev ' || p_brand AS name FROM ok WHERE s % 4 = 0
@@ -390,27 +390,36 @@ links AS (
   JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ps ON ps.l_partkey = ok.k
   JOIN supplier sp ON sp.s_suppkey = ps.l_suppkey WHERE ok.s % 4 <> 0)
 SELECT name, CAST(count(DISTINCT g) AS INTEGER) AS amount_games_published FROM links GROUP BY name
-""", bench=True)
+"""
+
+
+@query("m15_g11_developer_counters_after_ingest", SQL_DEVELOPERS, bench=True)
 def m15_developers(spark, sf):
     return _run(spark, sf, with_catalogue=True).catalog.df("Developer")
 
 
-@query("m15_publisher_links_after_ingest", f"""
+SQL_PUBLISHER_LINKS = f"""
 WITH {SQL_OK_GAMES}
 SELECT DISTINCT CAST(k AS INTEGER) AS gameId, p_brand AS publisherName FROM ok WHERE s % 4 <> 1
 UNION
 SELECT DISTINCT CAST(k AS INTEGER), p_type FROM ok WHERE s % 4 <> 1
-""")
+"""
+
+
+@query("m15_publisher_links_after_ingest", SQL_PUBLISHER_LINKS)
 def m15_publisher_links(spark, sf):
     return _run(spark, sf, with_catalogue=True).catalog.df("GamePublisher")
 
 
-@query("m16_category_dimension_after_ingest", f"""
+SQL_CATEGORIES = f"""
 WITH {SQL_OK_GAMES}
 SELECT CAST(s % 7 AS INTEGER) AS id, arg_max(p_type, k) AS name FROM ok GROUP BY s % 7
 UNION ALL
 SELECT DISTINCT CAST(s % 3 + 10 AS INTEGER), CAST(s % 3 + 10 AS VARCHAR) FROM ok
-""")
+"""
+
+
+@query("m16_category_dimension_after_ingest", SQL_CATEGORIES)
 def m16_categories(spark, sf):
     return _run(spark, sf, with_catalogue=True).catalog.df("Category")
 
@@ -522,3 +531,59 @@ def e1_job(spark, sf):
     games = J.published_catalog(spark, root).df("Game")
     return csv.select(F.lit("csv").alias("output"), *cols, "store_status").unionByName(
         games.select(F.lit("table").alias("output"), *cols, F.lit(None).cast("string").alias("store_status")).withColumn("name", F.expr("nullif(name, '')")))
+
+
+# =============================================================== ST1 the whole ingest as a stream
+DROPS = 4
+_STREAMS: dict = {}
+
+
+def streamed(spark, sf):
+    """The ingest stream of a session, after all bodies have landed in four drops that mix the sources and the order of pages."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..streaming.ingest_stream import IngestStream
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STREAMS:
+        cat = cat_of(spark, sf)
+        root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+        stream = IngestStream(spark, f"{root}/landing", f"{root}/tables", J.select_ids(L.id_texts(cat)), buckets=8, run_ts=L.RUN_TS)
+        bodies = {"store": L.store_bodies(cat), "stats": L.stats_bodies(cat), "pages": L.review_page_bodies(cat)}
+        for drop in range(DROPS):
+            for name, df in bodies.items():
+                keys = [c for c in ("id", "page_no") if c in df.columns]
+                cols = ["CAST(id AS INT) AS id"] + (["CAST(page_no AS INT) AS page_no"] if "page_no" in keys else [])
+                part = df.where(F.pmod(F.xxhash64(F.lit(name), *keys), F.lit(DROPS)) == drop)
+                part.selectExpr(*cols, "body", f"CAST({drop} AS BIGINT) AS landed").write.mode("append").parquet(f"{root}/landing/{name}")
+            stream.run()
+        _STREAMS[key] = stream
+    return _STREAMS[key]
+
+
+@query("st1_stream_entities", SQL_E1)
+def st1_entities(spark, sf):
+    return streamed(spark, sf).entities()
+
+
+@query("st1_stream_review_rows", f"""
+WITH {SQL_IDS}, {sql_pages(100, "WHERE conv_id IN (SELECT k FROM ids)")}
+SELECT {SQL_REVIEW_COLS} FROM reviews r
+""")
+def st1_reviews(spark, sf):
+    return streamed(spark, sf).table("Review").select(*REVIEW_COLUMNS)
+
+
+@query("st1_stream_developer_counters", SQL_DEVELOPERS)
+def st1_developers(spark, sf):
+    return streamed(spark, sf).table("Developer")
+
+
+@query("st1_stream_publisher_links", SQL_PUBLISHER_LINKS)
+def st1_publisher_links(spark, sf):
+    return streamed(spark, sf).table("GamePublisher")
+
+
+@query("st1_stream_category_dimension", SQL_CATEGORIES)
+def st1_categories(spark, sf):
+    return streamed(spark, sf).table("Category")

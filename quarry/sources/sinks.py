@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from typing import Iterable
+from typing import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -94,16 +94,46 @@ def write_version(df: DataFrame, root: str, table: str) -> str:
     return version
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> dict[str, str]:
-    """Write every table's new version, then switch them all at once
-    by writing one manifest; tables not named keep their current version."""
-    versions = {name: write_version(df, root, name) for name, df in tables.items()}
+class PublishConflict(RuntimeError):
+    """Another job published a table after this one read it."""
+
+
+def _switch(spark: SparkSession, root: str, changes: dict[str, str], based_on: dict[str, str] | None) -> dict[str, str]:
+    """Add ``changes`` to the newest map by a manifest of the next number; with ``based_on``, none of them may have moved since."""
     while True:
         number, current = _newest(spark, root)
-        current.update(versions)
+        if based_on is not None:
+            moved = sorted(k for k in changes if current.get(k) != based_on.get(k))
+            if moved:
+                raise PublishConflict(f"published by another job since they were read: {moved}")
+        current.update(changes)
         if _create_manifest(spark, root, number + 1, current):
             return current
-        # another job published this number first: add our tables to its map
+        # another job published this number first: look at its map
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], based_on: dict[str, str] | None = None) -> dict[str, str]:
+    """Write every table's new version, then switch them all at once
+    by writing one manifest; tables not named keep their current version.
+
+    ``based_on`` is the map of versions that the tables were computed from
+    (``current_versions`` before reading): if a job has published one of them
+    in between, this raises ``PublishConflict`` and switches nothing.  Without
+    it the tables replace what is there."""
+    return _switch(spark, root, {name: write_version(df, root, name) for name, df in tables.items()}, based_on)
+
+
+def publish_update(spark: SparkSession, root: str, compute: Callable[[dict[str, str]], dict[str, DataFrame]], attempts: int = 5) -> dict[str, str]:
+    """Compute tables from the current versions and publish them; when another job was faster, compute again from its versions.
+
+    ``compute`` gets the version map and reads with ``read_version``."""
+    for attempt in range(attempts):
+        seen = current_versions(spark, root)
+        try:
+            return publish(spark, root, compute(seen), based_on=seen)
+        except PublishConflict:
+            if attempt + 1 == attempts:
+                raise
 
 
 def _folder(spark: SparkSession, root: str):
@@ -152,28 +182,44 @@ def current_versions(spark: SparkSession, root: str) -> dict[str, str]:
 
 
 def publish_buckets(spark: SparkSession, root: str, table: str, df: DataFrame, buckets: list[int]) -> None:
-    """Replace some buckets of a table: ``df`` (with the column ``__b``) holds all their rows.
-    One new folder; the manifest names a version for each bucket, and the others keep theirs."""
-    version = uuid.uuid4().hex
-    df.write.mode("errorifexists").partitionBy("__b").parquet(f"{root}/{table}/v={version}")
-    while True:
-        number, current = _newest(spark, root)
-        current.update({f"{table}#{b}": version for b in buckets})
-        if _create_manifest(spark, root, number + 1, current):
-            return
+    """Replace some buckets of a table: ``df`` (with the column ``__b``) holds all their rows."""
+    publish_parts(spark, root, {table: (df, buckets)})
 
 
-def read_buckets(spark: SparkSession, root: str, table: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
+def publish_parts(spark: SparkSession, root: str, parts: dict[str, tuple[DataFrame, list[int]]], notes: dict[str, str] | None = None,
+                  based_on: dict[str, str] | None = None) -> dict[str, str]:
+    """Replace some buckets of several tables at once, with ``notes`` in the same manifest.
+    Each table gets one new folder; the manifest names a version for each bucket, and the others keep theirs."""
+    changes = {}
+    for table, (df, buckets) in parts.items():
+        version = uuid.uuid4().hex
+        df.write.mode("errorifexists").partitionBy("__b").parquet(f"{root}/{table}/v={version}")
+        changes.update({f"{table}#{b}": version for b in buckets})
+    return _switch(spark, root, changes | (notes or {}), based_on)
+
+
+def read_buckets(spark: SparkSession, root: str, table: str, schema: T.StructType, buckets: list[int] | None = None,
+                 versions: dict[str, str] | None = None) -> DataFrame:
     """The current rows of a bucketed table (of the named buckets only, if given)."""
-    current = current_versions(spark, root)
+    current = current_versions(spark, root) if versions is None else versions
     named = {int(k.split("#")[1]): v for k, v in current.items() if k.startswith(f"{table}#")}
     paths = [f"{root}/{table}/v={v}/__b={b}" for b, v in sorted(named.items()) if buckets is None or b in buckets]
+    paths = [p for p in paths if path_exists(spark, p)]  # a bucket without rows has no folder
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def read_table(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None) -> DataFrame:
-    versions = current_versions(spark, root)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_version(spark: SparkSession, root: str, table: str, versions: dict[str, str], schema: T.StructType | None = None) -> DataFrame:
+    """A table as a version map names it."""
     if table not in versions:
         raise KeyError(f"no published version of {table!r} under {root}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(f"{root}/{table}/v={versions[table]}")
+
+
+def read_table(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None) -> DataFrame:
+    return read_version(spark, root, table, current_versions(spark, root), schema)
