@@ -15,7 +15,8 @@ Defined cases: vectors that are null, or hold null or non-finite components,
 take no part; shorter vectors count as padded with zeros; an empty table gives
 no rows; a repeated row (same id and vector) counts once.  Ties go to the
 smaller id.  Scores are exact: products run in float64 while every sum is below
-2**53, else in Python's whole numbers.
+2**53, else in Python's whole numbers.  Scores and components beyond a long
+count as the nearest long (of one sign: ``LARGEST``).
 """
 
 from __future__ import annotations
@@ -32,12 +33,18 @@ from .common import stage
 BLOCK = 2048
 QUERY_BLOCK = 512
 SLICES = 4
-LOWEST = -(2 ** 62)
+LARGEST = 2 ** 63 - 1
+LOWEST = -LARGEST
 
 
 def whole(embedding: Column, scale: int = 64) -> Column:
     """floor(scale * x) for each component."""
-    return F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    edge = float(2 ** 63)
+
+    def one(x: Column) -> Column:
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(y >= edge, F.lit(LARGEST)).when(y <= -edge, F.lit(LOWEST)).otherwise(F.floor(y).cast("long"))
+    return F.transform(embedding, one)
 
 
 def usable(embedding: Column) -> Column:
@@ -108,7 +115,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 seen = np.concatenate([np.argpartition(-p.astype(float), near - 1, axis=1)[:, :near] for p in parts], axis=1)
                 for i, x in enumerate(qid.tolist()):
                     j = np.unique(seen[i])
-                    got = [int(s) for s in total[i, j[~own[i, j]]]]
+                    got = [max(LOWEST, min(LARGEST, int(s))) for s in total[i, j[~own[i, j]]]]
                     best[x] = sorted(best.get(x, []) + got, reverse=True)[:k]
         yield pd.DataFrame({"id": list(best), "scores": list(best.values())})
 
@@ -126,12 +133,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             for row in pdf.itertuples(index=False):
                 qid, vid, parts, own = _scores(row, dim)
                 cut = np.asarray(row.cuts, dtype=np.int64)
-                enough = np.zeros(own.shape, dtype=bool)
+                parts = [p if p.dtype == object else p.astype(np.int64) for p in parts]  # whole numbers, so that no comparison rounds
+                enough = np.repeat((cut == LOWEST)[:, None], len(vid), axis=1)
                 for p in parts:
-                    enough |= p >= (cut / SLICES)[:, None]
+                    enough |= (p * SLICES >= cut.astype(p.dtype)[:, None]).astype(bool)
                 i, j = np.nonzero(enough & ~own)
-                score = sum((p[i, j] for p in parts[1:]), parts[0][i, j])
-                keep = score >= cut[i]
+                score = np.clip(sum((p[i, j] for p in parts[1:]), parts[0][i, j]), LOWEST, LARGEST)
+                keep = (score >= cut[i]).astype(bool)
                 yield pd.DataFrame({"query_id": qid[i[keep]], "id": vid[j[keep]], "vb": row.vb, "score": score[keep].astype(np.int64)})
 
     found = pairs.join(cuts, "qb").mapInPandas(phase_2_3, "query_id long, id long, vb long, score long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
@@ -12,6 +13,8 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
+#: Longer words are hashed by blake2: a polynomial modulo 2**64 can't tell some long words apart, whatever its base.
+LONG_WORD = 64
 #: Texts are worked on together up to so many bytes; a longer one stands alone.
 BATCH_BYTES = 1 << 20
 
@@ -42,13 +45,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each buf[start:end], by differences of one running polynomial."""
+    """A 64-bit hash of each buf[start:end], by differences of one running polynomial; of long ones, by blake2."""
     size = 1 << max(16, int(len(buf)).bit_length())
     up, down = _powers(size, MULTIPLIER), _powers(size, pow(MULTIPLIER, -1, 1 << 64))
     with np.errstate(over="ignore"):
         run = np.zeros(len(buf) + 1, dtype=U)
         np.cumsum(_bytes_table()[buf] * up[:len(buf)], out=run[1:])
-        return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(U))
+        out = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(U))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def batches(texts: list[bytes]):

@@ -11,9 +11,7 @@ from quarry.llm.common import shared_path, vocabulary
 from .helpers import EDGE, families, prose, table
 
 PATH = vocabulary("word_bpe_49k.json")
-#: Two words of 1,024 letters that weak polynomial hashes can't tell apart.
-THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
-ODD = ["a<|startoftext|>b <|endoftext|><|endoftext|>c <| d", "<|endoftext|>", "İstanbul ΣΑΣ ſt", "it's" * 300, "é ạ̈ ̈x", "12345 3½ ²", "\x1c\x85\xa0  x", THUE, THUE.translate({97: 98, 98: 97})]
+ODD = ["a<|startoftext|>b <|endoftext|><|endoftext|>c <| d", "<|endoftext|>", "İstanbul ΣΑΣ ſt", "it's" * 300, "é ạ̈ ̈x", "12345 3½ ²", "\x1c\x85\xa0  x"]
 
 
 def texts():

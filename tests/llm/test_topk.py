@@ -8,11 +8,12 @@ from quarry.llm import topk
 
 
 def brute(rows, k, every=20):
+    top = 2 ** 63 - 1
     ok = {(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows if v is not None and i is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = set()
     for q, a in ok:
         if q % every == 0:
-            s = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q))[:k]
+            s = sorted(((-max(-top, min(top, sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q))[:k]
             out |= {(q, r + 1, i, -x) for r, (x, i) in enumerate(s)}
     return out
 
@@ -50,3 +51,14 @@ def test_sums_beyond_float_precision(spark):
     big = 2.0 ** 24  # products of 2 ** 60
     data = [(0, [big, 1.0]), (1, [big, 1.0]), (2, [big, 1.0 + 1 / 64]), (3, [-big, 0.0])]
     assert {tuple(r) for r in run(spark, data, 3).collect()} == brute(data, 3)
+
+
+def test_cutoffs_beyond_float_precision(spark):
+    data = [(0, [(2 ** 27 + 1) / 64] * 4), (1, [(2 ** 27 + 3) / 64] * 4), (2, [(2 ** 27 + 3) / 64] * 3 + [2.0 ** 21])]
+    assert {tuple(r) for r in run(spark, data, 1).collect()} == brute(data, 1)
+
+
+def test_components_and_scores_beyond_a_long(spark):
+    data = [(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [-1e17, 0.0]), (3, [0.0, 5.0]), (4, [2.0, 1.0]), (20, [0.5, 0.25])]
+    assert {tuple(r) for r in run(spark, data, 5).collect()} == brute(data, 5)
+    assert run(spark, data + [(5, [1e300, 1.0]), (40, [-1e300, 3.0])], 5).count() == 3 * 5
