@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
@@ -190,11 +191,14 @@ def publish_parts(spark: SparkSession, root: str, parts: dict[str, tuple[DataFra
                   based_on: dict[str, str] | None = None) -> dict[str, str]:
     """Replace some buckets of several tables at once, with ``notes`` in the same manifest.
     Each table gets one new folder; the manifest names a version for each bucket, and the others keep theirs."""
-    changes = {}
-    for table, (df, buckets) in parts.items():
+    def write(item: tuple[str, tuple[DataFrame, list[int]]]) -> dict[str, str]:
+        table, (df, buckets) = item
         version = uuid.uuid4().hex
         df.write.mode("errorifexists").partitionBy("__b").parquet(f"{root}/{table}/v={version}")
-        changes.update({f"{table}#{b}": version for b in buckets})
+        return {f"{table}#{b}": version for b in buckets}
+
+    with ThreadPoolExecutor(4) as pool:  # the tables' jobs don't depend on each other
+        changes = {k: v for part in pool.map(write, parts.items()) for k, v in part.items()}
     return _switch(spark, root, changes | (notes or {}), based_on)
 
 
