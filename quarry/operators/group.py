@@ -103,7 +103,7 @@ def group_by(df: DataFrame, by: list[str] | str, *, sum: Any = None, avg: Any =
         out = out.where(pred)
     out = out.select(*by, *visible)
     if order:
-        from .read import parse_order
+        from .read import SMALL_TAKE, parse_order, slice_rows
         sort = []
         for f, d in parse_order(order):
             if f not in by:
@@ -112,6 +112,8 @@ def group_by(df: DataFrame, by: list[str] | str, *, sum: Any = None, avg: Any =
             sort.append(c.asc_nulls_first() if str(d).lower() == "asc" else c.desc_nulls_last())
         # the group keys are unique per row, so appending them makes the order total
         sort += [F.col(b).asc_nulls_first() for b in by if b not in [f for f, _ in parse_order(order)]]
+        if (take or 0) + (skip or 0) > SMALL_TAKE or (skip and take is None):
+            return slice_rows(out, sort, skip or 0, take)
         out = out.orderBy(*sort)
         if skip:
             out = out.offset(skip)

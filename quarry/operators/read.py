@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.filters import search_terms, text_tokens
 
@@ -113,6 +114,11 @@ def page(df: DataFrame, keys: list[SortKey], *, cursor_values: list[Column] | No
     reverse = take is not None and take < 0
     if take is None and skip:
         return slice_rows(df, as_sort(keys), skip)
+    if take is not None and abs(take) + (skip or 0) > SMALL_TAKE:
+        # backwards, the slice is cut from the reversed order and then given in the requested one
+        order = [(c, not a) for c, a in keys] if reverse else keys
+        rows = slice_rows(first_rows(df, order, abs(take) + (skip or 0)), as_sort(order), skip or 0, abs(take))
+        return rows.orderBy(*as_sort(keys)) if reverse else rows
     if ordered or take is not None:
         df = df.orderBy(*as_sort(keys, reverse=reverse))
     if skip:
@@ -123,11 +129,47 @@ def page(df: DataFrame, keys: list[SortKey], *, cursor_values: list[Column] | No
     return df.orderBy(*as_sort(keys)) if reverse else df
 
 
-def slice_rows(df: DataFrame, sort: list[Column], skip: int = 0, take: int | None = None) -> DataFrame:
+#: Up to so many rows the first ones of an order may meet in one task.
+SMALL_TAKE = 10_000
+#: Quantiles that the cutoff of a large take is chosen from.
+GRID = 1000
+
+
+def first_rows(df: DataFrame, keys: list[SortKey], n: int) -> DataFrame:
+    """Rows among which the first ``n`` of the order lie, by a cutoff on the first sort key.
+
+    A quantile sketch of the key (merged from all tasks) proposes the cutoff and
+    an exact count confirms it, so what is left to sort is little more than ``n``
+    rows and those that share the cutoff's value.  Keys without quantiles
+    (texts) leave the table as it is."""
+    key, asc = keys[0]
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return df
+    # timestamps as microseconds; the filter compares the column itself with a value of its own type
+    grid = F.percentile_approx(key, [i / GRID for i in range(1, GRID)], 10 * GRID)
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("known"), grid.alias("grid")).first()
+    nulls = seen["rows"] - seen["known"]
+    if seen["rows"] <= n or not seen["known"]:
+        return df
+    first = nulls if asc else 0  # NULLs sort first ascending, last descending
+    values = seen["grid"] if asc else seen["grid"][::-1]
+    at = max(0, min(len(values) - 1, int((n - first) / seen["known"] * GRID) + 1))
+    while at < len(values):
+        bound = F.lit(values[at]).cast(kind)
+        inside = (key.isNull() | (key <= bound)) if asc else (key >= bound)
+        if df.where(inside).count() >= n:
+            return df.where(inside)
+        at += max(1, GRID // 100)
+    return df
+
+
+def slice_rows(df: DataFrame, sort: list[Column], skip: int = 0, take: int | None = None, position: str | None = None) -> DataFrame:
     """Rows ``skip`` … ``skip + take`` of a sorted table, without one task that sees them all.
 
     The sorted rows are checkpointed with their partition and place; the sizes
     of the partitions (one small row each) say where the slice begins and ends.
+    ``position`` names a column for each row's place in the slice, from 1.
     """
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
@@ -137,16 +179,41 @@ def slice_rows(df: DataFrame, sort: list[Column], skip: int = 0, take: int | Non
     end = None if take is None else skip + take
     at, keep = 0, F.lit(False)
     whole: list[int] = []
+    starts: list[int] = []
     for part, n in sizes:
         low, high = max(skip - at, 0), n if end is None else min(n, end - at)
         if low == 0 and high == n:
             whole.append(part)
         elif low < high:
             keep = keep | ((F.col("__part") == part) & (F.col("__place") >= low) & (F.col("__place") < high))
+        starts += [0] * (part - len(starts)) + [at]
         at += n
     if whole:  # the whole partitions are neighbours
         keep = keep | F.col("__part").between(whole[0], whole[-1])
-    return rows.where(keep).drop("__part", "__place")
+    rows = rows.where(keep)
+    if position:
+        before = F.element_at(F.array(*[F.lit(s) for s in starts or [0]]), F.col("__part") + 1)
+        rows = rows.withColumn(position, (before + F.col("__place") - skip + 1).cast("long"))
+    return rows.drop("__part", "__place")
+
+
+def rank_in_groups(df: DataFrame, by: list[str], sort: list[Column], name: str) -> DataFrame:
+    """``name``: each row's place in its group's order, from 1, however large a group is.
+
+    Rows are range-partitioned by group and order, so a large group lies over
+    several partitions, one run of rows in each.  The runs' sizes (a row per
+    group and partition) give every run's offset by prefix sums; a row's rank is
+    the offset and its place in the run.  No task sees a group as a whole."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    rows = df.repartitionByRange(*[F.col(b) for b in by], *sort).sortWithinPartitions(*[F.col(b) for b in by], *sort)
+    rows = rows.withColumns({"__part": F.spark_partition_id(), "__seq": F.monotonically_increasing_id()}).checkpoint()
+    runs = rows.groupBy(*by, "__part").agg(F.min("__seq").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(*[F.col(b).alias(f"__g_{b}") for b in by], F.col("__part").alias("__p"), "__first", "__before")
+    cond = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__g_{b}")) for b in by], F.col("__part") == F.col("__p"))
+    out = rows.join(runs, cond).withColumn(name, F.col("__before") + F.col("__seq") - F.col("__first") + 1)
+    return out.select(*df.columns, name)
 
 
 def cursor_row_values(df_all: DataFrame, keys_on: list[tuple[str | Column, bool]],

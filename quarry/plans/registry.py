@@ -45,7 +45,7 @@ def fixture_catalog(spark: SparkSession, sf_dir: str):
     return _CATALOGS[key]
 
 
-QUERY_MODULES = ("q_read", "q_ingest", "q_mutate", "q_nested", "q_quality", "q_ml")
+QUERY_MODULES = ("q_read", "q_ingest", "q_mutate", "q_nested", "q_paging", "q_quality", "q_ml")
 
 
 def load_all() -> None:
