@@ -24,6 +24,31 @@ def resume_difference(ids: DataFrame, id_col: str, processed: Iterable[DataFrame
     return ids.join(done, ids[id_col] == done["__done"], "left_anti")
 
 
+#: Bitmaps of 4 KB, each for 32,768 neighbouring ids, that may be broadcast (64 MB).
+BROADCAST_BITMAPS = 16_384
+
+
+def id_bitmaps(ids: DataFrame, column: str) -> DataFrame:
+    """An exact set of whole-number ids as bitmaps: (bucket, bits).  One row holds 32,768 neighbouring numbers."""
+    number, place = F.bitmap_bucket_number(column), F.bitmap_bit_position(column)
+    return ids.where(F.col(column).isNotNull()).select(number.alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+
+
+def with_ids(df: DataFrame, column: str, bitmaps: DataFrame, keep: bool = True) -> DataFrame:
+    """Rows of ``df`` whose id is in the set (or, without ``keep``, is not), by a join on the bitmap's number.
+
+    The bitmaps are broadcast when counted below ``BROADCAST_BITMAPS``; then
+    ``df``, which may hold large bodies, is filtered where it is read, without a
+    shuffle.  Beyond that the join is left to Spark."""
+    small = bitmaps.limit(BROADCAST_BITMAPS + 1).count() <= BROADCAST_BITMAPS
+    sets = bitmaps.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    place = F.bitmap_bit_position(column)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    joined = df.join(F.broadcast(sets) if small else sets, F.bitmap_bucket_number(column) == F.col("__bucket"), "inner" if keep else "left")
+    return joined.where(inside if keep else ~inside).drop("__bucket", "__bits")
+
+
 def offset_limit(ids: DataFrame, seq: str = "seq", offset: int = 0, limit: int | None = None) -> DataFrame:
     """Skip the first ``offset`` rows of file order, then keep ``limit``."""
     if not offset and limit is None:
@@ -88,15 +113,18 @@ class IngestRun:
     """One run of the job.  Every part is planned when it is first asked for.
 
     * ``ids``: (seq, appid) processed, in file order;
+    * ``oversized``: listed ids that fit no 32-bit key; nothing is made of them;
     * ``entities``: the 34-column merged records (one per processed id occurrence);
     * ``reviews``: the 15-column child rows (+ seq, rank);
     * ``store``: normalised store rows, with link lists;
     * ``catalog``: catalogue tables after upserts and link upkeep, or None.
     """
 
-    def __init__(self, ids: DataFrame, wanted: DataFrame | None, bodies: tuple[DataFrame, DataFrame, DataFrame],
+    def __init__(self, ids: DataFrame, some: bool, bodies: tuple[DataFrame, DataFrame, DataFrame],
                  catalog: Catalog | None, run_ts: str | None, max_children: int, checkpoint: bool):
-        self.ids, self._wanted, self._bodies = ids, wanted, bodies
+        fits = F.col("appid").between(-(2 ** 31), 2 ** 31 - 1)
+        self.ids, self.oversized = ids.where(fits).withColumn("appid", F.col("appid").cast("int")), ids.where(~fits)
+        self._some, self._bodies = some, bodies
         self._base, self._run_ts, self._cap, self._checkpoint = catalog, run_ts, max_children, checkpoint
 
     def _kept(self, df: DataFrame) -> DataFrame:
@@ -106,6 +134,15 @@ class IngestRun:
         checkpoint_dir(df.sparkSession)
         return df.checkpoint()
 
+    @cached_property
+    def _wanted(self) -> DataFrame | None:
+        """The ids of a run over some of them, as bitmaps, made once."""
+        if not self._some:
+            return None
+        from ..session import checkpoint_dir
+        checkpoint_dir(self.ids.sparkSession)
+        return id_bitmaps(self.ids, "appid").checkpoint()
+
     @cached_property
     def store(self) -> DataFrame:
         return self._kept(N.store_records(_only(self._bodies[0], self._wanted)))
@@ -139,9 +176,9 @@ class IngestRun:
 
 def select_ids(id_texts: DataFrame, offset: int = 0, limit: int | None = None,
                processed: list[DataFrame] | None = None) -> DataFrame:
-    """S1 + L10 + J8: text ids → ints (bad ones dropped) → offset → resume
+    """S1 + L10 + J8: text ids → whole numbers (bad ones dropped) → offset → resume
     difference → limit, keeping file order (``seq``) and duplicates."""
-    ids = id_texts.selectExpr("seq", f"{C.int_text('appid', 'int')} AS appid").where("appid IS NOT NULL")
+    ids = id_texts.selectExpr("seq", f"{C.int_text('appid', 'bigint')} AS appid").where("appid IS NOT NULL")
     if offset:
         ids = offset_limit(ids, offset=offset)
     if processed:
@@ -152,16 +189,16 @@ def select_ids(id_texts: DataFrame, offset: int = 0, limit: int | None = None,
 
 
 def _only(bodies: DataFrame, wanted: DataFrame | None) -> DataFrame:
-    """Payloads of the ids in this run (left-semi join; none when the run takes all ids), decoded to VARIANT.
+    """Payloads of the ids in this run (``wanted``: their bitmaps; None when the run takes all ids), decoded to VARIANT.
 
     A body landed again replaces the earlier one of its id (and page): bodies
     with a ``landed`` column are cut to the latest before they are parsed;
     without that column each id (and page) must stand once."""
+    if wanted is not None:
+        bodies = with_ids(bodies, "id", wanted)
     if "landed" in bodies.columns:
         key = tuple(c for c in ("id", "page_no") if c in bodies.columns)
         bodies = M.last_per_key(bodies, key, "landed")
-    if wanted is not None:
-        bodies = bodies.join(wanted, bodies["id"] == wanted["appid"], "left_semi")
     return landing_payloads(bodies)
 
 
@@ -212,8 +249,9 @@ def ingest(id_texts: DataFrame, store_bodies: DataFrame, stats_bodies: DataFrame
     ``entities`` / ``reviews`` (CSV sinks) and the catalogue tables
     (``sinks.publish``).  The three sources and the merge are joined on the id,
     so one hash partitioning on the id serves every join (Catalyst broadcasts
-    sides it measures as small).  A run over all ids needs no semi-join of the
-    raw bodies.
+    sides it measures as small).  A run over some ids filters the raw bodies by
+    exact bitmaps of its ids before anything is shuffled; a run over all ids
+    filters nothing.
 
     ``checkpoint=True`` (for big runs) writes the normalised sources and the
     parsed pages once to the session's shared ``spark.checkpoint.dir``: the
@@ -221,9 +259,8 @@ def ingest(id_texts: DataFrame, store_bodies: DataFrame, stats_bodies: DataFrame
     payloads in each branch, and a lost executor re-reads them instead of
     recomputing the lineage."""
     ids = select_ids(id_texts, offset, limit, processed)
-    everything = not offset and limit is None and not processed
-    wanted = None if everything else ids.select("appid").distinct()
-    return IngestRun(ids, wanted, (store_bodies, stats_bodies, page_bodies), catalog, run_ts, max_children, checkpoint)
+    some = bool(offset or limit is not None or processed)
+    return IngestRun(ids, some, (store_bodies, stats_bodies, page_bodies), catalog, run_ts, max_children, checkpoint)
 
 
 def write_run(spark, run: IngestRun, root: str, resume: bool = False) -> None:

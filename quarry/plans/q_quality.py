@@ -197,11 +197,11 @@ def g12_accuracy(spark, sf):
 
 # ---------------------------------------------------------------- texts that a careless round trip loses
 @query("s2_k1_text_round_trip_documents", """
-SELECT CAST(doc_id AS INTEGER) AS id, '  "' || left(text, 300) || chr(10) || doc_id * 7 || ',x"' || chr(9) AS name, 'keys' AS kind FROM documents
+SELECT CAST(doc_id AS INTEGER) AS id, '  "' || upper(source) || '"",' || text || chr(10) || doc_id * 7 || ',x"' || chr(9) AS name, 'keys' AS kind FROM documents
 UNION ALL SELECT CAST(doc_id AS INTEGER), NULL, 'ids' FROM documents
 """)
 def s2_text_round_trip(spark, sf):
-    return _text_round_trip(spark, sf, F.substring("text", 1, 300))
+    return _text_round_trip(spark, sf, F.concat(F.upper("source"), F.lit('"",'), "text"))
 
 
 @query("s2_k1_whole_text_round_trip_documents", """

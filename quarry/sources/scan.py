@@ -35,15 +35,15 @@ def int_from_text(c: Column, to: str = "bigint") -> Column:
 
 
 def read_id_list(spark: SparkSession, path: str, column: str = "appid") -> DataFrame:
-    """Header CSV → ``(seq, appid int)``; blank / non-int rows dropped,
+    """Header CSV → ``(seq, appid bigint)``; blank / non-int rows dropped,
     order (``seq``: files by name, then rows by place) and duplicates kept.  A
     file without the column gives no ids."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     if column not in raw.columns:
-        return spark.createDataFrame([], "seq struct<file:string,block:long,row:long>, appid int")
+        return spark.createDataFrame([], "seq struct<file:string,block:long,row:long>, appid bigint")
     return (raw.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                 F.monotonically_increasing_id().alias("row")).alias("seq"),
-                       int_from_text(F.col(column), "int").alias("appid"))
+                       int_from_text(F.col(column)).alias("appid"))
                .where(F.col("appid").isNotNull()))
 
 
