@@ -191,7 +191,8 @@ class Store:
         self.spark, self.root = df.sparkSession, shared_path(df.sparkSession, "collocations")
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+        # tables of words compress well; pairs stay quick to write
+        df.write.option("compression", "snappy" if name.startswith("pairs") else "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def files(self, name: str) -> str:
