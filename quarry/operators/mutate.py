@@ -6,9 +6,9 @@ version is ``quarry.sources.sinks.write_version``.  Nothing here runs an action
 except the explicit ``check_*`` helpers that raise on violations.
 
 Scale notes: an upsert is one full outer join on the key (both sides shuffle on
-the key; a table stored bucketed or partitioned by key avoids the old side's
-shuffle).  Change sets are deduplicated by key *before* the join (last write
-wins), so a key repeated in a batch cannot multiply rows.  Counters add the
+the key; a table in ``sources.bucketed`` spares the old side's shuffle).  Change sets are deduplicated by key *before* the join (last write
+wins), so a key repeated in a batch cannot multiply rows; a change without its
+key is refused.  Counters add the
 number of *new distinct links*, so a rerun adds nothing.
 """
 
@@ -83,6 +83,13 @@ def duplicate_keys(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def check_key(df: DataFrame, key: tuple[str, ...]) -> None:
+    """A row without its whole key can't be found again, so it is refused."""
+    bad = df.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key]))
+    if not bad.isEmpty():
+        raise RequiredViolation(f"rows without a value for the key {key}")
+
+
 def check_distinct(changes: DataFrame, key: tuple[str, ...]) -> None:
     if not duplicate_keys(changes, key).isEmpty():
         raise UniqueViolation(f"a key of {key} is repeated in the change set; give a seq to let the last one win")
@@ -135,7 +142,7 @@ def insert_many(old: DataFrame, data: DataFrame, spec: ModelSpec, skip_duplicate
 # -- M3 upsert ----------------------------------------------------------------------
 
 def upsert(old: DataFrame, changes: DataFrame, spec: ModelSpec, seq: str | None = None,
-           create_defaults: bool = True, create: DataFrame | None = None) -> Result:
+           create_defaults: bool = True, create: DataFrame | None = None, check: bool = True) -> Result:
     """Insert new keys, update existing ones; a NULL in the change set keeps the
     old value (P8) while ``''`` / ``0`` overwrite it.  With ``create`` (same
     keys), new rows take its values instead.  Without ``seq`` a key may stand
@@ -143,10 +150,13 @@ def upsert(old: DataFrame, changes: DataFrame, spec: ModelSpec, seq: str | None
     key = spec.key
     if not key:
         raise ValueError("upsert needs a keyed model")
+    if check:  # callers whose keys can't be NULL spare the action
+        check_key(changes, key)
     if seq is None:
         check_distinct(changes, key)
     ch = last_per_key(changes, key, seq)
     if create is not None:
+        check_key(create, key)
         check_distinct(create, key)
         made = [c for c in old.columns if c not in key and c in create.columns]
         given = create.select(*key, *[F.col(c).alias(f"__c_{c}") for c in made], F.lit(True).alias("__made"))
@@ -353,7 +363,7 @@ def maintain_dimension(dim: DataFrame, links: DataFrame, items: DataFrame, id_co
     refreshed (last write wins); an empty name is written as the id's text."""
     named = dimension_names(items)
     latest = last_per_key(named.select("id", "name", seq), ("id",), seq)
-    dim_res = upsert(dim, latest, ModelSpec("dim", key=(id_col,)))
+    dim_res = upsert(dim, latest, ModelSpec("dim", key=(id_col,)), check=False)
     pairs = named.select(F.col("gameId"), F.col("id").alias(link_id_col))
     link_res = connect(links, pairs, ("gameId", link_id_col))
     return dim_res, link_res

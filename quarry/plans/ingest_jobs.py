@@ -288,12 +288,12 @@ def apply_to_catalogue(cat: Catalog, run: IngestRun) -> Catalog:
     counters only count new distinct pairs, so rerunning a batch changes nothing."""
     def games():
         cols = [f.name for f in CATALOGUE_MODELS["Game"].schema.fields]
-        return M.upsert(cat.df("Game"), run.merged.select("seq", *cols), CATALOGUE_MODELS["Game"], seq="seq").table
+        return M.upsert(cat.df("Game"), run.merged.select("seq", *cols), CATALOGUE_MODELS["Game"], seq="seq", check=False).table
 
     def reviews():
         cols = [f.name for f in CATALOGUE_MODELS["Review"].schema.fields]
         rows = run.reviews.select(*cols, F.struct("seq", "rank").alias("__seq"))
-        return M.upsert(cat.df("Review"), rows, CATALOGUE_MODELS["Review"], seq="__seq").table
+        return M.upsert(cat.df("Review"), rows, CATALOGUE_MODELS["Review"], seq="__seq", check=False).table
 
     def listed() -> DataFrame:
         return run.store.join(run.ids.select(F.col("appid").alias("id"), "seq"), "id")

@@ -76,6 +76,31 @@ def m3_upsert(spark, sf):
     return M.upsert(part, ch.unionByName(older), FIXTURE_MODELS["part"], seq="seq").table
 
 
+@query("m3_k7_bucketed_upsert_customer", """
+WITH ch AS (SELECT c_custkey, c_name || '!' AS c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 END AS c_acctbal FROM customer WHERE c_custkey % 50 = 7
+  UNION ALL SELECT c_custkey + 5000000, 'new', NULL FROM customer WHERE c_custkey % 100 = 3)
+SELECT coalesce(c.c_custkey, ch.c_custkey) AS c_custkey, coalesce(ch.c_name, c.c_name) AS c_name, c.c_nationkey, coalesce(ch.c_acctbal, c.c_acctbal) AS c_acctbal, c.c_mktsegment
+FROM customer c FULL JOIN ch USING (c_custkey)
+WHERE coalesce(c.c_custkey, ch.c_custkey) % 997 <> 5
+""")
+def m3_bucketed(spark, sf):
+    """Upsert and delete on a stored table: the touched groups are read without a shuffle and written alone."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.bucketed import BucketedTable
+    customer = cat_of(spark, sf).df("customer")
+    table = BucketedTable(spark, f"{checkpoint_dir(spark)}/bucketed-{uuid.uuid4().hex}", FIXTURE_MODELS["customer"])
+    table.create(customer, buckets=4, groups=8)
+    k = F.col("c_custkey")
+    changed = customer.where(k % 50 == 7).select("c_custkey", F.concat("c_name", F.lit("!")).alias("c_name"), F.when(k % 2 == 0, F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit(1).alias("seq"))
+    new = customer.where(k % 100 == 3).select((k + 5000000).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(1).alias("seq"))
+    stale = new.withColumn("c_name", F.lit("stale")).withColumn("seq", F.lit(0))
+    table.upsert(changed.unionByName(new).unionByName(stale), seq="seq")
+    table.delete(customer.unionByName(new.select("c_custkey"), allowMissingColumns=True).where(k % 997 == 5).select("c_custkey"))
+    return table.read()
+
+
 @query("n6_last_event_per_user", """
 SELECT user_id, event_id, event_type, ts FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1

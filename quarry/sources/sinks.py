@@ -99,7 +99,7 @@ class PublishConflict(RuntimeError):
     """Another job published a table after this one read it."""
 
 
-def _switch(spark: SparkSession, root: str, changes: dict[str, str], based_on: dict[str, str] | None) -> dict[str, str]:
+def switch(spark: SparkSession, root: str, changes: dict[str, str], based_on: dict[str, str] | None) -> dict[str, str]:
     """Add ``changes`` to the newest map by a manifest of the next number; with ``based_on``, none of them may have moved since."""
     while True:
         number, current = _newest(spark, root)
@@ -121,7 +121,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], based_
     (``current_versions`` before reading): if a job has published one of them
     in between, this raises ``PublishConflict`` and switches nothing.  Without
     it the tables replace what is there."""
-    return _switch(spark, root, {name: write_version(df, root, name) for name, df in tables.items()}, based_on)
+    return switch(spark, root, {name: write_version(df, root, name) for name, df in tables.items()}, based_on)
 
 
 def publish_update(spark: SparkSession, root: str, compute: Callable[[dict[str, str]], dict[str, DataFrame]], attempts: int = 5) -> dict[str, str]:
@@ -199,7 +199,7 @@ def publish_parts(spark: SparkSession, root: str, parts: dict[str, tuple[DataFra
 
     with ThreadPoolExecutor(4) as pool:  # the tables' jobs don't depend on each other
         changes = {k: v for part in pool.map(write, parts.items()) for k, v in part.items()}
-    return _switch(spark, root, changes | (notes or {}), based_on)
+    return switch(spark, root, changes | (notes or {}), based_on)
 
 
 def read_buckets(spark: SparkSession, root: str, table: str, schema: T.StructType, buckets: list[int] | None = None,
