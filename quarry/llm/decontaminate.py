@@ -3,10 +3,13 @@
 DataFrame operations only.  Words are lower-cased runs without white space; a
 shingle is ``WORDS`` of them.
 
-1. A window can only resemble an item if both share a shingle.  Documents'
-   shingles are joined with the items'; a document and an item whose shared
-   shingles all together weigh less than ``THRESHOLD`` per cent of the item
-   have no such window and go.
+1. Documents' shingles that any item holds are kept, each once a document, and
+   counted.  A window that resembles an item shares most of the item's weight,
+   so it shares one of the item's rarest shingles that make up the rest; a
+   document and an item meet by those alone, and a phrase that many items and
+   documents share brings none of them together.  Of the pairs that meet, those
+   whose shared shingles all together weigh less than ``THRESHOLD`` per cent of
+   the item have no such window and go.
 2. A shared shingle counts for the windows of the item's size that start in one
    interval: from where it comes in, or from behind the occurrence that is as
    many before it as the item has, to its own place.  So the common weight of
@@ -88,10 +91,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD
     doc_sh = with_shingles(documents(docs).withColumn("rid", F.xxhash64("text")), ["doc_id", "rid"])
     # the outer form keeps the optimizer from repeating the shingle expression in a filter; a null never joins
     spots = doc_sh.selectExpr("doc_id", "rid", "n", "posexplode_outer(sh) AS (pos, h)")
-    hits = spots.join(hint(bags), "h").where((F.col("size") >= WORDS) | (F.col("n") == F.col("size")))
     doc, pair = ["doc_id", "rid"], ["doc_id", "rid", "item"]
-    hits = hits.groupBy(*pair, "item_id", "n", "size", "h", "ic", "weight").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
-    hits = stage(hits, "hits")
+    known = spots.join(hint(bags.select("h").distinct()), "h").groupBy(*doc, "n", "h").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+    known = stage(known, "spots")
+    # an item's rarest shingles that weigh more than what a match may lack
+    counted = bags.join(known.groupBy("h").agg(F.count("*").alias("docs")), "h", "left").join(masses, "item").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    rarer = Window.partitionBy("item").orderBy("docs", "h").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("before", F.coalesce(F.sum(F.col("ic") * F.col("weight")).over(rarer), F.lit(0)))
+    rare = counted.where((F.col("before") * 100 <= F.col("item_mass") * (100 - threshold)) & (F.col("docs") > 0)).select("item", "size", "h")
+    met = known.join(hint(rare), "h").where((F.col("size") >= WORDS) | (F.col("n") == F.col("size"))).select(*pair).distinct()
+    met = stage(met, "met")
+    hits = stage(met.join(known, doc).join(bags, ["item", "h"]), "hits")
     most = hits.groupBy(*pair).agg(F.sum(F.least(F.size("ps"), F.col("ic")) * F.col("weight")).alias("most")).join(masses, "item")
     most = most.where(F.col("most") * 100 >= F.col("item_mass") * threshold).select(*pair, "item_mass")
     held = stage(hits.join(most, pair).selectExpr("*", f"greatest(1, least(size, n) - {WORDS - 1}) AS m", "greatest(0, n - size) AS last"), "held")
@@ -102,7 +112,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD
     inside = inside.selectExpr(*pair, "last", "greatest(0, p - m + 1, q + 1) AS a", "p + 1 AS z", "weight")
     inside = inside.selectExpr(*pair, "last", f"inline({changes.format('weight', '0L')})")
     # a window weighs WEIGHT a shingle, less what its shingles of any item weigh below that
-    light = hits.where(f"weight < {WEIGHT}").selectExpr(*doc, f"{WEIGHT} - weight AS lack", "explode(ps) AS p").distinct()
+    light = known.join(hint(weight.where(f"weight < {WEIGHT}")), "h").selectExpr(*doc, f"{WEIGHT} - weight AS lack", "explode(ps) AS p").distinct()
     light = held.select(*pair, "m", "last").distinct().join(light, doc).selectExpr(*pair, "last", "greatest(0, p - m + 1) AS a", "p + 1 AS z", "lack")
     light = light.selectExpr(*pair, "last", f"inline({changes.format('0L', 'lack')})")
     steps = inside.unionByName(light).where("start <= last").groupBy(*pair, "start").agg(F.sum("common").alias("common"), F.sum("less").alias("less"))

@@ -126,3 +126,22 @@ def test_items_that_share_text(spark):
             # of 205 or 196 shingles five differ; the passage's weigh half
             common, own = (195 * 1 + 5 * 2, 205 + 5) if k < 5 else (191 * 2, 196 * 2)
             assert got[10 + k, i] == common * 1000 // (own + 5 * 2), (k, i)
+
+
+def test_a_shared_phrase_brings_no_pairs_together(spark, monkeypatch):
+    """A phrase that all items and many documents hold: pairs meet by rarer shingles only."""
+    rng = random.Random(5)
+    phrase = "one phrase of just five"
+    items = [f"{prose(rng, 20)} {phrase} {prose(rng, 20)}" for _ in range(60)]
+    docs = [f"{prose(rng, 30)} {phrase} {prose(rng, 30)}" for _ in range(50)] + [prose(rng, 9) + " " + items[7] + " " + prose(rng, 9)]
+    sizes, inner = {}, decontaminate.stage
+
+    def counted(df, name):
+        out = inner(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "stage", counted)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(table(spark, docs), bench).collect()}
+    assert got == {(60, 7)} and sizes["met"] <= 3 and sizes["hits"] < 200
