@@ -109,6 +109,13 @@ class Table:
             df = self.find_many(where=where, order=order, take=take, skip=skip, cursor=cursor)
         return _read.count_columns(df, select)
 
+    def search(self, index, query: str, where: Any = None) -> DataFrame:
+        """Rows whose indexed text holds every term (``sources.text_index``), with ``_relevance``; no text is read to find them."""
+        (key,) = self.spec.key
+        scores = index.scores(query).join(index.search(query), "id").select(F.col("id").alias("__id"), F.col("score").alias("_relevance"))
+        df = self.where(where)
+        return df.join(scores, df[key].cast("long") == scores["__id"]).drop("__id")
+
     def group_by(self, by, where: Any = None, **kw) -> DataFrame:
         return _group.group_by(self.where(where), by, **kw)
 

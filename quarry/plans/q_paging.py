@@ -101,3 +101,24 @@ def j3_cursor(spark, sf):
 
     parts = [read("forward", cursor={"o_orderkey": start}, take=2), read("backward", cursor={"o_orderkey": start}, take=-2), read("none", cursor={"o_orderkey": -1}, take=2)]
     return reduce(DataFrame.unionByName, parts)
+
+
+@query("w11_l2_inverted_index_documents", r"""
+WITH t AS (SELECT doc_id, lang, source, list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents),
+s AS (SELECT doc_id, lang, source, len(list_filter(['le', 'la', 'the', 'que'], lambda x: list_contains(w, x))) AS score FROM t)
+SELECT 'some' AS kind, doc_id, NULL AS lang, score::INTEGER AS score FROM s WHERE score > 0
+UNION ALL SELECT 'all', doc_id, lang, 2 FROM t WHERE list_has_all(w, ['le', 'la']) AND source <> 'src1'
+""")
+def w11_index(spark, sf):
+    """Search and relevance from an index of all texts, built in two segments; the rows' other filters go on as usual."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.text_index import TextIndex
+    documents = fixture_catalog(spark, sf).table("documents")
+    index = TextIndex(spark, f"{checkpoint_dir(spark)}/text-index-{uuid.uuid4().hex}")
+    index.add(documents.df.where("doc_id % 3 <> 0"), "doc_id", "text")
+    index.add(documents.df.where("doc_id % 3 = 0"), "doc_id", "text")
+    some = index.scores("le la the que").select(F.lit("some").alias("kind"), F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("lang"), "score")
+    both = documents.search(index, "La le!", where={"source": {"not": "src1"}})
+    return some.unionByName(both.select(F.lit("all").alias("kind"), "doc_id", "lang", F.col("_relevance").alias("score")))
