@@ -3,20 +3,22 @@
 Texts are read once, in chunks of some million words; a chunk's words get local
 numbers, and their sequence goes to a file of the shared folder.  Words that
 occur often enough are ranked by frequency over all documents, and each chunk
-rewrites its sequence in ranks.  Pairs of neighbours are counted by tiles of
-the pair plane: as ranks put the frequent words first, tiles near the origin
-are dense and counted by ``bincount`` at their direct address, the others as
-sorted coordinates.  Counts of all chunks are summed by Spark.  The frequent
-pairs are ranked in turn, and the same step on their sequence (each place now
-holds the rank of the pair that begins there) counts phrases of three words,
+rewrites its sequence in ranks.  Neighbours are points of the pair plane, and
+the plane is cut into tiles: ranks fall into blocks of about equal mass (the sum
+of their words' counts), so a tile of two blocks holds a bounded number of
+pairs, and near the origin, where few frequent words fill a block, it is small
+and dense.  A chunk hands on its pairs of each tile as one packed row.  A tile's
+rows meet in one task and are counted at direct addresses by ``bincount`` when
+the tile is dense, else by sorted coordinates; each chunk's frequent pairs go
+on.  Those are ranked in turn, and the same step on their sequence (each place
+now holds the rank of the pair that begins there) counts phrases of three words,
 then four, then five.
 
-A chunk gets the ranks of its own words and pairs only.  Words need no join for
-that: their counts are summed over a window of the chunks' rows, and the rows
-themselves are sorted by frequency and numbered.  Frequent pairs are joined
-back to the chunks; they are broadcast when counted below ``BROADCAST_PAIRS``,
-and shuffled beyond it.  A phrase is counted only where both its parts are
-frequent, which loses none, as no phrase is more frequent than its parts.
+No table of words or pairs is broadcast, joined or held whole: a chunk's rows
+carry the chunk's number through the counting and the ranking.  A tile meets at
+most ``BLOCK_MASS`` pairs, or one row a chunk where its words alone are heavier.
+A phrase is counted only where both its parts are frequent, which loses none,
+as no phrase is more frequent than its parts.
 
 Defined cases: a null text is empty, a null lang is ``und``; rows without an id
 count like others; empty texts and tables give no phrase; texts of any length
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +53,12 @@ DENSE = TILE * TILE // 8
 #: Lower case, one separator of words and one of pieces.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\v\f\r", bytes(range(97, 123)) + b" \n\n\n\n\n\n\n\n\n")
 BREAK, NOTHING = 0, 1
-#: Frequent pairs (three numbers each) that may be broadcast.
-BROADCAST_PAIRS = 500_000
-PAIRS = pa.schema([("chunk", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+#: The mass of a block of ranks, and so the pairs that may meet in a tile.
+BLOCK_MASS = 1 << 22
+#: Cells of a tile that is counted at direct addresses in one array.
+DENSE_CELLS = 1 << 22
+TILES = pa.schema([(c, pa.int64()) for c in ("chunk", "tile_left", "tile_right", "first_left", "first_right")] + [("pairs", pa.binary())])
+FREQUENT = pa.schema([(c, pa.int64()) for c in ("chunk", "left", "right", "f")])
 WORDS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("symbol", pa.int64()), ("n", pa.int64())])
 
 
@@ -146,16 +152,54 @@ def count_pairs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def neighbours(folder: str, values: np.ndarray, local: np.ndarray) -> pa.Table:
-    """Write a sequence of places in ``values`` (ranks in order), and count the pairs of neighbours."""
+def neighbours(folder: str, values: np.ndarray, blocks: np.ndarray, local: np.ndarray) -> pa.Table:
+    """Write a sequence of places in ``values`` (ranks in order), and pack the counted pairs of neighbours by tiles.
+
+    A row's pairs are three arrays in one: offsets from ``first_left`` and
+    ``first_right``, and counts, of 32 bits each."""
     if len(local):
         local = local[np.append(True, (local[1:] >= 0) | (local[:-1] >= 0))]  # one gap is as good as many
     pairs = np.flatnonzero((local[:-1] >= 0) & (local[1:] >= 0))
     if not len(pairs):
-        return PAIRS.empty_table()
+        return TILES.empty_table()
     chunk = write_sequence(folder, values, local)
     a, b, n = count_pairs(local[pairs], local[pairs + 1], len(values))
-    return pa.table([pa.array(np.full(len(n), chunk)), pa.array(values[a]), pa.array(values[b]), pa.array(n)], schema=PAIRS)
+    _, block = np.unique(blocks, return_inverse=True)
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))  # each block's first place
+    tile = block[a] * len(first) + block[b]
+    order = np.argsort(tile, kind="stable")
+    a, b, n, tile = a[order], b[order], n[order], tile[order]
+    starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+    tile_a, tile_b = first[block[a[starts]]], first[block[b[starts]]]
+    left = (values[a] - values[first[block[a]]]).astype("<u4")
+    right = (values[b] - values[first[block[b]]]).astype("<u4")
+    n = n.astype("<u4")
+    packed = [left[s:e].tobytes() + right[s:e].tobytes() + n[s:e].tobytes() for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)])]
+    return pa.table([pa.array(np.full(len(starts), chunk)), pa.array(blocks[tile_a]), pa.array(blocks[tile_b]),
+                     pa.array(values[tile_a]), pa.array(values[tile_b]), pa.array(packed, pa.binary())], schema=TILES)
+
+
+def count_tile(least: int):
+    """The frequent pairs of one tile, for each chunk that holds them."""
+    def apply(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(p, "<u4").reshape(3, -1) for p in table["pairs"].to_pylist()]
+        sizes = np.array([p.shape[1] for p in parts])
+        offsets = np.concatenate(parts, axis=1)
+        del parts
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        first_left, first_right = table["first_left"].to_numpy(), table["first_right"].to_numpy()
+        left, right = offsets[0] + (first_left - first_left.min())[row], offsets[1] + (first_right - first_right.min())[row]
+        width, cells = int(right.max()) + 1, (int(left.max()) + 1) * (int(right.max()) + 1)
+        key = left.astype(np.int64) * width + right
+        if cells <= DENSE_CELLS:
+            f = np.bincount(key, weights=offsets[2], minlength=cells)[key]
+        else:
+            _, place = np.unique(key, return_inverse=True)
+            f = np.bincount(place, weights=offsets[2])[place]
+        keep = f >= least
+        return pa.table([pa.array(table["chunk"].to_numpy()[row[keep]]), pa.array(left[keep].astype(np.int64) + first_left.min()),
+                         pa.array(right[keep].astype(np.int64) + first_right.min()), pa.array(f[keep].astype(np.int64))], schema=FREQUENT)
+    return apply
 
 
 def rank_words(source: str, target: str):
@@ -165,7 +209,7 @@ def rank_words(source: str, target: str):
         order = np.argsort(ids)
         place = np.full(int(sequence.max()) + 1, -1, dtype=np.int32)
         place[symbols[order]] = np.arange(len(ids), dtype=np.int32)
-        return neighbours(target, ids[order], place[sequence])
+        return neighbours(target, ids[order], table["block"].to_numpy()[order], place[sequence])
     return apply
 
 
@@ -173,14 +217,16 @@ def rank_pairs(source: str, target: str):
     def apply(table: pa.Table) -> pa.Table:
         values, local = read_sequence(source, table["chunk"][0].as_py())
         left, right = (np.searchsorted(values, table[c].to_numpy()) for c in ("left", "right"))
-        ids = np.sort(table["id"].to_numpy())
-        place = np.searchsorted(ids, table["id"].to_numpy()).astype(np.int32)
+        by_id = np.argsort(table["id"].to_numpy())
+        ids, blocks = table["id"].to_numpy()[by_id], table["block"].to_numpy()[by_id]
+        place = np.empty(len(ids), dtype=np.int32)
+        place[by_id] = np.arange(len(ids), dtype=np.int32)
         key = left * len(values) + right
         order = np.argsort(key)
         key, place = key[order], place[order]
         here = np.where((local[:-1] >= 0) & (local[1:] >= 0), local[:-1].astype(np.int64) * len(values) + local[1:], -1)
         at = np.minimum(np.searchsorted(key, here), len(key) - 1)
-        return neighbours(target, ids, np.where(key[at] == here, place[at], np.int32(-1)))
+        return neighbours(target, ids, blocks, np.where(key[at] == here, place[at], np.int32(-1)))
     return apply
 
 
@@ -191,8 +237,7 @@ class Store:
         self.spark, self.root = df.sparkSession, shared_path(df.sparkSession, "collocations")
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        # tables of words compress well; pairs stay quick to write
-        df.write.option("compression", "snappy" if name.startswith("pairs") else "zstd").parquet(f"{self.root}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def files(self, name: str) -> str:
@@ -207,34 +252,40 @@ class Store:
                 system.delete_dir(root)
 
 
-def numbered(store: Store, name: str, df: DataFrame, group: list[str], order: list) -> DataFrame:
-    """``df`` (written) with ``id``, the place of its group in the order, from 0, and ``head``, true for one row a group.
+def numbered(store: Store, name: str, df: DataFrame, group: list[str]) -> DataFrame:
+    """``df`` (written) with ``id``, the place of its group by falling ``f``, from 0, ``block``, the group's
+    block by the mass of the groups before it, and ``head``, true for one row a group.
 
-    Rows are range-partitioned and sorted by the order, which ends with the
-    group's columns, so a group lies in one partition; a pass along each
-    partition numbers its groups, and the partitions' numbers of groups, one
-    small row each, say where each begins."""
+    Rows are range-partitioned and sorted, so a group lies in one partition; a
+    pass along each partition numbers its groups, and the partitions' totals,
+    one small row each, say where each begins."""
+    order = [F.desc("f"), *group]
     placed = df.repartitionByRange(partitions(store.spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     schema = placed.schema.simpleString()[len("struct<"):-1]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, place = None, -1
+        last, groups, mass = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_pylist() for c in group]
             heads = np.zeros(batch.num_rows, dtype=bool)
-            for i, row in enumerate(zip(*columns)):
-                heads[i] = row != last
-                last = row
-            places = place + np.cumsum(heads)
-            place = int(places[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(heads)], names=[*batch.schema.names, "place", "head"])
-
-    placed = store.table(f"{name}-placed", placed.mapInArrow(number, f"{schema}, place long, head boolean"))
+            for c in group:
+                x = batch.column(c)
+                heads[1:] |= pc.not_equal(x.slice(1), x.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            heads[0] = [batch.column(c)[0] for c in group] != last
+            last = [batch.column(c)[batch.num_rows - 1] for c in group]
+            f = batch.column("f").to_numpy()
+            places, sums = groups + np.cumsum(heads), mass + np.cumsum(f * heads)
+            groups, mass = int(places[-1]), int(sums[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places - 1), pa.array(sums), pa.array(heads)], names=[*batch.schema.names, "place", "mass", "head"])
+
+    placed = store.table(f"{name}-placed", placed.mapInArrow(number, f"{schema}, place long, mass long, head boolean"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    sizes = placed.groupBy("part").agg(F.max("place").alias("last")).select("part", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("first"))
-    return placed.join(F.broadcast(sizes), "part").withColumn("id", F.col("first") + F.col("place")).drop("part", "place", "first")
+    totals = placed.groupBy("part").agg((F.max("place") + 1).alias("n"), F.max("mass").alias("m"))
+    totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("lighter"))
+    out = placed.join(F.broadcast(totals), "part").withColumn("id", F.col("first") + F.col("place"))
+    block = F.floor((F.col("lighter") + F.col("mass") - F.col("f")) / BLOCK_MASS).cast("long")
+    return out.withColumn("block", block).drop("part", "place", "mass", "first", "lighter")
 
 
 def read_chunks(docs: DataFrame, folder: str, chunk_words: int) -> DataFrame:
@@ -267,22 +318,22 @@ def frequent_phrases(store: Store, docs: DataFrame, longest: int, least: int, ch
     totals = store.table("totals", words.groupBy("lang").agg(F.sum("n").alias("n")))
     # a word has one row a chunk here, so no word's window is longer than the number of chunks
     counted = words.withColumn("f", F.sum("n").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= least)
-    placed = numbered(store, "words-ranked", store.table("words-often", counted.drop("n")), ["lang", "word"], [F.desc("f"), "lang", "word"])
-    store.remove("words", "words-often")
+    placed = numbered(store, "words", store.table("words-often", counted.drop("n")), ["lang", "word"])
     levels = [store.table("phrases-1", placed.where("head").select("id", "lang", "word", "f"))]
-    known = placed.select("chunk", "symbol", "id")
-    step = rank_words
+    known = placed.select("chunk", "symbol", "id", "block")
+    store.remove("words", "words-often")
+    step, spent = rank_words, "words-placed"
     for k in range(2, longest + 1):
         source, target = store.files(f"sequence-{k - 2}"), store.files(f"sequence-{k - 1}")
-        pairs = store.table(f"pairs-{k}", known.groupBy("chunk").applyInArrow(step(source, target), "chunk long, left long, right long, n long"))
-        store.remove(f"sequence-{k - 2}", "words-ranked-placed", f"pairs-{k - 1}")
-        often = store.table(f"often-{k}", pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        level = store.table(f"phrases-{k}", numbered(store, f"often-{k}", often, ["left", "right"], [F.desc("f"), "left", "right"]).drop("head"))
-        levels.append(level)
-        ids = level.select("left", "right", "id")
-        known = pairs.drop("n").join(F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids, ["left", "right"]).select("chunk", "left", "right", "id")
-        step = rank_pairs
-    store.remove(f"sequence-{longest - 1}", f"pairs-{longest}")
+        tiles = store.table(f"tiles-{k}", known.groupBy("chunk").applyInArrow(step(source, target), "chunk long, tile_left long, tile_right long, first_left long, first_right long, pairs binary"))
+        store.remove(f"sequence-{k - 2}", spent)
+        often = store.table(f"often-{k}", tiles.groupBy("tile_left", "tile_right").applyInArrow(count_tile(least), "chunk long, left long, right long, f long"))
+        placed = numbered(store, f"pairs-{k}", often, ["left", "right"])
+        levels.append(store.table(f"phrases-{k}", placed.where("head").select("id", "left", "right", "f")))
+        known = placed.select("chunk", "left", "right", "id", "block")
+        store.remove(f"tiles-{k}", f"often-{k}")
+        step, spent = rank_pairs, f"pairs-{k}-placed"
+    store.remove(f"sequence-{longest - 1}", spent)
     return levels, totals
 
 

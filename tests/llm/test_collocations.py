@@ -50,8 +50,11 @@ def texts():
     return EDGE + ["Same Line here again. Same line Here again"] * 9 + out + [" ".join(["round"] * 300)]
 
 
-@pytest.mark.parametrize("chunk_words", [50, collocations.CHUNK_WORDS])
-def test_equals_plain_counting(spark, chunk_words):
+@pytest.mark.parametrize("chunk_words, mass, cells", [(50, 40, 30), (50, 1 << 22, 0), (collocations.CHUNK_WORDS, collocations.BLOCK_MASS, collocations.DENSE_CELLS)])
+def test_equals_plain_counting(spark, monkeypatch, chunk_words, mass, cells):
+    monkeypatch.setattr(collocations, "BLOCK_MASS", mass)
+    count = collocations.count_tile
+    monkeypatch.setattr(collocations, "count_tile", lambda least: with_cells(count(least), cells))
     t = texts()
     df = table(spark, t).withColumn("lang", F.expr("CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' END"))
     want = brute([(("en", "fr", None)[(10 + i) % 3], x) for i, x in enumerate(t)], 5, 3, 40)
@@ -59,6 +62,13 @@ def test_equals_plain_counting(spark, chunk_words):
     assert got == want and len(want) > 60
 
 
+def with_cells(apply, cells):
+    def run(table):
+        collocations.DENSE_CELLS = cells  # in the worker
+        return apply(table)
+    return run
+
+
 def test_empty_table_and_rare_words(spark):
     assert collocations.collocations(table(spark, [])).collect() == []
     assert collocations.collocations(table(spark, ["all of these are rare", None, ""])).collect() == []
