@@ -109,3 +109,23 @@ def test_keep_clean(spark):
     out = toxicity.keep_clean(df, model)
     assert out.columns == df.columns
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in df.select("doc_id").collect()} - gone
+
+
+def test_training_takes_a_bounded_part_of_long_texts(spark, monkeypatch):
+    texts, labels = corpus("quality", 80)
+    texts = [t * 3000 if i % 20 == 0 else t for i, t in enumerate(texts)]
+    seen = []
+    monkeypatch.setattr(quality_cnn, "fit", lambda texts, y, weight, epochs: seen.extend(texts) or quality_cnn.new_net())
+    quality_cnn.train(table(spark, texts), labelled(spark, labels, "quality"))
+    assert max(map(len, texts)) > 500_000 and max(map(len, seen)) == quality_cnn.SAMPLE_CHARS
+    # a part of its text, from anywhere in it
+    assert all(any(t in x for x in texts) for t in seen) and any(not any(x.startswith(t) for x in texts) for t in seen)
+
+
+def test_scores_of_texts_stand_alone():
+    """A text's score doesn't depend on the texts beside it."""
+    rng = np.random.default_rng(4)
+    net = quality_cnn.new_net()
+    texts = ["abcabc \u00e9 " * 3, "", "z" * 700, "short"]
+    assert np.allclose(quality_cnn.scores(net, texts), [quality_cnn.scores(net, [t])[0] for t in texts])
+    assert all(0 <= s <= 1 for s in quality_cnn.scores(net, ["".join(map(chr, rng.integers(32, 127, 500))) for _ in range(5)]))
