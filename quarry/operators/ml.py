@@ -4,6 +4,9 @@
   ``OneHotEncoder(dropLast=True)``: every known category gets a slot and an
   unseen or NULL value (the extra "keep" index, the dropped last slot) becomes
   the all-zero vector; numeric columns pass through (P9 splits them by type).
+  The indexer keeps its values on the driver; columns of more than
+  ``MAX_CATEGORIES`` values get their slots from a ``Dictionary`` table instead,
+  with the same vectors.
 * ML2 / N7: stratified 80/20 split: per class, the rows with the smallest
   ``md5(key ':' seed)``, found by counting buckets of the hash and ranking
   within a bucket, so no task sees a whole class.  ``exact=False`` decides each
@@ -49,13 +52,52 @@ def split_columns(df: DataFrame, target: str) -> tuple[list[str], list[str]]:
     return cat, num
 
 
-def check_categories(df: DataFrame, columns: list[str], limit: int = MAX_CATEGORIES) -> None:
-    """The indexer keeps each text column's distinct values on the driver, so their number is checked first."""
-    if columns:
-        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-        wide = [c for c in columns if row[c] > limit]
-        if wide:
-            raise ValueError(f"more than {limit} distinct values in {wide}; leave them out or group them first")
+def wide_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns with more distinct values than an indexer should keep on the driver."""
+    if not columns:
+        return []
+    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c] > MAX_CATEGORIES]
+
+
+@dataclass
+class Dictionary:
+    """Slots of text columns as a table (column, value, slot), however many values there are.
+
+    Slots are numbered over range partitions of the distinct values by prefix
+    counts (``rank_in_groups``); nothing but each column's number of values
+    reaches the driver.  Rows get their slots by joins, which Spark broadcasts
+    for small columns and shuffles for large ones."""
+    table: DataFrame
+    sizes: dict[str, int]
+
+    @classmethod
+    def build(cls, df: DataFrame, columns: list[str]) -> "Dictionary":
+        from .read import rank_in_groups
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")
+        values = df.select(pairs).select("p.*").where("value IS NOT NULL").distinct()
+        table = rank_in_groups(values, ["column"], [F.col("value").asc()], "slot").select("column", "value", (F.col("slot") - 1).alias("slot"))
+        sizes = {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return cls(table, {c: sizes.get(c, 0) for c in columns})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``<column>__idx``: the value's slot; for unseen values and NULL the number after the last one, which the encoder drops."""
+        for c, n in self.sizes.items():
+            slots = self.table.where(F.col("column") == c).select(F.col("value").alias("__value"), F.col("slot").alias("__slot"))
+            df = df.join(slots, F.col(c).cast("string") == F.col("__value"), "left").withColumn(f"{c}__idx", F.coalesce("__slot", F.lit(n)).cast("double")).drop("__value", "__slot")
+            if n:  # the encoder takes the number of known values from here, as from an indexer's column
+                df = df.withMetadata(f"{c}__idx", {"ml_attr": {"type": "nominal", "name": f"{c}__idx", "num_vals": n}})
+        return df
+
+
+@dataclass
+class DictionaryModel:
+    """A fitted pipeline behind a dictionary of its wide columns."""
+    dictionary: Dictionary
+    pipeline: PipelineModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.pipeline.transform(self.dictionary.transform(df))
 
 
 def class_count(df: DataFrame, label: str) -> DataFrame:
@@ -98,13 +140,18 @@ def accuracy(pred: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def build_pipeline(cat: list[str], num: list[str], target: str, n_train: int, C: float = 1.0,
-                   max_iter: int = MAX_ITER) -> Pipeline:
-    idx = [f"{c}__idx" for c in cat]
-    ohe = [f"{c}__ohe" for c in cat]
+                   max_iter: int = MAX_ITER, wide: list[str] = ()) -> Pipeline:
+    """``wide`` columns have their index already (``Dictionary.transform``)."""
+    narrow = [c for c in cat if c not in wide]
+    idx = [f"{c}__idx" for c in narrow]
+    ohe = [f"{c}__ohe" for c in [*narrow, *wide]]
     stages = []
-    if cat:
-        stages.append(StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))  # the indexer's extra index is the last
+    if narrow:
+        stages.append(StringIndexer(inputCols=narrow, outputCols=idx, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe[:len(narrow)], dropLast=True))  # the indexer's extra index is the last
+    if wide:
+        # an index beyond the known ones takes the extra last slot, which is dropped
+        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in wide], outputCols=ohe[len(narrow):], dropLast=True, handleInvalid="keep"))
     stages.append(VectorAssembler(inputCols=ohe + num, outputCol="__features", handleInvalid="keep"))
     stages.append(LogisticRegression(featuresCol="__features", labelCol="__label", predictionCol="__pred",
                                      maxIter=max_iter, regParam=1.0 / (C * max(n_train, 1)),
@@ -114,7 +161,7 @@ def build_pipeline(cat: list[str], num: list[str], target: str, n_train: int, C:
 
 @dataclass
 class TrainResult:
-    model: PipelineModel
+    model: PipelineModel | DictionaryModel
     metrics: DataFrame        # one row: accuracy, n_test
     predictions: DataFrame    # test rows with `prediction`
 
@@ -128,7 +175,7 @@ def train(df: DataFrame, target: str, test_size: float = TEST_SIZE, seed: int =
     """ML1–ML5: split (stratified when the target has more than one class),
     fit one pipeline on the train part, score the test part."""
     cat, num = split_columns(df, target)
-    check_categories(df, cat)
+    wide = wide_columns(df, cat)
     keyed = df.withColumn("__key", row_key(df))
     n_classes = class_count(df, target).first()["n_classes"]   # one small aggregate
     split = stratified_split(keyed, target if n_classes > 1 else None, "__key", test_size, seed, exact_split)
@@ -139,13 +186,17 @@ def train(df: DataFrame, target: str, test_size: float = TEST_SIZE, seed: int =
     n_train = train_df.count()
     # the label index is only needed to fit; the saved model turns indexes back into labels
     label = StringIndexer(inputCol="__label_text", outputCol="__label", handleInvalid="error").fit(train_df)
-    fitted = build_pipeline(cat, num, target, n_train, C, max_iter).fit(label.transform(train_df))
+    dictionary = Dictionary.build(train_df, wide) if wide else None
+    rows = dictionary.transform(train_df) if wide else train_df
+    fitted = build_pipeline(cat, num, target, n_train, C, max_iter, wide).fit(label.transform(rows))
     model = PipelineModel(fitted.stages + [IndexToString(inputCol="__pred", outputCol="prediction", labels=label.labels)])
+    if wide:
+        model = DictionaryModel(dictionary, model)
     pred = predict(model, test_df)
     return TrainResult(model, accuracy(pred, target, "prediction"), pred)
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | DictionaryModel, df: DataFrame) -> DataFrame:
     """ML6: batch predictions; ``prediction`` holds the original label text."""
     out = model.transform(df)
     internal = [c for c in out.columns if c.startswith("__") or c.endswith("__idx") or c.endswith("__ohe")
@@ -153,10 +204,22 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.drop(*internal)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """K6."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | DictionaryModel, path: str) -> None:
+    """K6; a dictionary is saved as a table beside its pipeline."""
+    if isinstance(model, DictionaryModel):
+        model.dictionary.table.write.mode("overwrite").parquet(f"{path}/dictionary")
+        model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    else:
+        model.write().overwrite().save(path)
+
 
+def load_model(path: str) -> PipelineModel | DictionaryModel:
+    from pyspark.sql import SparkSession
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    from ..sources.sinks import path_exists
+    spark = SparkSession.getActiveSession()
+    if not path_exists(spark, f"{path}/dictionary"):
+        return PipelineModel.load(path)
+    table = spark.read.parquet(f"{path}/dictionary")
+    sizes = {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return DictionaryModel(Dictionary(table, sizes), PipelineModel.load(f"{path}/pipeline"))

@@ -66,6 +66,21 @@ def ml1_one_hot(spark, sf):
                       F.lit(",".join(text)).alias("text_columns"), F.lit(",".join(numbers)).alias("number_columns"))
 
 
+@query("ml1_dictionary_slots_lineitem", """
+WITH v AS (SELECT DISTINCT unnest([{'c': 'order', 'v': CAST(l_orderkey AS VARCHAR)}, {'c': 'flag', 'v': l_returnflag}]) AS p FROM lineitem WHERE l_partkey % 5 <> 0),
+d AS (SELECT p.c AS c, p.v AS v, row_number() OVER (PARTITION BY p.c ORDER BY p.v) - 1 AS slot FROM v),
+n AS (SELECT c, count(*) AS n FROM d GROUP BY c)
+SELECT l_orderkey, l_linenumber, l_partkey, coalesce(o.slot, (SELECT n FROM n WHERE c = 'order'))::BIGINT AS order_slot, coalesce(f.slot, (SELECT n FROM n WHERE c = 'flag'))::BIGINT AS flag_slot
+FROM lineitem LEFT JOIN d o ON o.c = 'order' AND o.v = CAST(l_orderkey AS VARCHAR) LEFT JOIN d f ON f.c = 'flag' AND f.v = l_returnflag
+""")
+def ml1_dictionary(spark, sf):
+    """Slots of a column of many values and of one of few, for rows that the dictionary has seen and others."""
+    rows = cat_of(spark, sf).df("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").cast("string").alias("order"), F.col("l_returnflag").alias("flag"))
+    words = ml.Dictionary.build(rows.where("l_partkey % 5 <> 0"), ["order", "flag"])
+    out = words.transform(rows)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("order__idx").cast("long").alias("order_slot"), F.col("flag__idx").cast("long").alias("flag_slot"))
+
+
 @query("ml6_k4_k6_batch_predict_documents", """
 SELECT doc_id, true AS known_class FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 """)
