@@ -271,7 +271,8 @@ def write_run(spark, run: IngestRun, root: str, resume: bool = False) -> None:
     sinks.write_child_csv(spark, run.reviews, f"{root}/children", N.REVIEW_FIELDS,
                           datetime_cols=("authorLastPlayed", "timestampCreated", "timestampUpdated"), resume=resume)
     if run.catalog is not None:
-        sinks.publish(spark, f"{root}/tables", {name: run.catalog.df(name) for name in CATALOGUE_MODELS if name in run.catalog.loaders or name in run.catalog.tables})
+        sinks.publish(spark, f"{root}/tables", {name: run.catalog.df(name) for name in CATALOGUE_MODELS if name in run.catalog.loaders or name in run.catalog.tables},
+                      models=CATALOGUE_MODELS)
 
 
 def published_catalog(spark, root: str) -> Catalog:

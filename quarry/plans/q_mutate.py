@@ -101,6 +101,24 @@ def m3_bucketed(spark, sf):
     return table.read()
 
 
+@query("w24_s3_clustered_lookup_orders", """
+SELECT o.* FROM orders o WHERE o_orderkey IN (SELECT c_custkey * 4 FROM customer) OR o_orderkey % 1000 = 1
+""")
+def w24_lookup(spark, sf):
+    """Look-ups by key in a table that was published in ranges of its key: by a table of keys, and by values."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources import sinks
+    cat = cat_of(spark, sf)
+    root = f"{checkpoint_dir(spark)}/clustered-{uuid.uuid4().hex}"
+    sinks.publish(spark, root, {"orders": cat.df("orders")}, models=FIXTURE_MODELS)
+    stored = cat.with_table("orders", sinks.read_table(spark, root, "orders", cat.df("orders").schema)).table("orders")
+    keys = cat.df("customer").select((F.col("c_custkey") * 4).alias("k"))
+    by_table = stored.find_many(where={"o_orderkey": {"in": keys}})
+    return by_table.unionByName(stored.df.where("o_orderkey % 1000 = 1")).distinct()
+
+
 @query("n6_last_event_per_user", """
 SELECT user_id, event_id, event_type, ts FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1
@@ -228,9 +246,11 @@ def m12_set_links(spark, sf):
 
 
 @query("m10_connect_or_create_supplier", """
-SELECT s_suppkey, s_name FROM supplier
+SELECT s_suppkey, s_name, NULL::BIGINT AS l_partkey FROM supplier
+UNION ALL
+SELECT DISTINCT (p_partkey % 50) + 100000, 'Supplier#new' || (p_partkey % 50), NULL FROM part WHERE p_size = 50
 UNION ALL
-SELECT DISTINCT (p_partkey % 50) + 100000, 'Supplier#new' || (p_partkey % 50) FROM part WHERE p_size = 50
+SELECT l_suppkey, NULL, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem UNION SELECT (p_partkey % 50) + 100000, p_partkey FROM part WHERE p_size = 50)
 """)
 def m10_connect_or_create(spark, sf):
     cat = cat_of(spark, sf)
@@ -241,7 +261,8 @@ def m10_connect_or_create(spark, sf):
     sup_res, link_res = M.connect_or_create(
         cat.df("supplier"), wanted.select("s_suppkey", "s_name"), ModelSpec("supplier", key=("s_suppkey",)),
         cat.df("part_supplier"), wanted.select("l_partkey", F.col("s_suppkey").alias("l_suppkey")), LINK)
-    return sup_res.table.select("s_suppkey", "s_name")
+    links = link_res.table.select(F.col("l_suppkey").alias("s_suppkey"), F.lit(None).cast("string").alias("s_name"), "l_partkey")
+    return sup_res.table.select("s_suppkey", "s_name", F.lit(None).cast("bigint").alias("l_partkey")).unionByName(links)
 
 
 # ---------------------------------------------------------------- M13 nested create

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import ident, iso_date, iso_datetime
+from ..model import ModelSpec
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -88,10 +89,20 @@ def _manifests(root: str) -> str:
     return f"{root}/_manifests"
 
 
-def write_version(df: DataFrame, root: str, table: str) -> str:
-    """Write ``df`` as a new immutable version of ``table``; returns the version id."""
+def write_version(df: DataFrame, root: str, table: str, model: ModelSpec | None = None) -> str:
+    """Write ``df`` as a new immutable version of ``table``; returns the version id.
+
+    With a keyed ``model``, rows are clustered by the key: each file and row
+    group holds one range of it, which their footers state, so a look-up by key
+    reads the row groups that can hold it.  Further unique columns lie anywhere;
+    they get bloom filters, which rule out nearly all other row groups."""
     version = uuid.uuid4().hex
-    df.write.mode("errorifexists").parquet(f"{root}/{table}/v={version}")
+    writer = df.write
+    if model is not None and model.key:
+        writer = df.repartitionByRange(*model.key).sortWithinPartitions(*model.key).write
+        for column in sorted({c for key in model.unique_keys() for c in key if isinstance(df.schema[c].dataType, (T.StringType, T.IntegralType))}):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.mode("errorifexists").parquet(f"{root}/{table}/v={version}")
     return version
 
 
@@ -113,15 +124,17 @@ def switch(spark: SparkSession, root: str, changes: dict[str, str], based_on: di
         # another job published this number first: look at its map
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], based_on: dict[str, str] | None = None) -> dict[str, str]:
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], based_on: dict[str, str] | None = None,
+            models: dict[str, ModelSpec] | None = None) -> dict[str, str]:
     """Write every table's new version, then switch them all at once
     by writing one manifest; tables not named keep their current version.
 
     ``based_on`` is the map of versions that the tables were computed from
     (``current_versions`` before reading): if a job has published one of them
     in between, this raises ``PublishConflict`` and switches nothing.  Without
-    it the tables replace what is there."""
-    return switch(spark, root, {name: write_version(df, root, name) for name, df in tables.items()}, based_on)
+    it the tables replace what is there.  Tables with a spec in ``models`` are
+    clustered by their key (``write_version``)."""
+    return switch(spark, root, {name: write_version(df, root, name, (models or {}).get(name)) for name, df in tables.items()}, based_on)
 
 
 def publish_update(spark: SparkSession, root: str, compute: Callable[[dict[str, str]], dict[str, DataFrame]], attempts: int = 5) -> dict[str, str]:

@@ -76,3 +76,31 @@ def test_file_order_takes_several_ordered_parts(spark, monkeypatch, tmp_path):
     assert len(list(Path(tmp_path, "ids", "b").glob("part-*.csv"))) > 1
     ids = [r.appid for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").toDF("appid").collect()]
     assert [r.appid for r in got] == sorted(ids, key=lambda i: (i % 50 != 0, i))[5:205]
+
+
+def test_lookups_read_one_row_group_of_many(spark, tmp_path):
+    """Tables published with their model are clustered by key; scans by key or another unique column skip the rest."""
+    from pyspark.sql import functions as F
+
+    from quarry.model import ModelSpec
+    from quarry.sources import sinks
+    spec = ModelSpec("t", key=("id",), unique=(("code",),))
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("id"), F.md5(F.col("id").cast("string")).alias("code"), F.lit("x" * 20).alias("pad"))
+    root = str(tmp_path)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", str(256 * 1024))
+    try:
+        sinks.publish(spark, root, {"t": df, "plain": df}, models={"t": spec})
+    finally:
+        hadoop.unset("parquet.block.size")
+
+    def scanned(name, cond):
+        found = sinks.read_table(spark, root, name).where(cond)
+        assert found.count() == 1
+        found.collect()
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        return leaves.head().metrics().apply("numOutputRows").value()
+
+    code = df.where("id = 5").first().code
+    assert scanned("t", "id = 5") <= 20_000 and scanned("t", "id = 5") <= scanned("plain", "id = 5")
+    assert scanned("t", f"code = '{code}'") <= 60_000
