@@ -15,7 +15,8 @@ now holds the rank of the pair that begins there) counts phrases of three words,
 then four, then five.
 
 No table of words or pairs is broadcast, joined or held whole: a chunk's rows
-carry the chunk's number through the counting and the ranking.  A tile meets at
+carry the chunk's number through the counting and the ranking, which packs them
+for it again.  A tile meets at
 most ``BLOCK_MASS`` pairs, or one row a chunk where its words alone are heavier.
 A phrase is counted only where both its parts are frequent, which loses none,
 as no phrase is more frequent than its parts.
@@ -55,6 +56,8 @@ FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\v\f\r", bytes(range(97,
 BREAK, NOTHING = 0, 1
 #: The mass of a block of ranks, and so the pairs that may meet in a tile.
 BLOCK_MASS = 1 << 22
+#: Ranked rows that a task holds before it packs them for the chunks.
+PACKED_ROWS = 1 << 20
 #: Cells of a tile that is counted at direct addresses in one array.
 DENSE_CELLS = 1 << 22
 TILES = pa.schema([(c, pa.int64()) for c in ("chunk", "tile_left", "tile_right", "first_left", "first_right")] + [("pairs", pa.binary())])
@@ -202,28 +205,33 @@ def count_tile(least: int):
     return apply
 
 
-def rank_words(source: str, target: str):
+def unpacked(table: pa.Table, columns: int, block_mass: int) -> tuple[np.ndarray, ...]:
+    """What a chunk gets of the ranking: its symbols (or lefts and rights), their ids and blocks, in the order of ids."""
+    out = []
+    for packed, first, lighter in zip(table["packed"].to_pylist(), table["first"].to_pylist(), table["lighter"].to_pylist()):
+        rows = np.frombuffer(packed, "<i8").reshape(columns + 2, -1)
+        out.append(np.concatenate([rows[:-2], [rows[-2] + first, (rows[-1] + lighter) // block_mass]]))
+    rows = np.concatenate(out, axis=1)
+    return tuple(rows[:, np.argsort(rows[-2])])
+
+
+def rank_words(source: str, target: str, block_mass: int):
     def apply(table: pa.Table) -> pa.Table:
         _, sequence = read_sequence(source, table["chunk"][0].as_py())
-        ids, symbols = table["id"].to_numpy(), table["symbol"].to_numpy()
-        order = np.argsort(ids)
+        symbols, ids, blocks = unpacked(table, 1, block_mass)
         place = np.full(int(sequence.max()) + 1, -1, dtype=np.int32)
-        place[symbols[order]] = np.arange(len(ids), dtype=np.int32)
-        return neighbours(target, ids[order], table["block"].to_numpy()[order], place[sequence])
+        place[symbols] = np.arange(len(ids), dtype=np.int32)
+        return neighbours(target, ids, blocks, place[sequence])
     return apply
 
 
-def rank_pairs(source: str, target: str):
+def rank_pairs(source: str, target: str, block_mass: int):
     def apply(table: pa.Table) -> pa.Table:
         values, local = read_sequence(source, table["chunk"][0].as_py())
-        left, right = (np.searchsorted(values, table[c].to_numpy()) for c in ("left", "right"))
-        by_id = np.argsort(table["id"].to_numpy())
-        ids, blocks = table["id"].to_numpy()[by_id], table["block"].to_numpy()[by_id]
-        place = np.empty(len(ids), dtype=np.int32)
-        place[by_id] = np.arange(len(ids), dtype=np.int32)
-        key = left * len(values) + right
-        order = np.argsort(key)
-        key, place = key[order], place[order]
+        left, right, ids, blocks = unpacked(table, 2, block_mass)
+        key = np.searchsorted(values, left) * len(values) + np.searchsorted(values, right)
+        place = np.argsort(key).astype(np.int32)
+        key = key[place]
         here = np.where((local[:-1] >= 0) & (local[1:] >= 0), local[:-1].astype(np.int64) * len(values) + local[1:], -1)
         at = np.minimum(np.searchsorted(key, here), len(key) - 1)
         return neighbours(target, ids, blocks, np.where(key[at] == here, place[at], np.int32(-1)))
@@ -252,40 +260,62 @@ class Store:
                 system.delete_dir(root)
 
 
-def numbered(store: Store, name: str, df: DataFrame, group: list[str]) -> DataFrame:
-    """``df`` (written) with ``id``, the place of its group by falling ``f``, from 0, ``block``, the group's
-    block by the mass of the groups before it, and ``head``, true for one row a group.
+def numbered(store: Store, name: str, df: DataFrame, group: list[str], symbols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Groups by falling ``f``: a table of them with ``id``, their place from 0; and for each chunk its rows' symbols, packed with ids.
 
-    Rows are range-partitioned and sorted, so a group lies in one partition; a
-    pass along each partition numbers its groups, and the partitions' totals,
-    one small row each, say where each begins."""
+    Rows are range-partitioned and sorted, so a group lies in one partition.  A
+    pass along each partition numbers its groups, sums the mass before each, and
+    packs what it has for each chunk; the partitions' totals, one small row
+    each, say where each begins."""
     order = [F.desc("f"), *group]
-    placed = df.repartitionByRange(partitions(store.spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    schema = placed.schema.simpleString()[len("struct<"):-1]
+    rows = df.repartitionByRange(partitions(store.spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    head = [f for f in rows.schema.fields if f.name in [*group, "f", "part"]]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head) + ", place long, mass long, chunk long, packed binary"
+    kinds = pa.schema([(f.name, {"string": pa.string(), "int": pa.int32()}.get(f.dataType.simpleString(), pa.int64())) for f in head]
+                      + [("place", pa.int64()), ("mass", pa.int64()), ("chunk", pa.int64()), ("packed", pa.binary())])
+
+    def packs(held: list[np.ndarray], part: int) -> pa.RecordBatch:
+        """One row a chunk: its symbols, places and the masses before them, as 64-bit numbers one after the other."""
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        starts = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+        columns = {"part": pa.array(np.full(len(starts), part, dtype=np.int32)), "chunk": pa.array(rows[0, starts]),
+                   "packed": pa.array([np.ascontiguousarray(rows[1:, a:b]).astype("<i8").tobytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.shape[1]])], pa.binary())}
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(starts), f.type) for f in kinds], schema=kinds)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, groups, mass = None, 0, 0
+        last, groups, mass, held, size, part = None, 0, 0, [], 0, 0
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            heads = np.zeros(batch.num_rows, dtype=bool)
+            heads = np.zeros(n, dtype=bool)
             for c in group:
                 x = batch.column(c)
-                heads[1:] |= pc.not_equal(x.slice(1), x.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+                heads[1:] |= pc.not_equal(x.slice(1), x.slice(0, n - 1)).to_numpy(zero_copy_only=False)
             heads[0] = [batch.column(c)[0] for c in group] != last
-            last = [batch.column(c)[batch.num_rows - 1] for c in group]
+            last, part = [batch.column(c)[n - 1] for c in group], batch.column("part")[0].as_py()
             f = batch.column("f").to_numpy()
-            places, sums = groups + np.cumsum(heads), mass + np.cumsum(f * heads)
-            groups, mass = int(places[-1]), int(sums[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places - 1), pa.array(sums), pa.array(heads)], names=[*batch.schema.names, "place", "mass", "head"])
-
-    placed = store.table(f"{name}-placed", placed.mapInArrow(number, f"{schema}, place long, mass long, head boolean"))
+            places, sums = groups - 1 + np.cumsum(heads), mass + np.cumsum(f * heads)
+            groups, mass = int(places[-1]) + 1, int(sums[-1])
+            held.append(np.stack([batch.column("chunk").to_numpy(), *[batch.column(c).to_numpy() for c in symbols], places, sums - f]))
+            size += n
+            if size >= PACKED_ROWS:
+                yield packs(held, part)
+                held, size = [], 0
+            at = pa.array(np.flatnonzero(heads))
+            if len(at):
+                made = {"place": pa.array(places[at]), "mass": pa.array(sums[at]), "chunk": pa.nulls(len(at), pa.int64()), "packed": pa.nulls(len(at), pa.binary())}
+                yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(f.name).take(at).cast(f.type) for f in kinds], schema=kinds)
+        if held:
+            yield packs(held, part)
+
+    placed = store.table(f"{name}-placed", rows.mapInArrow(number, schema))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    totals = placed.groupBy("part").agg((F.max("place") + 1).alias("n"), F.max("mass").alias("m"))
-    totals = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("lighter"))
-    out = placed.join(F.broadcast(totals), "part").withColumn("id", F.col("first") + F.col("place"))
-    block = F.floor((F.col("lighter") + F.col("mass") - F.col("f")) / BLOCK_MASS).cast("long")
-    return out.withColumn("block", block).drop("part", "place", "mass", "first", "lighter")
+    totals = placed.where("chunk IS NULL").groupBy("part").agg((F.max("place") + 1).alias("n"), F.max("mass").alias("m"))
+    totals = F.broadcast(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("lighter")))
+    groups = placed.where("chunk IS NULL").join(totals, "part").select((F.col("first") + F.col("place")).alias("id"), *group, "f")
+    return groups, placed.where("chunk IS NOT NULL").join(totals, "part").select("chunk", "packed", "first", "lighter")
 
 
 def read_chunks(docs: DataFrame, folder: str, chunk_words: int) -> DataFrame:
@@ -318,19 +348,17 @@ def frequent_phrases(store: Store, docs: DataFrame, longest: int, least: int, ch
     totals = store.table("totals", words.groupBy("lang").agg(F.sum("n").alias("n")))
     # a word has one row a chunk here, so no word's window is longer than the number of chunks
     counted = words.withColumn("f", F.sum("n").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= least)
-    placed = numbered(store, "words", store.table("words-often", counted.drop("n")), ["lang", "word"])
-    levels = [store.table("phrases-1", placed.where("head").select("id", "lang", "word", "f"))]
-    known = placed.select("chunk", "symbol", "id", "block")
+    groups, known = numbered(store, "words", store.table("words-often", counted.drop("n")), ["lang", "word"], ["symbol"])
+    levels = [store.table("phrases-1", groups)]
     store.remove("words", "words-often")
     step, spent = rank_words, "words-placed"
     for k in range(2, longest + 1):
         source, target = store.files(f"sequence-{k - 2}"), store.files(f"sequence-{k - 1}")
-        tiles = store.table(f"tiles-{k}", known.groupBy("chunk").applyInArrow(step(source, target), "chunk long, tile_left long, tile_right long, first_left long, first_right long, pairs binary"))
+        tiles = store.table(f"tiles-{k}", known.groupBy("chunk").applyInArrow(step(source, target, BLOCK_MASS), "chunk long, tile_left long, tile_right long, first_left long, first_right long, pairs binary"))
         store.remove(f"sequence-{k - 2}", spent)
         often = store.table(f"often-{k}", tiles.groupBy("tile_left", "tile_right").applyInArrow(count_tile(least), "chunk long, left long, right long, f long"))
-        placed = numbered(store, f"pairs-{k}", often, ["left", "right"])
-        levels.append(store.table(f"phrases-{k}", placed.where("head").select("id", "left", "right", "f")))
-        known = placed.select("chunk", "left", "right", "id", "block")
+        groups, known = numbered(store, f"pairs-{k}", often, ["left", "right"], ["left", "right"])
+        levels.append(store.table(f"phrases-{k}", groups))
         store.remove(f"tiles-{k}", f"often-{k}")
         step, spent = rank_pairs, f"pairs-{k}-placed"
     store.remove(f"sequence-{longest - 1}", spent)

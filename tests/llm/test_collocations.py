@@ -53,6 +53,7 @@ def texts():
 @pytest.mark.parametrize("chunk_words, mass, cells", [(50, 40, 30), (50, 1 << 22, 0), (collocations.CHUNK_WORDS, collocations.BLOCK_MASS, collocations.DENSE_CELLS)])
 def test_equals_plain_counting(spark, monkeypatch, chunk_words, mass, cells):
     monkeypatch.setattr(collocations, "BLOCK_MASS", mass)
+    monkeypatch.setattr(collocations, "PACKED_ROWS", 7 if cells == 30 else collocations.PACKED_ROWS)
     count = collocations.count_tile
     monkeypatch.setattr(collocations, "count_tile", lambda least: with_cells(count(least), cells))
     t = texts()
