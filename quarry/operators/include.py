@@ -166,11 +166,16 @@ def include_chunks(cat, model: str, df: DataFrame, rel_name: str, args: Any = Tr
     jk = [f"__jk{i}" for i in range(len(rel.fields))]
     chunk = ((F.col(rn) - 1) / size).cast("int")
     items = F.array_sort(F.collect_list(F.struct(F.col(rn).alias("r"), F.struct(*[F.col(c) for c in cols]).alias("v"))))
-    right = children.groupBy(*[F.col(r).alias(k) for r, k in zip(rel.references, jk)], chunk.alias("chunk")).agg(items.alias("__items"))
-    right = right.select(*jk, "chunk", F.transform("__items", lambda x: x["v"]).alias(rel_name))
-    cond = reduce(lambda a, b: a & b, [df[f] == right[k] for f, k in zip(rel.fields, jk)])
-    out = df.join(right, cond, "left").drop(*jk)
-    return out.withColumns({"chunk": F.coalesce("chunk", F.lit(0)), rel_name: F.coalesce(rel_name, F.array().cast(out.schema[rel_name].dataType))})
+    right = children.groupBy(*[F.col(r).alias(k) for r, k in zip(rel.references, jk)], chunk.alias("__chunk")).agg(items.alias("__items"))
+    right = right.select(*jk, "__chunk", F.transform("__items", lambda x: x["v"]).alias(rel_name))
+    # a parent stands once for each of its chunks before the arrays come, which then meet it by key and number: they are never dealt by the key alone
+    last = children.groupBy(*[F.col(r).alias(f"__last{i}") for i, r in enumerate(rel.references)]).agg(F.max(chunk).alias("__last"))
+    cond = reduce(lambda a, b: a & b, [df[f] == last[f"__last{i}"] for i, f in enumerate(rel.fields)])
+    numbers = F.sequence(F.lit(0), F.coalesce("__last", F.lit(0)))
+    out = df.join(last, cond, "left").select(*[df[c] for c in df.columns], F.explode(numbers).alias("chunk"))
+    cond = reduce(lambda a, b: a & b, [out[f] == right[k] for f, k in zip(rel.fields, jk)], out["chunk"] == right["__chunk"])
+    out = out.join(right, cond, "left").drop(*jk, "__chunk")
+    return out.withColumn(rel_name, F.coalesce(rel_name, F.array().cast(out.schema[rel_name].dataType)))
 
 
 def include_flat(cat, model: str, df: DataFrame, rel_name: str, args: Any = True,

@@ -79,6 +79,21 @@ def test_chunks_and_sorted_arrays(spark, family):
             assert [k for _, ks in mine for k in ks] == want and all(len(ks) <= 100 for _, ks in mine)
 
 
+def test_chunks_of_a_hot_parent_meet_it_in_many_tasks(spark, family):
+    """The parent's rows and the arrays are dealt by key and chunk, so one task never gets all arrays of a parent."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        chunks = include.include_chunks(family, "p", family.df("p").union(family.df("p").where("id = 1")), "kids", True, size=20)
+        assert sorted(r.chunk for r in chunks.where("id = 1").collect()) == sorted([*range(90)] * 2)
+        assert len({r.part for r in chunks.where("id = 1").select("kids", F.spark_partition_id().alias("part")).collect()}) > 4
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_cursor_in_an_include(spark, family):
     """At or after the cursor, or ending at it; nothing when it names no row."""
     def ids(**args):
