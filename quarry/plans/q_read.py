@@ -622,9 +622,18 @@ def s4_model_scan(spark, sf):
 
 # ---------------------------------------------------------------- row order as a value
 def _positions(df):
-    """The rows' place in the order they come in (partitions in turn), as a column."""
-    seen = df.withColumn("__m", F.monotonically_increasing_id())
-    return seen.withColumn("pos", F.row_number().over(Window.orderBy("__m"))).drop("__m")
+    """The rows' place in the order they come in (partitions in turn), as a column.
+
+    The rows are checkpointed with their partition and place; the sizes of the
+    partitions (one small row each) say where each begins, so no task sees them all."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    seen = (df.withColumn("__part", F.spark_partition_id())
+            .withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint())
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = seen.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = seen.join(F.broadcast(starts), "__part").withColumn("pos", (F.col("__before") + F.col("__place") + 1).cast("int"))
+    return placed.select(*df.columns, "pos")
 
 
 @query("l3_negative_take_positions_orders", """

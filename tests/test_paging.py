@@ -94,6 +94,16 @@ def test_chunks_of_a_hot_parent_meet_it_in_many_tasks(spark, family):
             spark.conf.set(k, v)
 
 
+def test_positions_of_an_order_have_no_single_task(spark, family):
+    from quarry.plans.q_read import _positions
+    rows = _positions(family.table("c").find_many(order={"v": "desc"}, skip=10).repartitionByRange(6, F.desc("v"), "cid").sortWithinPartitions(F.desc("v"), "cid"))
+    want = sorted(family.df("c").collect(), key=lambda k: (-k.v, k.cid))[10:]
+    assert [r.cid for r in sorted(rows.collect(), key=lambda r: r.pos)] == [k.cid for k in want]
+    assert sorted(r.pos for r in rows.collect()) == [*range(1, 1991)] and rows.columns == ["cid", "pid", "v", "pos"]
+    assert rows.select(F.spark_partition_id()).distinct().count() > 4
+    assert _positions(family.df("c").where("cid < 0")).count() == 0
+
+
 def test_cursor_in_an_include(spark, family):
     """At or after the cursor, or ending at it; nothing when it names no row."""
     def ids(**args):
