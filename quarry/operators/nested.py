@@ -23,6 +23,11 @@ there ``connect`` adds the link when it is missing and ``set`` / ``disconnect``
 remove links; their keys name the other columns.  In other tables those verbs
 set the foreign key, or clear it where it isn't required.
 
+Several verbs of one relation work on the related table in turn.  What each
+leaves, and the rows that carry the verbs, are checkpointed before the next one
+reads them (a verb reads the table two or three times), so the work grows with
+the number of verbs and not with the product of their reads.
+
 Violations (a key that exists already or twice, a required column without a
 value, a connected row that doesn't exist, a foreign key without a row) are
 gathered as small DataFrames and looked for in one action.
@@ -44,6 +49,8 @@ from . import mutate as M
 TO_ONE = {"create", "connect", "connect_or_create"}
 TO_ONE_UPDATE = TO_ONE | {"disconnect", "delete"}
 TO_MANY_UPDATE = TO_ONE | {"set", "disconnect", "delete"}
+#: To-many verbs in the order they work in.
+ORDER = ("set", "disconnect", "delete", "create", "connect_or_create", "connect")
 
 
 class RelatedNotFound(LookupError):
@@ -123,6 +130,13 @@ def _fields(df: DataFrame, path: str) -> list[str]:
     return [f.name for f in kind.fields]
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once to the shared checkpoint folder, for several readers."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _one_per_key(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Of rows that share a key, the smallest by their text (a batch has no order)."""
     w = Window.partitionBy(*key).orderBy(F.to_json(F.struct(*df.columns)))
@@ -271,12 +285,20 @@ class _Run:
         if not set(rel.fields) <= set(rows.columns):  # an update names its key; other reference columns come from the table
             key = list(self.cat.model(model).key)
             rows = rows.join(self.cat.df(model).select(*key, *[f for f in rel.fields if f not in rows.columns]), key)
+        if len(verbs) > 1:
+            rows = _kept(rows)
+            self.put(rel.target, _kept(self.cat.df(rel.target)))
         parent = [F.col(f).alias(r) for f, r in zip(rel.fields, rel.references)]
         link = bool(child.key) and set(rel.references) < set(child.key)
         others = [k for k in child.key if not link or k not in rel.references]
         if set(verbs) - {"create"} and not child.key:
             raise ValueError(f"{rel.target} has no key; {model}.{name} takes create alone")
 
+        def done(verb: str) -> None:
+            """The table as this verb leaves it, unless no other comes after it."""
+            if any(v in verbs for v in ORDER[ORDER.index(verb) + 1:]):
+                self.put(rel.target, _kept(self.cat.df(rel.target)))
+
         def listed(verb: str) -> DataFrame:
             return rows.select(*parent, F.explode(f"{name}.{verb}").alias("__item"))
 
@@ -322,20 +344,24 @@ class _Run:
                 clear(gone)
                 self.refuse("not found", f"{model}.{name} sets no {rel.target}", self.absent(rel.target, keys.select(*child.key), child.key), child.key)
                 point(keys, lambda r: F.col(f"__to_{r}"))
+            done("set")
         if "disconnect" in verbs:
             keys = mine(keyed("disconnect").drop("__item"))
             if link:
                 self.put(rel.target, M.disconnect(self.cat.df(rel.target), keys, child.key).table)
             else:
                 clear(keys)
+            done("disconnect")
         if "delete" in verbs:
             keys = keyed("delete").drop("__item")
             self.refuse("not found", f"{model}.{name} deletes no {rel.target}", keys.join(mine(keys).select(*child.key), list(child.key), "left_anti"), child.key)
             self.put(rel.target, M.delete_keys(self.cat.df(rel.target), mine(keys), child.key).table)
+            done("delete")
         if "create" in verbs:
             items = listed("create")
             fields = [c for c in _fields(items, "__item") if c not in rel.references]
             self.write(rel.target, items.select(*rel.references, *[F.col(f"__item.{c}").alias(c) for c in fields]), "create")
+            done("create")
         if "connect_or_create" in verbs:
             keys = keyed("connect_or_create", "__item.where")
             fields = [c for c in _fields(keys, "__item.create") if c not in child.key and c not in rel.references]
@@ -345,6 +371,7 @@ class _Run:
             if not link:
                 point(known, lambda r: F.col(f"__to_{r}"))
             self.write(rel.target, missing, "create")
+            done("connect_or_create")
         if "connect" in verbs:
             keys = keyed("connect").drop("__item")
             if link:

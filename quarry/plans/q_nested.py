@@ -72,8 +72,10 @@ UNION ALL SELECT 'supplier', {sql_row('s_suppkey', 's_name', 's_nationkey')} FRO
 UNION ALL SELECT DISTINCT 'supplier', {sql_row('800000 + p_partkey % 3', "'Linked#' || (p_partkey % 3)", 'NULL')} FROM part WHERE p_partkey % 4 = 3
 """)
 def m9_nested_update(spark, sf):
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
     cat = fixture_catalog(spark, sf)
-    links = cat.df("part_supplier")
+    links = cat.df("part_supplier").checkpoint()  # distinct pairs of all lines, made once
     cat = cat.with_table("part_supplier", links)
     k, four = F.col("p_partkey"), F.col("p_partkey") % 4
     suppkey = links.schema["l_suppkey"].dataType.simpleString()

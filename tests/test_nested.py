@@ -116,3 +116,13 @@ def test_games_with_links_and_dimensions_published_together(spark, tmp_path):
     # a link is disconnected by the other column of its key
     again = done.catalog.table("Game").write(spark.createDataFrame([(1, ([(6,)],))], "id int, genres struct<disconnect: array<struct<genreId: int>>>"), "update")
     assert rows(again.catalog.df("GameGenre")) == [(1, 5), (2, 5)]
+
+
+def test_verbs_read_what_the_one_before_left_once(spark, pets):
+    """The plan of the table grows with the number of verbs, not with the product of their reads."""
+    key = "array<struct<id: int>>"
+    data = spark.createDataFrame([(1, ([(11,), (12,)], None, None, None)), (2, (None, None, None, [(10,)]))],
+                                 f"id int, pets struct<set: {key}, disconnect: {key}, delete: {key}, connect: {key}>")
+    done = pets.table("owner").write(data, "update")
+    assert owners_of(done.catalog) == {10: 2, 11: 1, 12: 1}
+    assert done.catalog.df("pet")._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 4
