@@ -241,7 +241,7 @@ def advance_runs(runs: DataFrame, base: DataFrame, cap: int = MAX_CHILDREN) -> t
     Returns the runs that moved, and the children of the visited pages.
     """
     state = runs.select("id", "last_page", "closed", "cursors", "n_children", F.col("summary").alias("first_summary"))
-    j = base.join(state, "id", "left").withColumns({
+    j = base.join(state.hint("merge"), "id", "left").withColumns({
         "last_page": F.coalesce("last_page", F.lit(0)), "closed": F.coalesce("closed", F.lit(False)), "n_children": F.coalesce("n_children", F.lit(0)),
         "cursors": F.coalesce("cursors", F.array().cast("array<string>"))})
     j = j.where(reachable(cap))

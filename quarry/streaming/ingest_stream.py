@@ -14,6 +14,8 @@ moves a keyed state on and with it everything that the ingest job makes:
 * ``Developer`` / ``Publisher``: counters, moved by new links alone.
 
 A page that its run has passed is not read again when it lands once more.
+Which ids a batch touches is told by bitmaps, and tables that grow meet by
+sort-merge joins, so none passes through the driver.
 Tables are kept in buckets of their keys; a batch reads and writes the touched
 buckets only.  All of them, with the batch's number, become visible by one
 manifest: a batch that is tried again after a lost driver finds its number
@@ -71,7 +73,7 @@ class IngestStream:
     def __init__(self, spark: SparkSession, landing: str, root: str, ids: DataFrame, buckets: int = 64,
                  run_ts: str | None = None, max_children: int = N.MAX_CHILDREN, max_files_per_trigger: int | None = None):
         self.spark, self.landing, self.root = spark, landing, root
-        self.ids = ids.select(F.col("seq").cast("long").alias("seq"), F.col("appid").cast("int").alias("appid"))
+        self.listed = ids.select(F.col("seq").cast("long").alias("seq"), F.col("appid").cast("int").alias("appid"))
         self.run_ts, self.cap, self.files = run_ts, max_children, max_files_per_trigger
         self.buckets = int(sinks.current_versions(spark, root).get(COUNT, buckets))
         checkpoint_dir(spark)
@@ -82,7 +84,7 @@ class IngestStream:
         nothing = landing_payloads(self.spark.createDataFrame([], BODY)).select("id", "payload")
         store, stats = N.store_records(nothing), N.stats_records(nothing)
         summary = N.parse_pages(landing_payloads(self.spark.createDataFrame([], PAGE)).select("id", "page_no", "payload")).schema["summary"].dataType
-        entities = J.merge_sources(self.ids, store, stats, store.selectExpr("id", *[f"CAST(NULL AS {J.ENTITY_TYPES[f]}) AS {f}" for f in N.SUMMARY_FIELDS]), "")
+        entities = J.merge_sources(self.listed, store, stats, store.selectExpr("id", *[f"CAST(NULL AS {J.ENTITY_TYPES[f]}) AS {f}" for f in N.SUMMARY_FIELDS]), "")
 
         def record(df: DataFrame) -> T.StructType:
             return _schema("id int, landed bigint").add("rec", T.StructType([f for f in df.schema.fields if f.name != "id"]))
@@ -107,10 +109,13 @@ class IngestStream:
         return sorted(r[0] for r in rows.select(self._bucket(*key)).distinct().collect())  # at most the number of buckets
 
     def _old(self, name: str, buckets: list[int]) -> DataFrame:
-        return sinks.read_buckets(self.spark, self.root, name, self.schemas[name], buckets, self.versions)
+        return sinks.read_buckets(self.spark, self.root, name, self.schemas[name], buckets, self.versions).hint("merge")
 
     # -- one batch ------------------------------------------------------------------
     def run(self) -> None:
+        # the list is read once a run; every batch joins it
+        self.ids = self.listed.repartition("appid").checkpoint()
+        self.wanted = J.id_bitmaps(self.ids, "appid").checkpoint()
         self._advance(self._unseen_ids(), None)
         bodies = [self._stream("store", BODY), self._stream("stats", BODY), self._stream("pages", PAGE)]
         q = (bodies[0].unionByName(bodies[1]).unionByName(bodies[2]).writeStream.foreachBatch(lambda batch, epoch: self._batch(batch, epoch))
@@ -128,14 +133,13 @@ class IngestStream:
     def _unseen_ids(self) -> DataFrame | None:
         """Ids of the list without an entity: they get one, even if nothing of them ever lands."""
         known = sinks.read_buckets(self.spark, self.root, "entities", self.schemas["entities"])
-        new = self.ids.join(known.select(F.col("seq").alias("__s")), F.col("seq") == F.col("__s"), "left_anti")
+        new = self.ids.join(known.select(F.col("seq").alias("__s")).hint("merge"), F.col("seq") == F.col("__s"), "left_anti")
         return None if new.isEmpty() else new.select(F.col("appid").alias("id")).distinct()
 
     def _batch(self, batch: DataFrame, epoch: int) -> None:
         if int(sinks.current_versions(self.spark, self.root).get(EPOCH, -1)) >= epoch:
             return
-        wanted = self.ids.select("appid").distinct()
-        batch = batch.join(wanted, F.col("id") == F.col("appid"), "left_semi").checkpoint()
+        batch = J.with_ids(batch, "id", self.wanted).checkpoint()
         self._advance(batch.select("id").distinct(), batch, {EPOCH: str(epoch)})
 
     def _advance(self, touched: DataFrame | None, batch: DataFrame | None, notes: dict[str, str] | None = None) -> None:
@@ -144,11 +148,12 @@ class IngestStream:
         self.versions = sinks.current_versions(self.spark, self.root)
         touched = touched.checkpoint()
         here = self._touched(touched, "id")
+        touched = J.id_bitmaps(touched, "id").checkpoint()
         parts: dict[str, tuple[DataFrame, list[int]]] = {}
 
         def put(name: str, df: DataFrame, buckets: list[int], *key: str) -> None:
             if buckets:
-                parts[name] = (df.withColumn("__b", self._bucket(*key)).repartition("__b"), buckets)
+                parts[name] = (df.withColumn("__b", self._bucket(*key)).hint("rebalance", F.col("__b")), buckets)
 
         store, stats, runs = (self._old(n, here) for n in ("store", "stats", "runs"))
         if batch is not None and here:
@@ -168,7 +173,7 @@ class IngestStream:
         bodies = M.last_per_key(batch.where(F.col("source") == source).select("id", "body", "landed", F.col("landed").alias("__l")), ("id",), "__l")
         rec = records(landing_payloads(bodies.select("id", "body")))
         rec = rec.select("id", F.struct(*[c for c in rec.columns if c != "id"]).cast(self.schemas[source]["rec"].dataType).alias("rec"))
-        return bodies.select("id", "landed").join(rec, "id", "left")
+        return bodies.select("id", "landed").join(rec.hint("merge"), "id", "left")
 
     def _latest(self, old: DataFrame, new: DataFrame) -> DataFrame:
         """The later body of each id, with its NULLs."""
@@ -177,28 +182,29 @@ class IngestStream:
 
     def _pages(self, batch: DataFrame, touched: DataFrame, runs: DataFrame, here: list[int], put) -> tuple[DataFrame, DataFrame]:
         pending = self._old("pending", here)
-        mine = pending.join(touched, "id", "left_semi").unionByName(batch.where("source = 'pages'").select(*pending.columns))
+        mine = J.with_ids(pending, "id", touched).unionByName(batch.where("source = 'pages'").select(*pending.columns))
         mine = M.last_per_key(mine.withColumn("__l", F.col("landed")), ("id", "page_no"), "__l")
-        mine = mine.join(runs.select("id", "last_page", "closed", "n_children"), "id", "left").where(N.reachable(self.cap)).select(*pending.columns)
+        mine = mine.join(runs.select("id", "last_page", "closed", "n_children").hint("merge"), "id", "left").where(N.reachable(self.cap)).select(*pending.columns)
         base = N.parse_pages(landing_payloads(mine).select("id", "page_no", "payload")).checkpoint()
         moved, children = N.advance_runs(runs, base, self.cap)
         moved = moved.checkpoint()
-        runs = runs.join(moved, "id", "left_anti").unionByName(moved.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas["runs"].fields])).checkpoint()
+        runs = runs.join(moved.hint("merge"), "id", "left_anti").unionByName(moved.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas["runs"].fields])).checkpoint()
         put("runs", runs, here, "id")
-        waiting = mine.join(runs.select("id", "last_page", "closed", "n_children"), "id", "left").where(N.reachable(self.cap)).select(*pending.columns)
-        put("pending", pending.join(touched, "id", "left_anti").unionByName(waiting), here, "id")
+        waiting = mine.join(runs.select("id", "last_page", "closed", "n_children").hint("merge"), "id", "left").where(N.reachable(self.cap)).select(*pending.columns)
+        put("pending", J.with_ids(pending, "id", touched, keep=False).unionByName(waiting), here, "id")
         return runs, children.checkpoint()
 
     def _children(self, children: DataFrame, put) -> None:
         spec = CATALOGUE_MODELS["Review"]
-        rows = children.join(self.ids.select(F.col("appid").alias("gameId"), "seq"), "gameId")
+        rows = children.join(self.ids.select(F.col("appid").alias("gameId"), "seq").hint("merge"), "gameId")
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spec.schema.fields], F.struct("seq", "rank").alias("__seq"))
         buckets = self._touched(rows, "id")
         put("Review", merge_by_seq(self._old("Review", buckets), rows, ("id",), "__seq"), buckets, "id")
 
     def _links(self, fresh: DataFrame, here: list[int], put) -> None:
         """Links of newly landed store records; counters move by the links that are new."""
-        listed = fresh.where("rec IS NOT NULL").select("id", "rec.*").join(self.ids.select(F.col("appid").alias("id"), "seq"), "id")
+        lists = [f"rec.{column}" for column, _, _ in LINKS.values()]
+        listed = fresh.where("rec IS NOT NULL").select("id", *lists).join(self.ids.select(F.col("appid").alias("id"), "seq").hint("merge"), "id").checkpoint()
         for link, (column, name, table) in LINKS.items():
             old = self._old(link, here)
             if table in ("Developer", "Publisher"):
@@ -217,10 +223,10 @@ class IngestStream:
             put(link, links.table.select(*old.columns), here, "gameId")
 
     def _entities(self, touched: DataFrame, store: DataFrame, stats: DataFrame, runs: DataFrame, here: list[int], put) -> None:
-        ids = self.ids.join(touched, F.col("appid") == F.col("id"), "left_semi")
-        made = J.merge_sources(ids, *[s.where("rec IS NOT NULL").select("id", "rec.*") for s in (store, stats)],
-                               runs.where("summary IS NOT NULL").select("id", "summary.*"), self.run_ts).checkpoint()
+        ids = J.with_ids(self.ids, "appid", touched)
+        made = J.merge_sources(ids, *[s.where("rec IS NOT NULL").select("id", "rec.*").hint("merge") for s in (store, stats)],
+                               runs.where("summary IS NOT NULL").select("id", "summary.*").hint("merge"), self.run_ts).checkpoint()
         old = self._old("entities", here)
-        put("entities", old.join(touched, "id", "left_anti").unionByName(made.select(*old.columns)), here, "id")
+        put("entities", J.with_ids(old, "id", touched, keep=False).unionByName(made.select(*old.columns)), here, "id")
         spec = CATALOGUE_MODELS["Game"]
         put("Game", M.upsert(self._old("Game", here), made.select("seq", *[f.name for f in spec.schema.fields]), spec, seq="seq", check=False).table, here, "id")
