@@ -112,7 +112,7 @@ ENTITY_TYPES = {
 class IngestRun:
     """One run of the job.  Every part is planned when it is first asked for.
 
-    * ``ids``: (seq, appid) processed, in file order;
+    * ``ids``: (seq, appid) processed, ``seq`` giving the file order;
     * ``oversized``: listed ids that fit no 32-bit key; nothing is made of them;
     * ``entities``: the 34-column merged records (one per processed id occurrence);
     * ``reviews``: the 15-column child rows (+ seq, rank);
@@ -123,17 +123,22 @@ class IngestRun:
     def __init__(self, ids: DataFrame, some: bool, bodies: tuple[DataFrame, DataFrame, DataFrame],
                  catalog: Catalog | None, run_ts: str | None, max_children: int, checkpoint: bool):
         fits = F.col("appid").between(-(2 ** 31), 2 ** 31 - 1)
-        self.ids, self.oversized = ids.where(fits).withColumn("appid", F.col("appid").cast("int")), ids.where(~fits)
+        self._ids, self.oversized = ids.where(fits).withColumn("appid", F.col("appid").cast("int")), ids.where(~fits)
         self._some, self._bodies = some, bodies
         self._base, self._run_ts, self._cap, self._checkpoint = catalog, run_ts, max_children, checkpoint
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        if not self._checkpoint:
+    def _kept(self, df: DataFrame, when: bool = True) -> DataFrame:
+        if not (self._checkpoint and when):
             return df
         from ..session import checkpoint_dir
         checkpoint_dir(df.sparkSession)
         return df.checkpoint()
 
+    @cached_property
+    def ids(self) -> DataFrame:
+        # every part joins the list
+        return self._kept(self._ids.repartition("appid") if self._checkpoint else self._ids)
+
     @cached_property
     def _wanted(self) -> DataFrame | None:
         """The ids of a run over some of them, as bitmaps, made once."""
@@ -158,7 +163,8 @@ class IngestRun:
 
     @cached_property
     def merged(self) -> DataFrame:
-        return merge_sources(self.ids, self.store, self.stats, self._pages[0], self._run_ts)
+        # with a catalogue the table is made of it besides the file
+        return self._kept(merge_sources(self.ids, self.store, self.stats, self._pages[0], self._run_ts), self._base is not None)
 
     @property
     def entities(self) -> DataFrame:
@@ -167,7 +173,13 @@ class IngestRun:
     @cached_property
     def reviews(self) -> DataFrame:
         # each occurrence of an id in the list writes its children again
-        return self._pages[1].join(self.ids.select(F.col("appid").alias("gameId"), "seq"), "gameId")
+        return self._kept(self._pages[1].join(self.ids.select(F.col("appid").alias("gameId"), "seq"), "gameId"), self._base is not None)
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        """The link lists of the store rows, once for each occurrence of an id."""
+        lists = self.store.select("id", "developer_names", "publisher_names", "categories", "genres")
+        return self._kept(lists.join(self.ids.select(F.col("appid").alias("id"), "seq"), "id"))
 
     @cached_property
     def catalog(self) -> Catalog | None:
@@ -296,15 +308,12 @@ def apply_to_catalogue(cat: Catalog, run: IngestRun) -> Catalog:
         rows = run.reviews.select(*cols, F.struct("seq", "rank").alias("__seq"))
         return M.upsert(cat.df("Review"), rows, CATALOGUE_MODELS["Review"], seq="__seq", check=False).table
 
-    def listed() -> DataFrame:
-        return run.store.join(run.ids.select(F.col("appid").alias("id"), "seq"), "id")
-
     def counted(names: str, name_col: str, link: str, table: str, part: int):
-        pairs = N.name_links(listed(), names, name_col).select(F.col("gameId").cast("int"), name_col)
+        pairs = N.name_links(run.listed, names, name_col).select(F.col("gameId").cast("int"), name_col)
         return M.maintain_counted_links(cat.df(link), cat.df(table), pairs, "gameId", name_col)[part].table
 
     def dimension(list_col: str, dim: str, link: str, link_col: str, part: int):
-        items = N.item_links(listed(), list_col, seq="seq").select(
+        items = N.item_links(run.listed, list_col, seq="seq").select(
             F.col("gameId").cast("int"), F.col("id").try_cast("int").alias("id"), "name",
             F.struct("seq", "pos").alias("__seq")).where("id IS NOT NULL")  # others: oversized_items
         table = M.maintain_dimension(cat.df(dim), cat.df(link), items, "id", link_col, "__seq")[part].table
