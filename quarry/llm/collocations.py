@@ -5,19 +5,21 @@ numbers, and their sequence goes to a file of the shared folder.  Words that
 occur often enough are ranked by frequency over all documents, and each chunk
 rewrites its sequence in ranks.  Neighbours are points of the pair plane, and
 the plane is cut into tiles: ranks fall into blocks of about equal mass (the sum
-of their words' counts), so a tile of two blocks holds a bounded number of
-pairs, and near the origin, where few frequent words fill a block, it is small
-and dense.  A chunk hands on its pairs of each tile as one packed row.  A tile's
+of their words' counts), so the strip of a block's pairs holds a bounded number
+of them; a word that is heavier than a block has a strip of its own, which the
+blocks of the right words cut again.  So the tiles grow with the mass, and only
+the heavy words' with the blocks.  A chunk hands on its pairs of each tile as
+one packed row.  A tile's
 rows meet in one task and are counted at direct addresses by ``bincount`` when
-the tile is dense, else by sorted coordinates; each chunk's frequent pairs go
-on.  Those are ranked in turn, and the same step on their sequence (each place
+the tile is dense, else by sorted coordinates; each frequent pair goes on as one row, with
+the numbers of the chunks that hold it.  Those are ranked in turn, and the same step on their sequence (each place
 now holds the rank of the pair that begins there) counts phrases of three words,
 then four, then five.
 
 No table of words or pairs is broadcast, joined or held whole: a chunk's rows
 carry the chunk's number through the counting and the ranking, which packs them
 for it again.  A tile meets at
-most ``BLOCK_MASS`` pairs, or one row a chunk where its words alone are heavier.
+most twice ``BLOCK_MASS`` pairs, or one row a chunk where its words alone are heavier.
 A phrase is counted only where both its parts are frequent, which loses none,
 as no phrase is more frequent than its parts.
 
@@ -60,11 +62,31 @@ BLOCK_MASS = 1 << 22
 PACKED_ROWS = 1 << 20
 #: Cells of a tile that is counted at direct addresses in one array.
 DENSE_CELLS = 1 << 22
+#: Chunks that one row of a frequent pair names; further ones follow in rows of the same pair.
+ROW_CHUNKS = 256
 TILES = pa.schema([(c, pa.int64()) for c in ("chunk", "tile_left", "tile_right", "first_left", "first_right")] + [("pairs", pa.binary())])
-FREQUENT = pa.schema([(c, pa.int64()) for c in ("chunk", "left", "right", "f")])
+FREQUENT = pa.schema([(c, pa.int64()) for c in ("left", "right", "f")] + [("chunks", pa.binary())])
 WORDS = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("symbol", pa.int64()), ("n", pa.int64())])
 
 
+def pack(rows: np.ndarray) -> bytes:
+    """Arrays of whole numbers of one length as bytes: differences, their lowest bytes first, compressed."""
+    steps = np.diff(rows, axis=1, prepend=np.int64(0))
+    steps = np.ascontiguousarray((steps << 1) ^ (steps >> 63), dtype="<i8").view("<u8")  # a small number for a small step to either side
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    planes = steps.view("u1").reshape(*steps.shape, 8)[:, :, :width].transpose(0, 2, 1).tobytes()
+    return np.array([steps.shape[1], width], dtype="<i8").tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, columns: int) -> np.ndarray:
+    n, width = np.frombuffer(packed, "<i8", count=2).tolist()
+    planes = pa.decompress(memoryview(packed)[16:], columns * n * width, codec="zstd", asbytes=True)
+    steps = np.zeros((columns, n, 8), dtype="u1")
+    steps[:, :, :width] = np.frombuffer(planes, "u1").reshape(columns, width, n).transpose(0, 2, 1)
+    steps = steps.view("<u8")[:, :, 0]
+    return np.cumsum((steps >> 1).astype(np.int64) ^ -(steps & 1).astype(np.int64), axis=1)
+
+
 def slices(text: str) -> Iterator[bytes]:
     """The folded text in parts of about SLICE_BYTES, cut between words."""
     raw = text.encode().translate(FOLD)
@@ -155,11 +177,13 @@ def count_pairs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def neighbours(folder: str, values: np.ndarray, blocks: np.ndarray, local: np.ndarray) -> pa.Table:
+def neighbours(folder: str, values: np.ndarray, blocks: np.ndarray, heavy: np.ndarray, local: np.ndarray) -> pa.Table:
     """Write a sequence of places in ``values`` (ranks in order), and pack the counted pairs of neighbours by tiles.
 
-    A row's pairs are three arrays in one: offsets from ``first_left`` and
-    ``first_right``, and counts, of 32 bits each."""
+    A row's pairs are three arrays: offsets from ``first_left`` and
+    ``first_right``, and counts.  ``heavy`` words have a block of their own,
+    whose pairs are cut by the blocks of the right words; other blocks are one
+    tile, with ``tile_right`` -1."""
     if len(local):
         local = local[np.append(True, (local[1:] >= 0) | (local[:-1] >= 0))]  # one gap is as good as many
     pairs = np.flatnonzero((local[:-1] >= 0) & (local[1:] >= 0))
@@ -167,74 +191,81 @@ def neighbours(folder: str, values: np.ndarray, blocks: np.ndarray, local: np.nd
         return TILES.empty_table()
     chunk = write_sequence(folder, values, local)
     a, b, n = count_pairs(local[pairs], local[pairs + 1], len(values))
-    _, block = np.unique(blocks, return_inverse=True)
-    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))  # each block's first place
-    tile = block[a] * len(first) + block[b]
-    order = np.argsort(tile, kind="stable")
-    a, b, n, tile = a[order], b[order], n[order], tile[order]
-    starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-    tile_a, tile_b = first[block[a[starts]]], first[block[b[starts]]]
-    left = (values[a] - values[first[block[a]]]).astype("<u4")
-    right = (values[b] - values[first[block[b]]]).astype("<u4")
-    n = n.astype("<u4")
-    packed = [left[s:e].tobytes() + right[s:e].tobytes() + n[s:e].tobytes() for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)])]
-    return pa.table([pa.array(np.full(len(starts), chunk)), pa.array(blocks[tile_a]), pa.array(blocks[tile_b]),
-                     pa.array(values[tile_a]), pa.array(values[tile_b]), pa.array(packed, pa.binary())], schema=TILES)
+    order = np.argsort(a.astype(np.int64) * len(values) + b)
+    a, b, n = a[order], b[order], n[order]
+    tile_left, tile_right = blocks[a], np.where(heavy[a], blocks[b], -1)
+    starts = np.flatnonzero(np.append(True, (tile_left[1:] != tile_left[:-1]) | (tile_right[1:] != tile_right[:-1])))
+    first_left, first_right = values[a[starts]], np.where(heavy[a[starts]], values[b[starts]], 0)
+    sizes = np.diff(np.append(starts, len(a)))
+    rows = np.stack([values[a] - np.repeat(first_left, sizes), values[b] - np.repeat(first_right, sizes), n])
+    packed = [pack(rows[:, s:s + size]) for s, size in zip(starts.tolist(), sizes.tolist())]
+    return pa.table([pa.array(np.full(len(starts), chunk)), pa.array(tile_left[starts]), pa.array(tile_right[starts]),
+                     pa.array(first_left), pa.array(first_right), pa.array(packed, pa.binary())], schema=TILES)
 
 
 def count_tile(least: int):
-    """The frequent pairs of one tile, for each chunk that holds them."""
+    """The frequent pairs of one tile, each with the chunks that hold it."""
     def apply(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p, "<u4").reshape(3, -1) for p in table["pairs"].to_pylist()]
-        sizes = np.array([p.shape[1] for p in parts])
-        offsets = np.concatenate(parts, axis=1)
+        table = table.sort_by("chunk")
+        chunk, first_left, first_right = (table[c].to_numpy() for c in ("chunk", "first_left", "first_right"))
+        low_left, low_right = int(first_left.min()), int(first_right.min())
+        parts = [unpack(p.as_buffer(), 3) for p in table["pairs"]]
+        for p, x, y in zip(parts, (first_left - low_left).tolist(), (first_right - low_right).tolist()):
+            p[0] += x
+            p[1] += y
+        width, height = (max(int(p[i].max()) for p in parts) + 1 for i in (1, 0))
+        row = np.repeat(np.arange(len(parts), dtype=np.int32), [p.shape[1] for p in parts])
+        key, n = np.concatenate([p[0] * width + p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         del parts
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        first_left, first_right = table["first_left"].to_numpy(), table["first_right"].to_numpy()
-        left, right = offsets[0] + (first_left - first_left.min())[row], offsets[1] + (first_right - first_right.min())[row]
-        width, cells = int(right.max()) + 1, (int(left.max()) + 1) * (int(right.max()) + 1)
-        key = left.astype(np.int64) * width + right
-        if cells <= DENSE_CELLS:
-            f = np.bincount(key, weights=offsets[2], minlength=cells)[key]
+        if width * height <= DENSE_CELLS:
+            f = np.bincount(key, weights=n, minlength=width * height)[key]
         else:
             _, place = np.unique(key, return_inverse=True)
-            f = np.bincount(place, weights=offsets[2])[place]
-        keep = f >= least
-        return pa.table([pa.array(table["chunk"].to_numpy()[row[keep]]), pa.array(left[keep].astype(np.int64) + first_left.min()),
-                         pa.array(right[keep].astype(np.int64) + first_right.min()), pa.array(f[keep].astype(np.int64))], schema=FREQUENT)
+            f = np.bincount(place, weights=n)[place]
+        keep = np.flatnonzero(f >= least)
+        keep = keep[np.argsort(key[keep], kind="stable")]
+        key, f, chunks = key[keep], f[keep].astype(np.int64), chunk[row[keep]].astype("<i8")
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        lengths = np.diff(np.append(heads, len(key)))
+        # a pair's rows begin at its first chunk and after each ROW_CHUNKS of them
+        starts = np.flatnonzero((np.arange(len(key)) - np.repeat(heads, lengths)) % ROW_CHUNKS == 0)
+        ends = (np.append(starts, len(key)) * 8).astype(np.int32)
+        named = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(chunks.tobytes())])
+        return pa.table([pa.array(key[starts] // width + low_left), pa.array(key[starts] % width + low_right), pa.array(f[starts]), named], schema=FREQUENT)
     return apply
 
 
 def unpacked(table: pa.Table, columns: int, block_mass: int) -> tuple[np.ndarray, ...]:
-    """What a chunk gets of the ranking: its symbols (or lefts and rights), their ids and blocks, in the order of ids."""
+    """What a chunk gets of the ranking: its symbols (or lefts and rights), their ids, blocks and whether a block is theirs alone, in the order of ids."""
     out = []
-    for packed, first, lighter in zip(table["packed"].to_pylist(), table["first"].to_pylist(), table["lighter"].to_pylist()):
-        rows = np.frombuffer(packed, "<i8").reshape(columns + 2, -1)
-        out.append(np.concatenate([rows[:-2], [rows[-2] + first, (rows[-1] + lighter) // block_mass]]))
+    for packed, first, lighter in zip(table["packed"], table["first"].to_pylist(), table["lighter"].to_pylist()):
+        rows = unpack(packed.as_buffer(), columns + 3)
+        out.append(np.concatenate([rows[:-3], [rows[-3] + first, (rows[-2] + lighter) // block_mass, rows[-1] >= block_mass]]))
     rows = np.concatenate(out, axis=1)
-    return tuple(rows[:, np.argsort(rows[-2])])
+    *rows, heavy = rows[:, np.argsort(rows[-3])]
+    return *rows, heavy.astype(bool)
 
 
 def rank_words(source: str, target: str, block_mass: int):
     def apply(table: pa.Table) -> pa.Table:
         _, sequence = read_sequence(source, table["chunk"][0].as_py())
-        symbols, ids, blocks = unpacked(table, 1, block_mass)
+        symbols, ids, blocks, heavy = unpacked(table, 1, block_mass)
         place = np.full(int(sequence.max()) + 1, -1, dtype=np.int32)
         place[symbols] = np.arange(len(ids), dtype=np.int32)
-        return neighbours(target, ids, blocks, place[sequence])
+        return neighbours(target, ids, blocks, heavy, place[sequence])
     return apply
 
 
 def rank_pairs(source: str, target: str, block_mass: int):
     def apply(table: pa.Table) -> pa.Table:
         values, local = read_sequence(source, table["chunk"][0].as_py())
-        left, right, ids, blocks = unpacked(table, 2, block_mass)
+        left, right, ids, blocks, heavy = unpacked(table, 2, block_mass)
         key = np.searchsorted(values, left) * len(values) + np.searchsorted(values, right)
         place = np.argsort(key).astype(np.int32)
         key = key[place]
         here = np.where((local[:-1] >= 0) & (local[1:] >= 0), local[:-1].astype(np.int64) * len(values) + local[1:], -1)
         at = np.minimum(np.searchsorted(key, here), len(key) - 1)
-        return neighbours(target, ids, blocks, np.where(key[at] == here, place[at], np.int32(-1)))
+        return neighbours(target, ids, blocks, heavy, np.where(key[at] == here, place[at], np.int32(-1)))
     return apply
 
 
@@ -263,6 +294,7 @@ class Store:
 def numbered(store: Store, name: str, df: DataFrame, group: list[str], symbols: list[str]) -> tuple[DataFrame, DataFrame]:
     """Groups by falling ``f``: a table of them with ``id``, their place from 0; and for each chunk its rows' symbols, packed with ids.
 
+    A row is of one ``chunk``, or names its ``chunks`` in 8 bytes each.
     Rows are range-partitioned and sorted, so a group lies in one partition.  A
     pass along each partition numbers its groups, sums the mass before each, and
     packs what it has for each chunk; the partitions' totals, one small row
@@ -275,12 +307,12 @@ def numbered(store: Store, name: str, df: DataFrame, group: list[str], symbols:
                       + [("place", pa.int64()), ("mass", pa.int64()), ("chunk", pa.int64()), ("packed", pa.binary())])
 
     def packs(held: list[np.ndarray], part: int) -> pa.RecordBatch:
-        """One row a chunk: its symbols, places and the masses before them, as 64-bit numbers one after the other."""
+        """One row a chunk: its symbols, places, the masses before them and ``f``, packed."""
         rows = np.concatenate(held, axis=1)
         rows = rows[:, np.argsort(rows[0], kind="stable")]
         starts = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
         columns = {"part": pa.array(np.full(len(starts), part, dtype=np.int32)), "chunk": pa.array(rows[0, starts]),
-                   "packed": pa.array([np.ascontiguousarray(rows[1:, a:b]).astype("<i8").tobytes() for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.shape[1]])], pa.binary())}
+                   "packed": pa.array([pack(rows[1:, a:b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.shape[1]])], pa.binary())}
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(starts), f.type) for f in kinds], schema=kinds)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +330,14 @@ def numbered(store: Store, name: str, df: DataFrame, group: list[str], symbols:
             f = batch.column("f").to_numpy()
             places, sums = groups - 1 + np.cumsum(heads), mass + np.cumsum(f * heads)
             groups, mass = int(places[-1]) + 1, int(sums[-1])
-            held.append(np.stack([batch.column("chunk").to_numpy(), *[batch.column(c).to_numpy() for c in symbols], places, sums - f]))
-            size += n
+            mine = np.stack([*[batch.column(c).to_numpy() for c in symbols], places, sums - f, f])
+            if "chunks" in batch.schema.names:
+                chunks = np.frombuffer(b"".join(batch.column("chunks").to_pylist()), "<i8")
+                mine = np.repeat(mine, pc.binary_length(batch.column("chunks")).to_numpy() // 8, axis=1)
+            else:
+                chunks = batch.column("chunk").to_numpy()
+            held.append(np.concatenate([[chunks], mine]))
+            size += len(chunks)
             if size >= PACKED_ROWS:
                 yield packs(held, part)
                 held, size = [], 0
@@ -356,7 +394,7 @@ def frequent_phrases(store: Store, docs: DataFrame, longest: int, least: int, ch
         source, target = store.files(f"sequence-{k - 2}"), store.files(f"sequence-{k - 1}")
         tiles = store.table(f"tiles-{k}", known.groupBy("chunk").applyInArrow(step(source, target, BLOCK_MASS), "chunk long, tile_left long, tile_right long, first_left long, first_right long, pairs binary"))
         store.remove(f"sequence-{k - 2}", spent)
-        often = store.table(f"often-{k}", tiles.groupBy("tile_left", "tile_right").applyInArrow(count_tile(least), "chunk long, left long, right long, f long"))
+        often = store.table(f"often-{k}", tiles.groupBy("tile_left", "tile_right").applyInArrow(count_tile(least), "left long, right long, f long, chunks binary"))
         groups, known = numbered(store, f"pairs-{k}", often, ["left", "right"], ["left", "right"])
         levels.append(store.table(f"phrases-{k}", groups))
         store.remove(f"tiles-{k}", f"often-{k}")

@@ -108,3 +108,58 @@ def test_query_equals_sql(spark):
     q = queries.op11_collocations(spark, sf)
     got = sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in q.collect())
     assert got == want and want
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(5)
+    for rows in (np.zeros((3, 0), np.int64), np.array([[7], [0], [2 ** 62]]), rng.integers(-2 ** 63, 2 ** 63 - 1, (4, 50)), np.cumsum(rng.integers(0, 9, (2, 3000)), axis=1)):
+        assert np.array_equal(collocations.unpack(collocations.pack(rows), len(rows)), rows)
+    assert len(collocations.pack(rows)) < rows.nbytes / 8
+
+
+def tiles_of(folder, chunks, size, f, mass):
+    """The packed tiles of random sequences, whose words fill blocks by their counts ``f``."""
+    rng = np.random.default_rng(9)
+    blocks = (np.cumsum(f) - f) // mass
+    out = []
+    for _ in range(chunks):
+        local = rng.choice(len(f), size, p=f / f.sum()).astype(np.int32)
+        out.append((local, collocations.neighbours(folder, np.arange(len(f)) * 3 + 5, blocks, f >= mass, local)))
+    return out
+
+
+def test_a_frequent_pair_is_one_row_whatever_the_chunks(tmp_path, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(collocations, "ROW_CHUNKS", 7)
+    f = np.array([500, 120, 40, 30, 20, 10])
+    made = tiles_of(str(tmp_path), 20, 300, f, 100)
+    want, held = Counter(), defaultdict(set)
+    for local, tiles in made:
+        pairs = Counter(zip((local[:-1] * 3 + 5).tolist(), (local[1:] * 3 + 5).tolist()))
+        want.update(pairs)
+        for p in pairs:
+            held[p].add(tiles["chunk"][0].as_py())
+    tables = pa.concat_tables([t for _, t in made])
+    for cells in (0, 1 << 22):
+        monkeypatch.setattr(collocations, "DENSE_CELLS", cells)
+        rows = []
+        for key in {tuple(r.values()) for r in tables.select(["tile_left", "tile_right"]).to_pylist()}:
+            mask = [tuple(r.values()) == key for r in tables.select(["tile_left", "tile_right"]).to_pylist()]
+            rows += collocations.count_tile(100)(tables.filter(mask)).to_pylist()
+        often = {p: n for p, n in want.items() if n >= 100}
+        assert {(r["left"], r["right"]): r["f"] for r in rows} == often and often
+        got = defaultdict(list)
+        for r in rows:
+            got[r["left"], r["right"]] += np.frombuffer(r["chunks"], "<i8").tolist()
+        assert all(sorted(got[p]) == sorted(held[p]) for p in often)
+        assert len(rows) == sum(-(-len(held[p]) // 7) for p in often)
+
+
+def test_only_heavy_words_are_cut_by_right_blocks(tmp_path):
+    f = np.array([5000, 300] + [60] * 200)
+    (_, tiles), = tiles_of(str(tmp_path), 1, 20_000, f, 1000)
+    rows = tiles.select(["tile_left", "tile_right"]).to_pylist()
+    last = int((f.sum() - 60) // 1000)
+    light = [r for r in rows if r["tile_left"] > 0]
+    assert len(light) == len({r["tile_left"] for r in light}) <= last and all(r["tile_right"] == -1 for r in light)
+    assert len(rows) - len(light) > 5
