@@ -81,13 +81,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op4_decontamination": op4_decontamination,
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op11_collocations": op11_collocations,
-    "op12_bpe_lexicon": op12_bpe_lexicon,
-    "op13_spelling_variants": op13_spelling_variants,
 }
 
-#: Further queries of the same operators, beside the one of each.
+#: The operators dealt after those ten, and further queries of the same operators.
 MORE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op11_collocations": op11_collocations,
+    "op12_bpe_lexicon": op12_bpe_lexicon,
+    "op13_spelling_variants": op13_spelling_variants,
     "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
 }
 

@@ -4,7 +4,7 @@ import re
 
 #: Two words that polynomial hashes modulo a power of two can't tell apart.
 THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
-EDGE = [THUE + " and five more words", THUE.translate({97: 98, 98: 97}) + " and five more words", None, "", " ", "one", "a b c d", "Tab\tand\nline  double  space ", "x" * 5000, "<|endoftext|> inside <|endoftext|>",
+EDGE = [None, THUE + " and five more words", THUE.translate({97: 98, 98: 97}) + " and five more words", "", " ", "one", "a b c d", "Tab\tand\nline  double  space ", "x" * 5000, "<|endoftext|> inside <|endoftext|>",
         "日本語 テスト é̀ \x1c \x85 odd\u2003space", "it's we'll don't 'S", "same words here and there again now", "same words here and there again now"]
 #: Extra columns, named like what the operators use inside.
 CLASH = "n int, pos string, token string, size int, node int, cluster string, ids string, rank string, h int, w string"
