@@ -1,9 +1,12 @@
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 
 from quarry.llm import ngram_join
+from quarry.llm.common import discard, stage
 from quarry.llm.components import components
 
 from .helpers import EDGE, edited, families, prose, shingles, table
@@ -95,3 +98,22 @@ def test_every_link_is_counted(spark, monkeypatch, cluster, block):
     got = {r.doc_id: r for r in ngram_join.linked_documents(table(spark, texts)).collect()}
     assert [got[d].n_links for d, _ in rows] == brute_links(rows)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.values()} == brute(rows)
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files_and_can_be_deleted(spark):
+    before = shuffle_files(spark)
+    df = stage(spark.range(1000).selectExpr("id % 7 AS k").repartition(5, "k").groupBy("k").count(), "test-stage")
+    for _ in range(50):  # they go in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    folder = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 7 and os.path.exists(folder)
+    discard(df)
+    assert not os.path.exists(folder)
