@@ -117,3 +117,16 @@ def test_a_written_table_leaves_no_shuffle_files_and_can_be_deleted(spark):
     assert df.count() == 7 and os.path.exists(folder)
     discard(df)
     assert not os.path.exists(folder)
+
+
+def test_what_copies_share_comes_before_what_unrelated_texts_share(spark):
+    rng = random.Random(11)
+    common = [prose(rng, 10) for _ in range(40)]  # passages that link unrelated texts to one cluster if they count as rare
+    texts = []
+    for _ in range(60):
+        base = " ".join([prose(rng, 60), *rng.sample(common, 3)])
+        texts += [base, *(f"{base} {prose(rng, 2)}" for _ in range(3))]
+    _, nodes, kept = ngram_join.clustered_texts(table(spark, texts))
+    assert max(r["count"] for r in nodes.groupBy("cluster").count().collect()) == 4
+    assert kept.count() == len(texts)
+    check(spark, texts)
