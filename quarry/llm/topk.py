@@ -3,7 +3,9 @@
 Equal vectors form one class, which keeps its k + 1 smallest ids; classes lie
 in blocks of about ``BLOCK`` rows, queries in blocks of ``QUERY_BLOCK``.  For a
 pair of blocks the vector is cut into ``SLICES`` slices, each with its own local
-score list.
+score list.  A query block is repeated for every class block, so pairs always
+meet by a merge join: a size estimated before the repeats would let the driver
+gather them all.  Matrices travel in the narrowest whole numbers that hold them.
 
 1. Every slice gives its k best classes; their whole scores are lower bounds.
 2. The k-th best of them over all blocks is the query's safe cutoff t.  It is
@@ -14,8 +16,8 @@ score list.
 Defined cases: vectors that are null, or hold null or non-finite components,
 take no part; shorter vectors count as padded with zeros; an empty table gives
 no rows; a repeated row (same id and vector) counts once.  Ties go to the
-smaller id.  Scores are exact: products run in float64 while every sum is below
-2**53, else in Python's whole numbers.  Scores and components beyond a long
+smaller id.  Scores are exact: products run in float32 while every sum is below
+2**24, in float64 below 2**53, else in Python's whole numbers.  Scores and components beyond a long
 count as the nearest long (of one sign: ``LARGEST``).
 """
 
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, small_batches, stage
 
 BLOCK = 2048
 QUERY_BLOCK = 512
@@ -58,12 +60,22 @@ def _pack(pdf: pd.DataFrame, dim: int) -> np.ndarray:
     return out
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """The matrix in the narrowest whole numbers that hold its components."""
+    top = max(int(x.max(initial=0)), -int(x.min(initial=0)) - 1)
+    return x.astype(next(kind for kind in ("i1", "<i2", "<i4", "<i8") if top <= np.iinfo(kind).max)).tobytes()
+
+
+def _matrix(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{len(raw) // max(rows * dim, 1) or 8}").astype(np.int64).reshape(rows, dim)
+
+
 def _blocks(df: DataFrame, key: str, dim: int, extra: str) -> DataFrame:
     """One row a block: ids and (for classes) the class sizes as int64 bytes, and the matrix."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         return pd.DataFrame({key: [pdf[key].iloc[0]], f"{extra}_ids": [pdf["id"].to_numpy(np.int64).tobytes()],
-                             f"{extra}_n": [pdf["n"].to_numpy(np.int64).tobytes()], f"{extra}_vecs": [_pack(pdf, dim).tobytes()]})
+                             f"{extra}_n": [pdf["n"].to_numpy(np.int64).tobytes()], f"{extra}_vecs": [_narrow(_pack(pdf, dim))]})
     return df.groupBy(key).applyInPandas(pack, f"{key} long, {extra}_ids binary, {extra}_n binary, {extra}_vecs binary")
 
 
@@ -71,9 +83,9 @@ def _scores(row, dim: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np
     """Query ids, class ids, the slices' score matrices, and which pairs are a query and its own sole class."""
     qid, vid = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.v_ids, np.int64)
     size = np.frombuffer(row.v_n, np.int64)
-    q, v = np.frombuffer(row.q_vecs, np.int64).reshape(len(qid), dim), np.frombuffer(row.v_vecs, np.int64).reshape(len(vid), dim)
+    q, v = _matrix(row.q_vecs, len(qid), dim), _matrix(row.v_vecs, len(vid), dim)
     top = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * max(dim, 1)
-    kind = np.float64 if top < 2 ** 53 else object
+    kind = np.float32 if top < 2 ** 24 else np.float64 if top < 2 ** 53 else object
     q, v = q.astype(kind), v.astype(kind)
     cuts = np.linspace(0, dim, SLICES + 1).astype(int)
     parts = [q[:, a:b] @ v[:, a:b].T if b > a else np.zeros((len(qid), len(vid)), kind) for a, b in zip(cuts, cuts[1:])]
@@ -84,6 +96,7 @@ def _scores(row, dim: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest scores of every row that ``is_query`` marks, against all other rows."""
     spark = vectors.sparkSession
+    small_batches(spark)  # a row is a pair of blocks
     rows = (vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("id"), whole(F.col(vec_col), scale).alias("vec"), is_query.alias("is_query")).distinct())
     rows = stage(rows, "vectors")
@@ -99,8 +112,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     v = _blocks(classes.select("id", "n", "vec", F.pmod(F.xxhash64("vec"), F.lit(n_v)).alias("vb")), "vb", dim, "v")
     q = _blocks(rows.where("is_query").select("id", F.lit(1).cast("long").alias("n"), "vec", F.pmod(F.xxhash64("id"), F.lit(n_q)).alias("qb")), "qb", dim, "q")
     v, q = stage(v, "class-blocks"), stage(q.drop("q_n"), "query-blocks")
-    # every query block meets every class block: queries stated against all rows, block by block
-    pairs = q.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long")))).join(v, "vb")
+
+    def pairs(q: DataFrame) -> DataFrame:
+        """Every query block meets every class block: queries stated against all rows, block by block."""
+        every = q.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))))
+        return every.hint("merge").join(v.hint("merge"), "vb")
 
     def phase_1(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, list] = {}
@@ -112,14 +128,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 qid, vid, parts, own = _scores(row, dim)
                 total = sum(parts[1:], parts[0])
                 near = min(k + 1, len(vid))
-                seen = np.concatenate([np.argpartition(-p.astype(float), near - 1, axis=1)[:, :near] for p in parts], axis=1)
+                seen = np.concatenate([np.argpartition(-p if p.dtype == np.float32 else -p.astype(float), near - 1, axis=1)[:, :near] for p in parts], axis=1)
                 for i, x in enumerate(qid.tolist()):
                     j = np.unique(seen[i])
                     got = [max(LOWEST, min(LARGEST, int(s))) for s in total[i, j[~own[i, j]]]]
                     best[x] = sorted(best.get(x, []) + got, reverse=True)[:k]
         yield pd.DataFrame({"id": list(best), "scores": list(best.values())})
 
-    local = pairs.mapInPandas(phase_1, "id long, scores array<bigint>").select("id", F.explode("scores").alias("score"))
+    local = pairs(q).mapInPandas(phase_1, "id long, scores array<bigint>").select("id", F.explode("scores").alias("score"))
     ranked = local.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score")))).where(F.col("r") <= k)
     cutoff = ranked.groupBy("id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(LOWEST)).alias("cut"))
     cuts = (rows.where("is_query").select("id").join(cutoff, "id", "left")
@@ -127,6 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             .groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("id", "cut"))).alias("cuts"))
             .select("qb", F.col("cuts.cut").alias("cuts")))
     cuts = stage(cuts, "cutoffs")
+    discard(rows)
 
     def phase_2_3(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,7 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                 keep = (score >= cut[i]).astype(bool)
                 yield pd.DataFrame({"query_id": qid[i[keep]], "id": vid[j[keep]], "vb": row.vb, "score": score[keep].astype(np.int64)})
 
-    found = pairs.join(cuts, "qb").mapInPandas(phase_2_3, "query_id long, id long, vb long, score long")
+    found = pairs(q.join(cuts, "qb")).mapInPandas(phase_2_3, "query_id long, id long, vb long, score long")
     members = classes.select("id", F.pmod(F.xxhash64("vec"), F.lit(n_v)).alias("vb"), "members")
     found = found.join(members, ["id", "vb"]).select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -62,3 +62,21 @@ def test_components_and_scores_beyond_a_long(spark):
     data = [(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [-1e17, 0.0]), (3, [0.0, 5.0]), (4, [2.0, 1.0]), (20, [0.5, 0.25])]
     assert {tuple(r) for r in run(spark, data, 5).collect()} == brute(data, 5)
     assert run(spark, data + [(5, [1e300, 1.0]), (40, [-1e300, 3.0])], 5).count() == 3 * 5
+
+
+def test_repeated_query_blocks_are_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 37)
+    plans, stage = {}, topk.stage
+    monkeypatch.setattr(topk, "stage", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), stage(df, name))[1])
+    plans["result"] = run(spark, rows())._jdf.queryExecution().executedPlan().toString()
+    for name in ("cutoffs", "result"):
+        assert "SortMergeJoin [vb" in plans[name] and "BroadcastHashJoin [vb" not in plans[name]
+
+
+def test_narrow_numbers_and_exact_small_floats(spark):
+    rng = random.Random(4)
+    data = [(i, [rng.choice([-2.0, 1.984375, 511.0, 512.0, -512.015625, 0.0]) * rng.choice([1, 2, 64]) for _ in range(6)]) for i in range(120)]
+    assert {tuple(r) for r in run(spark, data, 4).collect()} == brute(data, 4)
+    for top in (127, -128, 128, -129, 32767, 2 ** 31 - 1, -2 ** 31, 2 ** 31, topk.LARGEST, topk.LOWEST):
+        x = topk.np.array([[top, 1], [0, -1]], dtype="int64")
+        assert (topk._matrix(topk._narrow(x), 2, 2) == x).all()
